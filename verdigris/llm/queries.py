@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from verdigris.llm.ngram_join import op7_ngram_join
 from verdigris.llm.toxicity import op3_toxicity
 
-QUERIES = {"op3_toxicity": op3_toxicity}
+QUERIES = {"op3_toxicity": op3_toxicity, "op7_ngram_join": op7_ngram_join}
 ORACLES: dict[str, str] = {}
