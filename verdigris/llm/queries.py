@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from verdigris.llm.mixture import op8_mixture
 from verdigris.llm.ngram_join import op7_ngram_join
+from verdigris.llm.sharding import op10_sharding
 from verdigris.llm.toxicity import op3_toxicity
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op7_ngram_join": op7_ngram_join}
+QUERIES = {
+    "op3_toxicity": op3_toxicity,
+    "op7_ngram_join": op7_ngram_join,
+    "op8_mixture": op8_mixture,
+    "op10_sharding": op10_sharding,
+}
 ORACLES: dict[str, str] = {}
