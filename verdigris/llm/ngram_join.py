@@ -8,11 +8,15 @@
 3. Two sets with similarity t share a gram among the first n - ceil(t * n) + 1
    of each. These grams are packed by bucket, shuffled and sorted; the sets that
    share one are put into the block of the smallest of them.
-4. The sets of a block are stored in a path-compressed trie, and each is walked
+4. Every set has a sketch: how many of its grams fall into each of 256 hash
+   buckets. The sum of the smaller counts bounds an overlap from above, so members
+   that can't reach the required overlap with any other of their block leave it
+   before their grams are moved.
+5. The sets of a block are stored in a path-compressed trie, and each is walked
    against it: partial overlaps are shared along a path, and a subtree is left
    once its remaining lengths can't reach the required overlap. Blocks with many
-   grams are split into cells that cover every pair of their parts.
-5. Each cell returns a spanning forest of its links; min-label rounds with
+   rows are split into cells that cover every pair of their parts.
+6. Each cell returns a spanning forest of its links; min-label rounds with
    pointer jumping over written tables give the components.
 
 Nothing is capped or sampled. Hashes have 64 bits; a pair is judged on the
@@ -35,31 +39,37 @@ from verdigris.llm._shared import materialize, ship, small_batches, table
 
 HEAVY_KEPT = 200_000
 CELL_GRAMS = 1_000_000
+CELL_ROWS = 3_000
+SKETCH = 256
 
 
 def _input(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
+NAMES = ["doc_id", "n", "sig", "sketch", "grams", "counts"]
+
+
 def _summaries(width: int):
-    """Batches to (doc_id, n, sig) and, once in a while, rows that carry the grams seen thrice or more."""
+    """Batches to (doc_id, n, sig, sketch) and, once in a while, rows that carry the grams seen twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size, seen = [], 0, set()
 
         def heavy() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(pending), return_counts=True)
-            often = counts >= 3
+            often = counts >= 2
             kind = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([None], pa.binary()),
-                                               pa.array([grams[often].view(np.int64)], kind), pa.array([counts[often]], kind)], ["doc_id", "n", "sig", "grams", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()),
+                                               pa.array([grams[often].view(np.int64)], kind), pa.array([counts[often]], kind)], NAMES)
 
         for batch in batches:
-            sizes, sigs = [], []
+            sizes, sigs, sketches = [], [], []
             for grams in shingle_sets(*bytes_of(batch.column("body")), width):
                 sig = xxhash.xxh3_128_digest(grams.tobytes())
                 sizes.append(len(grams))
                 sigs.append(sig)
+                sketches.append(np.bincount((grams >> np.uint64(12)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint16).tobytes())
                 if sig not in seen:
                     seen.add(sig)
                     pending.append(grams)
@@ -69,7 +79,7 @@ def _summaries(width: int):
                     pending, size = [], 0
                     seen.clear()
             empty = pa.nulls(len(sizes), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), empty, empty], ["doc_id", "n", "sig", "grams", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), empty, empty], NAMES)
         if pending:
             yield heavy()
 
@@ -149,12 +159,71 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["block", "member"])
 
 
+def possible_members(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows could, by size and sketch, be alike to another row."""
+    order = np.argsort(sizes, kind="stable")
+    n, sk = sizes[order].astype(np.int64), sketches[order].astype(np.int32)
+    found = np.zeros(len(n), bool)
+    for i in range(len(n) - 1):
+        end = int(np.searchsorted(n, n[i] * den // num, side="right"))
+        if end > i + 1:
+            for lo in range(i + 1, end, 512):
+                hi = min(end, lo + 512)
+                fits = (num + den) * np.minimum(sk[i], sk[lo:hi]).sum(1) >= num * (n[i] + n[lo:hi])
+                if fits.any():
+                    found[i] = True
+                    found[lo:hi] |= fits
+    out = np.zeros(len(n), bool)
+    out[order] = found
+    return out
+
+
+def _sift(num: int, den: int):
+    """Batches sorted by block and cell to the (block, rep, n) that a sketch leaves possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reps, sizes, sketches, out = None, [], [], [], []
+
+        def close():
+            if len(reps) > 1:
+                keep = possible_members(np.array(sizes), np.stack([np.frombuffer(x, np.uint16) for x in sketches]), num, den)
+                out.extend((key[0], reps[k], sizes[k]) for k in np.flatnonzero(keep))
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["block", "rep", "n"])
+
+        for batch in batches:
+            for block, i, j, rep, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j", "rep", "n", "sketch"))):
+                if (block, i, j) != key:
+                    close()
+                    key, reps, sizes, sketches = (block, i, j), [], [], []
+                    if len(out) > 50_000:
+                        yield flush()
+                        out = []
+                reps.append(rep)
+                sizes.append(n)
+                sketches.append(sketch)
+        close()
+        yield flush()
+
+    return run
+
+
+def _cells(members: DataFrame, weight, most: int, keep: list[str]) -> DataFrame:
+    """(block, i, j, *keep): blocks over `most` are dealt into parts, and a member goes to each cell of its part with another."""
+    sized = members.groupBy("block").agg(F.sum(weight).alias("total"), F.count("*").alias("members")).filter("members > 1")
+    sized = sized.select("block", F.ceil(F.col("total") / most).cast("int").alias("parts"))
+    dealt = members.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *keep)
+
+
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(shingle_sets(*bytes_of(batch.column("body")), width))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in found], pa.binary()),
-                                              pa.array([len(g) for g in found], pa.int32()), pa.array([g.tobytes() for g in found], pa.binary())], ["doc_id", "sig", "n", "body"])
+            bodies = [g.tobytes() for g in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(xxhash.xxh3_128_digest, bodies), pa.binary()), pa.array(bodies, pa.binary())], ["doc_id", "sig", "body"])
 
     return run
 
@@ -293,7 +362,7 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     spark = docs.sparkSession
     small_batches(spark)
     body = _input(docs)
-    summary = materialize(body.mapInArrow(_summaries(width), "doc_id long, n int, sig binary, grams array<long>, counts array<long>"))
+    summary = materialize(body.mapInArrow(_summaries(width), "doc_id long, n int, sig binary, sketch binary, grams array<long>, counts array<long>"))
     rows = summary.filter("sig is not null").select("doc_id", "n", "sig")
     often = summary.filter("sig is null").select(F.explode(F.arrays_zip("grams", "counts")).alias("g")).groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.counts").alias("n"))
     top = often.orderBy(F.desc("n"), "gram").limit(HEAVY_KEPT).collect()  # bounded: only orders the grams
@@ -304,18 +373,18 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = body.mapInArrow(_prefixes(width, num, den, buckets, heavy), "bucket int, grams binary, sets binary")
     blocks = materialize(packed.repartition(buckets, "bucket").mapInArrow(_blocks, "block long, member long").distinct())
-    classes = rows.filter("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    short = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    wanted = classes.withColumn("member", short).join(blocks.select("member").distinct(), "member", "left_semi")
-    found = body.join(wanted.select(F.col("rep").alias("doc_id"), "sig", "member"), "doc_id").select("doc_id", "body", F.col("sig").alias("own"), "member")
-    sets = materialize(found.select("doc_id", "body").mapInArrow(_full_sets(width), "doc_id long, sig binary, n int, body binary").withColumn("member", short).dropDuplicates(["doc_id", "sig"])
-                       .join(wanted.select(F.col("rep").alias("doc_id"), "sig"), ["doc_id", "sig"], "left_semi"))
-    weights = blocks.join(sets.select("member", "n", "doc_id"), "member").select("block", "member", "n", F.col("doc_id").alias("rep"))
-    sized = weights.groupBy("block").agg(F.sum("n").alias("total"), F.count("*").alias("members")).filter("members > 1").withColumn("parts", F.ceil(F.col("total") / CELL_GRAMS).cast("int"))
-    part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    cells = weights.join(sized.select("block", "parts"), "block").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "member", "rep")
-    filled = cells.join(sets.select("member", F.col("doc_id").alias("rep"), "body"), ["member", "rep"]).select("block", "i", "j", "rep", "body")
+    first_long = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
+    sketched = summary.filter("sig is not null and n > 0 and doc_id is not null")
+    classes = materialize(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("member", first_long))
+    members = blocks.join(classes.select("member", "rep", "n"), "member")
+    sifted = _cells(members, F.lit(1), CELL_ROWS, ["rep"]).join(classes.select("rep", "n", "sketch"), "rep")
+    sifted = sifted.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_sift(num, den), "block long, rep long, n long")
+    possible = materialize(sifted.distinct())
+    wanted = possible.select(F.col("rep").alias("doc_id")).distinct()
+    found = body.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, sig binary, body binary")
+    own = classes.select(F.col("rep").alias("doc_id"), "sig")
+    sets = materialize(found.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "body"))
+    filled = _cells(possible, F.col("n"), CELL_GRAMS, ["rep"]).join(sets, "rep")
     links = filled.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_cell_links(num, den), "a long, b long")
     merged = components(links)
     named = classes.join(merged.withColumnRenamed("v", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
