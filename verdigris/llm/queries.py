@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdigris.llm.decontam import op6_decontaminate
 from verdigris.llm.mixture import op8_mixture
 from verdigris.llm.ngram_join import op7_ngram_join
 from verdigris.llm.sharding import op10_sharding
@@ -9,6 +10,7 @@ from verdigris.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_mixture": op8_mixture,
     "op10_sharding": op10_sharding,
