@@ -6,8 +6,10 @@
    most frequent ones go last in the global order (others by hash). The order
    decides the cost only; any order gives the same links.
 3. Two sets with similarity t share a gram among the first n - ceil(t * n) + 1
-   of each. These grams are packed by bucket, shuffled and sorted; the sets that
-   share one are put into the block of the smallest of them.
+   of each. These grams are packed by bucket, shuffled and sorted, each with its
+   set's size and the largest partner that its place in the order still allows.
+   The sets that share one are cut where no pair of sizes fits across, and each
+   piece is put into the block of its smallest set.
 4. Every set has a sketch: how many of its grams fall into each of 256 hash
    buckets. The sum of the smaller counts bounds an overlap from above, so members
    that can't reach the required overlap with any other of their block leave it
@@ -37,10 +39,11 @@ from pyspark.sql import functions as F
 from verdigris.llm._bytes import bytes_of, shingle_sets
 from verdigris.llm._shared import materialize, ship, small_batches, table
 
-HEAVY_KEPT = 200_000
+HEAVY_KEPT = 100_000
 CELL_GRAMS = 1_000_000
 CELL_ROWS = 3_000
 SKETCH = 256
+LOG_STEPS = 4_000
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -91,11 +94,11 @@ def _first_long(sig: bytes) -> int:
 
 
 def _prefixes(width: int, num: int, den: int, buckets: int, heavy):
-    """Batches to (bucket, grams, sets): the packed prefix grams of each distinct set."""
+    """Batches to (bucket, grams, sets, sizes): the packed prefix grams of each distinct set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = heavy.value
-        grams_of, sets_of, size, seen = [], [], 0, set()
+        grams_of, sets_of, sizes_of, size, seen = [], [], [], 0, set()
 
         def packed() -> pa.RecordBatch:
             grams = np.concatenate(grams_of)
@@ -104,8 +107,10 @@ def _prefixes(width: int, num: int, den: int, buckets: int, heavy):
             order = np.argsort(bucket, kind="stable")
             found, first = np.unique(bucket[order], return_index=True)
             ends = np.append(first[1:], len(order))
-            rows = [(int(b), grams[order[i:j]].tobytes(), owner[order[i:j]].tobytes()) for b, i, j in zip(found, first, ends)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "grams", "sets"])
+            sizes = np.concatenate(sizes_of)
+            rows = [(int(b), *(c[order[i:j]].tobytes() for c in (grams, owner, sizes))) for b, i, j in zip(found, first, ends)]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "grams", "sets", "sizes"])
 
         for batch in batches:
             for grams in shingle_sets(*bytes_of(batch.column("body")), width):
@@ -123,10 +128,11 @@ def _prefixes(width: int, num: int, den: int, buckets: int, heavy):
                     front = np.concatenate([front, late[np.argsort(rank[at[often]], kind="stable")][: length - len(front)]])
                 grams_of.append(front)
                 sets_of.append(_first_long(sig))
+                sizes_of.append(_size_bounds(n, length, num, den))
                 size += length
                 if size > 2_000_000:
                     yield packed()
-                    grams_of, sets_of, size = [], [], 0
+                    grams_of, sets_of, sizes_of, size = [], [], [], 0
                     seen.clear()
         if grams_of:
             yield packed()
@@ -134,29 +140,60 @@ def _prefixes(width: int, num: int, den: int, buckets: int, heavy):
     return run
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All packed grams of a partition to distinct (block, member): the block of a shared gram is its smallest set."""
-    grams_of, sets_of = [], []
-    for batch in batches:
-        for g, s in zip(batch.column("grams"), batch.column("sets")):
-            grams_of.append(np.frombuffer(g.as_py(), np.uint64))
-            sets_of.append(np.frombuffer(s.as_py(), np.int64))
-    if not grams_of:
-        return
-    grams, sets = np.concatenate(grams_of), np.concatenate(sets_of)
-    del grams_of, sets_of
-    order = np.lexsort((sets, grams))
-    grams, sets = grams[order], sets[order]
-    fresh = np.ones(len(grams), bool)
-    fresh[1:] = (grams[1:] != grams[:-1]) | (sets[1:] != sets[:-1])
-    grams, sets = grams[fresh], sets[fresh]
-    first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
-    lens = np.diff(np.append(first, len(grams)))
-    shared = np.repeat(lens > 1, lens)
-    pairs = np.unique(np.stack([np.repeat(sets[first], lens)[shared], sets[shared]], axis=1), axis=0)
-    for lo in range(0, len(pairs), 100_000):
-        own = pairs[lo : lo + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["block", "member"])
+def _size_bounds(n: int, length: int, num: int, den: int) -> np.ndarray:
+    """Per prefix place: the size and the largest size of a partner whose first shared gram stands there, on a logarithmic scale, rounded outwards."""
+    most = (n - np.arange(length)) * (num + den) / num - n
+    scaled = np.minimum(np.ceil(np.log(np.maximum(most, 1)) * LOG_STEPS) + 1, 65535)
+    return np.stack([np.full(length, min(int(np.log(n) * LOG_STEPS), 65535)), scaled], axis=1).astype(np.uint16)
+
+
+def _pieces(first: np.ndarray, lens: np.ndarray, size: np.ndarray, most: np.ndarray, ratio: int) -> np.ndarray:
+    """Which rows begin a piece. Rows stand by gram and size; no pair of sizes that could be alike lies across a cut."""
+    n = len(size)
+    run_end = np.repeat(first + lens, lens)
+    small = np.repeat(lens <= 64, lens)
+    reach = np.arange(n)
+    at = np.flatnonzero(small & (run_end - reach > 1))
+    d = 1
+    while len(at):
+        at = at[at + d < run_end[at]]
+        fits = (size[at + d] <= size[at] + ratio) & (size[at + d] <= most[at]) & (size[at] <= most[at + d])
+        reach[at[fits]] = at[fits] + d
+        d += 1
+    at = np.flatnonzero(~small & (run_end - np.arange(n) > 1))
+    reach[at] = np.where(size[at + 1] <= size[at] + ratio, at + 1, at)
+    return np.append(True, np.maximum.accumulate(reach)[:-1] < np.arange(1, n))
+
+
+def _blocks(num: int, den: int):
+    """All packed grams of a partition to distinct (block, member)."""
+    ratio = int(np.ceil(np.log(den / num) * LOG_STEPS)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = [[], [], []]
+        for batch in batches:
+            for c, name, kind in zip(columns, ("grams", "sets", "sizes"), (np.uint64, np.int64, np.uint16)):
+                c.extend(np.frombuffer(x.as_py(), kind) for x in batch.column(name))
+        if not columns[0]:
+            return
+        grams, sets, bounds = (np.concatenate(c) for c in columns)
+        columns.clear()
+        bounds = bounds.reshape(-1, 2).astype(np.int32)
+        order = np.lexsort((sets, bounds[:, 0], grams))
+        grams, sets, bounds = grams[order], sets[order], bounds[order]
+        fresh = np.ones(len(grams), bool)
+        fresh[1:] = (grams[1:] != grams[:-1]) | (sets[1:] != sets[:-1])
+        grams, sets, bounds = grams[fresh], sets[fresh], bounds[fresh]
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+        cut = np.flatnonzero(_pieces(first, np.diff(np.append(first, len(grams))), bounds[:, 0], bounds[:, 1], ratio))
+        lens = np.diff(np.append(cut, len(grams)))
+        shared = np.repeat(lens > 1, lens)
+        pairs = np.unique(np.stack([np.repeat(np.minimum.reduceat(sets, cut), lens)[shared], sets[shared]], axis=1), axis=0)
+        for lo in range(0, len(pairs), 100_000):
+            own = pairs[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["block", "member"])
+
+    return run
 
 
 def possible_members(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -371,8 +408,8 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     rank = (len(known) - np.arange(len(known)))[by_value]
     heavy = spark.sparkContext.broadcast((known[by_value], rank))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = body.mapInArrow(_prefixes(width, num, den, buckets, heavy), "bucket int, grams binary, sets binary")
-    blocks = materialize(packed.repartition(buckets, "bucket").mapInArrow(_blocks, "block long, member long").distinct())
+    packed = body.mapInArrow(_prefixes(width, num, den, buckets, heavy), "bucket int, grams binary, sets binary, sizes binary")
+    blocks = materialize(packed.repartition(buckets, "bucket").mapInArrow(_blocks(num, den), "block long, member long").distinct())
     first_long = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     sketched = summary.filter("sig is not null and n > 0 and doc_id is not null")
     classes = materialize(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("member", first_long))
