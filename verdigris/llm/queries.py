@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 from verdigris.llm.decontam import op6_decontaminate
+from verdigris.llm.html_extract import op2_html_extract
+from verdigris.llm.license_scan import op4_license_scan
+from verdigris.llm.media import op5_media
 from verdigris.llm.mixture import op8_mixture
 from verdigris.llm.ngram_join import op7_ngram_join
+from verdigris.llm.secret_scan import op9_secret_scan
 from verdigris.llm.sharding import op10_sharding
+from verdigris.llm.suffix_dedup import op1_suffix_dedup
 from verdigris.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_toxicity": op3_toxicity,
+    "op4_license_scan": op4_license_scan,
+    "op5_media": op5_media,
     "op6_decontaminate": op6_decontaminate,
     "op7_ngram_join": op7_ngram_join,
     "op8_mixture": op8_mixture,
+    "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
 }
 ORACLES: dict[str, str] = {}
