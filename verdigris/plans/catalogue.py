@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from verdigris.plans import coverage  # noqa: F401
+from verdigris.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
