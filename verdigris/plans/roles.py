@@ -59,15 +59,13 @@ def query_hits(spark, sf_dir) -> DataFrame:
 QUERY_HITS = """SELECT l_linestatus AS source, l_orderkey AS item_id, l_suppkey AS query_hash, month(l_shipdate) || ':' || l_returnflag || ':' || l_linestatus AS query_tier,
  'term' || (l_partkey % 50) AS search_term FROM lineitem"""
 
-OUTCOMES = ("yes", "no", "cant_tell", "cant_view", "skipped")
-
-
 def ledger(spark, sf_dir) -> DataFrame:
     """Events as a review ledger: item = user, reviewer = event id modulo 5; every seventh event replaces the reviewer's one before on the item."""
     from pyspark.sql import Window
 
     e = table(spark, sf_dir, "events")
-    outcome = F.element_at(F.array(*map(F.lit, OUTCOMES)), (F.length("event_type") % 5).cast("int") + 1)
+    kind = F.col("event_type")
+    outcome = F.when(kind == "view", "yes").when(kind == "click", "no").when(kind == "purchase", "cant_tell").when(kind == "signup", "cant_view").otherwise("skipped")
     rows = e.select("event_id", F.col("user_id").alias("item_id"), (F.col("event_id") % 5).alias("reviewer_id"), outcome.alias("outcome"), F.col("ts").alias("reviewed_at"), F.col("value").alias("confidence"))
     w = Window.partitionBy("item_id", "reviewer_id").orderBy("reviewed_at", "event_id")
     rows = rows.withColumn("review_round", F.row_number().over(w)).withColumn("earlier", F.lag("event_id").over(w))
@@ -76,7 +74,7 @@ def ledger(spark, sf_dir) -> DataFrame:
 
 LEDGER = """SELECT event_id, item_id, reviewer_id, outcome, reviewed_at, confidence, review_round, CASE WHEN event_id % 7 = 0 THEN earlier END AS supersedes_event_id,
  CASE WHEN event_id % 97 = 0 THEN 'adjudication' ELSE 'review' END AS event_type FROM (
- SELECT event_id, user_id AS item_id, event_id % 5 AS reviewer_id, ['yes','no','cant_tell','cant_view','skipped'][CAST(length(event_type) % 5 AS INT) + 1] AS outcome, ts AS reviewed_at, value AS confidence,
+ SELECT event_id, user_id AS item_id, event_id % 5 AS reviewer_id, CASE event_type WHEN 'view' THEN 'yes' WHEN 'click' THEN 'no' WHEN 'purchase' THEN 'cant_tell' WHEN 'signup' THEN 'cant_view' ELSE 'skipped' END AS outcome, ts AS reviewed_at, value AS confidence,
  row_number() OVER w AS review_round, lag(event_id) OVER w AS earlier FROM events WINDOW w AS (PARTITION BY user_id, event_id % 5 ORDER BY ts, event_id))"""
 
 
@@ -95,14 +93,15 @@ POPULATION = """SELECT d.doc_id AS item_id, lang AS stratum, lang || '/' || sour
 def decisions(spark, sf_dir) -> DataFrame:
     """Labelled documents as decision samples: probability from length, margin, truth = quality."""
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    p = F.round((F.col("n_chars") % 1000) / 1000.0, 2)
-    return d.join(lab, "doc_id").select(F.col("doc_id").alias("sample_id"), (F.col("quality") == 1).alias("truth"), F.when(F.col("doc_id") % 29 != 0, p).alias("p"), F.when(F.col("doc_id") % 31 != 0, F.round(p - (F.col("doc_id") % 11) / 20.0, 2)).alias("margin"),
+    hundredths = F.floor((F.col("n_chars") % 1000) / 10)
+    p = hundredths / 100.0
+    return d.join(lab, "doc_id").select(F.col("doc_id").alias("sample_id"), (F.col("quality") == 1).alias("truth"), F.when(F.col("doc_id") % 29 != 0, p).alias("p"), F.when(F.col("doc_id") % 31 != 0, (hundredths - 5 * (F.col("doc_id") % 11)) / 100.0).alias("margin"),
         (1.0 + F.col("doc_id") % 3).alias("weight"), (F.col("doc_id") % 17 != 0).alias("route_ok"), (F.col("toxic") == 1).alias("domain_negative"), (F.col("doc_id") % 23 == 0).alias("out_of_distribution"),
         (F.col("doc_id") % 19 != 0).alias("detail_ok"), (F.col("doc_id") % 13 != 0).alias("coverage_ok"), (F.col("doc_id") % 5 != 0).alias("geo_ok"), F.element_at(F.array(F.lit("fit"), F.lit("test")), (F.col("doc_id") % 2).cast("int") + 1).alias("split"), "lang")
 
 
-DECISIONS = """SELECT d.doc_id AS sample_id, quality = 1 AS truth, CASE WHEN d.doc_id % 29 <> 0 THEN round((n_chars % 1000) / 1000.0, 2) END AS p,
- CASE WHEN d.doc_id % 31 <> 0 THEN round(round((n_chars % 1000) / 1000.0, 2) - (d.doc_id % 11) / 20.0, 2) END AS margin, 1.0 + d.doc_id % 3 AS weight, d.doc_id % 17 <> 0 AS route_ok, toxic = 1 AS domain_negative,
+DECISIONS = """SELECT d.doc_id AS sample_id, quality = 1 AS truth, CASE WHEN d.doc_id % 29 <> 0 THEN floor((n_chars % 1000) / 10) / 100.0 END AS p,
+ CASE WHEN d.doc_id % 31 <> 0 THEN (floor((n_chars % 1000) / 10) - 5 * (d.doc_id % 11)) / 100.0 END AS margin, 1.0 + d.doc_id % 3 AS weight, d.doc_id % 17 <> 0 AS route_ok, toxic = 1 AS domain_negative,
  d.doc_id % 23 = 0 AS out_of_distribution, d.doc_id % 19 <> 0 AS detail_ok, d.doc_id % 13 <> 0 AS coverage_ok, d.doc_id % 5 <> 0 AS geo_ok, ['fit','test'][CAST(d.doc_id % 2 AS INT) + 1] AS split, lang
  FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
