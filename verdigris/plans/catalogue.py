@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.plans import coverage, ledger, replay, scores  # noqa: F401
+from verdigris.plans import coverage, ledger, replay, scores, storage  # noqa: F401
 from verdigris.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
