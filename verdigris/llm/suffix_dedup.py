@@ -307,14 +307,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"), F.hash("text").alias("version"), body.alias("body"))
     found = own.filter(F.length("body") >= length).mapInArrow(_occurrences(length, gram), "anchor long, segment long, key long, version int, first int, last int")
     found = materialize(found)
-    often = found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor")
+    # counts are written before they are joined: an aggregate next to the join would keep its hot keys from being split
+    often = materialize(found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor"))
     repeated = materialize(found.join(often, "anchor"))
     place = F.struct("key", "version", "first", "last")
-    folded = repeated.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("place"))
-    kinds = folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("place.last") - F.col("place.first") + length).alias("bytes"))
+    folded = materialize(repeated.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("place")))
+    kinds = materialize(folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("place.last") - F.col("place.first") + length).alias("bytes")))
     mixed = materialize(folded.join(kinds.filter("kinds > 1"), "anchor").select("anchor", "segment", "n", "place.*", "bytes"))
     parts = F.ceil(F.col("bytes") / SHARD_BYTES).cast("int")
-    sizes = mixed.groupBy("anchor").agg(F.first(parts).alias("parts"), F.first("bytes").alias("bytes"))
+    sizes = kinds.filter("kinds > 1").select("anchor", parts.alias("parts"), "bytes")
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = -(-total // SHARD_BYTES) or 1
     texts = own.join(mixed.drop("bytes"), ["key", "version"]).select("body", "anchor", "segment", "n", "first", "last").mapInArrow(_cut_segments(length), "anchor long, segment long, n long, text binary")
