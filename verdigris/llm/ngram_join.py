@@ -249,7 +249,7 @@ def _sift(num: int, den: int):
 def _cells(members: DataFrame, weight, most: int, keep: list[str]) -> DataFrame:
     """(block, i, j, *keep): blocks over `most` are dealt into parts, and a member goes to each cell of its part with another."""
     sized = members.groupBy("block").agg(F.sum(weight).alias("total"), F.count("*").alias("members")).filter("members > 1")
-    sized = sized.select("block", F.ceil(F.col("total") / most).cast("int").alias("parts"))
+    sized = materialize(sized.select("block", F.ceil(F.col("total") / most).cast("int").alias("parts")))  # written, so that the join can split hot blocks
     dealt = members.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *keep)
