@@ -232,3 +232,9 @@ def identity_set_key(ids: str) -> Column:
     """Aggregate: the only id, null, or the hash of the sorted set."""
     found = F.sort_array(F.collect_set(ids))
     return F.when(F.size(found) == 1, found[0].cast("string")).when(F.size(found) > 1, F.sha2(F.to_json(F.transform(found, lambda x: x.cast("string"))), 256))
+
+
+def ordered_output(df: DataFrame, ranks: dict[str, list[str]], keys: list[str]) -> DataFrame:
+    """A total order in which enum columns follow a given order of values; unknown values come last."""
+    rank = [reduce(lambda acc, iv, c=c: F.when(F.col(c) == iv[1], iv[0]).otherwise(acc), list(enumerate(values)), F.lit(len(values))) for c, values in ranks.items()]
+    return df.orderBy(*rank, *keys)

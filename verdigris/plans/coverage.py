@@ -35,11 +35,7 @@ CELLS = f"""SELECT coalesce(b.continent, c.continent) AS continent, coalesce(b.c
 @query(f"""SELECT *, baseline_items > 0 AND candidate_items = 0 AS baseline_only, baseline_items > 0 AND candidate_items > 0 AS matched, baseline_items = 0 AND candidate_items > 0 AS candidate_only,
  baseline_items = 0 AND supported_items > 0 AS reviewed_additional, baseline_items = 0 AND ready_items > 0 AS ready_additional FROM ({CELLS})""")
 def full_outer_coverage(spark, d):
-    return _cells(spark, d).withColumns(V_flags()).orderBy("cell_id")
-
-
-def V_flags():
-    return C.classify_membership()
+    return _cells(spark, d).withColumns(C.classify_membership()).orderBy("cell_id")
 
 
 @query(f"""SELECT cell_id, count(DISTINCT item_id) AS items, count(DISTINCT CASE WHEN eligible THEN item_id END) AS eligible_items, count(DISTINCT CASE WHEN price > 100000 THEN item_id END) AS large_items,
@@ -359,3 +355,9 @@ def identity_set_key(spark, d):
 @query("SELECT c_nationkey AS cell, CAST(sum(n) AS BIGINT) AS items FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")
 def presummed_counts(spark, d):
     return R.table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").count().groupBy(F.col("c_nationkey").alias("cell")).agg(F.sum("count").alias("items"))
+
+
+@query(f"SELECT cell_id, baseline_items > 0 AND candidate_items = 0 AS baseline_only, baseline_items > 0 AND candidate_items > 0 AS matched, baseline_items = 0 AND candidate_items > 0 AS candidate_only FROM ({CELLS})")
+def classify_membership(spark, d):
+    flags = C.classify_membership()
+    return _cells(spark, d).select("cell_id", *[flags[f].alias(f) for f in ("baseline_only", "matched", "candidate_only")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from verdigris.operators import core as C
 from verdigris.operators import ledger as L
 from verdigris.operators import sampling as S
 from verdigris.plans import roles as R
@@ -230,3 +231,9 @@ def dimension_quality(spark, d):
 @query(f"""SELECT bin, n, round(mp, 6) AS mean_p, round(ob, 6) AS observed, round(abs(mp - ob), 6) AS gap, round(abs(mp - ob) * w / sum(w) OVER (), 6) AS ece_term FROM (SELECT CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, sum(weight)::DOUBLE AS w, sum(weight * p)::DOUBLE / sum(weight) AS mp, sum(CASE WHEN truth THEN weight ELSE 0 END)::DOUBLE / sum(weight) AS ob FROM (SELECT * REPLACE (weight::DOUBLE AS weight, p::DOUBLE AS p) FROM ({R.DECISIONS})) WHERE p IS NOT NULL GROUP BY 1)""")
 def calibration_and_slices(spark, d):
     return S.calibration_bins(R.decisions(spark, d), "p", F.col("truth"), "weight")
+
+
+@query(f"""SELECT item_id, CASE WHEN status IN ('agreement','adjudicated') AND consensus_outcome = 'yes' THEN 'supported' WHEN status IN ('agreement','adjudicated') AND consensus_outcome = 'no' THEN 'rejected' WHEN status IN ('uncertain','disagreement') THEN 'uncertain'
+ WHEN status IN ('media_failure','deferred','pending') THEN status END AS review_state FROM ({CONSENSUS})""")
+def map_review_state(spark, d):
+    return L.project_consensus(R.ledger(spark, d)).select("item_id", C.map_review_state("status", "consensus_outcome").alias("review_state"))

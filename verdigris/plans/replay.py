@@ -206,3 +206,27 @@ def lineage_closure(spark, d):
     pair = lambda a, x, b, y: (F.concat(F.lit(a), x).alias("node"), F.concat(F.lit(b), y).alias("parent"))
     edges = c.select(*pair("c", "c_custkey", "n", "c_nationkey")).unionByName(n.select(*pair("n", "n_nationkey", "r", "n_regionkey")))
     return I.lineage_closure(edges, c.select(F.concat(F.lit("c"), "c_custkey").alias("node")))
+
+
+@query(f"SELECT source, item_id, query_hash, sha256(CAST(item_id AS VARCHAR)) AS feature FROM ({R.QUERY_HITS})")
+def compute_once_fan_back(spark, d):
+    """The costly step runs once per content id; here the id is the item."""
+    return P.fan_back(R.query_hits(spark, d).select("source", "item_id", "query_hash"), ["item_id"], lambda k: k.withColumn("feature", F.sha2(F.col("item_id").cast("string"), 256)))
+
+
+@query("SELECT o_orderkey, 'target' AS kind FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'competitor' FROM orders WHERE o_orderpriority = '1-URGENT'")
+def candidate_union(spark, d):
+    o = R.table(spark, d, "orders")
+    return C.union_by_name(o.filter("o_orderstatus = 'F'").select("o_orderkey", F.lit("target").alias("kind")), o.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("competitor").alias("kind")))
+
+
+@query("SELECT n_nationkey, n_name, 'nation' AS level FROM nation UNION ALL SELECT r_regionkey, r_name, 'region' FROM region")
+def vertical_concat(spark, d):
+    n, r = R.table(spark, d, "nation"), R.table(spark, d, "region")
+    return C.union_by_name(n.select("n_nationkey", "n_name", F.lit("nation").alias("level")), r.select(F.col("r_regionkey").alias("n_nationkey"), F.col("r_name").alias("n_name"), F.lit("region").alias("level")))
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 WHEN '4-NOT SPECIFIED' THEN 3 ELSE 4 END, o_orderkey")
+def ordered_output(spark, d):
+    ranks = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]
+    return C.ordered_output(R.table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), {"o_orderpriority": ranks}, ["o_orderkey"])

@@ -116,3 +116,11 @@ def stream_consensus(spark, d):
         stream.start_consensus(spark, spark.readStream.schema(ledger.schema).parquet(path + "/sent"), path + "/out", path + "/state").awaitTermination()
     return stream.current_consensus(spark, path + "/out").select("item_id", "status", "consensus_outcome", "decisive")
 
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def write_parquet_atomic(spark, d):
+    path = _place(spark)
+    X.write_parquet_atomic(R.table(spark, d, "supplier"), path)
+    X.write_parquet_atomic(R.table(spark, d, "supplier"), path, overwrite=True)
+    return spark.read.parquet(path).select("s_suppkey", "s_name")
