@@ -34,9 +34,9 @@ def record_size() -> Column:
 
 
 def record_key() -> Column:
-    """Text hash, then doc_id with its sign bit flipped, as 32 hexadecimal digits in byte order."""
+    """The text's MD5, then doc_id with its sign bit flipped, as 48 hexadecimal digits in byte order."""
     doc = F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
-    return F.concat(F.lpad(F.hex(F.xxhash64(F.coalesce("text", F.lit("")))), 16, "0"), F.coalesce(F.lpad(F.hex(doc), 16, "0"), F.lit("~")))
+    return F.concat(F.md5(F.coalesce("text", F.lit(""))), F.coalesce(F.lpad(F.hex(doc), 16, "0"), F.lit("~")))
 
 
 def range_column(splitters: list[str], key: str) -> Column:
@@ -106,6 +106,15 @@ def assign_shards(docs: DataFrame, law: str = "bytes", shards: int = SHARDS, car
     return out.select(*names, F.col("v_size").alias("size"), F.col("v_crc").alias("text_crc32"), F.lit(law).alias("law"), "shard", slot.cast("long").alias("slot"), "grown_shard")
 
 
+#: The law `bytes` in SQL: one global order and prefix sums. CRC-32 is spelt out byte by byte.
+ORACLE_SQL = """WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM range(256) r(b)),
+keyed AS (SELECT doc_id, coalesce(text, '') AS text, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents),
+placed AS (SELECT *, sum(size) OVER w - size AS start, row_number() OVER w - 1 AS pos, sum(size) OVER () AS total FROM keyed WINDOW w AS (ORDER BY md5(text), doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING)),
+dealt AS (SELECT *, least(floor((2 * start + size) * 8 / (2 * total)), 7)::INT AS shard FROM placed)
+SELECT doc_id, size::BIGINT AS size, xor(list_reduce(list_transform(range(1, size), lambda i: ('0x' || substr(hex(encode(text)), 2 * i - 1, 2))::BIGINT), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS text_crc32,
+ 'bytes' AS law, shard, (pos - min(pos) OVER (PARTITION BY shard))::BIGINT AS slot, NULL::INT AS grown_shard FROM dealt, crc"""
+
+
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
