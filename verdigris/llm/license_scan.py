@@ -105,6 +105,22 @@ def scan(docs: DataFrame) -> DataFrame:
                          F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def oracle_sql() -> str:
+    """The same votes in SQL, on the words themselves instead of hashes."""
+    phrases = [(f"base{i}", "base", label, p) for i, (p, label) in enumerate(BASE.items())] + [(f"{label}{i}", "method", label, p) for label, ps in TEMPLATES.items() for i, p in enumerate(ps)]
+    values = ", ".join(f"('{t}', '{k}', '{label}', '{p}')" for t, k, label, p in phrases)
+    return rf"""WITH tpl AS (SELECT template, kind, label, len(w) - 2 AS size, i - 1 AS pos, array_to_string(list_slice(w, i, i + 2), ' ') AS gram FROM (SELECT template, kind, label, string_split(phrase, ' ') AS w FROM (VALUES {values}) v(template, kind, label, phrase)), unnest(range(1, len(w) - 1)) r(i)),
+worded AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+hits AS (SELECT doc_id, i - 1 AS place, array_to_string(list_slice(w, i, i + 2), ' ') AS gram FROM worded, unnest(range(1, greatest(len(w) - 1, 1))) r(i)),
+votes AS (SELECT doc_id, template, kind, label, size, place - pos AS diagonal, list(DISTINCT pos) AS voted FROM hits JOIN tpl USING (gram) GROUP BY ALL),
+starts AS (SELECT *, len(voted) = size AS whole, coalesce(CAST(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > {DRIFT} AS INT), 1) AS s FROM votes),
+spans AS (SELECT *, sum(s) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM starts),
+merged AS (SELECT doc_id, template, kind, label, size, len(list_distinct(flatten(list(voted)))) AS n, count(CASE WHEN whole THEN 1 END) AS places, min(CASE WHEN whole THEN diagonal END) AS f, max(CASE WHEN whole THEN diagonal END) AS l FROM spans GROUP BY doc_id, template, kind, label, size, span),
+good AS (SELECT * FROM (SELECT *, CASE WHEN kind <> 'base' THEN n::DOUBLE / size WHEN places > 0 THEN 1.0 END AS share FROM merged) WHERE share >= CASE WHEN size <= {SHORT} THEN 1.0 ELSE {COVERAGE} END),
+found AS (SELECT doc_id, sum(CASE WHEN kind = 'base' THEN places ELSE 0 END) AS n_base, min(CASE WHEN kind = 'base' THEN f END) AS f, max(CASE WHEN kind = 'base' THEN l END) AS l, array_to_string(list_sort(list(DISTINCT label) FILTER (kind = 'base')), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score FROM good GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM worded LEFT JOIN found USING (doc_id)"""
+
+
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 

@@ -116,6 +116,27 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return rows.withColumn("v_copies", copies).filter("v_copies > 0").withColumn("v_copy", F.explode(F.sequence(F.lit(1), F.col("v_copies")))).select(*docs.columns)
 
 
+#: The same by one global pass; blocks, seats and the seeded order are as above.
+ORACLE_SQL = r"""WITH sized AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS total, count(*) AS docs FROM sized GROUP BY 1),
+ranked AS (SELECT *, [3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1] AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rk, 2 * total AS cap FROM totals),
+levels AS (SELECT *, (sum(total) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap::DOUBLE / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev FROM ranked),
+water AS (SELECT *, max(CASE WHEN cap::DOUBLE / weight > lev THEN lev END) OVER () AS wl FROM levels),
+targets AS (SELECT source, total, ceil(docs / 2000.0)::BIGINT AS shards, least(cap::DOUBLE, coalesce(weight * wl, cap::DOUBLE)) AS target FROM water),
+need AS (SELECT CAST(round(sum(target) / 8) AS BIGINT) AS seats, sum(target) AS tot, count(*) AS n FROM targets),
+b1 AS (SELECT source, target, seats, greatest(floor(seats * p - (n * p / 2 + 1)), 0)::BIGINT AS lo, ceil(seats * p + (n * p / 2 + 1))::BIGINT AS hi FROM (SELECT source, target, seats, n, CASE WHEN tot > 0 THEN target / tot ELSE 0 END AS p FROM targets, need)),
+o1 AS (SELECT any_value(seats) - sum(lo) AS open FROM b1),
+c1 AS (SELECT source, lo, target > 0 AND row_number() OVER (ORDER BY target / (2 * j + 1) DESC, source NULLS LAST, j) <= open AS won FROM (SELECT source, target, lo, unnest(range(lo, hi + 1)) AS j FROM b1), o1),
+s1 AS (SELECT source, any_value(lo) + count(CASE WHEN won THEN 1 END) AS mine FROM c1 GROUP BY 1),
+placed AS MATERIALIZED (SELECT z.*, t.total, t.target, CAST('0x' || substr(ord, 1, 8) AS BIGINT) % t.shards AS shard FROM sized z JOIN targets t ON z.source IS NOT DISTINCT FROM t.source),
+sh AS (SELECT p.source, shard, CAST(sum(size) AS BIGINT) AS words, any_value(mine) AS mine FROM placed p JOIN s1 ON p.source IS NOT DISTINCT FROM s1.source GROUP BY 1, 2),
+b2 AS (SELECT *, greatest(floor(mine * p - (n * p / 2 + 1)), 0)::BIGINT AS lo, ceil(mine * p + (n * p / 2 + 1))::BIGINT AS hi FROM (SELECT *, count(*) OVER w AS n, CASE WHEN sum(words) OVER w > 0 THEN words::DOUBLE / sum(words) OVER w ELSE 0 END AS p FROM sh WINDOW w AS (PARTITION BY source))),
+c2 AS (SELECT source, shard, words, lo, words > 0 AND row_number() OVER (PARTITION BY source ORDER BY words::DOUBLE / (2 * j + 1) DESC, shard, j) <= open AS won FROM (SELECT source, shard, words, lo, open, unnest(range(lo, hi + 1)) AS j FROM (SELECT *, mine - sum(lo) OVER (PARTITION BY source) AS open FROM b2))),
+q AS (SELECT source, shard, words, least((any_value(lo) + count(CASE WHEN won THEN 1 END)) * 8, words * 2) AS quota FROM c2 GROUP BY 1, 2, 3),
+runs AS (SELECT p.*, q.words, q.quota, CASE WHEN q.words > 0 THEN q.quota // q.words ELSE 0 END AS passes, sum(size) OVER (PARTITION BY p.source, p.shard ORDER BY ord, size ROWS UNBOUNDED PRECEDING) - size AS start FROM placed p JOIN q ON p.source IS NOT DISTINCT FROM q.source AND p.shard = q.shard)
+SELECT doc_id, CAST(size AS BIGINT) AS size, total AS source_size, target, CAST(passes * size + greatest(0, least(size, quota - passes * words - start)) AS BIGINT) AS taken FROM runs"""
+
+
 def op8_mixture(spark, sf_dir: str) -> DataFrame:
     return take_words(table(spark, sf_dir, "documents"))
 

@@ -434,6 +434,16 @@ def keep_one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: i
     return docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
 
 
+#: Overlaps of all pairs that share a shingle, and labels that settle on the smallest document.
+ORACLE_SQL = r"""WITH RECURSIVE worded AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS MATERIALIZED (SELECT DISTINCT doc_id, md5(array_to_string(list_slice(w, i, i + 3), ' ')) AS g FROM worded, unnest(range(1, greatest(len(w) - 2, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) t(i)),
+sizes AS MATERIALIZED (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN grams USING (doc_id) GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT x, y FROM shared JOIN sizes s ON s.doc_id = x JOIN sizes u ON u.doc_id = y WHERE 100 * o >= 85 * (s.n + u.n - o)),
+label(v, c) USING KEY (v) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT l.y, min(a.c) FROM label a JOIN links l ON l.x = a.v JOIN recurring.label r ON r.v = l.y WHERE a.c < r.c GROUP BY 1)
+SELECT doc_id, n AS n_shingles, c AS component_id FROM sizes JOIN label ON v = doc_id"""
+
+
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from verdigris.llm import license_scan, mixture, ngram_join, sharding
 from verdigris.llm.decontam import op6_decontaminate
 from verdigris.llm.html_extract import op2_html_extract
 from verdigris.llm.license_scan import op4_license_scan
@@ -25,4 +26,10 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
 }
-ORACLES: dict[str, str] = {}
+#: Where SQL can say it; tests hold the others against brute force.
+ORACLES: dict[str, str] = {
+    "op4_license_scan": license_scan.oracle_sql(),
+    "op7_ngram_join": ngram_join.ORACLE_SQL,
+    "op8_mixture": mixture.ORACLE_SQL,
+    "op10_sharding": sharding.ORACLE_SQL,
+}
