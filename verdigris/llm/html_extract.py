@@ -199,6 +199,11 @@ def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) ->
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+#: For pages whose article holds nothing but headings, paragraphs and inline tags, as the given ones.
+ORACLE_SQL = r"""SELECT page_id, url, text, len(text)::BIGINT AS n_chars FROM (SELECT page_id, url, coalesce(array_to_string(list_filter(list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)\b[^>]*>'),
+ lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10) || chr(10)), '') AS text FROM pages)"""
+
+
 def op2_html_extract(spark, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 

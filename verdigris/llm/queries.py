@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from verdigris.llm import license_scan, mixture, ngram_join, sharding
+from verdigris.llm import html_extract, license_scan, mixture, ngram_join, sharding, suffix_dedup
 from verdigris.llm.decontam import op6_decontaminate
 from verdigris.llm.html_extract import op2_html_extract
 from verdigris.llm.license_scan import op4_license_scan
@@ -28,6 +28,8 @@ QUERIES = {
 }
 #: Where SQL can say it; tests hold the others against brute force.
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op2_html_extract": html_extract.ORACLE_SQL,
     "op4_license_scan": license_scan.oracle_sql(),
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op8_mixture": mixture.ORACLE_SQL,

@@ -336,6 +336,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+#: Every window by its hash, then runs of repeated starts and the bytes between them.
+ORACLE_SQL = """WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(b[i:i + 199]) AS h FROM d, unnest(range(1, octet_length(b) - 198)) t(i)),
+again AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+runs AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CAST(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200 AS INT) AS fresh FROM again)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 199 AS z FROM runs GROUP BY doc_id, coalesce(run, 0)),
+pieces AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT doc_id, count(*) AS n, sum(z - a + 1) AS gone, max(z) AS last, string_agg(CASE WHEN a > before + 1 THEN hex(b[before + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS head FROM pieces JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head, '') || CASE WHEN octet_length(b) > coalesce(last, 0) THEN hex(b[coalesce(last, 0) + 1:octet_length(b)]) ELSE '' END)) AS kept_sha256 FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
