@@ -394,6 +394,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("v", F.col("label").alias("component"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows (gram, n) with the highest counts, as many whole levels of n as stay within `most` rows. A histogram finds the level; nothing is sorted."""
+    level = F.floor(F.log2("n") * 16)
+    kept, cut = 0, None
+    for row in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r.level):  # at most 16 * 63 levels
+        kept += row.rows
+        if kept > most:
+            break
+        cut = row.level
+    return counts.filter(level >= cut) if cut is not None else counts.limit(0)
+
+
 def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of similarity num / den or more."""
     spark = docs.sparkSession
@@ -402,7 +414,8 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     summary = materialize(body.mapInArrow(_summaries(width), "doc_id long, n int, sig binary, sketch binary, grams array<long>, counts array<long>"))
     rows = summary.filter("sig is not null").select("doc_id", "n", "sig")
     often = summary.filter("sig is null").select(F.explode(F.arrays_zip("grams", "counts")).alias("g")).groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.counts").alias("n"))
-    top = often.orderBy(F.desc("n"), "gram").limit(HEAVY_KEPT).collect()  # bounded: only orders the grams
+    top = most_frequent(materialize(often), HEAVY_KEPT).collect()  # bounded: only orders the grams
+    top.sort(key=lambda r: (-r.n, r.gram))
     known = np.array([r.gram for r in top], np.int64).view(np.uint64)
     by_value = np.argsort(known)
     rank = (len(known) - np.arange(len(known)))[by_value]
