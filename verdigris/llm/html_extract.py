@@ -7,7 +7,7 @@ negative, with weights counted on labelled pages: those with exactly one article
 element, whose inside is content. One linear scan finds the contiguous region
 with the highest sum; its blocks are the text.
 
-Weights come from at most `sample_pages` pages of at most `sample_chars`
+Weights come from about `sample_pages` pages of at most `sample_chars`
 characters; all pages are then read whole by Spark tasks. Null and empty pages,
 and pages without words, give an empty text. Broken markup never fails: an
 unclosed container ends at the next article or main, or with the page. Repeated
@@ -178,9 +178,11 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 
 def fit_weights(pages: DataFrame, sample_pages: int = 300, sample_chars: int = 200_000) -> dict[str, float]:
-    """Weights from a bounded sample of pages, the least by hash."""
+    """Weights from about sample_pages pages, those with the least hashes, and never more than twice as many."""
     rows = pages.filter(F.length("html") <= sample_chars).filter(F.col("html").contains("<article"))
-    return learn_weights([r.html for r in rows.select("html").orderBy(F.xxhash64("html"), "html").limit(sample_pages).collect()])
+    share = sample_pages / max(1, pages.count())
+    place = F.shiftrightunsigned(F.xxhash64("html"), 11) / float(1 << 53)
+    return learn_weights(sorted(r.html for r in rows.select("html").filter(place < share).limit(2 * sample_pages).collect()))
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
