@@ -43,6 +43,7 @@ HEAVY_KEPT = 100_000
 CELL_GRAMS = 1_000_000
 CELL_ROWS = 3_000
 SKETCH = 256
+FULL = 65_535
 LOG_STEPS = 4_000
 
 
@@ -72,7 +73,8 @@ def _summaries(width: int):
                 sig = xxhash.xxh3_128_digest(grams.tobytes())
                 sizes.append(len(grams))
                 sigs.append(sig)
-                sketches.append(np.bincount((grams >> np.uint64(12)).astype(np.int64) % SKETCH, minlength=SKETCH).astype(np.uint16).tobytes())
+                filled = np.bincount((grams >> np.uint64(12)).astype(np.int64) % SKETCH, minlength=SKETCH)
+                sketches.append(np.minimum(filled, FULL).astype(np.uint16).tobytes())
                 if sig not in seen:
                     seen.add(sig)
                     pending.append(grams)
@@ -200,6 +202,7 @@ def possible_members(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int
     """Which rows could, by size and sketch, be alike to another row."""
     order = np.argsort(sizes, kind="stable")
     n, sk = sizes[order].astype(np.int64), sketches[order].astype(np.int32)
+    sk[sk == FULL] = 1 << 30  # a full bucket may hold any number
     found = np.zeros(len(n), bool)
     for i in range(len(n) - 1):
         end = int(np.searchsorted(n, n[i] * den // num, side="right"))
