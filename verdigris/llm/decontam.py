@@ -12,9 +12,10 @@ LONG_RUN words.
 
 Items with fewer than WINDOW words take one window of their own length, if they
 have LITERALS words at least; shorter ones can't be found. Null and empty texts
-hold nothing. Documents count by doc_id and text, so repeated rows are one. An
-empty documents or benchmark table gives no rows. Only doc_id and text, item_id
-and text are read.
+hold nothing. Documents count by doc_id and text, so repeated rows are one; a null
+doc_id is an id like others, items without item_id are left out. An empty
+documents or benchmark table gives no rows. Only doc_id and text, item_id and text
+are read.
 """
 
 from __future__ import annotations
@@ -78,11 +79,11 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     return items, materialize(windows)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage, n_slots, kind) for each document and item that it holds."""
+def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, version, item, n_item, n, n_slots, changed) for each version of a document and item that it holds."""
     items, windows = benchmark_windows(benchmark)
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1 values
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("version"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     words = own.select("doc_id", "version", _words(template(raw_words(F.col("text")))).alias("words"))
     bench = _bounded(windows)
     hits = None
@@ -93,7 +94,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = hits.groupBy("doc_id", "version", "item", "diagonal").agg(F.collect_set(F.struct("at", "width")).alias("starts"))
     covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1))))
     runs = materialize(runs.withColumn("covered", covered).drop("starts"))
-    held = own.join(_bounded(runs), ["doc_id", "version"]).join(_bounded(items), "item")
+    runs = runs.withColumnRenamed("doc_id", "r_doc").withColumnRenamed("version", "r_version")
+    held = own.join(_bounded(runs), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("version") == F.col("r_version"))).join(_bounded(items), "item")
     part = [F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item_raw")]
     held = held.withColumn("raw", raw_words(F.col("text"))).drop("text")
     held = held.withColumn("doc_raw", F.slice(_words(F.col("raw")), *part)).withColumn("doc_tpl", F.slice(_words(template(F.col("raw"))), *part)).drop("raw")
@@ -106,15 +108,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     changed = F.exists("slots", lambda p: F.get("item_raw", p) != F.get("doc_raw", p - skip))
     judged = judged.filter("n_pairs = n_distinct").select("doc_id", "version", "item", "covered", F.size("slots").alias("slots"), changed.alias("changed"), F.size("item_tpl").alias("n_item"))
     total = judged.groupBy("doc_id", "version", "item", "n_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.max("slots").alias("n_slots"), F.max("changed").alias("changed"))
-    leaks = total.filter((F.col("n") >= COVERAGE * F.col("n_item")) | (F.col("n") >= LONG_RUN))
+    return total.filter((F.col("n") >= COVERAGE * F.col("n_item")) | (F.col("n") >= LONG_RUN))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, coverage, n_slots, kind) for each document and item that it holds."""
+    leaks = held_items(docs, benchmark)
     kind = F.when(F.max("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim"))
     return leaks.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max(F.col("n") / F.col("n_item")).alias("coverage"), F.max("n_slots").alias("n_slots"), kind.alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item; columns stay."""
-    held = materialize(find_leaks(docs, benchmark).select(F.col("doc_id").alias("v_leak")).filter("v_leak is not null").distinct())
-    return docs.join(_bounded(held), F.col("doc_id") == F.col("v_leak"), "left_anti")
+    """Documents that hold no benchmark item; columns stay. Rows go by doc_id and text, so another text under the same or no id stays."""
+    held = materialize(held_items(docs, benchmark).select(F.col("doc_id").alias("v_leak"), F.col("version").alias("v_version")).distinct())
+    return docs.join(_bounded(held), docs["doc_id"].eqNullSafe(F.col("v_leak")) & (F.xxhash64(docs["text"].cast("string")) == F.col("v_version")), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
