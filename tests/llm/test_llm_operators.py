@@ -233,6 +233,9 @@ def test_reparameterised_questions_and_consistency(spark, docs, empty):
     assert decontam.find_leaks(empty, bench).count() == 0
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
     assert decontam.drop_leaks(docs, bench).count() == len(edge_rows())
+    unnamed = spark.createDataFrame([(None, texts[6], 1), (None, texts[7], 2), (None, None, 3), (7, texts[6], 4), (7, texts[7], 5)], "doc_id long, text string, v int")
+    assert sorted(r.v for r in decontam.drop_leaks(unnamed, bench).collect()) == [2, 3, 5]
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(unnamed, bench).collect()} == {(None, 5), (7, 5)}
 
 
 # 7 n-gram join
@@ -273,6 +276,17 @@ def test_components_on_edge_cases(docs, empty):
     assert ngram_join.keep_one_per_component(docs).columns == docs.columns
 
 
+def test_one_document_of_each_group_stays(spark, docs, empty):
+    base = prose(120, 1)
+    kept = ngram_join.keep_one_per_component(docs).collect()
+    assert len([r for r in kept if r.text and r.text.lower() == base]) == 1  # a repeated row, copies, and one without doc_id
+    assert sorted((key(r.doc_id) for r in kept if not (r.text or "").strip())) == sorted(key(r[0]) for r in edge_rows() if not (r[1] or "").strip())
+    rows = [(None, prose(40, 60), 1), (None, prose(40, 60), 2), (None, prose(40, 61), 3), (5, prose(40, 62), 4), (5, prose(40, 62), 5), (None, None, 6), (None, "", 7), (8, prose(40, 63), 8), (None, prose(40, 63), 9)]
+    left = [r.v for r in ngram_join.keep_one_per_component(spark.createDataFrame(rows, "doc_id long, text string, v int")).collect()]
+    assert len(left) == 6 and {3, 6, 7, 8} <= set(left) and len({1, 2} & set(left)) == 1 and len({4, 5} & set(left)) == 1
+    assert ngram_join.keep_one_per_component(empty).count() == 0
+
+
 @pytest.mark.parametrize("cells", [1_000_000, 600])
 def test_components_of_families(spark, monkeypatch, cells):
     monkeypatch.setattr(ngram_join, "CELL_GRAMS", cells)

@@ -23,7 +23,8 @@
 
 Nothing is capped or sampled. Hashes have 64 bits; a pair is judged on the
 hashes of its own two sets. Null and empty texts have an empty set and link with
-nothing. Repeated rows share a class. Only doc_id and text are read.
+nothing. Repeated rows share a class. A row without doc_id gets its group's
+smallest id, or null if none of the group has one. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -445,9 +446,23 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
 
 
 def keep_one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """Documents without near copies of a smaller doc_id; all columns stay."""
-    kept = similar_components(docs, width, num, den).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    """One document of each group, the one with the smallest doc_id; all columns stay.
+
+    Rows without doc_id take a number above all others, from their text, so they
+    stay unless a copy has an id. Rows with equal doc_id and text are copies too.
+    Texts without words link with nothing, and all of them stay.
+    """
+    unnamed = F.xxhash64(F.lit("unnamed"), "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn("v_key", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("v_version", F.xxhash64("text"))
+    found = similar_components(keyed.select(F.col("v_key").alias("doc_id"), "text"), width, num, den)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("v_key")).distinct()
+    worded = keyed.filter(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
+    again = materialize(worded.groupBy("v_key", "v_version").count().filter("count > 1").drop("count"))
+    alone = keyed.join(kept, "v_key", "left_semi")
+    if not again.isEmpty():
+        repeated = alone.join(again, ["v_key", "v_version"], "left_semi").dropDuplicates(["v_key", "v_version"])
+        alone = alone.join(again, ["v_key", "v_version"], "left_anti").unionByName(repeated)
+    return alone.select(*docs.columns)
 
 
 #: Overlaps of all pairs that share a shingle, and labels that settle on the smallest document.
