@@ -18,7 +18,11 @@
    against it: partial overlaps are shared along a path, and a subtree is left
    once its remaining lengths can't reach the required overlap. Blocks with many
    rows are split into cells that cover every pair of their parts.
-6. Each cell returns a spanning forest of its links; min-label rounds with
+6. All members of a block share a gram with its smallest set, the pivot. In blocks
+   over a cell, members are first judged against a pivot alone. Those that these
+   links join to their block's pivot need no judging among each other, so they only
+   meet the rest: a large family of near copies costs linear work.
+7. Each cell returns a spanning forest of its links; min-label rounds with
    pointer jumping over written tables give the components.
 
 Nothing is capped or sampled. Hashes have 64 bits; a pair is judged on the
@@ -199,11 +203,12 @@ def _blocks(num: int, den: int):
     return run
 
 
-def possible_members(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which rows could, by size and sketch, be alike to another row."""
+def possible_members(sizes: np.ndarray, sketches: np.ndarray, joined: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which rows could, by size and sketch, be alike to another row; two joined rows needn't be."""
     order = np.argsort(sizes, kind="stable")
     n, sk = sizes[order].astype(np.int64), sketches[order].astype(np.int32)
     sk[sk == FULL] = 1 << 30  # a full bucket may hold any number
+    free = ~joined[order]
     found = np.zeros(len(n), bool)
     for i in range(len(n) - 1):
         end = int(np.searchsorted(n, n[i] * den // num, side="right"))
@@ -211,6 +216,8 @@ def possible_members(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int
             for lo in range(i + 1, end, 512):
                 hi = min(end, lo + 512)
                 fits = (num + den) * np.minimum(sk[i], sk[lo:hi]).sum(1) >= num * (n[i] + n[lo:hi])
+                if not free[i]:
+                    fits &= free[lo:hi]
                 if fits.any():
                     found[i] = True
                     found[lo:hi] |= fits
@@ -220,30 +227,32 @@ def possible_members(sizes: np.ndarray, sketches: np.ndarray, num: int, den: int
 
 
 def _sift(num: int, den: int):
-    """Batches sorted by block and cell to the (block, rep, n) that a sketch leaves possible."""
+    """Batches sorted by block and cell to the (block, rep, n, joined) that a sketch leaves possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, reps, sizes, sketches, out = None, [], [], [], []
+        key, reps, sizes, sketches, joins, out = None, [], [], [], [], []
 
         def close():
             if len(reps) > 1:
-                keep = possible_members(np.array(sizes), np.stack([np.frombuffer(x, np.uint16) for x in sketches]), num, den)
-                out.extend((key[0], reps[k], sizes[k]) for k in np.flatnonzero(keep))
+                keep = possible_members(np.array(sizes), np.stack([np.frombuffer(x, np.uint16) for x in sketches]), np.array(joins), num, den)
+                out.extend((key[0], reps[k], sizes[k], joins[k]) for k in np.flatnonzero(keep))
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], ["block", "rep", "n"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["block", "rep", "n", "joined"])
 
         for batch in batches:
-            for block, i, j, rep, n, sketch in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j", "rep", "n", "sketch"))):
+            for block, i, j, rep, n, joined, sketch in zip(*(batch.column(c).to_pylist() for c in ("block", "i", "j", "rep", "n", "joined", "sketch"))):
                 if (block, i, j) != key:
                     close()
-                    key, reps, sizes, sketches = (block, i, j), [], [], []
+                    key, reps, sizes, sketches, joins = (block, i, j), [], [], [], []
                     if len(out) > 50_000:
                         yield flush()
                         out = []
                 reps.append(rep)
                 sizes.append(n)
                 sketches.append(sketch)
+                joins.append(joined)
         close()
         yield flush()
 
@@ -251,11 +260,20 @@ def _sift(num: int, den: int):
 
 
 def _cells(members: DataFrame, weight, most: int, keep: list[str]) -> DataFrame:
-    """(block, i, j, *keep): blocks over `most` are dealt into parts, and a member goes to each cell of its part with another."""
-    sized = members.groupBy("block").agg(F.sum(weight).alias("total"), F.count("*").alias("members")).filter("members > 1")
-    sized = materialize(sized.select("block", F.ceil(F.col("total") / most).cast("int").alias("parts")))  # written, so that the join can split hot blocks
-    dealt = members.join(sized, "block").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    """(block, i, j, *keep): blocks over `most` are dealt into parts, and a member goes to each cell of its part with another.
+
+    Joined members get parts of their own after the others', and no cells among these. A block of joined members has none.
+    """
+    free = F.when(~F.col("joined"), weight).otherwise(0)
+    sized = members.groupBy("block").agg(F.sum(free).alias("free"), F.sum(weight).alias("total"), F.count("*").alias("members")).filter("members > 1 and free > 0")
+    one = F.col("total") <= most
+    sized = sized.select("block", F.when(one, 1).otherwise(F.ceil(F.col("free") / most)).cast("int").alias("parts"), F.when(one, 0).otherwise(F.ceil((F.col("total") - F.col("free")) / most)).cast("int").alias("more"))
+    sized = materialize(sized)  # written, so that the join can split hot blocks
+    apart = F.col("joined") & (F.col("more") > 0)
+    hashed = F.xxhash64("rep")
+    part = F.when(apart, F.col("parts") + F.pmod(hashed, F.greatest("more", F.lit(1)))).otherwise(F.pmod(hashed, F.col("parts")))
+    others = F.when(apart, F.col("parts")).otherwise(F.col("parts") + F.col("more"))
+    dealt = members.join(sized, "block").withColumn("part", part.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
     return dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), *keep)
 
 
@@ -269,6 +287,56 @@ def _full_sets(width: int):
     return run
 
 
+def _sets_of(body: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(rep, body): the whole sets of the wanted reps."""
+    found = body.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, sig binary, body binary")
+    own = classes.select(F.col("rep").alias("doc_id"), "sig")
+    return found.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "body")
+
+
+def _pivot_links(num: int, den: int):
+    """Batches sorted by block and part, the pivot first, to the links (a, b) of members with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pivot, first = None, None, None
+        for batch in batches:
+            links = []
+            for block, part, rep, body in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "rep", "body"))):
+                grams = np.frombuffer(body, np.uint64)
+                if (block, part) != key:
+                    key, pivot, first = (block, part), rep, grams
+                elif rep != pivot:
+                    at = np.minimum(np.searchsorted(first, grams), len(first) - 1)
+                    if (num + den) * int((first[at] == grams).sum()) >= num * (len(first) + len(grams)):
+                        links.append((rep, pivot))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
+
+    return run
+
+
+def join_to_pivots(blocks: DataFrame, classes: DataFrame, body: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
+    """(block, rep, n, joined) for all members, and the links found on the way, if there are blocks over CELL_ROWS."""
+    members = blocks.join(classes.select("member", "rep", "n"), "member")
+    parts = F.ceil(F.col("count") / CELL_ROWS).cast("int")
+    large = materialize(blocks.groupBy("block").count().filter(F.col("count") > CELL_ROWS).select("block", parts.alias("parts")))
+    if large.isEmpty():
+        return members.select("block", "rep", "n", F.lit(False).alias("joined")), None
+    pivots = large.join(classes.select(F.col("member").alias("block"), F.col("rep").alias("pivot")), "block")
+    chosen = materialize(blocks.join(large.select("block"), "block").groupBy("member").agg(F.min("block").alias("block")))  # one pivot for each member
+    mine = chosen.join(large, "block").join(classes.select("member", "rep"), "member")
+    mine = mine.select("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "rep")
+    heads = pivots.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("rep"))
+    faced = materialize(mine.unionByName(heads))
+    buckets = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = faced.join(_sets_of(body, classes, faced, width), "rep").repartition(buckets, "block", "part").sortWithinPartitions("block", "part", "role", "rep")
+    links = materialize(dealt.select("block", "part", "rep", "body").mapInArrow(_pivot_links(num, den), "a long, b long"))
+    labels = components(links)
+    hubs = pivots.join(labels.withColumnRenamed("v", "pivot"), "pivot", "left").select("block", F.coalesce("component", "pivot").alias("hub"))
+    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(materialize(hubs), "block", "left")
+    joined = F.coalesce(F.coalesce("component", "rep") == F.col("hub"), F.lit(False))
+    return materialize(named.select("block", "rep", "n", joined.alias("joined"))), links
+
+
 class Trie:
     """Sets as sorted id sequences in a path-compressed trie, laid out level by level."""
 
@@ -430,17 +498,14 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     first_long = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
     sketched = summary.filter("sig is not null and n > 0 and doc_id is not null")
     classes = materialize(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("member", first_long))
-    members = blocks.join(classes.select("member", "rep", "n"), "member")
-    sifted = _cells(members, F.lit(1), CELL_ROWS, ["rep"]).join(classes.select("rep", "n", "sketch"), "rep")
-    sifted = sifted.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_sift(num, den), "block long, rep long, n long")
+    members, first_links = join_to_pivots(blocks, classes, body, width, num, den)
+    sifted = _cells(members, F.lit(1), CELL_ROWS, ["rep", "joined"]).join(classes.select("rep", "n", "sketch"), "rep")
+    sifted = sifted.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_sift(num, den), "block long, rep long, n long, joined boolean")
     possible = materialize(sifted.distinct())
-    wanted = possible.select(F.col("rep").alias("doc_id")).distinct()
-    found = body.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, sig binary, body binary")
-    own = classes.select(F.col("rep").alias("doc_id"), "sig")
-    sets = materialize(found.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "body"))
+    sets = materialize(_sets_of(body, classes, possible, width))
     filled = _cells(possible, F.col("n"), CELL_GRAMS, ["rep"]).join(sets, "rep")
     links = filled.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_cell_links(num, den), "a long, b long")
-    merged = components(links)
+    merged = components(links if first_links is None else links.unionByName(first_links))
     named = classes.join(merged.withColumnRenamed("v", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return rows.join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
