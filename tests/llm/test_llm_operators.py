@@ -238,6 +238,17 @@ def test_reparameterised_questions_and_consistency(spark, docs, empty):
     assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(unnamed, bench).collect()} == {(None, 5), (7, 5)}
 
 
+def test_items_dense_in_numbers_or_names(spark):
+    names = "Which Of The Following Statements About Photosynthesis Is Correct"
+    sums = "Add 3 apples, 14 pears, 15 plums and 92 nuts, 65 figs, 35 dates, 89 limes, 79 kiwis, 32 beans, 38 peas, 46 leeks"
+    bench = [(1, "What is 17 plus 25?"), (2, names), (3, "Anna Bob Carla 7"), (4, "Take 5 of the old red boxes and add 6 7 8 9 10 11 12 13 14 15 16 17")]
+    bench = spark.createDataFrame([*bench, (5, sums)], "item_id int, text string")
+    texts = {1: "now tell me: What is 17 plus 25? thanks", 2: "and Then What is 17 plus 25", 3: f"so we ask {names} here", 4: "we met Anna, Bob, Carla 7 times", 5: "well 21 Take 9 of the old red boxes and add 31 32 33 34 35 36 37 38 39 40 41 42 done",
+             6: "Six Other Names That Have Nothing To Do With It Stand Here", 7: "the old red boxes and add 1", 8: f"x {sums} y", 9: "Take 5 of the old red boxes and add 6 7 8 9 10 11 and then other words " + names.split()[0]}
+    out = {(r.doc_id, r.item_id): r.kind for r in decontam.find_leaks(spark.createDataFrame(list(texts.items()), "doc_id int, text string"), bench).collect()}
+    assert out == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 2): "verbatim", (4, 3): "verbatim", (5, 4): "reparameterised", (8, 5): "verbatim", (9, 4): "verbatim"}
+
+
 # 7 n-gram join
 
 

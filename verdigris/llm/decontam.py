@@ -2,16 +2,20 @@
 
 A text becomes words: lower-cased, split at everything but letters and digits.
 In its template, numbers, names (capitalised words in the middle of a sentence)
-and units after numbers are typed placeholders. Windows of WINDOW template words
-with at least LITERALS plain ones are hashed; the benchmark's windows are joined
-to the documents' by hash. On each diagonal (document position minus item
-position) the fillers of the slots are compared: a filler of the item must always
-stand for the same filler of the document. A document holds an item when the
-positions that consistent diagonals cover reach COVERAGE of the item's words, or
-LONG_RUN words.
+and units after numbers are typed placeholders. All windows of WINDOW words of the
+benchmark are joined to the documents' by the hash of their words, and those with
+at least LITERALS plain words by the hash of their template too. Each hit gives a
+diagonal (document position minus item position), along which all words are
+compared. A stretch is a run of at least one window's width whose words are equal
+in the template or as they are. Its fillers are compared: a filler of the item must
+always stand for the same filler of the document. Of a stretch in conflict only the
+runs that are equal word by word count. A document holds an item when the positions
+that its stretches cover reach COVERAGE of the item's words, or LONG_RUN words.
 
 Items with fewer than WINDOW words take one window of their own length, if they
-have LITERALS words at least; shorter ones can't be found. Null and empty texts
+have LITERALS words at least; shorter ones can't be found. Copies with other fillers
+are found by a window with LITERALS plain words; items without any are found as
+exact copies only. Null and empty texts
 hold nothing. Documents count by doc_id and text, so repeated rows are one; a null
 doc_id is an id like others, items without item_id are left out. An empty
 documents or benchmark table gives no rows. Only doc_id and text, item_id and text
@@ -36,7 +40,8 @@ MARK = "\ue000"
 
 def raw_words(text: Column) -> Column:
     """Lower-case words; names carry a mark."""
-    named = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", MARK)
+    own = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(" "))
+    named = F.regexp_replace(own, r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", MARK)
     joined = F.regexp_replace(F.lower(named), r"(?<=\d)[.,](?=\d)", "")
     return F.trim(F.regexp_replace(joined, r"[^\p{L}\p{N}" + MARK + "]+", " "))
 
@@ -52,14 +57,16 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def _windows(words: Column, width: Column | int) -> Column:
-    """Hashes of all windows, from position 0."""
-    n = F.size(words) - F.lit(width) + 1
-    return F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice(words, i, F.lit(width))))
+def _unmarked(raw: Column) -> Column:
+    return F.replace(raw, F.lit(MARK), F.lit(""))
+
+
+def _slot(word: Column) -> Column:
+    return word.isin("<n>", "<d>", "<u>")
 
 
 def _plain(words: Column) -> Column:
-    return F.size(F.filter(words, lambda w: ~w.isin("<n>", "<d>", "<u>")))
+    return F.size(F.filter(words, lambda w: ~_slot(w)))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -67,47 +74,70 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def _keys(df: DataFrame, tpl: str, raw: str, width: Column | int, *columns: str) -> DataFrame:
+    """(columns, place, part, h) of all windows: hashes of the template and of the words, once where both are equal."""
+    width = F.lit(width) if isinstance(width, int) else width
+    at = df.filter(F.size(tpl) >= width).select("*", F.explode(F.sequence(F.lit(1), F.size(tpl) - width + 1)).alias("i"))
+    part, own = F.slice(tpl, F.col("i"), width), F.slice(raw, F.col("i"), width)
+    both = at.select(*columns, (F.col("i") - 1).alias("place"), part.alias("part"), F.xxhash64(part).alias("h_tpl"), F.xxhash64(own).alias("h_raw"))
+    keys = F.when(F.col("h_tpl") == F.col("h_raw"), F.array("h_raw")).otherwise(F.array("h_raw", "h_tpl"))
+    return both.select(*columns, "place", "part", "h_raw", F.explode(keys).alias("h"))
+
+
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items with their words, windows with hash, item and position)."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").alias("item"), raw_words(F.col("text").cast("string")).alias("raw")).distinct()
-    items = items.withColumn("item_raw", _words(F.col("raw"))).withColumn("item_tpl", _words(template(F.col("raw")))).drop("raw")
-    items = materialize(items.filter(F.size("item_tpl") >= LITERALS))
-    width = F.least(F.lit(WINDOW), F.size("item_tpl"))
-    windows = items.select("item", "item_tpl", width.alias("width"), F.posexplode(F.sequence(F.lit(1), F.size("item_tpl") - width + 1)).alias("at", "i"))
-    part = F.slice("item_tpl", F.col("i"), F.col("width"))
-    windows = windows.filter(_plain(part) >= LITERALS).select("item", "at", "width", F.xxhash64(part).alias("h"))
+    items = items.withColumn("item_raw", _words(_unmarked(F.col("raw")))).withColumn("item_tpl", _words(template(F.col("raw")))).drop("raw")
+    items = materialize(items.filter(F.size("item_tpl") >= LITERALS).withColumn("width", F.least(F.lit(WINDOW), F.size("item_tpl"))))
+    windows = _keys(items, "item_tpl", "item_raw", F.col("width"), "item", "width")
+    windows = windows.filter((F.col("h") == F.col("h_raw")) | (_plain(F.col("part")) >= LITERALS)).select("item", F.col("place").alias("at"), "width", "h")
     return items, materialize(windows)
 
 
+def _covered(equal: Column, width: Column) -> Column:
+    """Positions, in order, of the runs of at least width equal words; equal is a string of a 1 or 0 for each word."""
+    starts = F.filter(F.sequence(F.lit(0), F.length(equal) - width), lambda i: F.substr(equal, i + 1, width) == F.repeat(F.lit("1"), width))
+    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + width - 1))))
+
+
 def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, version, item, n_item, n, n_slots, changed) for each version of a document and item that it holds."""
     items, windows = benchmark_windows(benchmark)
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1 values
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
-    words = own.select("doc_id", "version", _words(template(raw_words(F.col("text")))).alias("words"))
+    words = own.select("doc_id", "version", raw_words(F.col("text")).alias("raw"))
+    words = words.select("doc_id", "version", _words(template(F.col("raw"))).alias("tpl"), _words(_unmarked(F.col("raw"))).alias("raw"))
     bench = _bounded(windows)
     hits = None
     for width in widths or [WINDOW]:
-        at = words.select("doc_id", "version", F.posexplode(_windows(F.col("words"), width)).alias("place", "h"))
-        found = at.join(bench.filter(F.col("width") == width), "h").select("doc_id", "version", "item", "at", (F.col("place") - F.col("at")).alias("diagonal"), "width")
+        at = _keys(words, "tpl", "raw", width, "doc_id", "version").select("doc_id", "version", "place", "h")
+        found = at.join(bench.filter(F.col("width") == width), "h").select("doc_id", "version", "item", (F.col("place") - F.col("at")).alias("diagonal"))
         hits = found if hits is None else hits.unionByName(found)
-    runs = hits.groupBy("doc_id", "version", "item", "diagonal").agg(F.collect_set(F.struct("at", "width")).alias("starts"))
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["at"], s["at"] + s["width"] - 1))))
-    runs = materialize(runs.withColumn("covered", covered).drop("starts"))
+    runs = materialize(hits.distinct())
     runs = runs.withColumnRenamed("doc_id", "r_doc").withColumnRenamed("version", "r_version")
     held = own.join(_bounded(runs), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("version") == F.col("r_version"))).join(_bounded(items), "item")
     part = [F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item_raw")]
     held = held.withColumn("raw", raw_words(F.col("text"))).drop("text")
-    held = held.withColumn("doc_raw", F.slice(_words(F.col("raw")), *part)).withColumn("doc_tpl", F.slice(_words(template(F.col("raw"))), *part)).drop("raw")
+    held = held.withColumn("doc_raw", F.slice(_words(_unmarked(F.col("raw"))), *part)).withColumn("doc_tpl", F.slice(_words(template(F.col("raw"))), *part)).drop("raw")
     skip = F.greatest(-F.col("diagonal"), F.lit(0))
     everywhere = F.sequence(F.lit(0), F.size("item_tpl") - 1)
-    slots = F.filter(everywhere, lambda p: F.get("item_tpl", p).isin("<n>", "<d>", "<u>") & F.coalesce(F.get("item_tpl", p) == F.get("doc_tpl", p - skip), F.lit(False)))
+    same = lambda a, b, p: F.coalesce((p >= skip) & (F.get(a, p) == F.get(b, p - skip)), F.lit(False))
+    bits = lambda test: F.array_join(F.transform(everywhere, lambda p: F.when(test(p), "1").otherwise("0")), "")
+    held = held.withColumn("exact", bits(lambda p: same("item_raw", "doc_raw", p))).withColumn("alike", bits(lambda p: same("item_raw", "doc_raw", p) | same("item_tpl", "doc_tpl", p)))
+    held = held.withColumn("exact", _covered(F.col("exact"), F.col("width"))).withColumn("alike", _covered(F.col("alike"), F.col("width")))
+    first = F.transform("alike", lambda p, i: p - i)  # the same all along a stretch
+    held = held.withColumn("first", first).withColumn("stretch", F.explode(F.array_distinct("first")))
+    held = held.withColumn("covered", F.filter("alike", lambda p, i: F.get("first", i) == F.col("stretch")))
+    slots = lambda covered: F.filter(covered, lambda p: _slot(F.get("item_tpl", p)))
+    held = held.withColumn("slots", slots("covered"))
     fillers = F.transform("slots", lambda p: F.get("item_raw", p))
     pairs = F.transform("slots", lambda p: F.concat_ws("\n", F.get("item_raw", p), F.get("doc_raw", p - skip)))
-    judged = held.withColumn("slots", slots).withColumn("n_distinct", F.size(F.array_distinct(fillers))).withColumn("n_pairs", F.size(F.array_distinct(pairs)))
+    consistent = F.size(F.array_distinct(fillers)) == F.size(F.array_distinct(pairs))
+    held = held.withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.array_intersect("covered", "exact"))).withColumn("slots", slots("covered"))
     changed = F.exists("slots", lambda p: F.get("item_raw", p) != F.get("doc_raw", p - skip))
-    judged = judged.filter("n_pairs = n_distinct").select("doc_id", "version", "item", "covered", F.size("slots").alias("slots"), changed.alias("changed"), F.size("item_tpl").alias("n_item"))
-    total = judged.groupBy("doc_id", "version", "item", "n_item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("n"), F.max("slots").alias("n_slots"), F.max("changed").alias("changed"))
+    judged = held.select("doc_id", "version", "item", "covered", "slots", changed.alias("changed"), F.size("item_tpl").alias("n_item"))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    total = judged.groupBy("doc_id", "version", "item", "n_item").agg(union("covered").alias("n"), union("slots").alias("n_slots"), F.max("changed").alias("changed"))
     return total.filter((F.col("n") >= COVERAGE * F.col("n_item")) | (F.col("n") >= LONG_RUN))
 
 
