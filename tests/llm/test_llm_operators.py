@@ -386,6 +386,21 @@ def test_secret_findings(spark, docs, empty):
     secret_scan.scan(docs).count()
 
 
+def test_long_values_and_values_without_digits(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda n: "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"), n))
+    jwt = f"eyJ{draw(40)}.{draw(480)}.{draw(155)}"
+    late, a, b = "Qw" * 50 + draw(60) + "7", *(draw(1) + jwt[4:600] + draw(79) + "7" for _ in range(2))
+    texts = [f"Authorization: Bearer {jwt} end", f'token = "{a}"', f'token = "{b}"', 'password = "correct-horse-battery"', "note: something else, title: Introduction and color: turquoise", "see " + late]
+    assert [v for _, v, _, _ in secret_scan.candidates(texts[5])] == [late]
+    assert "something" in [v for _, v, _, _ in secret_scan.candidates(texts[4])]
+    out = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(r.doc_id, r.value_sha256) for r in out}
+    assert {(i, hashlib.sha256(v.encode()).hexdigest()) for i, v in enumerate((jwt, a, b, "correct-horse-battery"))} <= found
+    assert not [r for r in out if r.doc_id == 4]
+    assert len(secret_scan.candidates("x" * 3_000_000 + " " + "=" * 1_000_000 + "1")) == 1
+
+
 def test_forest_on_held_out_findings():
     x, y = secret_scan.labelled_findings(2000, seed=99)
     p = secret_scan.Forest().fit(*secret_scan.labelled_findings()).score(x)

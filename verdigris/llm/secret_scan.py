@@ -1,8 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are values after an assignment to a name and long unbroken runs of
-letters, digits and few signs with at least a digit and a letter, and known
-prefixes. Features: length, entropy, shares and transitions of character classes,
+Candidates are values after an assignment to a name, with or without digits, and
+unbroken runs of 16 letters, digits and few signs or more with at least a digit;
+both are taken whole, however long they are. Features: length, entropy, shares and transitions of character classes,
 coverage by a dictionary, path look, the neighbouring words before. The forest is
 trained in numpy on labelled findings, which a seeded generator draws from the
 formats of credentials on one side and of look-alikes (hashes under revision
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from verdigris.llm._shared import ship, small_batches, table
 
 CANDIDATE = re.compile(
-    r"(?P<name>[A-Za-z][A-Za-z0-9_.-]{0,40}+)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_=.$!@#%^&*~-]{8,512}+)"
-    r"|(?<![A-Za-z0-9+/_=.@-])(?P<bare>(?=[A-Za-z+/_=.-]{0,64}+[0-9])[A-Za-z0-9+/_=.-]{16,512}+)(?![A-Za-z0-9@])"
+    r"(?P<name>[A-Za-z][A-Za-z0-9_.-]{0,40}+)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_=.$!@#%^&*~-]{8,}+)"
+    r"|(?<![A-Za-z0-9+/_=.@-])(?P<bare>(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+)(?![A-Za-z0-9@])"
 )
 #: Words before a value that speak for or against a secret.
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access", "auth", "bearer", "credential", "private", "authorization")
@@ -77,7 +77,7 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nda
     """Features and labels of drawn findings, half of them secrets."""
     rng = random.Random(seed)
     letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    hexa, wide = digits + "abcdef", letters + letters.upper() + digits
+    hexa, wide, both = digits + "abcdef", letters + letters.upper() + digits, letters + letters.upper()
 
     def draw(alphabet: str, k: int) -> str:
         return "".join(rng.choice(alphabet) for _ in range(k))
@@ -90,18 +90,20 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nda
     for i in range(n):
         secret = i % 2
         if secret:
-            form = rng.randrange(7)
+            form = rng.randrange(10)
             value = [draw(hexa, rng.choice((32, 40, 40, 40, 64))), draw(wide, rng.randint(20, 64)), rng.choice(STARTS) + draw(wide, rng.randint(16, 40)), draw(wide + "+/", rng.randint(24, 88)) + "=" * rng.randint(0, 2),
-                     draw(wide + "!@#$%", rng.randint(10, 24)), "eyJ" + draw(wide, 30) + "." + draw(wide, 40) + "." + draw(wide + "_-", 43), draw(wide + "_-", rng.randint(24, 48))][form]
-            name = rng.choice(good_names) if form not in (2, 5) or rng.random() < 0.5 else ""
-            before = " ".join([word(), word(), name])
+                     draw(wide + "!@#$%", rng.randint(10, 24)), "eyJ" + draw(wide, 30) + "." + draw(wide, 40) + "." + draw(wide + "_-", 43), draw(wide + "_-", rng.randint(24, 48)),
+                     "-".join(word() for _ in range(rng.randint(3, 5))), draw(both + "!@#$%" * rng.randint(0, 1), rng.randint(12, 40)), "eyJ" + ".".join(draw(wide + "_-", rng.randint(40, 500) if form == 9 else 1) for _ in range(3))][form]
+            name = rng.choice(good_names) if form not in (2, 5, 9) or rng.random() < 0.5 else ""
+            before = " ".join([word(), word(), name or rng.choice(("", "Bearer"))])
         else:
-            form = rng.randrange(9)
+            form = rng.randrange(13)
             value = [draw(hexa, rng.choice((32, 40, 64))), "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), "/".join(word() for _ in range(rng.randint(3, 6))) + str(rng.randrange(99)), ".".join([word(), word(), "com"]) + "/" + word() + draw(digits, 3),
                      word() + "-" + word() + "-" + draw(digits, rng.randint(2, 8)), draw(digits, rng.randint(16, 24)), "".join(word() for _ in range(rng.randint(4, 7))) + draw(digits, rng.randint(1, 3)),
-                     "_".join(word().upper() for _ in range(4)) + draw(digits, 2), word() + "." + draw(digits, 2) + "." + word() + draw(digits, 1) + ".example.com"][form]
-            name = rng.choice(bad_names) if form < 2 or rng.random() < 0.7 else rng.choice(good_names)
-            before = " ".join([word(), rng.choice(("commit", "revision", "file", "see", "at", "id", word())), name])
+                     "_".join(word().upper() for _ in range(4)) + draw(digits, 2), word() + "." + draw(digits, 2) + "." + word() + draw(digits, 1) + ".example.com",
+                     "".join(word() for _ in range(rng.randint(2, 4))).capitalize() if rng.random() < 0.3 else "".join(word() for _ in range(rng.randint(2, 4))), rng.choice("._").join(word() for _ in range(rng.randint(2, 4))), "-".join(word() for _ in range(rng.randint(2, 5))), draw(wide + "+/", rng.randint(200, 900) if form == 12 else 1)][form]
+            name = rng.choice((*bad_names, word(), word().capitalize())) if form in (0, 1, 11, 12) or rng.random() < 0.7 else rng.choice(good_names)
+            before = " ".join([word(), rng.choice(("commit", "revision", "file", "see", "at", "id", word())) if form != 12 else rng.choice(("image", "src", "href")), name])
         rows.append(features(value, name, before))
         labels.append(secret)
     return np.array(rows), np.array(labels)
@@ -169,7 +171,7 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
         value = m["value"] if m["value"] is not None else m["bare"]
         start = m.start("value") if m["value"] is not None else m.start("bare")
         trimmed = value.rstrip(".!%#$&*^~@")
-        if len(trimmed) >= 8 and any(c.isdigit() for c in trimmed):
+        if len(trimmed) >= 8:
             out.append((start, trimmed, m["name"] or "", text[max(0, start - 40) : start]))
     return out
 
