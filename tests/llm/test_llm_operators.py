@@ -115,6 +115,21 @@ def test_html_extraction_of_known_pages():
     assert html_extract.extract(None, w) == ""
 
 
+def test_html_names_inside_of_articles_and_implied_end_tags():
+    w = html_extract.learn_weights(["<html><body><nav><a href='/'>home</a></nav><article><h1>T</h1><p>some words here</p></article></body></html>"] * 3)
+    text = "one two three four five six"
+    page = f"""<head><title>x</title><body><div class="share"><p>share me</p></div><article><h2 id="side-effects">Side</h2><p>{text}</p><h2 id="search-algorithms">Search</h2><p>{text}</p>
+    <section id="discussion"><p>{text}</p></section><ul><li class="share">a b c<li>d e f</ul><p>{text}</p></article><section class="comments"><p>so they say</p></section></body>"""
+    assert html_extract.extract(page, w).split("\n\n") == ["Side", text, "Search", text, text, "a b c", "d e f", text]
+    assert html_extract.extract(f"<html><head><meta charset=utf-8><title>x</title><link rel=x><body><p>{text}</body></html>", w) == text
+    assert html_extract.extract(f"<head><meta charset=utf-8><p>{text}<p>{text}", w) == f"{text}\n\n{text}"
+    plain = f'<body><div class="menu"><p>a b</p></div><h2 id="search-algorithms">Search</h2><p>{text}</p><section id="discussion"><p>a b c</p></section><p>{text}</p><p class="copyright">of me'
+    assert html_extract.extract(plain, w).split("\n\n") == ["Search", text, "a b c", text]
+    assert html_extract.extract(f"<ul><li hidden>a b<li>{text}</ul><p>{text}</p>", w) == f"{text}\n\n{text}"
+    assert html_extract.extract(f"<body><nav><a href=1>a</a><article><p>{text}</p></article></body>", w) == text
+    assert html_extract.extract(f"<main><article><p>{text}</p></article><div id='comments'><p>{text}</p></div></main>", w) == text
+
+
 def test_html_query_on_odd_pages(spark):
     rows = [(1, "u", "<article><p>a b c</p></article>", 1), (1, "u", "<article><p>a b c</p></article>", 1), (2, None, None, 2), (3, "v", "", 3), (None, "w", "<p>" + "word " * 50000 + "</p>", 4)]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()

@@ -1,21 +1,24 @@
 """HTML extraction by the maximum-scoring contiguous region.
 
 A page becomes a sequence of tags and runs of words. Scripts, styles and other
-raw elements, and elements that name themselves as page furniture (by tag, role,
-class or id), are cut out first. Of the rest, words score positive and tags
+raw elements, and page furniture by tag or role, are cut out first, and so are
+containers outside of the article whose class or id names furniture. On pages
+without article and main such names make words negative instead. Of the rest, words score positive and tags
 negative, with weights counted on labelled pages: those with exactly one article
 element, whose inside is content. One linear scan finds the contiguous region
 with the highest sum; its blocks are the text.
 
 Weights come from about `sample_pages` pages of at most `sample_chars`
 characters; all pages are then read whole by Spark tasks. Null and empty pages,
-and pages without words, give an empty text. Broken markup never fails: an
-unclosed container ends at the next article or main, or with the page. Repeated
+and pages without words, give an empty text. Broken markup never fails: end tags
+that HTML lets out are implied, other unclosed elements end with their parent, and
+before the next article or main. Repeated
 rows are extracted alike. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import re
@@ -39,7 +42,14 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption head".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_TAGS = frozenset("head nav footer aside form button menu dialog fieldset".split())
+CONTAINERS = frozenset("article section div ul ol dl table".split())
+#: What may stand in a head, and tags that end an open element of the second set, looked for up to the third.
+IN_HEAD = frozenset("base link meta".split())
+IMPLIED = {tag: (frozenset({"p"}), BLOCK - {"p"}) for tag in BLOCK - frozenset("body html head li dt dd tr td th tbody thead tfoot caption summary".split())}
+IMPLIED |= {"li": (frozenset({"li"}), BLOCK - frozenset("li div p address".split()))} | dict.fromkeys(("dt", "dd"), (frozenset({"dt", "dd"}), BLOCK - frozenset("dt dd div p address".split())))
+IMPLIED |= {"tr": (frozenset({"tr"}), frozenset({"table"}))} | dict.fromkeys(("td", "th"), (frozenset({"td", "th"}), frozenset({"table", "tr"}))) | dict.fromkeys(("tbody", "thead", "tfoot"), (frozenset({"tbody", "thead", "tfoot"}), frozenset({"table"})))
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 FURNITURE_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promos?|promotion|banner|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|"
@@ -52,18 +62,19 @@ SPACE = re.compile(r"\s+")
 
 
 def is_furniture(tag: str, attrs: str, in_article: bool) -> bool:
-    """By tag, role, hidden, class or id. Inside of an article a header belongs to it."""
+    """By tag, role or hidden. Inside of an article a header belongs to it."""
     if tag in FURNITURE_TAGS or (tag == "header" and not in_article):
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    for name, value in ATTRIBUTE.findall(attrs):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "role" and value.lower() in FURNITURE_ROLES):
-            return True
-        if name in ("class", "id") and any(in_article is False or x.strip(" -_").lower() not in ("header", "masthead") for x in FURNITURE_NAMES.findall(value)):
-            return True
-    return False
+    return any(name.lower() == "hidden" or (name.lower() == "role" and value.strip("\"'").lower() in FURNITURE_ROLES) for name, value in ATTRIBUTE.findall(attrs))
+
+
+def is_named(tag: str, attrs: str) -> bool:
+    """Class or id is a name of furniture."""
+    if not attrs or tag in ("html", "body", "main"):
+        return False
+    return any(name.lower() in ("class", "id") and FURNITURE_NAMES.search(value.strip("\"'")) for name, value in ATTRIBUTE.findall(attrs))
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
@@ -80,33 +91,78 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
     return out
 
 
-def visible(page: str) -> list[tuple[str, str, bool, bool]]:
-    """Tokens outside of furniture: (kind, value, within an article or main, within a link)."""
-    found = tokens(page)
+def ends(found: list[tuple[str, str, str]]) -> tuple[dict[int, int], dict[int, int]]:
+    """Last token of each element: by its own end tag, and by implication."""
     closes: dict[int, int] = {}
-    stacks: dict[str, list[int]] = {}
+    implied: dict[int, int] = {}
+    stack: list[int] = []
+    open_tags: Counter = Counter()
+
+    def pop_to(depth: int, last: int) -> None:
+        for j in stack[depth:]:
+            implied[j] = last
+            open_tags[found[j][1]] -= 1
+        del stack[depth:]
+
     for i, (kind, value, _) in enumerate(found):
-        if kind == "open" and value not in VOID:
-            stacks.setdefault(value, []).append(i)
-        elif kind == "close" and stacks.get(value):
-            closes[stacks[value].pop()] = i
-    cores = [i for i, (kind, value, attrs) in enumerate(found) if kind == "open" and (value == "main" or (value == "article" and not is_furniture(value, attrs, False)))]
-    out, i, article, link = [], 0, 0, 0
+        if open_tags["head"] and ((kind == "open" and value not in IN_HEAD) or (kind == "text" and value.strip())):
+            pop_to(next(d for d, j in enumerate(stack) if found[j][1] == "head"), i - 1)
+        if kind == "open":
+            wanted, stops = IMPLIED.get(value, (frozenset(), frozenset()))
+            if any(open_tags[t] for t in wanted):
+                for depth in range(len(stack) - 1, -1, -1):
+                    tag = found[stack[depth]][1]
+                    if tag in wanted:
+                        pop_to(depth, i - 1)
+                    if tag in wanted or tag in stops:
+                        break
+            if value not in VOID:
+                stack.append(i)
+                open_tags[value] += 1
+        elif kind == "close" and open_tags[value]:
+            depth = next(d for d in range(len(stack) - 1, -1, -1) if found[stack[d]][1] == value)
+            pop_to(depth + 1, i - 1)
+            closes[stack.pop()] = i
+            open_tags[value] -= 1
+    return closes, implied
+
+
+def visible(page: str) -> list[tuple[str, str, bool, bool]]:
+    """Tokens outside of furniture: (kind, value, within an article or main, within a link or, without both, a name of furniture)."""
+    found = tokens(page)
+    closes, implied = ends(found)
+    cores = [i for i, (kind, value, attrs) in enumerate(found) if kind == "open" and (value == "main" or (value == "article" and not is_furniture(value, attrs, False) and not is_named(value, attrs)))]
+    own = {"article"} if any(found[c][1] == "article" for c in cores) else {"main"}
+    starts = [i for i, (kind, value, _) in enumerate(found) if kind == "open" and value in ("article", "main")]
+
+    def last(i: int) -> int:
+        if i in closes:
+            return closes[i]
+        at = bisect.bisect_right(starts, i)
+        return min(implied.get(i, len(found)), starts[at] - 1 if at < len(starts) else len(found))
+
+    out, i, article, link, core, doubtful = [], 0, 0, 0, 0, -1
     while i < len(found):
         kind, value, attrs = found[i]
-        if kind == "open" and value not in VOID and is_furniture(value, attrs, article > 0) and not (value not in FURNITURE_TAGS and any(i < c < closes.get(i, 0) for c in cores)):
-            out.append(("cut", value, article > 0, False))
-            end = closes.get(i)
-            if end is None:
-                end = next((j - 1 for j in range(i + 1, len(found)) if found[j][0] == "open" and found[j][1] in ("article", "main")), len(found))
-            i = end + 1
-            continue
+        if kind == "open" and value not in VOID:
+            named = is_named(value, attrs)
+            by_name = named and bool(cores) and value in CONTAINERS and (core == 0 or value == "article")
+            if is_furniture(value, attrs, article > 0) or by_name:
+                end = last(i)
+                at = bisect.bisect_right(cores, i)
+                if value in FURNITURE_TAGS or not (i in closes and at < len(cores) and cores[at] < end):
+                    out.append(("cut", value, article > 0, False))
+                    i = end + 1
+                    continue
+            elif named and not cores and value not in HEADINGS:
+                doubtful = max(doubtful, last(i))
         step = (kind == "open") - (kind == "close")
         if value in ("article", "main") and kind != "text":
             article = max(0, article + step)
+            core = max(0, core + step) if value in own else core
         if value == "a" and kind != "text":
             link = max(0, link + step)
-        out.append((kind, value, article > 0, link > 0))
+        out.append((kind, value, article > 0, link > 0 or i <= doubtful))
         i += 1
     return out
 
