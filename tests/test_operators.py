@@ -188,3 +188,20 @@ def test_repartitioning_changes_nothing(spark):
                                  F.timestamp_seconds(F.col("id")).alias("reviewed_at"), F.lit(1).alias("review_round"), F.lit(None).cast("long").alias("supersedes_event_id"), F.lit("review").alias("event_type"))
     a, b = (sorted(map(str, L.project_consensus(x).collect())) for x in (df, df.repartition(11)))
     assert a == b
+
+
+def test_images_stay_small_and_many_files_are_verified(spark, tmp_path, monkeypatch):
+    from verdigris.plans import catalogue, scores, storage
+
+    spark.range(1000).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.rand(3).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    boxes = scores._boxes(spark, str(tmp_path))
+    assert boxes.groupBy("image_id").count().agg(F.max("count")).first()[0] == 50
+    assert catalogue.QUERIES["suppress_boxes"](spark, str(tmp_path)).select("image_id").distinct().count() == 20
+    spark.range(0, 100, 1, 4).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(storage, "_place", lambda _: str(tmp_path / "copy"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    try:
+        assert tuple(catalogue.QUERIES["verify_files"](spark, str(tmp_path)).first()) == (0, 1)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "copy").glob("*.parquet"))) == 4

@@ -26,11 +26,15 @@ def gate_rows(spark, d):
     return e.select("event_id", *[c.alias(n) for n, c in S.gate_rows("status", "event_type", ("view", "click")).items()])
 
 
+BOXES_AN_IMAGE = 50
+
+
 def _boxes(spark, d):
+    """Embeddings as boxes; consecutive ones share an image, so that an image stays small in a large table."""
     e = R.table(spark, d, "embeddings")
     v = lambda i: F.element_at("embedding", i).cast("double")
     x, y = F.round(50 + v(1) * 200, 3), F.round(50 + v(2) * 200, 3)
-    return e.select(F.col("label").alias("image_id"), F.col("vec_id").alias("box_id"), x.alias("x1"), y.alias("y1"), (x + F.round(30 + v(3) * 60, 3)).alias("x2"), (y + F.round(30 + v(4) * 60, 3)).alias("y2"), F.round(0.5 + v(5), 4).alias("score"),
+    return e.select(F.floor(F.col("vec_id") / BOXES_AN_IMAGE).alias("image_id"), F.col("vec_id").alias("box_id"), x.alias("x1"), y.alias("y1"), (x + F.round(30 + v(3) * 60, 3)).alias("x2"), (y + F.round(30 + v(4) * 60, 3)).alias("y2"), F.round(0.5 + v(5), 4).alias("score"),
                     F.when(v(6) > 0, "a").otherwise("b").alias("route"), F.lit(0).alias("action_rank"))
 
 
