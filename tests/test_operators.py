@@ -10,6 +10,7 @@ from verdigris.operators import core as C
 from verdigris.operators import coverage as V
 from verdigris.operators import identity as I
 from verdigris.operators import ledger as L
+from verdigris.operators import replay as R
 from verdigris.operators import sampling as S
 from verdigris.operators import scores as P
 from verdigris.operators import spatial as G
@@ -91,9 +92,31 @@ def _events(spark, rows):
 
 def test_consensus_precedence(spark):
     e = _events(spark, [(1, 1, "a", "yes", 1, None, "review"), (2, 1, "b", "no", 1, None, "review"), (3, 1, "c", "yes", 1, None, "adjudication"), (4, 2, "a", "yes", 1, None, "review"), (5, 2, "b", "no", 1, None, "review"), (6, 2, "b", "yes", 2, 5, "review"),
-                        (7, 3, "a", "yes", 1, None, "adjudication"), (8, 3, "b", "no", 1, None, "adjudication"), (9, 4, " ", "skipped", 1, None, "review")])
-    out = {r.item_id: (r.status, r.consensus_outcome) for r in L.project_consensus(e).collect()}
-    assert out == {1: ("adjudicated", "yes"), 2: ("agreement", "yes"), 3: ("disagreement", None), 4: ("deferred", None)}
+                        (7, 3, "a", "yes", 1, None, "adjudication"), (8, 3, "b", "no", 1, None, "adjudication"), (9, 4, " ", "skipped", 1, None, "review"), (10, 5, "a", "cant_tell", 1, None, "review"), (11, 6, "a", "cant_view", 1, None, "review"), (12, 6, "b", "skipped", 1, None, "review"),
+                        (13, 7, "a", "yes", 1, None, "review"), (14, 7, "b", "yes", 1, None, "review"), (15, 7, "c", "cant_tell", 1, None, "review"), (16, 8, "c", "cant_tell", 1, None, "review"), (17, 8, "a", "yes", 1, None, "review"), (18, 8, "b", "yes", 1, None, "review"),
+                        (19, 9, "a", "yes", 1, None, "review"), (20, 10, "a", "yes", 1, None, "review"), (21, 10, "b", "no", 1, None, "review")])
+    rows = {r.item_id: r for r in L.project_consensus(e).collect()}
+    assert {k: (r.status, r.consensus_outcome) for k, r in rows.items()} == {
+        1: ("adjudicated", "yes"), 2: ("complete_agreement", "yes"), 3: ("unresolved_disagreement", None), 4: ("deferred", None), 5: ("uncertain_only", None), 6: ("media_failure", None),
+        7: ("pending", None), 8: ("complete_agreement", "yes"), 9: ("pending", None), 10: ("unresolved_disagreement", None)}
+    assert rows[7].unresolved_uncertainty and not rows[8].unresolved_uncertainty and rows[10].conflicting_fields == ["outcome"] and rows[10].conflict_event_ids == [20, 21]
+    assert [rows[i].second_review_required for i in (1, 3, 4, 5, 6, 7, 9)] == [False, True, False, True, False, True, True] and rows[3].adjudication_required
+    assert {r.event_id for r in L.unresolved_uncertainty(e).collect()} == {10, 15}
+    strict = {r.item_id: r.status for r in L.project_consensus(e, required=1, second_review="always").collect()}
+    assert strict[9] == "pending" and {r.item_id: r.status for r in L.project_consensus(e, required=1).collect()}[9] == "complete_agreement"
+
+
+def test_consensus_compares_the_whole_signature(spark):
+    e = _events(spark, [(1, 1, "a", "no", 1, None, "review"), (2, 1, "b", "no", 1, None, "review"), (3, 2, "a", "yes", 1, None, "review"), (4, 2, "b", "yes", 1, None, "review"), (5, 3, "a", "yes", 1, None, "review"), (6, 3, "b", "skipped", 1, None, "review")])
+    e = e.withColumns({"life_stage": F.when(F.col("event_id") == 2, "larva").otherwise("adult"), "visual_domain": F.when(F.col("item_id") == 2, "artwork").otherwise("live_field"), "conflicts_with_decision_id": F.when(F.col("event_id") == 6, 5), "duplicate_concern": F.lit(False)})
+    out = L.project_consensus(e)
+    rows = {r.item_id: r for r in out.collect()}
+    assert rows[1].conflicting_fields == ["life_stage"] and rows[2].status == "complete_agreement" and rows[3].conflicting_fields == ["explicit_conflict_pointer"] and rows[3].conflict_event_ids == [5, 6]
+    yes = F.lit(True)
+    support = {r.item_id: (r.support_eligibility, r.support_eligibility_blockers) for r in L.support_eligibility(out, F.col("item_id") < 3, yes, yes, F.lit("somebody")).collect()}
+    assert support == {1: ("blocked", ["review_not_completed"]), 2: ("blocked", ["visual_domain_not_support_eligible"]), 3: ("not_applicable", [])}
+    final = {r.item_id: r.final_test_eligibility for r in L.final_test_eligibility(out, yes, F.lit(0.5)).collect()}
+    assert final == {1: "blocked", 2: "eligible", 3: "blocked"}
 
 
 def test_ledger_rules(spark):
@@ -107,39 +130,105 @@ def test_agreement_and_alpha(spark):
     df = spark.createDataFrame(rows, "item_id int, label string")
     assert L.percent_agreement(df).first().agreement == pytest.approx(2 / 3, abs=1e-6)
     do, de = 2 / 6, (36 - 9 - 9) / (6 * 5)
-    assert L.krippendorff_alpha_nominal(df).first().alpha == pytest.approx(1 - do / de, abs=1e-6)
-    assert L.krippendorff_alpha_nominal(df.filter("label = 'y' AND item_id <> 2")).first().blocker == "no_variation"
+    row = L.krippendorff_alpha_nominal(df).first()
+    assert row.alpha == pytest.approx(1 - do / de, abs=1e-6) and row.observed_disagreement == pytest.approx(do, abs=1e-6) and row.overlapping_items == 3
+    assert L.krippendorff_alpha_nominal(df.filter("item_id = 2")).first().blockers == ["reviewer_overlap_insufficient"]
+    assert L.krippendorff_alpha_nominal(df.filter("label = 'y' AND item_id <> 2")).first().blockers == ["label_variation_absent", "reviewer_overlap_insufficient"]
+    assert L.krippendorff_alpha_nominal(df.filter("false")).first().alpha is None
 
 
 def test_intervals(spark):
     df = spark.createDataFrame([(i, i < 8, 1.0) for i in range(10)], "i int, y boolean, w double")
     row = S.precision_wilson(df, F.col("y")).first()
     assert (row.precision, row.low, row.high) == (0.8, pytest.approx(0.490162, abs=1e-6), pytest.approx(0.943318, abs=1e-6))
-    assert S.precision_wilson(df.filter("false"), F.col("y")).first().blocker == "no_decisions"
-    missing = df.withColumn("s", F.when(F.col("i") == 0, "b").otherwise("a")).withColumn("y", F.when(F.col("i") > 0, F.col("y")))
-    assert S.precision_hajek(missing, "s", "w", F.col("y")).first().precision is None
+    assert S.precision_wilson(df.filter("false"), F.col("y")).first().blockers == ["decisive_sample_empty"]
+    assert S.precision_wilson(df.withColumn("q", 1 / (F.col("i") + 1)), F.col("y"), inclusion="q").first().blockers == ["inclusion_probability_unequal"]
+    two = df.withColumns({"s": F.when(F.col("i") == 0, "b").otherwise("a"), "q": 1 / F.col("w")})
+    plan = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "stratum string, population_weight double")
+    row = S.precision_hajek(two, "s", "q", F.col("y"), plan).first()
+    assert row.precision == pytest.approx((3 + 7 / 9) / 4, abs=1e-6) and row.blockers == []
+    silent = two.withColumn("y", F.when(F.col("i") > 0, F.col("y")))
+    assert S.precision_hajek(silent, "s", "q", F.col("y"), plan).first().blockers == ["sampling_strata_missing"]
+    assert S.precision_hajek(two, "s", "q", F.col("y"), plan.filter("stratum = 'a'")).first().blockers == ["sampling_stratum_undeclared"]
 
 
-def test_bootstrap_is_the_same_under_any_partitioning(spark):
-    df = spark.range(60).select((F.col("id") % 3).cast("string").alias("s"), F.col("id").alias("g"), F.lit(1.0).alias("w"), (F.col("id") % 4 > 0).alias("y"))
-    one, two = (S.precision_bootstrap(x, "s", "g", "w", F.col("y"), 40).first() for x in (df, df.repartition(9)))
-    assert one == two and one.low < 0.75 < one.high
+def test_bootstrap_links_groups_and_is_the_same_under_any_partitioning(spark):
+    df = spark.range(60).select((F.col("id") % 3).cast("string").alias("s"), F.col("id"), F.lit(1.0).alias("w"), (F.col("id") % 4 > 0).alias("y"), F.concat_ws("-", F.col("id") % 3, F.floor(F.col("id") / 6)).alias("k"))
+    run = lambda x, *keys: S.precision_bootstrap(x, "s", "id", list(keys), "w", F.col("y"), 100).first()
+    one, two = run(df, "k"), run(df.repartition(9), "k")
+    assert one == two and one.groups == 30 and one.low < 0.75 < one.high and one.blockers == []
+    assert run(df.withColumn("all", F.lit("x")), "k", "all").blockers == ["bootstrap_group_crosses_strata", "bootstrap_groups_insufficient"]
 
 
 def test_threshold_policy_states(spark):
     rows = [(0.9, 0.5, True), (0.8, 0.4, True), (0.7, 0.1, False), (None, 0.2, True)]
     df = spark.createDataFrame(rows, "p double, m double, t boolean").withColumn("w", F.lit(1.0))
     fit = P.fit_threshold_policy(df, "p", "m", "t", "w", 1.0).first()
-    assert (fit.state, fit.p_threshold, fit.margin_threshold, fit.precision) == ("feasible", 0.8, 0.4, 1.0)
+    assert (fit.state, fit.p_threshold, fit.margin_threshold, fit.precision, fit.eligible_samples, fit.positives) == ("fitted", 0.8, 0.4, 1.0, 3, 3)
+    gated = P.fit_threshold_policy(df, "p", "m", "t", "w", 1.0, F.col("p") > 0.85).first()
+    assert (gated.p_threshold, gated.recall, gated.eligible_samples) == (0.9, pytest.approx(1 / 3), 1)
     assert P.fit_threshold_policy(df.withColumn("t", F.lit(False)), "p", "m", "t", "w", 1.0).first().state == "infeasible"
     with pytest.raises(ValueError):
         P.fit_threshold_policy(df, "p", "m", "t", "w", 1.0, most_cells=2)
 
 
-def test_suppression_keeps_the_best_box_of_a_route(spark):
-    rows = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.9, "a", 0), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.8, "a", 0), (1, 3, 1.0, 1.0, 10.0, 10.0, 0.7, "b", 0), (1, 4, 50.0, 50.0, 60.0, 60.0, 0.1, "a", 0)]
-    df = spark.createDataFrame(rows, "image_id int, box_id int, x1 double, y1 double, x2 double, y2 double, score double, route string, action_rank int")
-    assert sorted(r.box_id for r in P.suppress_boxes(df).collect()) == [1, 3]
+def test_decision_gates_stand_in_order(spark):
+    base = {"p": 0.9, "margin": 0.5, "nonmatch_margin": 0.3, "leading_outcome": None, "negative_outcome": None, "route_ok": True, "domain_negative": False, "out_of_distribution": False, "detail_ok": True, "coverage_ok": True, "no_geo_fallback": False, "geo_ok": True}
+    cases = [({}, "target_confirmed", None), ({"geo_ok": False}, "target_probable_review", "weak_geographic_evidence"), ({"margin": 0.1, "geo_ok": False}, "abstain", "competitor_margin_below_threshold"), ({"p": 0.1}, "target_probable_review", "target_probability_below_threshold"),
+             ({"nonmatch_margin": 0.0, "p": 0.1}, "abstain", "calibrated_non_target_dominates"), ({"nonmatch_margin": -0.1, "leading_outcome": "regional_competitor"}, "regional_competitor", None), ({"domain_negative": True}, "abstain", "domain_negative_without_supported_outcome"),
+             ({"domain_negative": True, "negative_outcome": "domain_negative", "out_of_distribution": True}, "domain_negative", None), ({"route_ok": False, "domain_negative": True}, "abstain", "incompatible_route"), ({"p": None}, "abstain", "missing_calibrated_target_probability")]
+    kinds = ", ".join(f"{k} {'double' if k in ('p', 'margin', 'nonmatch_margin') else 'string' if 'outcome' in k else 'boolean'}" for k in base)
+    df = spark.createDataFrame([(i, *{**base, **c}.values()) for i, (c, _, _) in enumerate(cases)], f"i int, {kinds}")
+    policy = spark.createDataFrame([("fitted", 0.5, 0.2)], "state string, p_threshold double, margin_threshold double")
+    assert [(r.outcome, r.reason) for r in P.apply_decision_policy(df, policy).orderBy("i").collect()] == [(o, w) for _, o, w in cases]
+    assert {r.reason for r in P.apply_decision_policy(df, policy.withColumn("state", F.lit("infeasible"))).collect()} == {"decision_policy_infeasible"}
+
+
+def test_routes_by_prompt_then_label(spark):
+    rows = [(1, "detected", " Adult  Butterfly ", "pupa", None, "adult_butterfly_field", "score"), (2, "detected", None, "pupa", 0.9, "pupa_or_chrysalis", "exclude"), (3, "detected", "lepidoptera", None, 0.35, "adult_butterfly_field", "score"), (4, "detected", "lepidoptera", None, 0.34, "ambiguous_visual_domain", "exclude"),
+            (5, "detected", "insect", None, 0.9, "ambiguous_visual_domain", "review"), (6, "detected", "insect", None, None, "ambiguous_visual_domain", "exclude"), (7, "detected", "robot", "pupa", 0.9, "ambiguous_visual_domain", "exclude"), (8, "No Detection", "larva", None, 0.9, "no_relevant_organism", "exclude"),
+            (9, None, "larva", None, 0.9, "ambiguous_visual_domain", "exclude"), (10, "detected", "larva", None, 1.2, "ambiguous_visual_domain", "exclude"), (11, "detected", None, None, 0.9, "ambiguous_visual_domain", "exclude")]
+    df = spark.createDataFrame(rows, "id int, detection_status string, prompt string, label string, score double, want string, wanted string")
+    assert [(r.detection_route, r.action) for r in P.route_rows(df).orderBy("id").collect()] == [(r[5], r[6]) for r in rows]
+    off = {r.id: r.action for r in P.route_rows(df, adult_threshold=None, insect_threshold=None).collect()}
+    assert off[3] == off[5] == "exclude"
+
+
+def test_session_time_runs_to_the_pause(spark):
+    rows = [("s", 1, 0, "activity", "active"), ("s", 2, 10, "action", None), ("s", 3, 100, "activity", "paused"), ("s", 4, 150, "activity", "active"), ("s", 5, 160, "activity", "paused"), ("s", 6, 170, "completion", None),
+            ("t", 1, 0, "action", None), ("t", 3, 5, "activity", "active"), ("t", 4, 4, "activity", "active")]
+    df = spark.createDataFrame(rows, "session string, n int, sec int, kind string, state string").select("*", F.timestamp_seconds("sec").alias("at"), F.lit("x").alias("target"))
+    out = {r.session: (r.active_ms, r.actions, r.targets) for r in R.session_activity_summary(df, "session", "n", "at", "target").collect()}
+    assert out == {"s": (110_000, 1, 1), "t": (0, 1, 1)}
+    broken = {(r.session, r.rule) for r in R.session_violations(df, "session", "n", "at").collect()}
+    assert broken == {("t", x) for x in ("action_outside_activity", "sequence_gap", "overlapping_activity", "not_chronological", "activity_left_open", "completion_not_final")}
+
+
+def test_equal_numbers_of_two_providers_stay_apart(spark):
+    rows = [(1, "east", "77", None), (2, "west", "77", None), (3, "east", " 77 ", None), (4, "east", None, "http://a.example/x"), (5, "west", None, "http://a.example/x"), (6, "west", None, None)]
+    df = spark.createDataFrame(rows, "id int, source string, number string, url string").withColumns({"delivery": F.lit("d"), "ns": F.lit(None).cast("string"), "who": F.lit(None).cast("string")})
+    out = I.resolve_identity(df, [("number", F.col("source"))], ("ns", "who"), "url", ["who"], "id")
+    rows = {r.id: r for r in out.collect()}
+    assert rows[1].canonical_id == rows[3].canonical_id != rows[2].canonical_id and rows[4].canonical_id != rows[5].canonical_id
+    assert [rows[i].identity_priority for i in (1, 4, 6)] == [1, 4, 7]
+    same = spark.createDataFrame([(1, "k", "x"), (2, "k", "x"), (3, "k", "y")], "id int, k string, f string")
+    pairs, members = I.pairwise_contradictions(same, "k", "id", ["f"])
+    assert [tuple(r)[1:5] for r in pairs.collect()] == [(1, 3, 2, 1)] and {(r.id, r.member) for r in members.collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_distinct_counts_are_two_aggregations(spark):
+    df = spark.createDataFrame([("a", 1, True), ("a", 1, False), ("a", 2, None), ("a", None, True), (None, 3, True)], "k string, i int, p boolean")
+    out = V.filtered_distinct_counts(df, ["k"], "i", {"all_items": F.lit(True), "p_items": F.col("p")})
+    assert list(map(tuple, out.collect())) == [("a", 2, 1)]
+    assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_suppression_compares_route_action_and_scoring_route(spark):
+    rows = [(1, 1, 0.0, 0.0, 10.0, 10.0, 0.8, "a", "score", "x"), (1, 2, 1.0, 1.0, 10.0, 10.0, 0.7, "a", "score", "x"), (1, 3, 1.0, 1.0, 10.0, 10.0, 0.7, "b", "score", "x"), (1, 4, 1.0, 1.0, 10.0, 10.0, 0.9, "a", "review", "x"), (1, 5, 1.0, 1.0, 10.0, 10.0, 0.6, "a", "score", None),
+            (1, 6, 50.0, 50.0, 60.0, 60.0, 0.1, "a", "score", "x"), (1, 7, 90.0, 90.0, 91.0, 92.0, 0.9, "a", "score", "x"), (1, 8, 80.0, 80.0, 81.0, 81.0, 0.9, "a", "score", "x")]
+    df = spark.createDataFrame(rows, "image_id int, box_id int, x1 double, y1 double, x2 double, y2 double, score double, detection_route string, action string, scoring_route string")
+    run = lambda **more: [r.box_id for r in P.suppress_boxes(df, F.lit(100.0), F.lit(100.0), least_share=0.0002, **more).collect()]
+    assert sorted(run()) == [1, 3, 4, 5, 7] and run(cap=2) == [7, 1]
 
 
 def test_point_in_polygon_edges_and_holes(spark):
@@ -153,7 +242,7 @@ def test_point_in_polygon_edges_and_holes(spark):
 def test_nearest_across_date_line_and_pole(spark):
     c = spark.createDataFrame([(1, 0.0, 179.9), (2, 89.9, 0.0), (3, None, 1.0), (4, -60.0, 20.0)], "id int, lat double, lon double")
     e = spark.createDataFrame([(10, 0.0, -179.9), (11, 89.9, 180.0), (12, 0.0, 170.0)], "e_id int, e_lat double, e_lon double")
-    out = {r.id: (r.nearest_id, r.status) for r in G.nearest_neighbour_join(c, e, 1.0).collect()}
+    out = {r.id: (r.nearest_id, r.status) for r in G.nearest_neighbour_join(c, e, 1).collect()}
 
     def km(a, b):
         (la, lo), (lb, lp) = a, b
@@ -162,7 +251,7 @@ def test_nearest_across_date_line_and_pole(spark):
 
     far = min((km((-60.0, 20.0), p), i) for i, p in ((10, (0.0, -179.9)), (11, (89.9, 180.0)), (12, (0.0, 170.0))))[1]
     assert out == {1: (10, "available"), 2: (11, "available"), 3: (None, "not_applicable"), 4: (far, "available")}
-    assert {r.status for r in G.nearest_neighbour_join(c, e.filter("false"), 1.0).collect()} == {"unavailable", "not_applicable"}
+    assert {r.status for r in G.nearest_neighbour_join(c, e.filter("false")).collect()} == {"unavailable", "not_applicable"}
 
 
 def test_no_overwrite_and_changed_files(spark, tmp_path):
@@ -193,7 +282,7 @@ def test_repartitioning_changes_nothing(spark):
 def test_images_stay_small_and_many_files_are_verified(spark, tmp_path, monkeypatch):
     from verdigris.plans import catalogue, scores, storage
 
-    spark.range(1000).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.rand(3).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.range(1000).select(F.col("id").alias("vec_id"), (F.col("id") % 10).cast("int").alias("label"), F.transform(F.sequence(F.lit(1), F.lit(7)), lambda i: F.rand(3).cast("float")).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
     boxes = scores._boxes(spark, str(tmp_path))
     assert boxes.groupBy("image_id").count().agg(F.max("count")).first()[0] == 50
     assert catalogue.QUERIES["suppress_boxes"](spark, str(tmp_path)).select("image_id").distinct().count() == 20

@@ -87,14 +87,15 @@ def canonical_row_hash(df: DataFrame, columns: list[str] | None = None) -> Colum
     return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
 
 
-def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None, buckets: int = 256) -> DataFrame:
-    """One row (n_rows, fingerprint) that does not depend on the order of rows: bucket sums of row hashes, then a hash of the sums."""
-    h = canonical_row_hash(df, columns)
-    part = df.select(h.alias("h")).withColumn("b", F.conv(F.substring("h", 1, 2), 16, 10).cast("int") % buckets)
-    word = F.conv(F.substring("h", 3, 12), 16, 10).cast("decimal(38,0)")
-    sums = part.groupBy("b").agg(F.count("*").alias("n"), F.sum(word).alias("s"))
-    folded = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "n", "s"))), lambda x: F.concat_ws(":", x["b"].cast("string"), x["n"].cast("string"), x["s"].cast("string"))), ";")
-    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.sha2(folded, 256).alias("fingerprint"))
+def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row (n_rows, fingerprint) that does not depend on the order of rows, from all bits of every row's hash.
+
+    The sorted hashes of each of 65,536 buckets are hashed, then those of 256, then all, so no list is long.
+    """
+    level = df.select(canonical_row_hash(df, columns).alias("h"), F.lit(1).cast("long").alias("n"))
+    for digits in (4, 2, 0):
+        level = level.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.array_join(F.sort_array(F.collect_list("h")), ",").alias("all"), F.sum("n").alias("n")).select(F.concat("b", F.sha2("all", 256)).alias("h"), "n")
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
 
 
 def symmetric_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
@@ -185,11 +186,13 @@ def screening_strata(screening: Column, geography: Column) -> Column:
     return F.concat_ws("__", screening, geography)
 
 
-def map_review_state(status: str, outcome: str) -> Column:
-    """Consensus to review state; an unknown combination is null, for a rule to catch."""
+def map_review_state(status: str = "status", outcome: str = "consensus_outcome", effective: str = "reviewers", decisive: str = "decisive") -> dict[str, Column]:
+    """Consensus to review_state, reviewed and supported; an unknown combination is null, for a rule to catch."""
     s, o = F.col(status), F.col(outcome)
-    return (F.when(s.isin("agreement", "adjudicated") & (o == "yes"), "supported").when(s.isin("agreement", "adjudicated") & (o == "no"), "rejected").when(s.isin("uncertain", "disagreement"), "uncertain")
-            .when(s == "media_failure", "media_failure").when(s == "deferred", "deferred").when(s == "pending", "pending"))
+    done = s.isin("complete_agreement", "adjudicated") & (F.col(decisive) > 0)
+    state = (F.when((F.col(effective) == 0) | (s == "pending"), "pending").when(done & (o == "yes"), "reviewed_target_positive").when(done & (o == "no"), "reviewed_non_target")
+             .when(s.isin("unresolved_disagreement", "uncertain_only"), "uncertain").when(s.isin("media_failure", "deferred"), s))
+    return {"review_state": state, "reviewed": state != "pending", "supported": state == "reviewed_target_positive"}
 
 
 def stage_metric_coalesce(names: dict[str, list[str]]) -> list[Column]:

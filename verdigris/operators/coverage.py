@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 
 def filtered_distinct_counts(df: DataFrame, keys: list[str], item: str, predicates: dict[str, Column], latest: str | None = None) -> DataFrame:
-    """Distinct items per key under each predicate, and the latest date. Rows with a null key are left out."""
+    """Distinct items per key under each predicate, and the latest date. Rows with a null key are left out.
+
+    One aggregation to (key, item) says which predicates an item meets, a second one counts: rows are never multiplied.
+    """
     known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    aggregates = [F.count_distinct(F.when(p, F.col(item))).alias(n) for n, p in predicates.items()]
-    return df.filter(known).groupBy(*keys).agg(*aggregates, *([F.max(latest).alias("latest_date")] if latest else []))
+    dates = [F.max(latest).alias("latest_date")] if latest else []
+    items = df.filter(known).groupBy(*keys, F.col(item).alias("_item")).agg(*[F.max(F.coalesce(p, F.lit(False))).alias(n) for n, p in predicates.items()], *dates)
+    return items.groupBy(*keys).agg(*[F.count_if(F.col(n) & F.col("_item").isNotNull()).alias(n) for n in predicates], *([F.max("latest_date").alias("latest_date")] if latest else []))
 
 
 def review_state_counts(df: DataFrame, keys: list[str], item: str, state: str, states: tuple[str, ...]) -> DataFrame:

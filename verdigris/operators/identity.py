@@ -6,19 +6,23 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the folder that spark.checkpoint.dir names (a temporary one in local sessions without it)."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names; without it a temporary one, in local sessions only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.gettempdir()
-    path = f"{folder.rstrip('/')}/verdigris-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/verdigris-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the shared folder."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,23 +38,29 @@ def normalize_url(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != "") & ~credentials, built)
 
 
-def resolve_identity(df: DataFrame, provider: str, occurrence: tuple[str, str], url: str, composite: list[str], singleton: str) -> DataFrame:
-    """First usable of provider id, scoped occurrence id, stable address, strict composite, singleton: method, priority and hashed canonical id."""
+def resolve_identity(df: DataFrame, providers: list[tuple[str, Column]], occurrence: tuple[str, str], url: str, composite: list[str], singleton: str, source: str = "source", delivery: str = "delivery") -> DataFrame:
+    """The strongest usable basis: method, priority, namespace and hashed canonical id.
+
+    `providers` are (column, namespace) in order of trust; then come the occurrence id in its scope, the stable address and
+    the strict composite, both in the source's namespace, and the row itself. A namespace is part of every key, so equal
+    numbers of two providers stay apart.
+    """
 
     def present(*cols: str) -> Column:
         return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != "") for c in cols])
 
-    def option(method: str, priority: int, ok: Column, *parts: Column) -> Column:
-        key = F.concat_ws("\x1f", F.lit("v1"), F.lit(method), *parts)
-        return F.when(ok, F.struct(F.lit(method).alias("identity_method"), F.lit(priority).alias("identity_priority"), F.sha2(key, 256).alias("canonical_id")))
+    def option(method: str, priority: int, ok: Column, namespace: Column, *parts: Column) -> Column:
+        key = F.concat_ws("\x1f", F.lit("v1"), F.lit(method), namespace, *parts)
+        return F.when(ok, F.struct(F.lit(method).alias("identity_method"), F.lit(priority).alias("identity_priority"), namespace.cast("string").alias("identity_namespace"), F.sha2(key, 256).alias("canonical_id")))
 
     address = normalize_url(F.col(url))
+    text = lambda c: F.trim(F.col(c).cast("string"))
     found = F.coalesce(
-        option("provider_id", 1, present(provider), F.trim(F.col(provider).cast("string"))),
-        option("occurrence_id", 2, present(*occurrence), *[F.trim(F.col(c).cast("string")) for c in occurrence]),
-        option("stable_url", 3, address.isNotNull(), address),
-        option("composite", 4, present(*composite), *[F.lower(F.trim(F.col(c).cast("string"))) for c in composite]),
-        option("singleton", 5, F.lit(True), F.col(singleton).cast("string")),
+        *[option("provider_identity", 1, present(c), ns, text(c)) for c, ns in providers],
+        option("scoped_occurrence_id", 3, present(*occurrence), text(occurrence[0]), text(occurrence[1])),
+        option("stable_source_reference", 4, address.isNotNull(), F.col(source), address),
+        option("strict_composite", 5, present(*composite), F.col(source), *[F.lower(text(c)) for c in composite]),
+        option("singleton", 7, F.lit(True), F.col(delivery), F.col(singleton).cast("string")),
     )
     return df.withColumn("_id", found).select("*", "_id.*").drop("_id")
 
@@ -67,13 +77,20 @@ def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(members.alias("members")).filter(F.size("members") > 1).withColumn("group_id", F.sha2(F.array_join("members", "\x1f"), 256))
 
 
-def pairwise_contradictions(df: DataFrame, link: str, member: str, fields: list[str]) -> DataFrame:
-    """Per linked pair with any, the fields that both know and that differ. A group's rows are first told apart by value, so equal rows make no pairs."""
-    values = df.filter(F.col(link).isNotNull()).groupBy(link, *fields).agg(F.min(member).alias("member"))
+def pairwise_contradictions(df: DataFrame, link: str, member: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): per linked pair of value classes with any, the fields that both know and that differ; and each row's class, named by its least member.
+
+    Rows of a link that are equal in all fields are one class, so a hot link costs its distinct values and not its rows.
+    """
+    linked = df.filter(F.col(link).isNotNull())
+    values = linked.groupBy(link, *fields).agg(F.min(member).alias("member"), F.count("*").alias("n"))
     a, b = values.alias("a"), values.alias("b")
     pairs = a.join(b, (F.col(f"a.{link}") == F.col(f"b.{link}")) & (F.col("a.member") < F.col("b.member")))
     differ = F.array_compact(F.array(*[F.when(F.col(f"a.{f}") != F.col(f"b.{f}"), F.lit(f)) for f in fields]))
-    return pairs.select(F.col(f"a.{link}").alias(link), F.col("a.member").alias("left_member"), F.col("b.member").alias("right_member"), differ.alias("contradictions")).filter(F.size("contradictions") > 0)
+    found = pairs.select(F.col(f"a.{link}").alias(link), F.col("a.member").alias("left_member"), F.col("b.member").alias("right_member"), F.col("a.n").alias("left_rows"), F.col("b.n").alias("right_rows"), differ.alias("contradictions"))
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (link, *fields)])
+    members = linked.alias("r").join(values.alias("v"), same).select(F.col(f"r.{link}").alias(link), F.col(f"r.{member}").alias(member), F.col("v.member").alias("member"))
+    return found.filter(F.size("contradictions") > 0), members
 
 
 def provider_union(df: DataFrame, identity: str, provider: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -84,12 +101,12 @@ def provider_union(df: DataFrame, identity: str, provider: str, order: list[str]
     return ranked.filter("_rn = 1").drop("_rn", "canonical_provider"), audit.drop("_rn")
 
 
-def link_groups(df: DataFrame, item: str, keys: list[str], most_rounds: int = 50) -> DataFrame:
-    """(item, group): the least item id reachable over shared keys. Labels pass through keys and back, with pointer jumping; fails if rounds run out."""
+def link_groups(df: DataFrame, item: str, keys: list[str]) -> DataFrame:
+    """(item, group): the least item id reachable over shared keys. Labels pass through keys and back, with pointer jumping, until none changes."""
     edges = reduce(lambda a, b: a.unionByName(b), [df.filter(F.col(k).isNotNull()).select(F.col(item).alias("i"), F.concat(F.lit(k + "="), F.col(k).cast("string")).alias("k")) for k in keys]).distinct()
     edges = written(edges)
     labels = written(df.select(F.col(item).alias("i")).distinct().withColumn("g", F.col("i")))
-    for _ in range(most_rounds):
+    while True:
         through = edges.join(labels, "i").groupBy("k").agg(F.min("g").alias("g"))
         heard = edges.join(through, "k").groupBy("i").agg(F.min("g").alias("h"))
         step = written(labels.join(heard, "i", "left").select("i", F.least("g", F.coalesce("h", "g")).alias("g")))
@@ -99,7 +116,6 @@ def link_groups(df: DataFrame, item: str, keys: list[str], most_rounds: int = 50
         labels = fresh
         if not changed:
             return labels.select(F.col("i").alias(item), F.col("g").alias("group_id"))
-    raise RuntimeError("components did not converge")
 
 
 def split_leakage(df: DataFrame, group: str, owner: str, split: str) -> DataFrame:
@@ -108,14 +124,13 @@ def split_leakage(df: DataFrame, group: str, owner: str, split: str) -> DataFram
     return one(group, split, "group_crosses_split").unionByName(one(group, owner, "group_crosses_owner")).unionByName(one(owner, split, "owner_crosses_split"))
 
 
-def lineage_closure(edges: DataFrame, start: DataFrame, most_rounds: int = 50) -> DataFrame:
+def lineage_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node): all nodes upstream of each root over (node, parent) edges, by frontier joins until nothing is new."""
     seen = written(start.select(F.col("node").alias("root"), "node").distinct())
     frontier = seen
-    for _ in range(most_rounds):
+    while True:
         found = frontier.join(edges, "node").select("root", F.col("parent").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
         frontier = written(found)
         if frontier.isEmpty():
             return seen
         seen = written(seen.unionByName(frontier))
-    raise RuntimeError("lineage did not end")

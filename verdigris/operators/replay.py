@@ -16,6 +16,12 @@ def fan_back(associations: DataFrame, keys: list[str], work) -> DataFrame:
     return associations.join(work(associations.select(*keys).distinct()), keys)
 
 
+def compute_once_fan_back(df: DataFrame, content: str, inputs: list[str], work) -> DataFrame:
+    """Runs `work` on one row per content id (its inputs are equal by the id's meaning), keyed by it, and joins the result to every row; inputs are not carried through the join."""
+    one = df.filter(F.col(content).isNotNull()).groupBy(content).agg(*[F.any_value(c).alias(c) for c in inputs])
+    return df.drop(*inputs).join(work(one), content, "left")
+
+
 def anti_join_duplicates(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Rows that are first in their key, by removing the ranked rest."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
@@ -28,7 +34,13 @@ def work_avoided(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def query_yield(df: DataFrame, bucket: Column) -> DataFrame:
-    return df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_rows"), F.count_distinct("source", "item_id").alias("items"), F.count_distinct("search_term").alias("terms"), F.count_distinct("query_hash").alias("hashes"))
+    """Rows, distinct items, terms and hashes per bucket. Each distinct count is a narrow aggregation of its own, so rows are never multiplied."""
+    own = df.withColumn("bucket", bucket)
+    count = lambda name, *cols: own.groupBy("bucket", *cols).agg(F.count("*").alias("n")).groupBy(F.col("bucket").alias(f"_{name}")).agg(F.count_if(~F.greatest(*[F.col(c).isNull() for c in cols], F.lit(False))).alias(name), F.sum("n").alias("n_rows"))
+    out = count("items", "source", "item_id")
+    for name, column in (("terms", "search_term"), ("hashes", "query_hash")):
+        out = out.join(count(name, column).drop("n_rows"), F.col("_items").eqNullSafe(F.col(f"_{name}")))
+    return out.select(F.col("_items").alias("bucket"), "n_rows", "items", "terms", "hashes")
 
 
 def stage_row_counts(stages: dict[str, DataFrame], required: str) -> DataFrame:
@@ -88,17 +100,38 @@ def numeric_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.groupBy(group).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.percentile(value, 0.5).alias("median"), F.max(value).alias("most"))
 
 
-def session_intervals(df: DataFrame, session: str, order: str, at: str, state: str) -> DataFrame:
-    """Each active event paired with the next event of its session; `contiguous` says whether the order numbers follow."""
+def _activity(df: DataFrame, session: str, order: str, at: str) -> DataFrame:
+    """Marks with their session's next mark. A session is one window: it is one person's work, and short."""
     w = Window.partitionBy(session).orderBy(order)
-    out = df.withColumns({"until": F.lead(at).over(w), "contiguous": F.coalesce(F.lead(order).over(w) == F.col(order) + 1, F.lit(True))})
-    return out.filter((F.col(state) == "active") & F.col("until").isNotNull())
+    marks = df.filter("kind = 'activity'")
+    return marks.withColumns({"_next": F.lead("state").over(w), "until": F.lead(at).over(w), "until_order": F.lead(order).over(w), "_before": F.lag("state").over(w)})
+
 
+def session_intervals(df: DataFrame, session: str, order: str, at: str) -> DataFrame:
+    """Active time: each `active` mark to the session's next pause, whatever actions lie between. Events have kind (activity, action, completion) and state (active, paused)."""
+    return _activity(df, session, order, at).filter("state = 'active' AND _next = 'paused'").drop("_next", "_before")
 
-def session_activity_summary(df: DataFrame, session: str, order: str, at: str, state: str, target: str) -> DataFrame:
-    """Active milliseconds, actions and distinct targets per session."""
-    spans = session_intervals(df, session, order, at, state).groupBy(session).agg(F.sum(F.unix_millis("until") - F.unix_millis(at)).alias("active_ms"))
-    acts = df.groupBy(session).agg(F.count("*").alias("actions"), F.count_distinct(target).alias("targets"))
+
+def session_violations(df: DataFrame, session: str, order: str, at: str) -> DataFrame:
+    """(session, rule) of sessions whose events break a rule: numbers with gaps, times that go back, overlapping or open active time, a pause without active time, an action outside of it, not one final completion."""
+    w = Window.partitionBy(session).orderBy(order)
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    mark = F.when(F.col("kind") == "activity", F.col("state"))
+    seen = df.withColumns({"_n": F.row_number().over(w), "_early": F.lag(at).over(w), "_mode": F.last(mark, ignorenulls=True).over(upto), "_was": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_last": F.lead(order).over(w).isNull()})
+    active = lambda c: F.coalesce(F.col(c) == "active", F.lit(False))
+    kind, state = F.col("kind"), F.col("state")
+    rules = {"sequence_gap": F.col(order) != F.col("_n"), "not_chronological": F.col(at) < F.col("_early"), "overlapping_activity": (kind == "activity") & (state == "active") & active("_was"),
+             "pause_without_activity": (kind == "activity") & (state == "paused") & ~active("_was"), "action_outside_activity": (kind == "action") & ~active("_was"), "activity_left_open": F.col("_last") & active("_mode"),
+             "completion_not_final": (kind == "completion") != F.col("_last")}
+    broken = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()])))
+    return seen.select(session, broken.alias("rule")).distinct()
+
+
+def session_activity_summary(df: DataFrame, session: str, order: str, at: str, target: str) -> DataFrame:
+    """Active milliseconds, actions and the distinct targets of actions per session."""
+    spans = session_intervals(df, session, order, at).groupBy(session).agg(F.sum(F.unix_millis("until") - F.unix_millis(at)).alias("active_ms"))
+    action = F.col("kind") == "action"
+    acts = df.groupBy(session).agg(F.count_if(action).alias("actions"), F.count_distinct(F.when(action, F.col(target))).alias("targets"))
     return acts.join(spans, session, "left").fillna(0, ["active_ms"])
 
 

@@ -8,18 +8,26 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.identity import link_groups, written
+
 
 def seeded_rank(seed: str, *parts: str) -> Column:
     """SHA-256 of seed and parts: an order that no partitioning changes."""
     return F.sha2(F.concat_ws("|", F.lit(seed), *[F.col(p).cast("string") for p in parts]), 256)
 
 
-def stratified_sample(df: DataFrame, stratum: str, item: str, takes: Column, seed: str) -> DataFrame:
-    """The least `takes` rows by seeded hash of each stratum, with inclusion probability n / N and weight N / n."""
-    w = Window.partitionBy(stratum)
-    ranked = df.withColumns({"population": F.count("*").over(w), "_rn": F.row_number().over(w.orderBy(seeded_rank(seed, item), item)), "_take": takes})
-    n = F.least("_take", "population")
-    return ranked.filter(F.col("_rn") <= F.col("_take")).withColumns({"inclusion_probability": n / F.col("population"), "sampling_weight": F.col("population") / n}).drop("_rn", "_take")
+def stratified_sample(df: DataFrame, stratum: str, item: str, takes: dict[str, int], default: int, seed: str) -> DataFrame:
+    """The least rows by seeded hash of each stratum, as many as `takes` says, with inclusion probability n / N and weight N / n.
+
+    Populations are counted by aggregation. The largest take is a constant, so that Spark keeps that many rows of a
+    stratum per partition before the shuffle and no task sorts a whole stratum.
+    """
+    counts = df.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("population"))
+    ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(seeded_rank(seed, item), item))).filter(F.col("_rn") <= max([default, *takes.values()]))
+    take = reduce(lambda acc, kv: F.when(F.col(stratum) == kv[0], kv[1]).otherwise(acc), takes.items(), F.lit(default))
+    n = F.least(take, "population")
+    kept = ranked.filter(F.col("_rn") <= take).join(counts, F.col(stratum).eqNullSafe(F.col("_s"))).drop("_s", "_rn")
+    return kept.withColumns({"inclusion_probability": n / F.col("population"), "sampling_weight": F.col("population") / n})
 
 
 def stratum_receipts(df: DataFrame, sample: DataFrame, stratum: str) -> DataFrame:
@@ -75,42 +83,72 @@ def _wilson(p: Column, n: Column, z: float) -> tuple[Column, Column]:
     return (centre - spread) / (1 + z * z / n), (centre + spread) / (1 + z * z / n)
 
 
-def precision_wilson(df: DataFrame, positive: Column, by: list[str] = (), level: float = 0.95) -> DataFrame:
-    """Share of positive decisions with Wilson's interval; null with a blocker without any."""
+def _listed(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in sorted(rules.items())]))
+
+
+def precision_wilson(df: DataFrame, positive: Column, by: list[str] = (), level: float = 0.95, inclusion: str | None = None) -> DataFrame:
+    """Share of positive decisions with Wilson's interval; null with blockers without decisions or, given `inclusion`, with unknown or unequal probabilities of the sample."""
     z = NormalDist().inv_cdf(0.5 + level / 2)
-    out = df.groupBy(*by).agg(F.count(positive).alias("n"), F.count_if(positive).alias("k"))
+    chance = F.col(inclusion) if inclusion else F.lit(1.0)
+    out = df.groupBy(*by).agg(F.count(positive).alias("n"), F.count_if(positive).alias("k"), F.count_if(chance.isNull()).alias("_unknown"), (F.max(chance) - F.min(chance)).alias("_spread"))
     p, n = F.col("k") / F.col("n"), F.col("n")
     low, high = _wilson(p, n, z)
-    ok = n > 0
-    return out.select(*by, "n", "k", F.when(ok, F.round(p, 6)).alias("precision"), F.when(ok, F.round(low, 6)).alias("low"), F.when(ok, F.round(high, 6)).alias("high"), F.when(ok, "none").otherwise("no_decisions").alias("blocker"))
+    out = out.withColumn("blockers", _listed({"decisive_sample_empty": n == 0, "inclusion_probability_missing": F.col("_unknown") > 0, "inclusion_probability_unequal": F.col("_spread") > 16 * 2.220446049250313e-16}))
+    ok = F.size("blockers") == 0
+    return out.select(*by, "n", "k", F.when(ok, F.round(p, 6)).alias("precision"), F.when(ok, F.round(low, 6)).alias("low"), F.when(ok, F.round(high, 6)).alias("high"), "blockers")
 
 
-def precision_hajek(df: DataFrame, stratum: str, weight: str, positive: Column, level: float = 0.95) -> DataFrame:
-    """Weighted ratio over all strata with effective size (sum w)^2 / sum w^2 and Wilson's interval on it; strata without decisions block it."""
+def precision_hajek(df: DataFrame, stratum: str, probability: str, positive: Column, declared: DataFrame, level: float = 0.95) -> DataFrame:
+    """Weighted ratio with effective size (sum w)^2 / sum w^2 and Wilson's interval on it.
+
+    A row weighs 1 / probability; a stratum with a population weight in `declared` (stratum, population_weight) shares that
+    weight among its rows. Blocked by strata that are undeclared, without decisions or of a weight that isn't positive,
+    by unknown probabilities, and without decisions at all.
+    """
     z = NormalDist().inv_cdf(0.5 + level / 2)
-    w, y = F.col(weight), positive
-    per = df.groupBy(stratum).agg(F.sum(F.when(y.isNotNull(), w)).alias("w"), F.sum(F.when(y, w)).alias("wy"), F.sum(F.when(y.isNotNull(), w * w)).alias("ww"))
-    total = per.agg(F.coalesce(F.sum("wy"), F.lit(0.0)).alias("wy"), F.sum("w").alias("w"), F.sum("ww").alias("ww"), F.count_if(F.col("w").isNull()).alias("missing_strata"))
-    p, n = F.col("wy") / F.col("w"), F.col("w") * F.col("w") / F.col("ww")
+    w, y = F.coalesce(1 / F.col(probability), F.lit(1.0)), positive
+    on = y.isNotNull()
+    per = df.groupBy(F.col(stratum).alias("stratum")).agg(F.sum(F.when(on, w)).alias("w"), F.coalesce(F.sum(F.when(y, w)), F.lit(0.0)).alias("wy"), F.sum(F.when(on, w * w)).alias("ww"), F.count_if(on).alias("n"), F.count_if(on & F.col(probability).isNull()).alias("unknown"))
+    plan = declared.select(F.col("stratum").alias("_d"), "population_weight")
+    both = per.join(plan, F.col("stratum") == F.col("_d"), "full_outer")
+    factor = F.coalesce(F.col("population_weight") / F.col("w"), F.lit(1.0))
+    drawn = F.coalesce("n", F.lit(0)) > 0
+    total = both.agg(F.coalesce(F.sum(F.when(F.col("_d").isNotNull(), F.col("wy") * factor)), F.lit(0.0)).alias("wy"), F.sum(F.when(F.col("_d").isNotNull(), F.col("w") * factor)).alias("w"), F.sum(F.when(F.col("_d").isNotNull(), F.col("ww") * factor * factor)).alias("ww"),
+                     F.count_if(F.col("_d").isNull()).alias("undeclared"), F.count_if(F.col("_d").isNotNull() & ~drawn).alias("missing_strata"), F.count_if(F.col("population_weight") <= 0).alias("wrong"), F.coalesce(F.sum("unknown"), F.lit(0)).alias("unknown"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("_d").alias("plan"))
+    c = F.col
+    total = total.withColumn("blockers", _listed({"sampling_stratum_undeclared": c("undeclared") > 0, "sampling_strata_missing": (c("missing_strata") > 0) | (c("plan") == 0), "sampling_strata_invalid": c("wrong") > 0, "inclusion_probability_missing": c("unknown") > 0, "decisive_sample_empty": c("n") == 0}))
+    p, n = c("wy") / c("w"), c("w") * c("w") / c("ww")
     low, high = _wilson(p, n, z)
-    ok = F.col("w").isNotNull() & (F.col("missing_strata") == 0)
-    return total.select(F.round(n, 6).alias("effective_n"), F.when(ok, F.round(p, 6)).alias("precision"), F.when(ok, F.round(low, 6)).alias("low"), F.when(ok, F.round(high, 6)).alias("high"), "missing_strata")
+    ok = F.size("blockers") == 0
+    return total.select("n", F.when(ok, F.round(n, 6)).alias("effective_n"), F.when(ok, F.round(p, 6)).alias("precision"), F.when(ok, F.round(low, 6)).alias("low"), F.when(ok, F.round(high, 6)).alias("high"), "missing_strata", "blockers")
 
 
-def precision_bootstrap(df: DataFrame, stratum: str, group: str, weight: str, positive: Column, replicates: int = 200, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """Percentile interval from resampling groups within strata; a draw's index is a hash, so any partitioning gives the same draws.
+def precision_bootstrap(df: DataFrame, stratum: str, item: str, keys: list[str], weight: str, positive: Column, replicates: int = 200, seed: str = "1", level: float = 0.95) -> DataFrame:
+    """Percentile interval from resampling groups within strata. Groups are the items that shared keys link, over any number of steps.
 
-    Each group is reduced to its sums first. A replicate's draws are joined to the numbered groups; that table has one row per replicate and group.
+    Blocked if a group lies in several strata, and under two groups or 100 replicates. Each group is reduced to its sums first. A draw's index is
+    a hash of seed, stratum, draw and replicate, so any partitioning gives the same draws; that table has a row per
+    replicate and group, and groups are as many as people have judged.
     """
-    sums = df.filter(positive.isNotNull()).groupBy(stratum, group).agg(F.sum(weight).alias("w"), F.sum(F.when(positive, F.col(weight)).otherwise(0.0)).alias("wy"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.partitionBy(stratum).orderBy(group)) - 1).withColumn("n", F.count("*").over(Window.partitionBy(stratum)))
-    draws = numbered.select(stratum, "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    draws = draws.withColumn("i", (F.pmod(F.xxhash64(F.lit(seed), F.col(stratum), "draw", "replicate"), F.col("n"))).cast("int"))
-    per = draws.join(numbered.select(stratum, "i", "w", "wy"), [stratum, "i"]).groupBy("replicate").agg((F.sum("wy") / F.sum("w")).alias("p"))
+    judged = df.filter(positive.isNotNull())
+    groups = link_groups(judged, item, keys)
+    rows = judged.join(groups, item)
+    sums = rows.groupBy("group_id").agg(F.min(stratum).alias("s"), (F.min(stratum) != F.max(stratum)).alias("crosses"), F.sum(weight).alias("w"), F.sum(F.when(positive, F.col(weight)).otherwise(0.0)).alias("wy"))
+    sums = written(sums)
+    within = Window.partitionBy("s")
+    numbered = sums.withColumn("i", F.row_number().over(within.orderBy("group_id")) - 1).withColumn("n", F.count("*").over(within))
+    draws = numbered.select("s", "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    code = F.md5(F.concat_ws("|", F.lit(seed), F.col("s").cast("string"), F.col("draw").cast("string"), F.col("replicate").cast("string")))
+    draws = draws.select("s", "replicate", (F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int").alias("i"))
+    per = draws.join(numbered.select("s", "i", "w", "wy"), ["s", "i"]).groupBy("replicate").agg((F.sum("wy") / F.sum("w")).alias("p"))
     tail = (1 - level) / 2
-    bounds = per.agg(F.count("*").alias("replicates"), F.percentile("p", tail).alias("low"), F.percentile("p", 1 - tail).alias("high"))
-    point = sums.agg((F.sum("wy") / F.sum("w")).alias("precision"))
-    return point.join(F.broadcast(bounds))  # one row each
+    bounds = per.agg(F.percentile("p", tail).alias("low"), F.percentile("p", 1 - tail).alias("high"))
+    point = sums.agg(F.count("*").alias("groups"), F.max("crosses").alias("crosses"), (F.sum("wy") / F.sum("w")).alias("p"))
+    both = point.join(F.broadcast(bounds))  # one row each
+    both = both.withColumn("blockers", _listed({"bootstrap_group_crosses_strata": F.col("crosses"), "bootstrap_groups_insufficient": F.col("groups") < 2, "bootstrap_replicates_invalid": F.lit(replicates < 100), "decisive_sample_empty": F.col("groups") == 0}))
+    ok = F.size("blockers") == 0
+    return both.select("groups", F.lit(replicates).alias("replicates"), *[F.when(ok, F.round(c, 6)).alias(n) for c, n in (("p", "precision"), ("low", "low"), ("high", "high"))], "blockers")
 
 
 def dimension_quality(df: DataFrame, dimensions: list[str], state: str, probability: str) -> DataFrame:
@@ -130,7 +168,3 @@ def calibration_bins(df: DataFrame, p: str, truth: Column, weight: str, bins: in
     gap = F.abs(F.col("mean_p") - F.col("observed"))
     total = F.sum("w").over(Window.partitionBy())  # one row per bin
     return out.select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("observed", 6).alias("observed"), F.round(gap, 6).alias("gap"), F.round(gap * F.col("w") / total, 6).alias("ece_term"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

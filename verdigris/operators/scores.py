@@ -4,18 +4,67 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def route_rows(df: DataFrame, rules: DataFrame, label: str, score: str, default: float = 0.35) -> DataFrame:
-    """Route, action, priority and reason by a rule table (label, route, priority, threshold) of fixed size."""
-    out = df.join(F.broadcast(rules), label, "left")
-    s, t = F.col(score), F.coalesce("threshold", F.lit(default))
-    action = F.when(F.col("route").isNull(), "review").when(s.isNull(), "review").when(s >= t, "score").otherwise("drop")
-    reason = F.when(F.col("route").isNull(), "unknown_label").when(s.isNull(), "missing_score").when(s >= t, "above_threshold").otherwise("below_threshold")
-    return out.withColumns({"route": F.coalesce("route", F.lit("unrouted")), "action": action, "reason": reason, "priority": F.coalesce("priority", F.lit(0))}).drop("threshold")
+#: What a detector's prompt and an older label stand for. Each kind has its route, the route for scoring and the action; two kinds need a score.
+PROMPTS = {
+    "definite_adult": ("adult butterfly", "butterfly", "live adult butterfly"),
+    "possible_adult": ("butterfly wing", "lepidoptera", "possible adult butterfly"),
+    "larval": ("butterfly caterpillar", "caterpillar", "larva"),
+    "pupa": ("butterfly chrysalis", "chrysalis", "pupa"),
+    "pinned_specimen": ("butterfly specimen", "pinned butterfly", "pinned butterfly specimen"),
+    "other_insect": ("moth", "other insect"),
+    "ambiguous_insect": ("insect", "insect-like organism"),
+    "artifact": ("artwork", "butterfly artwork", "butterfly logo", "butterfly tattoo", "drawing", "logo", "museum label", "painting", "pattern", "sign", "tattoo", "text", "textile"),
+    "no_organism": ("flower", "hand", "leaf", "no relevant organism", "person"),
+}
+LABELS = {
+    "definite_adult": ("adult_butterfly", "butterfly_like"), "possible_adult": ("possible_adult_butterfly",), "larval": ("caterpillar",), "pupa": ("pupa",), "pinned_specimen": ("pinned_specimen",), "other_insect": ("moth_like",),
+    "ambiguous_insect": ("insect_like",), "artifact": ("artifact", "hard_negative"), "no_organism": ("no_organism", "no_relevant_organism"),
+}
+KINDS = {
+    "definite_adult": ("adult_butterfly_field", "adult_field", "score", "definite_adult_prompt"), "possible_adult": ("adult_butterfly_field", "adult_field", "score", "possible_adult_prompt"), "larval": ("caterpillar_field", "larval", "score", "larval_prompt"),
+    "pupa": ("pupa_or_chrysalis", None, "exclude", "pupa_prompt_not_scored"), "pinned_specimen": ("pinned_specimen", "pinned_specimen", "score", "pinned_specimen_prompt"), "other_insect": ("possible_moth_or_other_insect", None, "exclude", "other_insect_prompt"),
+    "ambiguous_insect": ("ambiguous_visual_domain", "adult_field", "review", "ambiguous_insect_review"), "artifact": ("artwork_logo_tattoo_or_other_artifact", None, "exclude", "artifact_prompt"), "no_organism": ("no_relevant_organism", None, "exclude", "no_relevant_organism_prompt"),
+}
+AMBIGUOUS = "ambiguous_visual_domain"
+
+
+def _pick(key: Column, values: dict[str, object]) -> Column:
+    """The value of a key by a constant map; null for other keys."""
+    return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("string"))]), key)
+
+
+def route_rows(df: DataFrame, status: str = "detection_status", prompt: str = "prompt", label: str = "label", score: str = "score", adult_threshold: float | None = 0.35, insect_threshold: float | None = 0.35) -> DataFrame:
+    """Adds detection_route, scoring_route, action (score, review, exclude), priority and reason.
+
+    Only detected rows are routed, first by their prompt and, without one, by their older label. A possible adult is
+    scored and an ambiguous insect reviewed from their thresholds on (None: never); everything unknown, below a
+    threshold or without a usable score is excluded. Rules are constant maps inside the plan, so nothing is joined.
+    """
+    text = lambda c, sep: F.array_join(F.filter(F.split(F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"\s+"), lambda w: w != ""), sep)
+    state, s = text(status, "_"), F.col(score).cast("double")
+    usable = F.when((s >= 0) & (s <= 1), s)
+    by_prompt = F.col(prompt).isNotNull()
+    kind = F.when(by_prompt, _pick(text(prompt, " "), {x: k for k, xs in PROMPTS.items() for x in xs})).otherwise(_pick(text(label, "_"), {x: k for k, xs in LABELS.items() for x in xs}))
+    old = F.concat(F.lit("legacy_label:"), F.when(text(label, "_") == "", "missing").otherwise(text(label, "_")))
+    base = F.when(by_prompt, _pick(kind, {k: v[3] for k, v in KINDS.items()})).otherwise(old)
+    limit = F.when(kind == "possible_adult", F.lit(adult_threshold).cast("double")).when(kind == "ambiguous_insect", F.lit(insect_threshold).cast("double"))
+    gated = kind.isin("possible_adult", "ambiguous_insect")
+    cases = [
+        (state == "no_detection", "no_relevant_organism", F.lit("detector_reported_no_detection")), (state != "detected", AMBIGUOUS, F.lit("detection_status_not_routable")), (F.col(score).isNotNull() & usable.isNull(), AMBIGUOUS, F.lit("invalid_detector_score")),
+        (kind.isNull(), AMBIGUOUS, F.when(by_prompt, "unknown_prompt").otherwise("unknown_legacy_label")), (gated & limit.isNull(), AMBIGUOUS, F.concat(base, F.lit(":disabled"))), (gated & usable.isNull(), AMBIGUOUS, F.lit("invalid_detector_score")),
+        (gated & (usable < limit), AMBIGUOUS, F.concat(base, F.lit(":below_threshold"))),
+    ]
+    out = reduce(lambda acc, x: F.when(F.coalesce(x[0], F.lit(False)), F.struct(F.lit(x[1]).alias("route"), F.lit(None).cast("string").alias("scoring"), F.lit("exclude").alias("action"), x[2].alias("reason"))).otherwise(acc), reversed(cases),
+                 F.struct(*[_pick(kind, {k: v[i] for k, v in KINDS.items()}).alias(n) for i, n in enumerate(("route", "scoring", "action"))], F.when(gated & by_prompt, F.concat(base, F.lit(":above_threshold"))).otherwise(base).alias("reason")))
+    routed = df.withColumn("_r", out)
+    priority = _pick(F.col("_r.action"), {"score": "standard", "review": "low", "exclude": "none"})
+    return routed.withColumns({"detection_route": F.col("_r.route"), "scoring_route": F.col("_r.scoring"), "action": F.col("_r.action"), "priority": priority, "reason": F.col("_r.reason")}).drop("_r")
 
 
 def gate_rows(status: str, route: str, routes: tuple[str, ...]) -> dict[str, Column]:
@@ -33,29 +82,32 @@ def box_geometry(box: str, width: Column, height: Column) -> dict[str, Column]:
 
 def _suppress(iou: float, cap: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        rows = pdf.sort_values(["action_rank", "score", "box_id"], ascending=[True, False, True]).reset_index(drop=True)
+        rows = pdf.sort_values(["_rank", "score", "box_id"], ascending=[True, False, True])
+        x1, y1, x2, y2 = (rows[c].to_numpy() for c in ("x1", "y1", "x2", "y2"))
+        area = (x2 - x1) * (y2 - y1)
+        identity = pd.factorize(rows["_identity"])[0]
+        alive, kept = np.ones(len(rows), bool), []
         for i in range(len(rows)):
-            a = rows.iloc[i]
-            clash = False
-            for j in kept:
-                b = rows.iloc[j]
-                if a.route == b.route:
-                    inter = max(0.0, min(a.x2, b.x2) - max(a.x1, b.x1)) * max(0.0, min(a.y2, b.y2) - max(a.y1, b.y1))
-                    union = (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - inter
-                    clash = clash or (union > 0 and inter / union > iou)
-            if not clash and len(kept) < cap:
+            if alive[i] and len(kept) < cap:
                 kept.append(i)
-        return rows.iloc[kept][["image_id", "box_id", "route", "score"]]
+                inter = np.maximum(0, np.minimum(x2, x2[i]) - np.maximum(x1, x1[i])) * np.maximum(0, np.minimum(y2, y2[i]) - np.maximum(y1, y1[i]))
+                union = area + area[i] - inter
+                alive &= ~((identity == identity[i]) & (union > 0) & (inter > iou * np.maximum(union, 0)))
+        return rows.iloc[kept][["image_id", "box_id", "score"]]
 
     return run
 
 
-def suppress_boxes(df: DataFrame, least_score: float = 0.35, least_area: float = 0.0, iou: float = 0.5, cap: int = 20) -> DataFrame:
-    """Greedy suppression inside the same image and route; thresholds run first as columns. A group is one image's boxes."""
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    kept = df.filter((F.col("score") >= least_score) & (area > least_area))
-    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in ("image_id", "box_id", "route", "score"))
+def suppress_boxes(df: DataFrame, width: Column, height: Column, least_score: float = 0.35, least_share: float = 0.0, iou: float = 0.5, cap: int = 20) -> DataFrame:
+    """Greedy suppression per image: boxes by action (score, review, exclude), then score; a box goes if it overlaps a kept one of the same route, action and scoring route.
+
+    Score and share of the image's area are columns and run first. A group is one image's boxes, which a detector bounds.
+    """
+    share = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / (width * height)
+    rank = F.when(F.col("action") == "score", 0).when(F.col("action") == "review", 1).otherwise(2)
+    identity = F.concat_ws("|", "detection_route", "action", F.coalesce("scoring_route", F.lit("")))
+    kept = df.filter((F.col("score") >= least_score) & (share >= least_share)).select("image_id", "box_id", "x1", "y1", "x2", "y2", "score", rank.alias("_rank"), identity.alias("_identity"))
+    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in ("image_id", "box_id", "score"))
     return kept.groupBy("image_id").applyInPandas(_suppress(iou, cap), schema)
 
 
@@ -97,12 +149,16 @@ def nonmatch_maxima(df: DataFrame, query: str, kinds: list[str]) -> DataFrame:
     return out.withColumns({f"margin_over_{k}": F.col(f"{kinds[0]}_calibrated") - F.col(f"{k}_calibrated") for k in kinds[1:]})
 
 
-def fit_threshold_policy(df: DataFrame, p: str, margin: str, truth: str, weight: str, objective: float, most_cells: int = 1_000_000) -> DataFrame:
-    """The (probability, margin) thresholds with weighted precision of the objective or more that are best by recall, precision, coverage, unweighted precision, p and margin; else one infeasible row.
+def fit_threshold_policy(df: DataFrame, p: str, margin: str, truth: str, weight: str, objective: float, eligible: Column | None = None, most_cells: int = 1_000_000) -> DataFrame:
+    """One row: the (probability, margin) thresholds whose weighted precision reaches the objective and that are best by recall, precision, coverage, unweighted precision, p and margin; or none, and the state `infeasible`.
 
-    Samples collapse to distinct (p, margin) cells. Suffix sums over both axes come from two window passes over the dense grid of distinct values, whose size is checked first.
+    Only samples that pass all gates (`eligible`) and have both values can be confirmed; recall and coverage are against
+    all samples. Samples collapse to distinct (p, margin) cells. Suffix sums over both axes come from two window passes
+    over the dense grid of distinct values, whose size is checked first.
     """
-    known = df.filter(F.col(p).isNotNull() & F.col(margin).isNotNull())
+    gate = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
+    marked = df.withColumn("_ok", gate & F.col(p).isNotNull() & F.col(margin).isNotNull())
+    known = marked.filter("_ok")
     w = F.col(weight)
     cells = known.groupBy(F.col(p).alias("p"), F.col(margin).alias("m")).agg(F.sum(w).alias("w"), F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("wy"), F.count("*").alias("n"), F.count_if(truth).alias("y"))
     n_p, n_m = known.agg(F.count_distinct(p), F.count_distinct(margin)).first()
@@ -115,24 +171,39 @@ def fit_threshold_policy(df: DataFrame, p: str, margin: str, truth: str, weight:
     up_m = Window.partitionBy("p").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
     up_p = Window.partitionBy("m").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
     sums = grid.withColumns({c: F.sum(c).over(up_m) for c in names}).withColumns({c: F.sum(c).over(up_p) for c in names})
-    total = df.agg(F.sum(w).alias("_w"), F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("_y"))
-    rated = sums.filter("n > 0").join(F.broadcast(total)).select("p", "m", (F.col("wy") / F.col("w")).alias("precision"), (F.col("wy") / F.col("_y")).alias("recall"), (F.col("w") / F.col("_w")).alias("coverage"), (F.col("y") / F.col("n")).alias("unweighted_precision"))
-    good = rated.filter(F.col("precision") >= objective - 1e-15)
-    best = good.agg(F.max(F.struct("recall", "precision", "coverage", "unweighted_precision", "p", "m")).alias("b"))
-    return best.select(F.when(F.col("b").isNull(), "infeasible").otherwise("feasible").alias("state"), F.col("b.p").alias("p_threshold"), F.col("b.m").alias("margin_threshold"), F.col("b.precision").alias("precision"), F.col("b.recall").alias("recall"), F.col("b.coverage").alias("coverage"))
-
-
-def apply_decision_policy(df: DataFrame, policy: DataFrame) -> DataFrame:
-    """The first gate that holds decides: decision, reason and review priority. The policy is one row."""
+    total = marked.agg(F.sum(w).alias("_w"), F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("_wy"), F.count("*").alias("_n"), F.count_if(truth).alias("_y"), F.count_if("_ok").alias("_e"))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    rated = sums.filter("n > 0").join(F.broadcast(total)).select("p", "m", ratio("wy", "w").alias("precision"), ratio("wy", "_wy").alias("recall"), ratio("w", "_w").alias("coverage"), ratio("y", "n").alias("unweighted_precision"), ratio("y", "_y").alias("unweighted_recall"), ratio("n", "_n").alias("unweighted_coverage"))
+    order = ["recall", "precision", "coverage", "unweighted_precision", "p", "m"]
+    best = rated.filter(F.col("precision") + 1e-15 >= objective).agg(F.max(F.struct(*order, "unweighted_recall", "unweighted_coverage")).alias("b"))
+    achieved = [F.col(f"b.{c}").alias(c) for c in ("precision", "recall", "coverage", "unweighted_precision", "unweighted_recall", "unweighted_coverage")]
+    counts = [F.col("_n").alias("samples"), F.col("_e").alias("eligible_samples"), F.col("_y").alias("positives"), (F.col("_n") - F.col("_y")).alias("negatives"), F.lit(n_p * n_m).cast("long").alias("grid_cells")]
+    both = best.join(F.broadcast(total))  # one row each
+    return both.select(F.when(F.col("b").isNull(), "infeasible").otherwise("fitted").alias("state"), F.when(F.col("b").isNull(), "no_threshold_pair_meets_objective").otherwise("objective_met").alias("state_reason"),
+                       F.col("b.p").alias("p_threshold"), F.col("b.m").alias("margin_threshold"), *achieved, *counts)
+
+
+def apply_decision_policy(df: DataFrame, policy: DataFrame, competing: tuple[str, ...] = ("regional_competitor", "other_competitor", "domain_negative")) -> DataFrame:
+    """Outcome, whether it abstains, and the reason. The first gate that holds decides; the policy is one row.
+
+    Quality gates come first, then the margin over non-matches (at most 0: the leading competitor's outcome, if it is one
+    of `competing`), the probability, the margin over the best competitor, and geography.
+    """
     out = df.join(F.broadcast(policy.select("state", "p_threshold", "margin_threshold")))
     c = F.col
+    behind, leads = c("nonmatch_margin") <= 0, c("leading_outcome").isin(*competing)
+    named = c("negative_outcome").isNotNull()
     gates = [
-        ("infeasible_policy", c("state") == "infeasible", "abstain", 5), ("route_incompatible", ~c("route_ok"), "abstain", 4), ("domain_negative", c("domain_negative"), "reject", 1), ("out_of_distribution", c("out_of_distribution"), "abstain", 4),
-        ("detail_insufficient", ~c("detail_ok"), "abstain", 3), ("coverage_insufficient", ~c("coverage_ok"), "abstain", 3), ("non_target_dominates", c("margin") < 0, "reject", 2), ("missing_probability", c("p").isNull(), "abstain", 4),
-        ("probability_below", c("p") < c("p_threshold"), "review", 3), ("missing_margin", c("margin").isNull(), "abstain", 4), ("margin_below", c("margin") < c("margin_threshold"), "review", 3), ("geography_weak", ~c("geo_ok"), "review", 2),
+        (c("state") != "fitted", "abstain", "decision_policy_infeasible"), (~c("route_ok"), "abstain", "incompatible_route"), (c("domain_negative") & named, c("negative_outcome"), None), (c("domain_negative"), "abstain", "domain_negative_without_supported_outcome"),
+        (c("out_of_distribution"), "out_of_distribution", "out_of_distribution"), (~c("detail_ok"), "insufficient_visual_detail", "insufficient_visual_detail"), (~c("coverage_ok"), "insufficient_reference_coverage", "insufficient_reference_coverage"),
+        (c("no_geo_fallback"), "no_geo_global_fallback", "no_geo_global_fallback"), (behind & leads, c("leading_outcome"), None), (behind, "abstain", "calibrated_non_target_dominates"), (c("p").isNull(), "abstain", "missing_calibrated_target_probability"),
+        (c("p") < c("p_threshold"), "target_probable_review", "target_probability_below_threshold"), (c("margin").isNull(), "abstain", "missing_competitor_margin"), (c("margin") < c("margin_threshold"), "abstain", "competitor_margin_below_threshold"),
+        (~c("geo_ok"), "target_probable_review", "weak_geographic_evidence"),
     ]
-    pick = lambda i: reduce(lambda acc, g: F.when(F.coalesce(g[1], F.lit(False)), F.lit(g[i])).otherwise(acc), reversed(gates), F.lit({0: "confirmed", 2: "confirm", 3: 0}[i]))
-    return out.withColumns({"reason": pick(0), "decision": pick(2), "priority": pick(3)}).drop("state", "p_threshold", "margin_threshold")
+    text = lambda x: x if isinstance(x, Column) else F.lit(x).cast("string")
+    verdict = lambda outcome, reason: F.struct(text(outcome).alias("outcome"), text(reason).alias("reason"))
+    found = reduce(lambda acc, g: F.when(F.coalesce(g[0], F.lit(False)), verdict(g[1], g[2])).otherwise(acc), reversed(gates), verdict("target_confirmed", None))
+    return out.withColumn("_v", found).withColumns({"outcome": F.col("_v.outcome"), "abstained": F.col("_v.reason").isNotNull(), "reason": F.col("_v.reason")}).drop("_v", "state", "p_threshold", "margin_threshold")
 
 
 def derive_score_ids(df: DataFrame, parent: str, evidence: str, fields: list[str]) -> DataFrame:

@@ -30,30 +30,42 @@ def _on_sphere(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
 
 
-def nearest_neighbour_join(candidates: DataFrame, eligible: DataFrame, degrees: float = 5.0) -> DataFrame:
+def _cube(lat: str, lon: str, edge: Column | float) -> list[Column]:
+    return [F.floor((v + 1) / edge).cast("int") for v in _on_sphere(F.col(lat), F.col(lon))]
+
+
+def _first_edge(places: DataFrame, most: int) -> float:
+    """The largest edge of a ladder of quarters of which no cube holds more than `most` places, from one aggregation over all steps."""
+    edges = [2.0 / 4**k for k in range(12)]
+    steps = places.withColumn("_s", F.explode(F.array(*map(F.lit, edges))))
+    full = steps.groupBy("_s", *[c.alias(n) for c, n in zip(_cube("e_lat", "e_lon", F.col("_s")), "ijk")]).count().groupBy("_s").agg(F.max("count").alias("n"))
+    return max((r["_s"] for r in full.filter(F.col("n") <= most).collect()), default=edges[-1])  # at most one row a step
+
+
+def nearest_neighbour_join(candidates: DataFrame, eligible: DataFrame, most_in_cube: int = 256) -> DataFrame:
     """Per candidate (id, lat, lon) the nearest eligible (e_id, e_lat, e_lon), ties by id, with a status.
 
-    Points on the unit sphere lie in cubes of an edge s. A candidate meets the eligible points of its own and the 26
-    neighbouring cubes by an equi-join; a nearest chord of at most s is final. Those without one go on to twice the
-    edge, until a cube holds the sphere. So only remote candidates see remote points.
+    Points on the unit sphere lie in cubes of an edge s. A candidate meets the eligible places of its own and the 26
+    neighbouring cubes by an equi-join; a nearest chord of at most s is final. The first edge follows the densest spot, so
+    that no cube is hot there; equal places are folded before. Candidates without a neighbour go on to four times the
+    edge, until a cube holds the sphere, so only remote candidates meet wide cubes.
     """
     km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("e_lat"), F.col("e_lon")), 9)
     left = candidates.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", "lat", "lon")
-    edge, done = 2 * math.sin(math.radians(degrees) / 2), None
+    places = written(eligible.filter(F.col("e_lat").isNotNull() & F.col("e_lon").isNotNull()).groupBy("e_lat", "e_lon").agg(F.min("e_id").alias("e_id")))
+    edge, done = _first_edge(places, most_in_cube), None
     while True:
         last = edge >= 2
-        cube = lambda lat, lon, s=edge: [F.floor((v + 1) / s).cast("int") for v in _on_sphere(F.col(lat), F.col(lon))]
-        around = F.array(*[F.struct(*[(v + step).alias(n) for v, step, n in zip(cube("lat", "lon"), steps, "ijk")]) for steps in product((-1, 0, 1), repeat=3)])
-        cells = eligible.select("e_id", "e_lat", "e_lon", F.struct(*[v.alias(n) for v, n in zip(cube("e_lat", "e_lon"), "ijk")]).alias("_cube"))
+        around = F.array(*[F.struct(*[(v + step).alias(n) for v, step, n in zip(_cube("lat", "lon", edge), steps, "ijk")]) for steps in product((-1, 0, 1), repeat=3)])
+        cells = places.withColumn("_cube", F.struct(*[v.alias(n) for v, n in zip(_cube("e_lat", "e_lon", edge), "ijk")]))
         near = left.withColumn("_cube", F.explode(around)).join(cells, "_cube")
-        best = near.groupBy("id", "lat", "lon").agg(F.min(F.struct(km.alias("km"), F.col("e_id"))).alias("_b"))
-        found = best.select("id", F.col("_b.e_id").alias("nearest_id"), F.col("_b.km").alias("distance_km"))
-        good = written(found if last else found.filter(F.col("distance_km") <= 2 * RADIUS_KM * math.asin(edge / 2)))
+        best = near.groupBy("id").agg(F.min(F.struct(km.alias("km"), F.col("e_id"))).alias("_b"))
+        tried = written(left.join(best, "id", "left").select("id", "lat", "lon", F.col("_b.e_id").alias("nearest_id"), F.col("_b.km").alias("distance_km")))
+        final = F.coalesce(F.col("distance_km") <= 2 * RADIUS_KM * math.asin(min(1.0, edge / 2)), F.lit(False)) | F.lit(last)
+        good = tried.filter(final & F.col("nearest_id").isNotNull()).select("id", "nearest_id", "distance_km")
         done = good if done is None else done.unionByName(good)
-        if last:
-            break
-        left, edge = written(left.join(good.select("id"), "id", "left_anti")), edge * 2
-        if left.isEmpty():
+        left, edge = tried.filter(~final).select("id", "lat", "lon"), edge * 4
+        if last or left.isEmpty():
             break
     status = F.when(F.col("lat").isNull() | F.col("lon").isNull(), "not_applicable").when(F.col("nearest_id").isNull(), "unavailable").otherwise("available")
     return candidates.join(done, "id", "left").withColumn("status", status)
@@ -76,20 +88,23 @@ def boundary_edges(features: DataFrame) -> DataFrame:
 def point_in_polygon_join(points: DataFrame, edges: DataFrame, degrees: float = 10.0, tolerance: float = 1e-12) -> DataFrame:
     """(point_id, feature_id): the one feature that holds the point, null for none or several.
 
-    Boxes of features cover grid cells, so points and features meet by an equi-join on the cell. Points on the outer
+    Boxes of features cover grid cells, so points and features meet by an equi-join on the cell. Edges lie in bands of
+    latitude, and a point meets those of its own band only: no others can cross its ray or touch it. Points on the outer
     ring are inside, points on a hole's ring outside.
     """
     box = edges.filter("ring = 0").groupBy("feature_id").agg(F.min("x1").alias("bx1"), F.max("x1").alias("bx2"), F.min("y1").alias("by1"), F.max("y1").alias("by2"))
     cover = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / degrees), F.floor(F.col(b) / degrees)))
     cells = box.withColumn("gx", cover("bx1", "bx2")).withColumn("gy", cover("by1", "by2"))
     located = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / degrees).alias("gx"), F.floor(F.col("lat") / degrees).alias("gy"))
-    near = located.join(cells, ["gx", "gy"]).filter("lon BETWEEN bx1 AND bx2 AND lat BETWEEN by1 AND by2").select("point_id", "lon", "lat", "feature_id")
+    near = located.join(cells, ["gx", "gy"]).filter("lon BETWEEN bx1 AND bx2 AND lat BETWEEN by1 AND by2").select("point_id", "lon", "lat", "feature_id", "gy")
+    band = lambda v: F.floor(v / degrees)
+    edges = edges.withColumn("gy", F.explode(F.sequence(band(F.least("y1", "y2") - tolerance), band(F.greatest("y1", "y2") + tolerance))))
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y2 == y1, F.lit(1.0)).otherwise(y2 - y1) + x1)
     area = F.abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))
     scale = F.greatest(F.lit(1.0), F.abs(x2 - x1) + F.abs(y2 - y1))
     on_edge = (area <= tolerance * scale) & (x >= F.least(x1, x2) - tolerance) & (x <= F.greatest(x1, x2) + tolerance) & (y >= F.least(y1, y2) - tolerance) & (y <= F.greatest(y1, y2) + tolerance)
-    rings = near.join(edges, "feature_id").groupBy("point_id", "feature_id", "ring").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.max(on_edge).alias("edge"))
+    rings = near.join(edges, ["feature_id", "gy"]).groupBy("point_id", "feature_id", "ring").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.max(on_edge).alias("edge"))
     held = rings.groupBy("point_id", "feature_id").agg(F.max(F.when(F.col("ring") == 0, F.col("odd") | F.col("edge"))).alias("outer"), F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd") | F.col("edge"))), F.lit(False)).alias("hole"))
     one = held.filter("outer AND NOT hole").groupBy("point_id").agg(F.when(F.count_distinct("feature_id") == 1, F.max("feature_id")).alias("feature_id"))
     return points.select("point_id").join(one, "point_id", "left")

@@ -14,7 +14,7 @@ COUNTS = ["baseline_items", "eligible_items", "candidate_items", "supported_item
 
 
 def _cells(spark, d):
-    b = V.filtered_distinct_counts(R.baseline(spark, d).filter("eligible AND price > 440000"), ["continent", "country", "cell_id"], "item_id", {"baseline_items": F.lit(True), "eligible_items": F.col("eligible")}, "event_date").withColumnRenamed("latest_date", "baseline_latest")
+    b = V.filtered_distinct_counts(R.baseline(spark, d), ["continent", "country", "cell_id"], "item_id", {"baseline_items": F.lit(True), "eligible_items": F.col("eligible")}, "event_date").withColumnRenamed("latest_date", "baseline_latest")
     c = R.candidates(spark, d)
     states = {f"{s}_items": F.col("state") == s for s in ("supported", "rejected", "pending", "uncertain")}
     c = V.filtered_distinct_counts(c, ["continent", "country", "cell_id"], "item_id", {"candidate_items": F.lit(True), **states, "ready_items": (F.col("state") == "supported") & F.col("ready")}, "event_date").withColumnRenamed("latest_date", "candidate_latest")
@@ -25,7 +25,7 @@ CELLS = f"""SELECT coalesce(b.continent, c.continent) AS continent, coalesce(b.c
  coalesce(baseline_items, 0) AS baseline_items, coalesce(eligible_items, 0) AS eligible_items, baseline_latest, coalesce(candidate_items, 0) AS candidate_items, coalesce(supported_items, 0) AS supported_items,
  coalesce(rejected_items, 0) AS rejected_items, coalesce(pending_items, 0) AS pending_items, coalesce(uncertain_items, 0) AS uncertain_items, coalesce(ready_items, 0) AS ready_items, candidate_latest
  FROM (SELECT continent, country, cell_id, count(DISTINCT item_id) AS baseline_items, count(DISTINCT CASE WHEN eligible THEN item_id END) AS eligible_items, max(event_date) AS baseline_latest
-  FROM ({R.BASELINE}) WHERE eligible AND price > 440000 GROUP BY ALL) b
+  FROM ({R.BASELINE}) GROUP BY ALL) b
  FULL OUTER JOIN (SELECT continent, country, cell_id, count(DISTINCT item_id) AS candidate_items, count(DISTINCT CASE WHEN state = 'supported' THEN item_id END) AS supported_items,
   count(DISTINCT CASE WHEN state = 'rejected' THEN item_id END) AS rejected_items, count(DISTINCT CASE WHEN state = 'pending' THEN item_id END) AS pending_items, count(DISTINCT CASE WHEN state = 'uncertain' THEN item_id END) AS uncertain_items,
   count(DISTINCT CASE WHEN state = 'supported' AND ready THEN item_id END) AS ready_items, max(event_date) AS candidate_latest FROM ({R.CANDIDATES}) GROUP BY ALL) c
@@ -53,10 +53,10 @@ def review_state_counts(spark, d):
 
 @query(f"""SELECT coalesce(a.cell_id, s.cell_id) AS cell_id, a.cell_id IS NOT NULL AS in_recomputed, s.cell_id IS NOT NULL AS in_stored,
  concat_ws(',', CASE WHEN a.n IS DISTINCT FROM s.n THEN 'n' END, CASE WHEN a.latest_date IS DISTINCT FROM s.latest_date THEN 'latest_date' END) AS differing FROM
- (SELECT cell_id, count(DISTINCT item_id) AS n, max(event_date) AS latest_date FROM ({R.BASELINE}) WHERE price > 30000 GROUP BY 1) a
- FULL OUTER JOIN (SELECT cell_id, count(DISTINCT item_id) AS n, max(event_date) AS latest_date FROM ({R.BASELINE}) WHERE priority <> '5-LOW' AND price > 30000 GROUP BY 1) s ON a.cell_id = s.cell_id""")
+ (SELECT cell_id, count(DISTINCT item_id) AS n, max(event_date) AS latest_date FROM ({R.BASELINE}) GROUP BY 1) a
+ FULL OUTER JOIN (SELECT cell_id, count(DISTINCT item_id) AS n, max(event_date) AS latest_date FROM ({R.BASELINE}) WHERE priority <> '5-LOW' GROUP BY 1) s ON a.cell_id = s.cell_id""")
 def reconcile_full_outer(spark, d):
-    b = R.baseline(spark, d).filter("price > 30000")
+    b = R.baseline(spark, d)
     side = lambda x: V.filtered_distinct_counts(x, ["cell_id"], "item_id", {"n": F.lit(True)}, "event_date")
     out = V.reconcile_full_outer(side(b), side(b.filter("priority <> '5-LOW'")), ["cell_id"], ["n", "latest_date"])
     return out.select("cell_id", "in_recomputed", "in_stored", F.array_join("differing", ",").alias("differing"))
@@ -311,9 +311,14 @@ def canonical_row_hash(spark, d):
     return R.table(spark, d, "nation").select("n_nationkey", C.canonical_row_hash(R.table(spark, d, "nation")).alias("h"))
 
 
-@query()
+FINGERPRINT = """WITH a AS (SELECT sha256('{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"' || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}') AS h FROM orders),
+ b AS (SELECT substr(h, 1, 4) || sha256(string_agg(h, ',' ORDER BY h)) AS h, count(*) AS n FROM a GROUP BY substr(h, 1, 4)), c AS (SELECT substr(h, 1, 2) || sha256(string_agg(h, ',' ORDER BY h)) AS h, sum(n) AS n FROM b GROUP BY substr(h, 1, 2))
+ SELECT CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(h, ',' ORDER BY h)) AS fingerprint FROM c"""
+
+
+@query(FINGERPRINT)
 def dataset_fingerprint(spark, d):
-    return C.dataset_fingerprint(R.table(spark, d, "orders"))
+    return C.dataset_fingerprint(R.table(spark, d, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 
 
 @query("""SELECT *, 'expected' AS side FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) UNION ALL SELECT *, 'actual' FROM (SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT c_nationkey FROM customer)""")

@@ -34,28 +34,61 @@ def ledger_validation(spark, d):
     return L.ledger_validation(broken)
 
 
-CONSENSUS = f"""SELECT item_id, CASE WHEN adj = 1 THEN 'adjudicated' WHEN adj > 1 OR sig > 1 THEN 'disagreement' WHEN decisive >= 2 THEN 'agreement' WHEN unc >= 2 THEN 'uncertain' WHEN unv >= 2 THEN 'media_failure' WHEN skp > 0 AND skp = reviewers THEN 'deferred' ELSE 'pending' END AS status,
- CASE WHEN adj = 1 THEN adjudicated WHEN adj > 1 OR sig > 1 THEN NULL WHEN decisive >= 2 THEN agreed END AS consensus_outcome, decisive, reviewers, unv, adj, sig FROM (SELECT item_id,
- count(DISTINCT CASE WHEN event_type <> 'review' AND outcome IN ('yes','no') THEN outcome END) AS adj, max(CASE WHEN event_type <> 'review' AND outcome IN ('yes','no') THEN outcome END) AS adjudicated,
- count(CASE WHEN event_type = 'review' AND outcome IN ('yes','no') THEN 1 END) AS decisive, count(DISTINCT CASE WHEN event_type = 'review' AND outcome IN ('yes','no') THEN outcome END) AS sig, max(CASE WHEN event_type = 'review' AND outcome IN ('yes','no') THEN outcome END) AS agreed,
- count(CASE WHEN event_type = 'review' AND outcome = 'cant_tell' THEN 1 END) AS unc, count(CASE WHEN event_type = 'review' AND outcome = 'cant_view' THEN 1 END) AS unv, count(CASE WHEN event_type = 'review' AND outcome = 'skipped' THEN 1 END) AS skp, count(*) AS reviewers FROM ({LATEST}) GROUP BY 1)"""
+FIELDS = ("outcome", "non_target_category", "alternative_taxon", "life_stage", "visual_domain", "view")
+CONSENSUS = f"""WITH led AS MATERIALIZED ({R.LEDGER}), live AS (SELECT * FROM led WHERE event_id NOT IN (SELECT supersedes_event_id FROM led WHERE supersedes_event_id IS NOT NULL)),
+ latest AS MATERIALIZED (SELECT *, event_type = 'review' AS src, outcome IN ('yes','no') AS dec FROM live QUALIFY row_number() OVER (PARTITION BY item_id, reviewer_id ORDER BY reviewed_at DESC, review_round DESC, event_id DESC) = 1),
+ doubts AS (SELECT DISTINCT item_id FROM led u WHERE event_type = 'review' AND outcome = 'cant_tell' AND NOT EXISTS (SELECT 1 FROM latest x WHERE x.item_id = u.item_id AND x.src AND x.dec AND x.reviewer_id <> u.reviewer_id AND x.reviewed_at > u.reviewed_at)),
+ per AS (SELECT item_id, count(*) AS reviewers, count(CASE WHEN dec THEN 1 END) AS decisive, count(CASE WHEN src AND dec THEN 1 END) AS sd, count(CASE WHEN src THEN 1 END) AS ns, count(CASE WHEN NOT src THEN 1 END) AS na,
+  count(CASE WHEN src AND outcome = 'cant_tell' THEN 1 END) AS ct, count(CASE WHEN src AND outcome = 'cant_view' THEN 1 END) AS cv, {", ".join(f"count(CASE WHEN outcome = '{o}' THEN 1 END) AS n_{o}" for o in L.OUTCOMES)},
+  {", ".join(f"count(DISTINCT CASE WHEN src AND dec THEN coalesce({f}, '') END) > 1 AS s_{f}, count(DISTINCT CASE WHEN NOT src THEN coalesce({f}, '') END) > 1 AS a_{f}" for f in FIELDS)},
+  bool_or(src AND conflicts_with_decision_id IS NOT NULL) AS s_explicit_conflict_pointer, bool_or(NOT src AND conflicts_with_decision_id IS NOT NULL) AS a_explicit_conflict_pointer, max(CASE WHEN src AND dec THEN outcome END) AS s_out, max(CASE WHEN NOT src THEN outcome END) AS a_out,
+  list_sort(list(event_id) FILTER (src AND (dec OR conflicts_with_decision_id IS NOT NULL))) AS s_ids, list_sort(list(event_id) FILTER (NOT src)) AS a_ids, coalesce(bool_or(dec AND duplicate_concern), false) AS duplicate_concern FROM latest GROUP BY 1),
+ named AS (SELECT *, item_id IN (SELECT item_id FROM doubts) AS unresolved_uncertainty, {", ".join("concat_ws(',', " + ", ".join(f"CASE WHEN {side}_{f} THEN '{f}' END" for f in sorted((*FIELDS, "explicit_conflict_pointer"))) + f") AS {side}_fields" for side in "sa")} FROM per),
+ judged AS (SELECT *, CASE WHEN na > 0 AND a_fields <> '' THEN 'unresolved_disagreement' WHEN na > 0 THEN 'adjudicated' WHEN ns = 0 THEN 'pending' WHEN s_fields <> '' THEN 'unresolved_disagreement' WHEN sd = 0 AND ct > 0 THEN 'uncertain_only' WHEN sd = 0 AND cv > 0 THEN 'media_failure'
+  WHEN sd = 0 THEN 'deferred' WHEN unresolved_uncertainty OR sd < 2 THEN 'pending' ELSE 'complete_agreement' END AS status FROM named)
+ SELECT *, CASE WHEN status = 'adjudicated' THEN a_out WHEN status = 'complete_agreement' THEN s_out END AS consensus_outcome FROM judged"""
+
+
+@query(f"""SELECT item_id, status, consensus_outcome, decisive, reviewers, CASE WHEN status <> 'unresolved_disagreement' THEN '' WHEN na > 0 THEN a_fields ELSE s_fields END AS conflicting_fields,
+ CASE WHEN status <> 'unresolved_disagreement' THEN '' WHEN na > 0 THEN array_to_string(a_ids, ',') ELSE array_to_string(s_ids, ',') END AS conflict_event_ids, status IN ('unresolved_disagreement', 'uncertain_only') OR (status = 'pending' AND ns > 0) AS second_review_required,
+ status = 'unresolved_disagreement' AS adjudication_required, unresolved_uncertainty FROM ({CONSENSUS})""")
+def project_consensus(spark, d):
+    out = L.project_consensus(R.ledger(spark, d)).withColumns({"conflicting_fields": F.array_join("conflicting_fields", ","), "conflict_event_ids": F.array_join(F.col("conflict_event_ids").cast("array<string>"), ",")})
+    return out.select("item_id", "status", "consensus_outcome", "decisive", "reviewers", "conflicting_fields", "conflict_event_ids", "second_review_required", "adjudication_required", "unresolved_uncertainty")
 
 
-@query(f"""SELECT item_id, status, consensus_outcome, decisive, reviewers, concat_ws(',', CASE WHEN status = 'disagreement' THEN 'conflict' END, CASE WHEN decisive < 2 THEN 'too_few_decisive' END, CASE WHEN unv > 0 THEN 'unviewable' END) AS blockers FROM ({CONSENSUS})""")
-def project_consensus(spark, d):
-    return L.project_consensus(R.ledger(spark, d)).withColumn("blockers", F.array_join("blockers", ","))
+ELIGIBLE = """SELECT item_id, CASE WHEN NOT support THEN '' ELSE concat_ws(',', CASE WHEN terms = '' THEN 'attribution_missing' END, CASE WHEN duplicate_concern THEN 'duplicate_concern' END, CASE WHEN NOT licence THEN 'licence_not_allowed' END, CASE WHEN done AND consensus_outcome <> 'yes' THEN 'not_verified' END,
+ CASE WHEN NOT done THEN 'review_not_completed' END, CASE WHEN NOT known THEN 'source_provenance_missing' END, CASE WHEN done AND dom <> 'live_field' THEN 'visual_domain_not_support_eligible' END) END AS support_blockers,
+ CASE WHEN support THEN '' ELSE concat_ws(',', CASE WHEN duplicate_concern THEN 'duplicate_concern' END, CASE WHEN p IS NULL THEN 'inclusion_probability_missing' END, CASE WHEN NOT done THEN 'review_not_completed' END) END AS final_blockers, support
+ FROM (SELECT item_id, c_custkey % 2 = 0 AS support, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS terms, c_mktsegment <> 'BUILDING' AS licence, c_nationkey <> 3 AS known, CASE WHEN c_custkey % 5 <> 0 THEN 0.5 END AS p, status IN ('complete_agreement', 'adjudicated') AS done, consensus_outcome, duplicate_concern, dom
+ FROM ({c}) JOIN customer ON item_id = c_custkey LEFT JOIN (SELECT item_id, min(CASE WHEN (event_type <> 'review') = (na > 0) THEN visual_domain END) AS dom FROM ({t}) JOIN (SELECT item_id, na FROM ({c})) USING (item_id) WHERE outcome IN ('yes','no') GROUP BY 1) USING (item_id))"""
+
 
+@query(f"""SELECT item_id, CASE WHEN NOT support THEN 'not_applicable' WHEN support_blockers = '' THEN 'prepared' ELSE 'blocked' END AS support_eligibility, support_blockers, CASE WHEN support THEN 'not_applicable' WHEN final_blockers = '' THEN 'eligible' ELSE 'blocked' END AS final_test_eligibility, final_blockers FROM ({ELIGIBLE.format(c=CONSENSUS, t=LATEST)})""")
+def consensus_eligibility(spark, d):
+    """Blockers of use as reference support and in the final test, for items that are customers."""
+    items = R.table(spark, d, "customer").withColumn("item_id", F.col("c_custkey"))
+    rows = L.project_consensus(R.ledger(spark, d)).join(items, "item_id")
+    even = F.col("c_custkey") % 2 == 0
+    out = L.support_eligibility(rows, even, F.col("c_nationkey") != 3, F.col("c_mktsegment") != "BUILDING", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")))
+    out = L.final_test_eligibility(out, ~even, F.when(F.col("c_custkey") % 5 != 0, 0.5))
+    return out.select("item_id", "support_eligibility", F.array_join("support_eligibility_blockers", ",").alias("support_blockers"), "final_test_eligibility", F.array_join("final_test_eligibility_blockers", ",").alias("final_blockers"))
 
-@query(f"""SELECT event_id, item_id FROM ({LIVE}) a WHERE outcome = 'cant_tell' AND NOT EXISTS (SELECT 1 FROM ({LIVE}) b WHERE b.item_id = a.item_id AND b.outcome IN ('yes','no') AND b.reviewed_at > a.reviewed_at AND b.reviewer_id <> a.reviewer_id)""")
+
+@query(f"""SELECT event_id, item_id FROM ({R.LEDGER}) a WHERE outcome = 'cant_tell' AND event_type = 'review' AND NOT EXISTS (SELECT 1 FROM ({LATEST}) b WHERE b.item_id = a.item_id AND b.event_type = 'review' AND b.outcome IN ('yes','no') AND b.reviewed_at > a.reviewed_at AND b.reviewer_id <> a.reviewer_id)""")
 def unresolved_uncertainty(spark, d):
     return L.unresolved_uncertainty(R.ledger(spark, d)).select("event_id", "item_id")
 
 
-@query(f"""SELECT count(*) AS items, count(status) AS reviewed, count(CASE WHEN status IN ('agreement','adjudicated') THEN 1 END) AS decided, count(CASE WHEN status = 'disagreement' THEN 1 END) AS conflicts, round(count(CASE WHEN status IN ('agreement','adjudicated') THEN 1 END) * 1.0 / count(*), 6) AS decided_ratio
- FROM (SELECT c_custkey AS item_id FROM customer) LEFT JOIN ({CONSENSUS}) USING (item_id)""")
+@query(f"""SELECT count(*) AS items, count(CASE WHEN reviewers > 0 THEN 1 END) AS attempted_items, count(CASE WHEN status IN ('complete_agreement','adjudicated') THEN 1 END) AS decisive_items, count(CASE WHEN consensus_outcome = 'yes' THEN 1 END) AS yes_items, count(CASE WHEN consensus_outcome = 'no' THEN 1 END) AS no_items,
+ count(CASE WHEN status IN ('uncertain_only','unresolved_disagreement') THEN 1 END) AS uncertain_items, count(CASE WHEN status = 'media_failure' THEN 1 END) AS media_failure_items, count(CASE WHEN status = 'deferred' THEN 1 END) AS deferred_items, count(CASE WHEN coalesce(status, 'pending') = 'pending' THEN 1 END) AS pending_items,
+ CAST(sum(reviewers) AS BIGINT) AS reviews, {", ".join(f"CAST(sum(n_{o}) AS BIGINT) AS {o}_reviews" for o in L.OUTCOMES)}, count(CASE WHEN opened OR verified THEN 1 END) AS inspected_items, count(CASE WHEN opened AND verified THEN 1 END) AS viewable_items,
+ round(count(reviewers) * 1.0 / count(*), 6) AS review_coverage, round(count(CASE WHEN opened OR verified THEN 1 END) * 1.0 / count(*), 6) AS inspection_coverage, round(count(CASE WHEN opened AND verified THEN 1 END) * 1.0 / count(CASE WHEN opened OR verified THEN 1 END), 6) AS viewability_rate
+ FROM (SELECT c_custkey AS item_id, c_acctbal > 0 AS opened, c_acctbal > 500 AS verified FROM customer) LEFT JOIN ({CONSENSUS}) USING (item_id)""")
 def verification_coverage(spark, d):
     items = R.table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"))
-    return L.verification_coverage(items, L.project_consensus(R.ledger(spark, d)))
+    seen = R.table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"), (F.col("c_acctbal") > 0).alias("image_opened"), (F.col("c_acctbal") > 500).alias("image_verified"), F.lit(None).cast("string").alias("image_failure_reason"))
+    return L.verification_coverage(items, L.project_consensus(R.ledger(spark, d)), seen)
 
 
 RATINGS = f"SELECT item_id, reviewer_id, outcome AS label FROM ({LATEST}) WHERE outcome IN ('yes','no','cant_tell')"
@@ -70,11 +103,13 @@ def percent_agreement(spark, d):
     return L.percent_agreement(_ratings(spark, d))
 
 
-@query(f"""WITH c AS (SELECT item_id, label, n, sum(n) OVER (PARTITION BY item_id) AS t FROM (SELECT item_id, label, count(*) AS n FROM ({RATINGS}) GROUP BY 1, 2)), p AS (SELECT * FROM c WHERE t > 1),
- o AS (SELECT sum(t) AS m, sum((t * (t - 1) - s) * 1.0 / (t - 1)) AS dis FROM (SELECT item_id, any_value(t) AS t, sum(n * (n - 1)) AS s FROM p GROUP BY 1)), k AS (SELECT sum(x * x) AS kk FROM (SELECT label, sum(n) AS x FROM p GROUP BY 1))
- SELECT CAST(m AS BIGINT) AS ratings, round(1 - dis / ((m * m - kk) * 1.0 / (m - 1)), 6) AS alpha, 'none' AS blocker FROM o, k""")
+@query(f"""WITH r AS (SELECT item_id // 3 AS campaign, item_id, label FROM ({RATINGS})), c AS (SELECT campaign, item_id, label, n, sum(n) OVER (PARTITION BY item_id) AS t FROM (SELECT campaign, item_id, label, count(*) AS n FROM r GROUP BY 1, 2, 3)), p AS (SELECT * FROM c WHERE t > 1),
+ o AS (SELECT campaign, count(*) AS items, sum(t) AS m, sum((t * (t - 1) - s) * 1.0 / (t - 1)) AS dis FROM (SELECT campaign, item_id, any_value(t) AS t, sum(n * (n - 1)) AS s FROM p GROUP BY 1, 2) GROUP BY 1), k AS (SELECT campaign, sum(x * x) AS kk FROM (SELECT campaign, label, sum(n) AS x FROM p GROUP BY 1, 2) GROUP BY 1),
+ j AS (SELECT campaign, coalesce(items, 0) AS items, coalesce(m, 0) AS m, dis / m AS ob, (m * m - kk) * 1.0 / (m * (m - 1)) AS ex FROM (SELECT DISTINCT campaign FROM r) LEFT JOIN o USING (campaign) LEFT JOIN k USING (campaign))
+ SELECT campaign, items AS overlapping_items, CAST(m AS BIGINT) AS ratings, CASE WHEN b = '' THEN round(ob, 6) END AS observed_disagreement, CASE WHEN b = '' THEN round(ex, 6) END AS expected_disagreement, CASE WHEN b = '' THEN round(1 - ob / ex, 6) + 0.0::DOUBLE END AS alpha, b AS blockers
+ FROM (SELECT *, concat_ws(',', CASE WHEN ex IS NULL OR ex = 0 THEN 'label_variation_absent' END, CASE WHEN items < 2 THEN 'reviewer_overlap_insufficient' END) AS b FROM j)""")
 def krippendorff_alpha_nominal(spark, d):
-    return L.krippendorff_alpha_nominal(_ratings(spark, d))
+    return L.krippendorff_alpha_nominal(_ratings(spark, d).withColumn("campaign", F.floor(F.col("item_id") / 3)), ["campaign"]).withColumn("blockers", F.array_join("blockers", ","))
 
 
 @query(f"""SELECT reviewer_id, count(*) AS n, round(count(CASE WHEN outcome = truth THEN 1 END) * 1.0 / nullif(count(CASE WHEN outcome IN ('yes','no') THEN 1 END), 0), 6) AS accuracy,
@@ -97,8 +132,8 @@ def decision_import_rows(spark, d):
     return L.decision_import_rows(R.ledger(spark, d)).drop("reviewed_at")
 
 
-@query(f"""SELECT cell_id, count(*) AS items, count(CASE WHEN status IN ('agreement','adjudicated') AND consensus_outcome = 'yes' THEN 1 END) AS supported, count(CASE WHEN status IN ('agreement','adjudicated') AND consensus_outcome = 'no' THEN 1 END) AS rejected,
- count(CASE WHEN coalesce(status, 'pending') IN ('pending','deferred') THEN 1 END) AS pending, count(CASE WHEN status IN ('uncertain','disagreement','media_failure') THEN 1 END) AS uncertain FROM (SELECT c_custkey AS item_id, c_mktsegment AS cell_id FROM customer) LEFT JOIN ({CONSENSUS}) USING (item_id) GROUP BY 1""")
+@query(f"""SELECT cell_id, count(*) AS items, count(CASE WHEN consensus_outcome = 'yes' THEN 1 END) AS reviewed_target_positive, count(CASE WHEN consensus_outcome = 'no' THEN 1 END) AS reviewed_non_target, count(CASE WHEN status IN ('unresolved_disagreement','uncertain_only') THEN 1 END) AS uncertain,
+ count(CASE WHEN status = 'media_failure' THEN 1 END) AS media_failure, count(CASE WHEN status = 'deferred' THEN 1 END) AS skipped, count(CASE WHEN coalesce(status, 'pending') = 'pending' THEN 1 END) AS pending, count(consensus_outcome) AS decisively_reviewed FROM (SELECT c_custkey AS item_id, c_mktsegment AS cell_id FROM customer) LEFT JOIN ({CONSENSUS}) USING (item_id) GROUP BY 1""")
 def project_cell_review(spark, d):
     bindings = R.table(spark, d, "customer").select(F.col("c_custkey").alias("item_id"), F.col("c_mktsegment").alias("cell_id"))
     return L.project_cell_review(L.project_consensus(R.ledger(spark, d)), bindings)
@@ -147,14 +182,14 @@ def review_batch(spark, d):
 @query(f"""SELECT item_id, stratum, round(least(n, pop) * 1.0 / pop, 6) AS inclusion_probability, round(pop * 1.0 / least(n, pop), 6) AS sampling_weight FROM (SELECT *, count(*) OVER (PARTITION BY stratum) AS pop, row_number() OVER (PARTITION BY stratum ORDER BY sha256('seed|' || item_id), item_id) AS rn,
  CASE WHEN stratum = 'en' THEN 60 ELSE 30 END AS n FROM ({R.POPULATION})) WHERE rn <= n""")
 def stratified_sample(spark, d):
-    out = S.stratified_sample(R.population(spark, d), "stratum", "item_id", F.when(F.col("stratum") == "en", 60).otherwise(30), "seed")
+    out = S.stratified_sample(R.population(spark, d), "stratum", "item_id", {"en": 60}, 30, "seed")
     return out.select("item_id", "stratum", F.round("inclusion_probability", 6).alias("inclusion_probability"), F.round("sampling_weight", 6).alias("sampling_weight"))
 
 
 @query(f"SELECT stratum, count(*) AS population, CAST(least(count(*), CASE WHEN stratum = 'fr' THEN 0 ELSE 25 END) AS BIGINT) AS sampled, stratum = 'fr' AS zero_take FROM ({R.POPULATION}) GROUP BY 1")
 def stratum_receipts(spark, d):
     p = R.population(spark, d)
-    return S.stratum_receipts(p, S.stratified_sample(p, "stratum", "item_id", F.when(F.col("stratum") == "fr", 0).otherwise(25), "seed"), "stratum")
+    return S.stratum_receipts(p, S.stratified_sample(p, "stratum", "item_id", {"fr": 0}, 25, "seed"), "stratum")
 
 
 @query(f"SELECT item_id, sha256('seed|' || item_id) AS rank_hash FROM ({R.POPULATION})")
@@ -205,20 +240,36 @@ WILSON = "(({p} + {z}*{z}/(2*{n}) {s} {z}*sqrt({p}*(1-{p})/{n} + {z}*{z}/(4*{n}*
 Z = "1.959963984540054"
 
 
-@query(f"""SELECT n, k, round(p, 6) AS precision, round({WILSON.format(p='p', n='n::DOUBLE', z=Z, s='-')}, 6) AS low, round({WILSON.format(p='p', n='n::DOUBLE', z=Z, s='+')}, 6) AS high, 'none' AS blocker FROM (SELECT count(*) AS n, count(CASE WHEN truth THEN 1 END) AS k, count(CASE WHEN truth THEN 1 END) * 1.0::DOUBLE / count(*) AS p FROM ({R.DECISIONS}))""")
+@query(f"""SELECT lang, n, k, CASE WHEN b = '' THEN round(p, 6) END AS precision, CASE WHEN b = '' THEN round({WILSON.format(p='p', n='n::DOUBLE', z=Z, s='-')}, 6) END AS low, CASE WHEN b = '' THEN round({WILSON.format(p='p', n='n::DOUBLE', z=Z, s='+')}, 6) END AS high, b AS blockers
+ FROM (SELECT *, concat_ws(',', CASE WHEN n = 0 THEN 'decisive_sample_empty' END, CASE WHEN unknown THEN 'inclusion_probability_missing' END, CASE WHEN unequal THEN 'inclusion_probability_unequal' END) AS b FROM (SELECT lang, count(truth) AS n, count(CASE WHEN truth THEN 1 END) AS k, count(CASE WHEN truth THEN 1 END) * 1.0::DOUBLE / nullif(count(truth), 0) AS p,
+ bool_or(chance IS NULL) AS unknown, count(DISTINCT chance) > 1 AS unequal FROM (SELECT lang, truth, CASE WHEN lang = 'de' THEN 0.25 WHEN lang = 'fr' AND sample_id % 2 = 0 THEN NULL WHEN lang = 'es' THEN 1 / (2.0 + sample_id % 2) ELSE 0.5 END AS chance FROM ({R.DECISIONS})) GROUP BY 1))""")
 def precision_wilson(spark, d):
-    return S.precision_wilson(R.decisions(spark, d), F.col("truth"))
+    n = F.col("sample_id")
+    chance = F.when(F.col("lang") == "de", 0.25).when((F.col("lang") == "fr") & (n % 2 == 0), None).when(F.col("lang") == "es", 1 / (2.0 + n % 2)).otherwise(0.5)
+    return S.precision_wilson(R.decisions(spark, d).withColumn("chance", chance), F.col("truth"), ["lang"], inclusion="chance").withColumn("blockers", F.array_join("blockers", ","))
 
 
-@query(f"""SELECT round(n, 6) AS effective_n, round(p, 6) AS precision, round({WILSON.format(p='p', n='n', z=Z, s='-')}, 6) AS low, round({WILSON.format(p='p', n='n', z=Z, s='+')}, 6) AS high, 0 AS missing_strata FROM (SELECT sum(CASE WHEN truth THEN weight END) / sum(weight) AS p, sum(weight) * sum(weight) / sum(weight * weight) AS n FROM (SELECT truth, weight::DOUBLE AS weight FROM ({R.DECISIONS})))""")
+@query(f"""WITH r AS (SELECT coalesce(lang, '') AS lang, truth, weight::DOUBLE AS w FROM ({R.DECISIONS})), s AS (SELECT lang, sum(w) AS sw FROM r GROUP BY 1), a AS (SELECT truth, CASE lang WHEN 'en' THEN 0.5 * w / sw WHEN 'de' THEN 0.25 * w / sw ELSE w END AS w FROM r JOIN s USING (lang)),
+ t AS (SELECT count(*) AS n, sum(CASE WHEN truth THEN w ELSE 0 END) / sum(w) AS p, sum(w) * sum(w) / sum(w * w) AS e FROM a)
+ SELECT n, round(e, 6) AS effective_n, round(p, 6) AS precision, round({WILSON.format(p='p', n='e', z=Z, s='-')}, 6) AS low, round({WILSON.format(p='p', n='e', z=Z, s='+')}, 6) AS high, 0 AS missing_strata, '' AS blockers FROM t""")
 def precision_hajek(spark, d):
-    return S.precision_hajek(R.decisions(spark, d), "lang", "weight", F.col("truth"))
+    rows = R.decisions(spark, d).withColumns({"lang": F.coalesce("lang", F.lit("")), "chance": 1 / F.col("weight")})
+    plan = rows.select(F.col("lang").alias("stratum")).distinct().withColumn("population_weight", F.when(F.col("stratum") == "en", 0.5).when(F.col("stratum") == "de", 0.25))
+    return S.precision_hajek(rows, "lang", "chance", F.col("truth"), plan).withColumn("blockers", F.array_join("blockers", ","))
+
+
+#: Groups by hand: `owner` joins pairs of samples and `place` runs of ten, so a group is a run of ten; samples of one parity are one stratum.
+BOOTSTRAP = f"""WITH r AS (SELECT sample_id % 2 AS s, sample_id // 20 AS g, truth, weight::DOUBLE AS w FROM ({R.DECISIONS})), g AS (SELECT s, g, sum(w) AS w, sum(CASE WHEN truth THEN w ELSE 0 END) AS wy, min(id) AS id FROM (SELECT *, row_number() OVER () AS id FROM r) GROUP BY 1, 2),
+ n AS (SELECT s, w, wy, row_number() OVER (PARTITION BY s ORDER BY g) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM g), x AS (SELECT rep, sum(b.wy) / sum(b.w) AS p FROM (SELECT s, rep, CAST('0x' || substr(md5('1|' || s || '|' || i || '|' || rep), 1, 8) AS BIGINT) % n AS i FROM n, range(1, 101) t(rep)) a JOIN n b ON a.s = b.s AND a.i = b.i GROUP BY 1)
+ SELECT (SELECT count(*) FROM g) AS groups, 100 AS replicates, round((SELECT sum(wy) / sum(w) FROM g), 6) AS precision, round(quantile_cont(p, 0.025), 6) AS low, round(quantile_cont(p, 0.975), 6) AS high, '' AS blockers FROM x"""
 
 
-@query()
+@query(BOOTSTRAP)
 def precision_bootstrap(spark, d):
-    rows = R.decisions(spark, d).withColumn("group", F.col("sample_id"))
-    return S.precision_bootstrap(rows, "lang", "group", "weight", F.col("truth"), replicates=100)
+    n = F.col("sample_id")
+    parity = (n % 2).cast("string")
+    rows = R.decisions(spark, d).withColumns({"s": n % 2, "owner": F.concat_ws(":", parity, F.floor(n / 4).cast("string")), "place": F.concat_ws(":", parity, F.floor(n / 20).cast("string"))})
+    return S.precision_bootstrap(rows, "s", "sample_id", ["owner", "place"], "weight", F.col("truth"), replicates=100).withColumn("blockers", F.array_join("blockers", ","))
 
 
 @query(f"""SELECT dimension, value, count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS supported, count(CASE WHEN quality = 0 THEN 1 END) AS rejected, round(coalesce(sum(CASE WHEN quality = 1 THEN w END), 0) / sum(CASE WHEN quality IS NOT NULL THEN w END), 6) AS weighted_precision FROM
@@ -233,7 +284,7 @@ def calibration_and_slices(spark, d):
     return S.calibration_bins(R.decisions(spark, d), "p", F.col("truth"), "weight")
 
 
-@query(f"""SELECT item_id, CASE WHEN status IN ('agreement','adjudicated') AND consensus_outcome = 'yes' THEN 'supported' WHEN status IN ('agreement','adjudicated') AND consensus_outcome = 'no' THEN 'rejected' WHEN status IN ('uncertain','disagreement') THEN 'uncertain'
- WHEN status IN ('media_failure','deferred','pending') THEN status END AS review_state FROM ({CONSENSUS})""")
+@query(f"""SELECT item_id, state AS review_state, state <> 'pending' AS reviewed, state = 'reviewed_target_positive' AS supported FROM (SELECT item_id, CASE WHEN status = 'pending' THEN 'pending' WHEN consensus_outcome = 'yes' THEN 'reviewed_target_positive' WHEN consensus_outcome = 'no' THEN 'reviewed_non_target'
+ WHEN status IN ('uncertain_only','unresolved_disagreement') THEN 'uncertain' ELSE status END AS state FROM ({CONSENSUS}))""")
 def map_review_state(spark, d):
-    return L.project_consensus(R.ledger(spark, d)).select("item_id", C.map_review_state("status", "consensus_outcome").alias("review_state"))
+    return L.project_consensus(R.ledger(spark, d)).withColumns(C.map_review_state()).select("item_id", "review_state", "reviewed", "supported")

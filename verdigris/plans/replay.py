@@ -97,22 +97,43 @@ def numeric_summary(spark, d):
 
 
 def _sessions(spark, d):
+    """Conversations as work: a user's turn makes time active and acts ten seconds later, an answer pauses; the last event completes."""
+    from pyspark.sql import Window
+
     c = R.table(spark, d, "conversations")
-    at = F.expr("timestamp_seconds(1700000000 + turn * 60 + conv_id % 60)")
-    return c.select("conv_id", "turn", at.alias("at"), F.when(F.col("role") == "user", "active").otherwise("paused").alias("state"), F.md5("text").alias("target"))
+    event = lambda kind, state, seconds: F.struct(F.lit(kind).alias("kind"), F.lit(state).cast("string").alias("state"), F.lit(seconds).alias("seconds"))
+    last = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"))) == 1
+    events = F.when(F.col("role") == "user", F.array(event("activity", "active", 0), event("action", None, 10))).otherwise(F.array(event("activity", "paused", 0)))
+    rows = c.withColumn("e", F.concat(events, F.when(last, F.array(event("completion", None, 20))).otherwise(F.array().cast("array<struct<kind:string,state:string,seconds:int>>")))).select("conv_id", "turn", F.md5("text").alias("target"), F.posexplode("e").alias("i", "e"))
+    at = F.timestamp_seconds(1700000000 + F.col("turn") * 60 + F.col("conv_id") % 60 + F.col("e.seconds"))
+    return rows.select("conv_id", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "i")).alias("number"), at.alias("at"), "e.kind", "e.state", "target")
 
 
-SESSIONS = "SELECT conv_id, turn, 1700000000000 + turn * 60000 + (conv_id % 60) * 1000 AS ms, CASE WHEN role = 'user' THEN 'active' ELSE 'paused' END AS state, md5(text) AS target FROM conversations"
+SESSIONS = """SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) AS number, 1700000000000 + (turn * 60 + conv_id % 60 + s) * 1000 AS ms, kind, state, md5(text) AS target FROM (
+ SELECT conv_id, turn, text, 0 AS i, 0 AS s, 'activity' AS kind, CASE WHEN role = 'user' THEN 'active' ELSE 'paused' END AS state FROM conversations UNION ALL SELECT conv_id, turn, text, 1, 10, 'action', NULL FROM conversations WHERE role = 'user'
+ UNION ALL SELECT conv_id, turn, text, 2, 20, 'completion', NULL FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)"""
+INTERVALS = f"SELECT * FROM (SELECT *, lead(state) OVER w AS nxt, lead(ms) OVER w AS until_ms, lead(number) OVER w AS until_number FROM ({SESSIONS}) WHERE kind = 'activity' WINDOW w AS (PARTITION BY conv_id ORDER BY number)) WHERE state = 'active' AND nxt = 'paused'"
 
 
-@query(f"""SELECT conv_id, turn, contiguous FROM (SELECT *, lead(ms) OVER w AS nxt, coalesce(lead(turn) OVER w = turn + 1, true) AS contiguous FROM ({SESSIONS}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE state = 'active' AND nxt IS NOT NULL""")
+@query(f"SELECT conv_id, number, until_number AS until_order, until_ms - ms AS active_ms FROM ({INTERVALS})")
 def session_intervals(spark, d):
-    return P.session_intervals(_sessions(spark, d), "conv_id", "turn", "at", "state").select("conv_id", "turn", "contiguous")
+    out = P.session_intervals(_sessions(spark, d), "conv_id", "number", "at")
+    return out.select("conv_id", "number", "until_order", (F.unix_millis("until") - F.unix_millis("at")).alias("active_ms"))
+
+
+@query(f"""WITH s AS (SELECT *, lag(ms) OVER w AS early, number = max(number) OVER (PARTITION BY conv_id) AS final FROM ({SESSIONS}) WINDOW w AS (PARTITION BY conv_id ORDER BY number)),
+ m AS (SELECT s.*, (SELECT arg_max(x.state, x.number) FROM s x WHERE x.conv_id = s.conv_id AND x.kind = 'activity' AND x.number < s.number) AS was FROM s)
+ SELECT conv_id, 'overlapping_activity' AS rule FROM m WHERE kind = 'activity' AND state = 'active' AND was = 'active' UNION SELECT conv_id, 'pause_without_activity' FROM m WHERE kind = 'activity' AND state = 'paused' AND was IS DISTINCT FROM 'active'
+ UNION SELECT conv_id, 'action_outside_activity' FROM m WHERE kind = 'action' AND was IS DISTINCT FROM 'active' UNION SELECT conv_id, 'activity_left_open' FROM m WHERE final AND coalesce(CASE WHEN kind = 'activity' THEN state END, was) = 'active'
+ UNION SELECT conv_id, 'not_chronological' FROM m WHERE ms < early UNION SELECT conv_id, 'completion_not_final' FROM m WHERE (kind = 'completion') <> final""")
+def session_violations(spark, d):
+    return P.session_violations(_sessions(spark, d), "conv_id", "number", "at")
 
 
-@query(f"""SELECT conv_id, count(*) AS actions, count(DISTINCT target) AS targets, CAST(coalesce(sum(CASE WHEN state = 'active' THEN nxt - ms END), 0) AS BIGINT) AS active_ms FROM (SELECT *, lead(ms) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM ({SESSIONS})) GROUP BY 1""")
+@query(f"""SELECT conv_id, actions, targets, CAST(coalesce(ms, 0) AS BIGINT) AS active_ms FROM (SELECT conv_id, count(CASE WHEN kind = 'action' THEN 1 END) AS actions, count(DISTINCT CASE WHEN kind = 'action' THEN target END) AS targets FROM ({SESSIONS}) GROUP BY 1)
+ LEFT JOIN (SELECT conv_id, sum(until_ms - ms) AS ms FROM ({INTERVALS}) GROUP BY 1) USING (conv_id)""")
 def session_activity_summary(spark, d):
-    return P.session_activity_summary(_sessions(spark, d), "conv_id", "turn", "at", "state", "target")
+    return P.session_activity_summary(_sessions(spark, d), "conv_id", "number", "at", "target")
 
 
 @query("""SELECT a.o_custkey AS pair, a.t AS first, b.t AS second, b.t - a.t AS delta, round((b.t - a.t) * 1.0 / a.t, 6) AS relative FROM (SELECT o_custkey, count(*) AS t FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
@@ -122,10 +143,10 @@ def paired_deltas(spark, d):
     return P.paired_deltas(per, "pair", "o_orderstatus", ("F", "O"), "t")
 
 
-@query("""SELECT o_orderkey, n_name, r_name, s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE l_linenumber = 1""")
+@query("""SELECT o_orderkey, n_name, r_name, s_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def id_join_chain(spark, d):
     li, o, s, n, r = (R.table(spark, d, t) for t in ("lineitem", "orders", "supplier", "nation", "region"))
-    out = li.filter("l_linenumber = 1").join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
+    out = li.join(o, li.l_orderkey == o.o_orderkey).join(s, li.l_suppkey == s.s_suppkey)
     return out.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("o_orderkey", "n_name", "r_name", "s_name")
 
 
@@ -145,20 +166,25 @@ def normalize_url(spark, d):
 
 
 def _records(spark, d):
-    p = R.table(spark, d, "pages")
-    return p.select("page_id", "url", F.when(F.col("page_id") % 5 == 0, (F.col("page_id") / 10).cast("long").cast("string")).alias("provider_id"), F.when(F.col("page_id") % 5 == 1, F.lit("ns")).alias("ns"),
-                    F.when(F.col("page_id") % 5 == 1, (F.col("page_id") % 50).cast("string")).alias("occ"), F.regexp_extract("url", r"://([^/]*)", 1).alias("host"), F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("lang"))
+    """Pages as records of three providers: some with the provider's number, the central index's number, a scoped occurrence id, or place, day and observer only."""
+    p, n = R.table(spark, d, "pages"), F.col("page_id")
+    kind = n % 8
+    text = lambda c: c.cast("string")
+    return p.select("page_id", F.when(kind < 6, F.col("url")).alias("url"), F.element_at(F.array(F.lit("east"), F.lit("west"), F.lit("north")), (n % 3).cast("int") + 1).alias("source"), F.lit("index").alias("delivery"),
+                    F.when(kind == 0, text(F.floor(n / 16))).alias("provider_id"), F.when(kind == 1, text(F.floor(n / 16))).alias("index_key"), F.when(kind == 2, F.lit("museum")).alias("ns"), F.when(kind == 2, text(n % 24)).alias("occ"),
+                    F.when(kind == 6, F.concat(F.lit("Observer "), text(n % 5))).alias("observer"), F.when(kind == 6, text(n % 40)).alias("day"), F.regexp_extract("url", r"://([^/]*)", 1).alias("host"), F.regexp_extract("url", r"/(en|de|fr|es)/", 1).alias("lang"))
 
 
-RECORDS = """SELECT page_id, url, CASE WHEN page_id % 5 = 0 THEN CAST(CAST(floor(page_id / 10) AS BIGINT) AS VARCHAR) END AS provider_id, CASE WHEN page_id % 5 = 1 THEN 'ns' END AS ns, CASE WHEN page_id % 5 = 1 THEN CAST(page_id % 50 AS VARCHAR) END AS occ,
+RECORDS = """SELECT page_id, CASE WHEN page_id % 8 < 6 THEN url END AS url, ['east', 'west', 'north'][CAST(page_id % 3 AS INT) + 1] AS source, 'index' AS delivery, CASE WHEN page_id % 8 = 0 THEN CAST(page_id // 16 AS VARCHAR) END AS provider_id, CASE WHEN page_id % 8 = 1 THEN CAST(page_id // 16 AS VARCHAR) END AS index_key,
+ CASE WHEN page_id % 8 = 2 THEN 'museum' END AS ns, CASE WHEN page_id % 8 = 2 THEN CAST(page_id % 24 AS VARCHAR) END AS occ, CASE WHEN page_id % 8 = 6 THEN 'Observer ' || (page_id % 5) END AS observer, CASE WHEN page_id % 8 = 6 THEN CAST(page_id % 40 AS VARCHAR) END AS day,
  regexp_extract(url, '://([^/]*)', 1) AS host, regexp_extract(url, '/(en|de|fr|es)/', 1) AS lang FROM pages"""
-IDENTITY = f"""SELECT *, CASE WHEN provider_id IS NOT NULL THEN 'provider_id' WHEN ns IS NOT NULL THEN 'occurrence_id' ELSE 'stable_url' END AS identity_method,
- CASE WHEN provider_id IS NOT NULL THEN 1 WHEN ns IS NOT NULL THEN 2 ELSE 3 END AS identity_priority, sha256(concat_ws(chr(31), 'v1', CASE WHEN provider_id IS NOT NULL THEN 'provider_id' WHEN ns IS NOT NULL THEN 'occurrence_id' ELSE 'stable_url' END,
- CASE WHEN provider_id IS NOT NULL THEN provider_id WHEN ns IS NOT NULL THEN ns ELSE {URL} END, CASE WHEN provider_id IS NULL AND ns IS NOT NULL THEN occ END)) AS canonical_id FROM ({RECORDS})"""
+IDENTITY = f"""SELECT * EXCLUDE (b, addr), b.m AS identity_method, b.p AS identity_priority, sha256(concat_ws(chr(31), 'v1', b.m, b.ns, b.v)) AS canonical_id FROM (SELECT *, CASE WHEN provider_id IS NOT NULL THEN {{'m': 'provider_identity', 'p': 1, 'ns': source, 'v': provider_id}} WHEN index_key IS NOT NULL THEN {{'m': 'provider_identity', 'p': 1, 'ns': 'index', 'v': index_key}}
+ WHEN ns IS NOT NULL THEN {{'m': 'scoped_occurrence_id', 'p': 3, 'ns': ns, 'v': occ}} WHEN addr IS NOT NULL THEN {{'m': 'stable_source_reference', 'p': 4, 'ns': source, 'v': addr}} WHEN observer IS NOT NULL THEN {{'m': 'strict_composite', 'p': 5, 'ns': source, 'v': lower(observer) || chr(31) || day}}
+ ELSE {{'m': 'singleton', 'p': 7, 'ns': delivery, 'v': CAST(page_id AS VARCHAR)}} END AS b FROM (SELECT *, {URL} AS addr FROM ({RECORDS})))"""
 
 
 def _identity(spark, d):
-    return I.resolve_identity(_records(spark, d), "provider_id", ("ns", "occ"), "url", ["host", "lang"], "page_id")
+    return I.resolve_identity(_records(spark, d), [("provider_id", F.col("source")), ("index_key", F.lit("index"))], ("ns", "occ"), "url", ["observer", "day"], "page_id")
 
 
 @query(f"SELECT page_id, identity_method, identity_priority, canonical_id FROM ({IDENTITY})")
@@ -176,21 +202,30 @@ def duplicate_groups(spark, d):
     return I.duplicate_groups(R.table(spark, d, "documents").withColumn("h", F.sha2("text", 256)), "h", "doc_id").withColumn("members", F.array_join("members", ","))
 
 
-@query(f"""SELECT a.canonical_id, a.member AS left_member, b.member AS right_member, concat_ws(',', CASE WHEN a.host <> b.host THEN 'host' END, CASE WHEN a.lang <> b.lang THEN 'lang' END) AS contradictions
- FROM (SELECT canonical_id, host, lang, min(page_id) AS member FROM ({IDENTITY}) GROUP BY 1, 2, 3) a JOIN (SELECT canonical_id, host, lang, min(page_id) AS member FROM ({IDENTITY}) GROUP BY 1, 2, 3) b ON a.canonical_id = b.canonical_id AND a.member < b.member""")
+CLASSES = f"SELECT canonical_id, host, lang, source, min(page_id) AS member, count(*) AS n FROM ({IDENTITY}) GROUP BY 1, 2, 3, 4"
+
+
+@query(f"""SELECT * FROM (SELECT a.canonical_id, a.member AS left_member, b.member AS right_member, a.n AS left_rows, b.n AS right_rows, concat_ws(',', CASE WHEN a.host <> b.host THEN 'host' END, CASE WHEN a.lang <> b.lang THEN 'lang' END, CASE WHEN a.source <> b.source THEN 'source' END) AS contradictions
+ FROM ({CLASSES}) a JOIN ({CLASSES}) b ON a.canonical_id = b.canonical_id AND a.member < b.member) WHERE contradictions <> ''""")
 def pairwise_contradictions(spark, d):
-    return I.pairwise_contradictions(_identity(spark, d), "canonical_id", "page_id", ["host", "lang"]).withColumn("contradictions", F.array_join("contradictions", ","))
+    return I.pairwise_contradictions(_identity(spark, d), "canonical_id", "page_id", ["host", "lang", "source"])[0].withColumn("contradictions", F.array_join("contradictions", ","))
 
 
-@query(f"""SELECT page_id, CASE WHEN rn = 1 THEN 'canonical' WHEN host = cp THEN 'exact_duplicate_removed' ELSE 'cross_provider_duplicate_removed' END AS relationship FROM (SELECT *, row_number() OVER w AS rn, first_value(host) OVER w AS cp FROM ({IDENTITY}) WINDOW w AS (PARTITION BY canonical_id ORDER BY identity_priority, page_id))""")
+@query(f"SELECT page_id, min(page_id) OVER (PARTITION BY canonical_id, host, lang, source) AS member FROM ({IDENTITY})")
+def contradiction_members(spark, d):
+    """Which value class each linked record belongs to: with the pairs of classes this gives all pairs of records."""
+    return I.pairwise_contradictions(_identity(spark, d), "canonical_id", "page_id", ["host", "lang", "source"])[1].select("page_id", "member")
+
+
+@query(f"""SELECT page_id, CASE WHEN rn = 1 THEN 'canonical' WHEN source = cp THEN 'exact_duplicate_removed' ELSE 'cross_provider_duplicate_removed' END AS relationship FROM (SELECT *, row_number() OVER w AS rn, first_value(source) OVER w AS cp FROM ({IDENTITY}) WINDOW w AS (PARTITION BY canonical_id ORDER BY identity_priority, page_id))""")
 def provider_union(spark, d):
-    return I.provider_union(_identity(spark, d), "canonical_id", "host", ["identity_priority", "page_id"])[1].select("page_id", "relationship")
+    return I.provider_union(_identity(spark, d), "canonical_id", "source", ["identity_priority", "page_id"])[1].select("page_id", "relationship")
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id, sha256(text) AS a, sha256(lower(trim(substr(text, 1, 60)))) AS b FROM documents), adj AS (SELECT x.doc_id AS s, y.doc_id AS t FROM e x JOIN e y ON x.a = y.a OR x.b = y.b),
+@query(f"""WITH RECURSIVE e AS (SELECT doc_id, sha256(text) AS a, {R.WHOLE_TEXT_KEY} AS b FROM documents), adj AS (SELECT x.doc_id AS s, y.doc_id AS t FROM e x JOIN e y ON x.a = y.a OR x.b = y.b),
  r(i, j) USING KEY (i) AS (SELECT doc_id, doc_id FROM documents UNION SELECT adj.t, min(r.j) FROM r JOIN adj ON adj.s = r.i JOIN recurring.r c ON c.i = adj.t WHERE r.j < c.j GROUP BY adj.t) SELECT i AS doc_id, j AS group_id FROM r""")
 def link_groups(spark, d):
-    docs = R.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("a"), F.sha2(F.lower(F.trim(F.substring("text", 1, 60))), 256).alias("b"))
+    docs = R.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("a"), R.whole_text_key().alias("b"))
     return I.link_groups(docs, "doc_id", ["a", "b"])
 
 
@@ -208,10 +243,12 @@ def lineage_closure(spark, d):
     return I.lineage_closure(edges, c.select(F.concat(F.lit("c"), "c_custkey").alias("node")))
 
 
-@query(f"SELECT source, item_id, query_hash, sha256(CAST(item_id AS VARCHAR)) AS feature FROM ({R.QUERY_HITS})")
+@query("SELECT doc_id, sha256(text) AS content_id, len(text)::INT AS n_chars, len(regexp_extract_all(text, '[0-9]'))::INT AS n_digits FROM documents")
 def compute_once_fan_back(spark, d):
-    """The costly step runs once per content id; here the id is the item."""
-    return P.fan_back(R.query_hits(spark, d).select("source", "item_id", "query_hash"), ["item_id"], lambda k: k.withColumn("feature", F.sha2(F.col("item_id").cast("string"), 256)))
+    """The costly step, here counts over a whole text, runs once per content and comes back to every document that has it."""
+    docs = R.table(spark, d, "documents").select("doc_id", "text", F.sha2("text", 256).alias("content_id"))
+    work = lambda one: one.select("content_id", F.char_length("text").alias("n_chars"), F.regexp_count("text", F.lit("[0-9]")).alias("n_digits"))
+    return P.compute_once_fan_back(docs, "content_id", ["text"], work).select("doc_id", "content_id", "n_chars", "n_digits")
 
 
 @query("SELECT o_orderkey, 'target' AS kind FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'competitor' FROM orders WHERE o_orderpriority = '1-URGENT'")

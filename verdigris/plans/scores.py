@@ -9,14 +9,35 @@ from verdigris.operators import spatial as G
 from verdigris.plans import roles as R
 from verdigris.plans.registry import query
 
-ROUTES = [("view", "page", 1, 20.0), ("click", "page", 2, 10.0), ("purchase", "shop", 5, 30.0)]
+SHOWN = ["Adult  Butterfly", "lepidoptera", "larva", "pupa", "pinned butterfly", "moth", "insect", "tattoo", "person", "spaceship"]
+OLDER = ["adult_butterfly", "possible adult butterfly", "caterpillar", "pupa", "pinned_specimen", "moth_like", "insect_like", "hard_negative", "no_organism", "robot", ""]
 
 
-@query("""SELECT event_id, coalesce(route, 'unrouted') AS route, CASE WHEN route IS NULL OR value IS NULL THEN 'review' WHEN value >= t THEN 'score' ELSE 'drop' END AS action, CASE WHEN route IS NULL THEN 'unknown_label' WHEN value IS NULL THEN 'missing_score' WHEN value >= t THEN 'above_threshold' ELSE 'below_threshold' END AS reason, coalesce(pr, 0) AS priority
- FROM events LEFT JOIN (VALUES ('view', 'page', 1, 20.0), ('click', 'page', 2, 10.0), ('purchase', 'shop', 5, 30.0)) r(event_type, route, pr, t) USING (event_type)""")
+def _detections(spark, d):
+    """Events as detections: a prompt on two of three, else an older label; some without score, some with a wrong one."""
+    n, at = F.col("event_id"), lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % len(values)).cast("int") + 1)
+    status = F.when(n % 19 == 0, "No detection").when(n % 23 == 0, "failed").otherwise("detected")
+    return R.table(spark, d, "events").select("event_id", status.alias("detection_status"), F.when(n % 3 != 0, at(SHOWN)).alias("prompt"), at(OLDER).alias("label"), F.when(n % 7 == 0, None).when(n % 29 == 0, 1.5).otherwise(F.col("value") / 500).alias("score"))
+
+
+def _text_list(values):
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+DETECTIONS = f"""SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'no_detection' WHEN event_id % 23 = 0 THEN 'failed' ELSE 'detected' END AS st, CASE WHEN event_id % 3 <> 0 THEN regexp_replace(lower({_text_list(SHOWN)}[CAST(event_id % {len(SHOWN)} AS INT) + 1]), ' +', ' ') END AS prompt,
+ replace({_text_list(OLDER)}[CAST(event_id % {len(OLDER)} AS INT) + 1], ' ', '_') AS label, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 1.5 ELSE value / 500 END AS score FROM events"""
+KIND_ROWS = ", ".join(f"('{x}', '{kind}', {by})" for by, table in (("true", S.PROMPTS), ("false", S.LABELS)) for kind, xs in table.items() for x in xs)
+KIND_FACTS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (k, *v)) + ")" for k, v in S.KINDS.items())
+ROUTED = f"""SELECT event_id, CASE WHEN bad IN ('low', 'score', 'unknown', 'status') THEN 'ambiguous_visual_domain' WHEN bad = 'none' THEN 'no_relevant_organism' ELSE route END AS detection_route, CASE WHEN bad IS NULL THEN scoring END AS scoring_route, CASE WHEN bad IS NULL THEN act ELSE 'exclude' END AS action,
+ CASE WHEN bad IS NOT NULL OR act = 'exclude' THEN 'none' WHEN act = 'review' THEN 'low' ELSE 'standard' END AS priority, CASE bad WHEN 'none' THEN 'detector_reported_no_detection' WHEN 'status' THEN 'detection_status_not_routable' WHEN 'score' THEN 'invalid_detector_score'
+ WHEN 'unknown' THEN CASE WHEN prompt IS NULL THEN 'unknown_legacy_label' ELSE 'unknown_prompt' END WHEN 'low' THEN base || ':below_threshold' ELSE CASE WHEN gated AND prompt IS NOT NULL THEN base || ':above_threshold' ELSE base END END AS reason
+ FROM (SELECT *, CASE WHEN st = 'no_detection' THEN 'none' WHEN st <> 'detected' THEN 'status' WHEN score > 1 THEN 'score' WHEN kind IS NULL THEN 'unknown' WHEN gated AND score IS NULL THEN 'score' WHEN gated AND score < 0.35 THEN 'low' END AS bad, CASE WHEN prompt IS NULL THEN 'legacy_label:' || CASE label WHEN '' THEN 'missing' ELSE label END ELSE why END AS base
+  FROM (SELECT d.*, k.kind, coalesce(k.kind IN ('possible_adult', 'ambiguous_insect'), false) AS gated, f.route, f.scoring, f.act, f.why FROM ({DETECTIONS}) d LEFT JOIN (VALUES {KIND_ROWS}) k(x, kind, by_prompt) ON k.x = coalesce(prompt, label) AND k.by_prompt = (prompt IS NOT NULL) LEFT JOIN (VALUES {KIND_FACTS}) f(kind, route, scoring, act, why) ON f.kind = k.kind))"""
+
+
+@query(ROUTED)
 def route_rows(spark, d):
-    rules = spark.createDataFrame(ROUTES, "event_type string, route string, priority int, threshold double")
-    return S.route_rows(R.table(spark, d, "events"), rules, "event_type", "value").select("event_id", "route", "action", "reason", "priority")
+    return S.route_rows(_detections(spark, d)).select("event_id", "detection_route", "scoring_route", "action", "priority", "reason")
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND status = 'ok' THEN 'score' ELSE 'exclude' END AS gate, CASE WHEN status IS NULL THEN 'no_detection' WHEN status <> 'ok' THEN 'bad_status' WHEN event_type NOT IN ('view', 'click') THEN 'route_not_scored' ELSE 'eligible' END AS gate_reason
@@ -35,10 +56,10 @@ def _boxes(spark, d):
     v = lambda i: F.element_at("embedding", i).cast("double")
     x, y = F.round(50 + v(1) * 200, 3), F.round(50 + v(2) * 200, 3)
     return e.select(F.floor(F.col("vec_id") / BOXES_AN_IMAGE).alias("image_id"), F.col("vec_id").alias("box_id"), x.alias("x1"), y.alias("y1"), (x + F.round(30 + v(3) * 60, 3)).alias("x2"), (y + F.round(30 + v(4) * 60, 3)).alias("y2"), F.round(0.5 + v(5), 4).alias("score"),
-                    F.when(v(6) > 0, "a").otherwise("b").alias("route"), F.lit(0).alias("action_rank"))
+                    F.when(v(6) > 0, "a").otherwise("b").alias("detection_route"), F.when(F.col("vec_id") % 7 == 0, "review").otherwise("score").alias("action"), F.when(v(7) > 0, "x").alias("scoring_route"))
 
 
-BOXES = """SELECT label AS image_id, vec_id AS box_id, x AS x1, y AS y1, x + round(30 + embedding[3]::DOUBLE * 60, 3) AS x2, y + round(30 + embedding[4]::DOUBLE * 60, 3) AS y2, round(0.5 + embedding[5]::DOUBLE, 4) AS score FROM (SELECT *, round(50 + embedding[1]::DOUBLE * 200, 3) AS x, round(50 + embedding[2]::DOUBLE * 200, 3) AS y FROM embeddings)"""
+BOXES = f"""SELECT vec_id // {BOXES_AN_IMAGE} AS image_id, vec_id AS box_id, x AS x1, y AS y1, x + round(30 + embedding[3]::DOUBLE * 60, 3) AS x2, y + round(30 + embedding[4]::DOUBLE * 60, 3) AS y2, round(0.5 + embedding[5]::DOUBLE, 4) AS score, CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END AS rank, (embedding[6] > 0) || '|' || (embedding[7] > 0) AS kind FROM (SELECT *, round(50 + embedding[1]::DOUBLE * 200, 3) AS x, round(50 + embedding[2]::DOUBLE * 200, 3) AS y FROM embeddings)"""
 
 
 @query(f"""SELECT box_id, round((a1 + a2) / 2 / 100, 6) AS cx, round((b1 + b2) / 2 / 100, 6) AS cy, round(greatest(0, (a2 - a1) * (b2 - b1)) / 10000, 6) AS area_ratio FROM (SELECT box_id, greatest(0.0, least(x1, 100.0)) AS a1, greatest(0.0, least(y1, 100.0)) AS b1, greatest(0.0, least(x2, 100.0)) AS a2, greatest(0.0, least(y2, 100.0)) AS b2 FROM ({BOXES}))""")
@@ -48,9 +69,16 @@ def box_geometry(spark, d):
     return b.select("box_id", F.round(g["cx"], 6).alias("cx"), F.round(g["cy"], 6).alias("cy"), F.round(g["area_ratio"], 6).alias("area_ratio"))
 
 
-@query()
+SUPPRESSED = f"""WITH RECURSIVE b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rank, score DESC, box_id) AS i, rank || '|' || kind AS who, (x2 - x1) * (y2 - y1) AS area FROM ({BOXES}) WHERE score >= 0.35 AND (x2 - x1) * (y2 - y1) / 10000 >= 0.05),
+ pairs AS (SELECT a.image_id, b.i, a.i AS earlier, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS inter, a.area + b.area AS areas FROM b a JOIN b ON a.image_id = b.image_id AND a.i < b.i AND a.who = b.who),
+ clash AS MATERIALIZED (SELECT b.image_id, b.i, b.box_id, b.score, coalesce(list(p.earlier) FILTER (p.inter > 0.5 * (p.areas - p.inter)), []) AS hits FROM b LEFT JOIN pairs p ON p.image_id = b.image_id AND p.i = b.i GROUP BY ALL),
+ walk(image_id, i, kept) AS (SELECT DISTINCT image_id, 0::BIGINT, []::BIGINT[] FROM b UNION ALL SELECT w.image_id, c.i, CASE WHEN len(w.kept) < 20 AND NOT list_has_any(w.kept, c.hits) THEN list_append(w.kept, c.i) ELSE w.kept END FROM walk w JOIN clash c ON c.image_id = w.image_id AND c.i = w.i + 1)
+ SELECT c.image_id, c.box_id, c.score FROM clash c JOIN (SELECT image_id, arg_max(kept, i) AS kept FROM walk GROUP BY 1) k ON k.image_id = c.image_id WHERE list_contains(k.kept, c.i)"""
+
+
+@query(SUPPRESSED)
 def suppress_boxes(spark, d):
-    return S.suppress_boxes(_boxes(spark, d))
+    return S.suppress_boxes(_boxes(spark, d), F.lit(100.0), F.lit(100.0), least_share=0.05)
 
 
 @query("""SELECT l_orderkey, l_returnflag, array_to_string(m, ',') AS members, sha256(l_orderkey || '|' || l_returnflag || '|' || array_to_string(m, ',')) AS unit_id FROM (SELECT l_orderkey, l_returnflag, list_sort(list(DISTINCT CAST(l_partkey AS VARCHAR))) AS m FROM lineitem GROUP BY 1, 2)""")
@@ -82,25 +110,32 @@ def nonmatch_maxima(spark, d):
     return out.select("user_id", "target_calibrated", "competitor_calibrated", "target_raw", "target_evidence", F.round("margin_over_competitor", 6).alias("margin_over_competitor"))
 
 
-FITTED = f"""WITH k AS (SELECT p::DOUBLE AS p, margin::DOUBLE AS m, weight::DOUBLE AS w, truth FROM ({R.DECISIONS})), cells AS (SELECT * FROM (SELECT DISTINCT p FROM k WHERE p IS NOT NULL AND m IS NOT NULL) a, (SELECT DISTINCT m FROM k WHERE p IS NOT NULL AND m IS NOT NULL) b),
- s AS (SELECT c.p, c.m, sum(k.w) AS w, sum(CASE WHEN truth THEN k.w ELSE 0 END) AS wy, count(*) AS n, count(CASE WHEN truth THEN 1 END) AS y FROM cells c JOIN k ON k.p >= c.p AND k.m >= c.m GROUP BY 1, 2), t AS (SELECT sum(w) AS tw, sum(CASE WHEN truth THEN w ELSE 0 END) AS ty FROM k)
- SELECT 'feasible' AS state, p AS p_threshold, m AS margin_threshold, wy / w AS precision, wy / ty AS recall, w / tw AS coverage FROM s, t WHERE wy / w >= 0.9 - 1e-15 ORDER BY wy / ty DESC, wy / w DESC, w / tw DESC, y * 1.0 / n DESC, p DESC, m DESC LIMIT 1"""
+OBJECTIVE = 0.7
+GATES = "route_ok AND coverage_ok AND geo_ok AND NOT domain_negative AND NOT out_of_distribution AND detail_ok AND NOT no_geo_fallback"
+FITTED = f"""WITH k AS MATERIALIZED (SELECT p::DOUBLE AS p, margin::DOUBLE AS m, weight::DOUBLE AS w, truth, p IS NOT NULL AND margin IS NOT NULL AND {GATES} AS ok FROM ({R.DECISIONS})), g AS (SELECT * FROM k WHERE ok), cells AS (SELECT * FROM (SELECT DISTINCT p FROM g) a, (SELECT DISTINCT m FROM g) b),
+ s AS (SELECT c.p, c.m, sum(g.w) AS w, sum(CASE WHEN truth THEN g.w ELSE 0 END) AS wy, count(*) AS n, count(CASE WHEN truth THEN 1 END) AS y FROM cells c JOIN g ON g.p >= c.p AND g.m >= c.m GROUP BY 1, 2),
+ t AS (SELECT sum(w) AS tw, sum(CASE WHEN truth THEN w ELSE 0 END) AS twy, count(*) AS tn, count(CASE WHEN truth THEN 1 END) AS ty, count(CASE WHEN ok THEN 1 END) AS te FROM k),
+ best AS (SELECT p, m, wy / w AS precision, wy / twy AS recall, w / tw AS coverage, y * 1.0::DOUBLE / n AS up, y * 1.0::DOUBLE / ty AS ur, n * 1.0::DOUBLE / tn AS uc FROM s, t WHERE wy / w + 1e-15 >= {OBJECTIVE} ORDER BY recall DESC, precision DESC, coverage DESC, up DESC, p DESC, m DESC LIMIT 1)
+ SELECT CASE WHEN p IS NULL THEN 'infeasible' ELSE 'fitted' END AS state, p AS p_threshold, m AS margin_threshold, precision, recall, coverage, up, ur, uc, tn, te, ty, (SELECT count(*) FROM cells) AS cells FROM t LEFT JOIN best ON true"""
 
 
 def _policy(spark, d):
-    return S.fit_threshold_policy(R.decisions(spark, d), "p", "margin", "truth", "weight", 0.9)
+    return S.fit_threshold_policy(R.decisions(spark, d), "p", "margin", "truth", "weight", OBJECTIVE, F.expr(GATES))
 
 
-@query(f"SELECT state, p_threshold, margin_threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coverage, 6) AS coverage FROM ({FITTED})")
+@query(f"""SELECT state, p_threshold, margin_threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coverage, 6) AS coverage, round(up, 6) AS unweighted_precision, round(ur, 6) AS unweighted_recall, round(uc, 6) AS unweighted_coverage,
+ tn AS samples, te AS eligible_samples, ty AS positives, tn - ty AS negatives, cells AS grid_cells FROM ({FITTED})""")
 def fit_threshold_policy(spark, d):
-    return _policy(spark, d).withColumns({c: F.round(c, 6) for c in ("precision", "recall", "coverage")})
+    return _policy(spark, d).drop("state_reason").withColumns({c: F.round(c, 6) for c in ("precision", "recall", "coverage", "unweighted_precision", "unweighted_recall", "unweighted_coverage")})
 
 
-@query(f"""SELECT sample_id, reason, CASE WHEN reason = 'confirmed' THEN 'confirm' WHEN reason IN ('domain_negative', 'non_target_dominates') THEN 'reject' WHEN reason IN ('probability_below', 'margin_below', 'geography_weak') THEN 'review' ELSE 'abstain' END AS decision FROM (SELECT sample_id, CASE WHEN NOT route_ok THEN 'route_incompatible' WHEN domain_negative THEN 'domain_negative' WHEN out_of_distribution THEN 'out_of_distribution'
- WHEN NOT detail_ok THEN 'detail_insufficient' WHEN NOT coverage_ok THEN 'coverage_insufficient' WHEN margin < 0 THEN 'non_target_dominates' WHEN p IS NULL THEN 'missing_probability' WHEN p < p_threshold THEN 'probability_below' WHEN margin IS NULL THEN 'missing_margin' WHEN margin < margin_threshold THEN 'margin_below' WHEN NOT geo_ok THEN 'geography_weak' ELSE 'confirmed' END AS reason
- FROM ({R.DECISIONS}), ({FITTED}))""")
+@query(f"""SELECT sample_id, outcome, reason IS NOT NULL AS abstained, reason FROM (SELECT sample_id, split_part(v, '|', 1) AS outcome, nullif(split_part(v, '|', 2), '') AS reason FROM (SELECT sample_id, CASE WHEN state <> 'fitted' THEN 'abstain|decision_policy_infeasible' WHEN NOT route_ok THEN 'abstain|incompatible_route'
+ WHEN domain_negative THEN coalesce(negative_outcome || '|', 'abstain|domain_negative_without_supported_outcome') WHEN out_of_distribution THEN 'out_of_distribution|out_of_distribution' WHEN NOT detail_ok THEN 'insufficient_visual_detail|insufficient_visual_detail'
+ WHEN NOT coverage_ok THEN 'insufficient_reference_coverage|insufficient_reference_coverage' WHEN no_geo_fallback THEN 'no_geo_global_fallback|no_geo_global_fallback' WHEN nonmatch_margin <= 0 THEN CASE leading_outcome WHEN 'regional_competitor' THEN 'regional_competitor|' ELSE 'abstain|calibrated_non_target_dominates' END
+ WHEN p IS NULL THEN 'abstain|missing_calibrated_target_probability' WHEN p < p_threshold THEN 'target_probable_review|target_probability_below_threshold' WHEN margin IS NULL THEN 'abstain|missing_competitor_margin' WHEN margin < margin_threshold THEN 'abstain|competitor_margin_below_threshold'
+ WHEN NOT geo_ok THEN 'target_probable_review|weak_geographic_evidence' ELSE 'target_confirmed|' END AS v FROM ({R.DECISIONS}), ({FITTED})))""")
 def apply_decision_policy(spark, d):
-    return S.apply_decision_policy(R.decisions(spark, d), _policy(spark, d)).select("sample_id", "reason", "decision")
+    return S.apply_decision_policy(R.decisions(spark, d), _policy(spark, d)).select("sample_id", "outcome", "abstained", "reason")
 
 
 def _evidence(spark, d):
@@ -128,7 +163,7 @@ def nearest_neighbour_join(spark, d):
     p = R.points(spark, d)
     candidates = p.filter("label <> 0").select(F.col("point_id").alias("id"), F.when(F.col("label") != 3, F.col("lat")).alias("lat"), "lon")
     eligible = p.filter("label = 0").select(F.col("point_id").alias("e_id"), F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon"))
-    return G.nearest_neighbour_join(candidates, eligible, 2.0).select("id", "nearest_id", F.round("distance_km", 6).alias("distance_km"), "status")
+    return G.nearest_neighbour_join(candidates, eligible).select("id", "nearest_id", F.round("distance_km", 6).alias("distance_km"), "status")
 
 
 @query(f"SELECT point_id AS id, round({KM.format(a='5.0', b='lat', c='5.0', d='lon')}, 6) AS distance_km FROM ({R.POINTS}) ORDER BY CASE WHEN point_id = 7 THEN 0 ELSE 1 END, 2, 1 LIMIT 12")

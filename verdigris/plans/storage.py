@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigris.operators.identity import shared_path
 from verdigris.plans import roles as R
 from verdigris.plans.ledger import CONSENSUS
 from verdigris.plans.registry import query
@@ -15,9 +13,7 @@ from verdigris.sources import tables as X
 from verdigris.streaming import ledger as stream
 
 
-def _place(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{folder.rstrip('/')}/verdigris-{uuid.uuid4().hex}"
+_place = shared_path
 
 
 @query("SELECT n_nationkey, n_name FROM nation")

@@ -28,21 +28,29 @@ def audit(sent: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def refresh_consensus(ledger: DataFrame, touched: DataFrame) -> DataFrame:
-    """Consensus of the touched items from the whole ledger."""
+    """Consensus of the touched items from a ledger that holds all their events."""
     return project_consensus(ledger.join(touched.select("item_id").distinct(), "item_id", "left_semi"))
 
 
+BUCKETS = 64
+
+
 def start_consensus(spark: SparkSession, events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Per micro-batch: append to the ledger, recompute touched items, write them as the batch's version.
 
-    A batch that runs again overwrites its own files, so retries don't repeat events. `current_consensus` reads the
-    last version of each item.
+    The ledger is partitioned by a hash of the item, so a batch reads the partitions of its items only, and keeps just
+    their events before it removes repeats. A batch that runs again overwrites its own files, so retries don't repeat
+    events. `current_consensus` reads the last version of each item.
     """
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/ledger/batch={number:09d}")
-        ledger = spark.read.parquet(f"{folder}/ledger").filter(F.col("batch") <= number).drop("batch").dropDuplicates(["event_id"])
-        refresh_consensus(ledger, batch).write.mode("overwrite").parquet(f"{folder}/consensus/batch={number:09d}")
+        batch.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/ledger/batch={number:09d}")
+        ledger = spark.read.parquet(f"{folder}/ledger").filter(F.col("batch") <= number)
+        own = ledger.filter(F.col("batch") == number)
+        touched = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most BUCKETS values
+        items = own.select("item_id").distinct()
+        events = ledger.filter(F.col("bucket").isin(touched)).drop("batch", "bucket").join(items, "item_id", "left_semi").dropDuplicates(["event_id"])
+        project_consensus(events).write.mode("overwrite").parquet(f"{folder}/consensus/batch={number:09d}")
 
     return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
