@@ -130,6 +130,49 @@ def test_html_names_inside_of_articles_and_implied_end_tags():
     assert html_extract.extract(f"<main><article><p>{text}</p></article><div id='comments'><p>{text}</p></div></main>", w) == text
 
 
+LABELLED = ["<html><body><nav><ul><li><a href='/'>home page</a></li></ul></nav><div class='ad'>buy this now or never again</div><article><h1>A title</h1><p>some words that stand here for a while and then a few more of them</p></article><footer>of me</footer></body></html>"] * 20
+LINE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (f'<article><h1>T</h1><svg class="icon"/><p>{LINE}</p><iframe src=x><p>{LINE}</p></article>', ["T", LINE, LINE]),
+        (f'<article><h1>T</h1><p class="notice">{LINE}<p>{LINE}</article>', ["T", LINE, LINE]),
+        (f'<article><ul><li class="related">{LINE}<li>{LINE}</ul></article>', [LINE, LINE]),
+        (f'<body><div class="sidebar"><p>a b c<p>{LINE}', ["a b c", LINE]),
+        (f'<body><div class="sidebar"><p>a b c<div class="text"><p>{LINE}<p>{LINE}', [LINE, LINE]),
+        (f'<article><section id="discussion"><h2>Talk</h2><p>{LINE}</p></section><section id="related-work"><p>{LINE}</p></section><h2 id="search-trees">Trees</h2></article>', ["Talk", LINE, LINE, "Trees"]),
+        (f'<div><h1>T</h1><section id="discussion"><h2>Talk</h2><p>{LINE}</p></section><section id="related-work"><p>{LINE}</p></section><h2 id="search-trees">Trees</h2><p>{LINE}</p></div>', ["T", "Talk", LINE, LINE, "Trees", LINE]),
+        (f"<body><p>{LINE}</p>" + "<img src=x><hr>" * 400 + f"<p>{LINE}</p>" + "<div><span></span></div>" * 300 + f"<p>{LINE}</p>", [LINE] * 3),
+        (f"<body><p>{LINE}</p>" + "<p><a href=x>go on</a></p>" * 20 + f"<p>{LINE} {LINE} {LINE}</p>", [LINE, *["go on"] * 20, f"{LINE} {LINE} {LINE}"]),
+        (f"<article><p>{LINE} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end</p></article>", [f"{LINE} x=2 end"]),
+        (f"<body><form action=/><h1>T</h1><p>{LINE}</p><fieldset><p>{LINE}</p></fieldset></form></body>", ["T", LINE]),
+        (f'<body><div class="post"><p>{LINE}</p><p>short end.</p></div><div id="comments"><p>{LINE} {LINE} {LINE}</p></div>', [LINE, "short end."]),
+        (f'<article><p>{LINE}</p><div class="comments"><p>{LINE}</p></div></article>', [LINE]),
+        (f'<body class="has-sidebar"><div class="content has-sidebar"><p>{LINE}</p></div></body>', [LINE]),
+        (f'<body><div class="cookie-banner"><p>{LINE}</p></div><div><p>{LINE}</p></div><div class="related-posts"><p>{LINE}</p></div>', [LINE]),
+    ],
+)
+def test_html_pages_that_lose_nothing(page, wanted):
+    assert html_extract.extract(page, html_extract.learn_weights(LABELLED)).split("\n\n") == wanted
+    html_extract.extract(page, html_extract.learn_weights([]))
+
+
+def test_html_scan_finds_the_article_without_its_tag():
+    """The same text comes out when the label, the article element, is renamed or left out: the scan decides."""
+    weights = html_extract.learn_weights(LABELLED)
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        body = "".join(f"<p>{prose(int(n), int(n))}</p>" for n in rng.integers(1, 60, 6))
+        links = "".join(f'<li><a href="/{w}">{w} {w}</a></li>' for w in VOCABULARY[:12])
+        page = f"<html><head><title>x</title></head><body><div><ul>{links}</ul></div><div class='ad'>{prose(14, 3)}</div><article><h1>{prose(5, 1)}</h1>{body}</article><div><ul>{links}</ul></div><div>{prose(6, 9)}</div></body></html>"
+        wanted = html_extract.extract(page, weights)
+        assert wanted.count("\n\n") == 6
+        for new in ("<div class='x'>", ""):
+            assert html_extract.extract(page.replace("<article>", new).replace("</article>", "</div>" if new else ""), weights) == wanted
+
+
 def test_html_query_on_odd_pages(spark):
     rows = [(1, "u", "<article><p>a b c</p></article>", 1), (1, "u", "<article><p>a b c</p></article>", 1), (2, None, None, 2), (3, "v", "", 3), (None, "w", "<p>" + "word " * 50000 + "</p>", 4)]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
@@ -449,4 +492,4 @@ def test_shard_laws(spark, docs, empty, monkeypatch, law):
 
 
 def test_html_entities_are_decoded_once():
-    assert html_extract.extract("<article><p>&amp;lt; &lt;b&gt; &eacute;</p></article>", {"word:in": 1.0}) == html.unescape("&amp;lt;") + " <b> é"
+    assert html_extract.extract("<article><p>&amp;lt; &lt;b&gt; &eacute;</p></article>", html_extract.learn_weights([])) == html.unescape("&amp;lt;") + " <b> é"
