@@ -20,9 +20,11 @@ else in the corpus. Exact, and spread over Spark as follows.
    merged by binary search, which marks windows that occur in two of them.
 5. Marks join the occurrences, and each document is cut.
 
-Segments are folded by 64-bit hash within a 64-bit anchor. Null and empty texts
-have nothing to remove; repeated rows repeat each other. Only doc_id and text are
-read. An empty table gives an empty result.
+Rows are known by 128 bits of doc_id and text, so rows without doc_id stay apart.
+Segments are folded by 64-bit hash within a 64-bit anchor. A long text is cut into
+pieces of PIECE windows, which overlap by a window's length, so memory doesn't grow
+with it. Null and empty texts have nothing to remove; repeated rows repeat each
+other. Only doc_id and text are read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 2_000_000
 PLACE_BITS = np.uint64(28)
+#: Windows of one text that are hashed at a time; their bytes stay far below 2 ** PLACE_BITS.
+PIECE = 4 << 20
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -82,21 +86,30 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return doc, first - at[doc], last - at[doc], grams[place[first]]
 
 
+def pieces(offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Offsets to work on and the windows that lie before them: all documents together, or one long document piece by piece."""
+    n = int(offsets[-1] - offsets[0])
+    if len(offsets) > 2 or n <= PIECE + length - 1:
+        yield offsets, 0
+        return
+    for start in range(0, n - length + 1, PIECE):
+        yield np.array([offsets[0] + start, min(offsets[-1], offsets[0] + start + PIECE + length - 1)]), start
+
+
 def _occurrences(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytes_of(batch.column("body"))
-            ids, versions = (np.asarray(batch.column(c)) for c in ("key", "version"))
+            view = memoryview(data)
             for lo, hi in slices(offsets):
-                doc, first, last, anchor = segments(data, offsets[lo : hi + 1], length, gram)
-                if not len(doc):
-                    continue
-                begin = (offsets[lo : hi + 1][doc] + first).tolist()
-                end = (offsets[lo : hi + 1][doc] + last + length).tolist()
-                view = memoryview(data)
-                folded = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begin, end)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(folded), pa.array(ids[lo + doc]), pa.array(versions[lo + doc]), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))],
-                                                 ["anchor", "segment", "key", "version", "first", "last"])
+                for at, skipped in pieces(offsets[lo : hi + 1], length):
+                    doc, first, last, anchor = segments(data, at, length, gram)
+                    if not len(doc):
+                        continue
+                    begin, end = (at[doc] + first).tolist(), (at[doc] + last + length).tolist()
+                    folded = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begin, end)], np.uint64).view(np.int64)
+                    places = [pa.array((x + skipped).astype(np.int32)) for x in (first, last)]
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(folded), batch.column("key").take(pa.array(lo + doc)), *places], ["anchor", "segment", "key", "first", "last"])
 
     return run
 
@@ -223,7 +236,7 @@ def _sort_shards(length: int):
                 marked = np.array([w[3] for w in windows])
                 digest, first = np.unique(digest, return_index=True)
                 owner, marked = owner[first], marked[first]
-                slots = np.array([x[0] if x else 0 for x in digest.tolist()], np.int32) * parts // 256
+                slots = ((np.frombuffer(digest.tobytes(), ">u4").reshape(-1, 4)[:, 0].astype(np.uint64) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
                 out = [[], [], [], [], []]
                 for slot in np.unique(slots):
                     mine = slots == slot
@@ -246,19 +259,27 @@ def _sort_shards(length: int):
 
 
 def _merge_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted digests of several shards, by anchor and slot, to the ranges of windows that two of them hold."""
-    groups: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        for anchor, slot, d, s, m in zip(*(batch.column(c).to_pylist() for c in ("anchor", "slot", "digests", "starts", "marked"))):
-            groups.setdefault((anchor, slot), []).append((np.frombuffer(d, "S16"), np.frombuffer(s, np.int64).reshape(-1, 2), np.frombuffer(m, bool)))
-    for (anchor, _), runs in groups.items():
+    """Sorted digests of several shards, in rows sorted by anchor and slot, to the ranges of windows that two of them hold. A slot is held at a time: about a shard's digests."""
+    key, runs = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
         everything = np.sort(np.concatenate([r[0] for r in runs]))
         for digest, owner, marked in runs:
             often = np.searchsorted(everything, digest, "right") - np.searchsorted(everything, digest, "left") > 1
             new = owner[often & ~marked]
             if len(new):
                 ranges = [np.array([[s, s + 1]], np.int32).tobytes() for s in new[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), anchor)), pa.array(new[:, 0].copy()), pa.array(ranges, pa.binary())], ["anchor", "segment", "ranges"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), key[0])), pa.array(new[:, 0].copy()), pa.array(ranges, pa.binary())], ["anchor", "segment", "ranges"])
+
+    for batch in batches:
+        for anchor, slot, d, s, m in zip(*(batch.column(c).to_pylist() for c in ("anchor", "slot", "digests", "starts", "marked"))):
+            if (anchor, slot) != key:
+                if runs:
+                    yield from close()
+                key, runs = (anchor, slot), []
+            runs.append((np.frombuffer(d, "S16"), np.frombuffer(s, np.int64).reshape(-1, 2), np.frombuffer(m, bool)))
+    if runs:
+        yield from close()
 
 
 def _removed(length: int):
@@ -304,13 +325,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     spark = docs.sparkSession
     small_batches(spark)
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("key"), F.hash("text").alias("version"), body.alias("body"))
-    found = own.filter(F.length("body") >= length).mapInArrow(_occurrences(length, gram), "anchor long, segment long, key long, version int, first int, last int")
+    doc = F.col("doc_id").cast("long")
+    name = F.concat(F.coalesce(doc.cast("string"), F.lit("none")), F.lit("|"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    own = docs.select(doc.alias("doc_id"), F.unhex(F.md5(name.cast("binary"))).alias("key"), body.alias("body"))
+    found = own.filter(F.length("body") >= length).mapInArrow(_occurrences(length, gram), "anchor long, segment long, key binary, first int, last int")
     found = materialize(found)
     # counts are written before they are joined: an aggregate next to the join would keep its hot keys from being split
     often = materialize(found.groupBy("anchor").agg(F.count("*").alias("total")).filter("total > 1").select("anchor"))
     repeated = materialize(found.join(often, "anchor"))
-    place = F.struct("key", "version", "first", "last")
+    place = F.struct("key", "first", "last")
     folded = materialize(repeated.groupBy("anchor", "segment").agg(F.count("*").alias("n"), F.min(place).alias("place")))
     kinds = materialize(folded.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum(F.col("place.last") - F.col("place.first") + length).alias("bytes")))
     mixed = materialize(folded.join(kinds.filter("kinds > 1"), "anchor").select("anchor", "segment", "n", "place.*", "bytes"))
@@ -318,7 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sizes = kinds.filter("kinds > 1").select("anchor", parts.alias("parts"), "bytes")
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = -(-total // SHARD_BYTES) or 1
-    texts = own.join(mixed.drop("bytes"), ["key", "version"]).select("body", "anchor", "segment", "n", "first", "last").mapInArrow(_cut_segments(length), "anchor long, segment long, n long, text binary")
+    texts = own.join(mixed.drop("bytes"), "key").select("body", "anchor", "segment", "n", "first", "last").mapInArrow(_cut_segments(length), "anchor long, segment long, n long, text binary")
     alone = F.pmod(F.xxhash64("anchor"), F.lit(shards))
     dealt = F.xxhash64("anchor", F.pmod(F.xxhash64("segment"), F.col("parts")))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -326,13 +349,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sorted_shards = placed.repartition(buckets, "shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(length), RESULT)
     sorted_shards = materialize(sorted_shards)
     crossing = sorted_shards.filter("slot is not null").select("anchor", "slot", "digests", "starts", "marked")
-    crossing = crossing.repartition(buckets, "anchor", "slot").mapInArrow(_merge_shards, "anchor long, segment long, ranges binary")
+    crossing = crossing.repartition(buckets, "anchor", "slot").sortWithinPartitions("anchor", "slot").mapInArrow(_merge_shards, "anchor long, segment long, ranges binary")
     marked = sorted_shards.filter("slot is null").select("anchor", "segment", "ranges").unionByName(crossing)
     single = kinds.filter("kinds = 1").select("anchor")
-    settled = repeated.join(single, "anchor").select("key", "version", "first", "last", F.lit(None).cast("binary").alias("ranges"))
-    judged = repeated.join(marked, ["anchor", "segment"]).select("key", "version", "first", "last", "ranges")
-    marks = settled.unionByName(judged).groupBy("key", "version").agg(F.collect_set(F.struct("first", "last", "ranges")).alias("marks"))
-    joined = own.join(marks, ["key", "version"], "left").select("doc_id", "body", "marks")
+    settled = repeated.join(single, "anchor").select("key", "first", "last", F.lit(None).cast("binary").alias("ranges"))
+    judged = repeated.join(marked, ["anchor", "segment"]).select("key", "first", "last", "ranges")
+    marks = settled.unionByName(judged).groupBy("key").agg(F.collect_set(F.struct("first", "last", "ranges")).alias("marks"))
+    joined = own.join(marks, "key", "left").select("doc_id", "body", "marks")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
