@@ -18,17 +18,20 @@
    against it: partial overlaps are shared along a path, and a subtree is left
    once its remaining lengths can't reach the required overlap. Blocks with many
    rows are split into cells that cover every pair of their parts.
-6. All members of a block share a gram with its smallest set, the pivot. In blocks
-   over a cell, members are first judged against a pivot alone. Those that these
-   links join to their block's pivot need no judging among each other, so they only
-   meet the rest: a large family of near copies costs linear work.
+6. In blocks over a cell, members are first judged against a pivot alone: the block's
+   smallest set, then the set that was most alike to the pivot before, which in a
+   family of near copies is soon its common origin. Members that these links join to
+   the first pivot need no judging among each other, so they only meet the rest: a
+   large family costs linear work.
 7. Each cell returns a spanning forest of its links; min-label rounds with
    pointer jumping over written tables give the components.
 
-Nothing is capped or sampled. Hashes have 64 bits; a pair is judged on the
-hashes of its own two sets. Null and empty texts have an empty set and link with
-nothing. Repeated rows share a class. A row without doc_id gets its group's
-smallest id, or null if none of the group has one. Only doc_id and text are read.
+Classes have numbers of their own, written once, so a set that only rows without
+doc_id hold links others like any set. Nothing is capped or sampled. Grams have 64
+bits; a pair is judged on the grams of its own two sets. Null and empty texts have
+an empty set and link with nothing. Repeated rows share a class. A row without
+doc_id gets its group's smallest id, or null if none of the group has one. Only
+doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -42,25 +45,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm._bytes import bytes_of, shingle_sets
-from verdigris.llm._shared import materialize, ship, small_batches, table
+from verdigris.llm._shared import materialize, ship, small_batches, table, text_key, unused
 
 HEAVY_KEPT = 100_000
-CELL_GRAMS = 1_000_000
-CELL_ROWS = 3_000
+CELL_GRAMS = 250_000
+CELL_ROWS = 250
+PIVOT_ROUNDS = 3
 SKETCH = 256
 FULL = 65_535
 LOG_STEPS = 4_000
 
 
 def _input(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body"))
 
 
-NAMES = ["doc_id", "n", "sig", "sketch", "grams", "counts"]
+NAMES = ["doc_id", "key", "n", "sig", "sketch", "grams", "counts"]
 
 
 def _summaries(width: int):
-    """Batches to (doc_id, n, sig, sketch) and, once in a while, rows that carry the grams seen twice or more."""
+    """Batches to (doc_id, key, n, sig, sketch) and, once in a while, rows that carry the grams seen twice or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, size, seen = [], 0, set()
@@ -69,7 +73,7 @@ def _summaries(width: int):
             grams, counts = np.unique(np.concatenate(pending), return_counts=True)
             often = counts >= 2
             kind = pa.list_(pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()),
+            return pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([0], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()),
                                                pa.array([grams[often].view(np.int64)], kind), pa.array([counts[often]], kind)], NAMES)
 
         for batch in batches:
@@ -89,7 +93,7 @@ def _summaries(width: int):
                     pending, size = [], 0
                     seen.clear()
             empty = pa.nulls(len(sizes), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), empty, empty], NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), empty, empty], NAMES)
         if pending:
             yield heavy()
 
@@ -280,22 +284,21 @@ def _cells(members: DataFrame, weight, most: int, keep: list[str]) -> DataFrame:
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(shingle_sets(*bytes_of(batch.column("body")), width))
-            bodies = [g.tobytes() for g in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(xxhash.xxh3_128_digest, bodies), pa.binary()), pa.array(bodies, pa.binary())], ["doc_id", "sig", "body"])
+            bodies = [g.tobytes() for g in shingle_sets(*bytes_of(batch.column("body")), width)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(bodies, pa.binary())], ["rep", "body"])
 
     return run
 
 
 def _sets_of(body: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, body): the whole sets of the wanted reps."""
-    found = body.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_full_sets(width), "doc_id long, sig binary, body binary")
-    own = classes.select(F.col("rep").alias("doc_id"), "sig")
-    return found.join(own, ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "body")
+    """(rep, body): the whole sets of the wanted reps, each from its class's picked row. Repeated rows without an id are folded before they move."""
+    picked = classes.join(wanted.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("pick.doc_id").alias("p_id"), F.col("pick.key").alias("p_key"))
+    rows = body.join(picked, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key"))).select("rep", "body")
+    return rows.mapInArrow(_full_sets(width), "rep long, body binary").dropDuplicates(["rep"])
 
 
 def _pivot_links(num: int, den: int):
-    """Batches sorted by block and part, the pivot first, to the links (a, b) of members with it."""
+    """Batches sorted by block and part, the pivot first, to the links (block, a, b, alike) of members with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, pivot, first = None, None, None
@@ -307,34 +310,47 @@ def _pivot_links(num: int, den: int):
                     key, pivot, first = (block, part), rep, grams
                 elif rep != pivot:
                     at = np.minimum(np.searchsorted(first, grams), len(first) - 1)
-                    if (num + den) * int((first[at] == grams).sum()) >= num * (len(first) + len(grams)):
-                        links.append((rep, pivot))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], ["a", "b"])
+                    shared, both = int((first[at] == grams).sum()), len(first) + len(grams)
+                    if (num + den) * shared >= num * both:
+                        links.append((block, rep, pivot, shared / both))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], kind) for k, kind in enumerate(kinds)], ["block", "a", "b", "alike"])
 
     return run
 
 
 def join_to_pivots(blocks: DataFrame, classes: DataFrame, body: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
     """(block, rep, n, joined) for all members, and the links found on the way, if there are blocks over CELL_ROWS."""
-    members = blocks.join(classes.select("member", "rep", "n"), "member")
-    parts = F.ceil(F.col("count") / CELL_ROWS).cast("int")
-    large = materialize(blocks.groupBy("block").count().filter(F.col("count") > CELL_ROWS).select("block", parts.alias("parts")))
-    if large.isEmpty():
-        return members.select("block", "rep", "n", F.lit(False).alias("joined")), None
-    pivots = large.join(classes.select(F.col("member").alias("block"), F.col("rep").alias("pivot")), "block")
-    chosen = materialize(blocks.join(large.select("block"), "block").groupBy("member").agg(F.min("block").alias("block")))  # one pivot for each member
-    mine = chosen.join(large, "block").join(classes.select("member", "rep"), "member")
-    mine = mine.select("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "rep")
-    heads = pivots.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("rep"))
-    faced = materialize(mine.unionByName(heads))
+    members = blocks.join(classes.select("member", "rep", "n"), "member").select("block", "rep", "n", F.lit(False).alias("joined"))
     buckets = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = faced.join(_sets_of(body, classes, faced, width), "rep").repartition(buckets, "block", "part").sortWithinPartitions("block", "part", "role", "rep")
-    links = materialize(dealt.select("block", "part", "rep", "body").mapInArrow(_pivot_links(num, den), "a long, b long"))
-    labels = components(links)
-    hubs = pivots.join(labels.withColumnRenamed("v", "pivot"), "pivot", "left").select("block", F.coalesce("component", "pivot").alias("hub"))
-    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(materialize(hubs), "block", "left")
-    joined = F.coalesce(F.coalesce("component", "rep") == F.col("hub"), F.lit(False))
-    return materialize(named.select("block", "rep", "n", joined.alias("joined"))), links
+    hubs, links, tried = None, None, None
+    for _ in range(PIVOT_ROUNDS):
+        parts = F.ceil(F.col("free") / CELL_ROWS).cast("int").alias("parts")
+        large = materialize(members.groupBy("block").agg(F.count_if(~F.col("joined")).alias("free"), F.min(F.struct("n", "rep"))["rep"].alias("least")).filter(F.col("free") > CELL_ROWS).select("block", parts, "least"))
+        if large.isEmpty():
+            break
+        pivots = large.withColumn("pivot", F.col("least"))
+        if links is not None:  # what was most alike to a pivot is closer to the middle of its family
+            middle = links.join(tried, F.col("a") == F.col("old"), "left_anti").groupBy("block").agg(F.max_by("a", F.struct("alike", "a")).alias("next"))
+            pivots = large.join(middle, "block").withColumn("pivot", F.col("next"))
+        pivots = materialize(pivots.select("block", "parts", "pivot"))
+        if pivots.isEmpty():
+            break
+        hubs = pivots.select("block", F.col("pivot").alias("hub")) if hubs is None else hubs
+        seen = pivots.select(F.col("pivot").alias("old"))
+        tried = seen if tried is None else tried.unionByName(seen)
+        chosen = materialize(members.filter("not joined").join(pivots.select("block"), "block").groupBy("rep").agg(F.min("block").alias("block")))  # one pivot for each member
+        mine = chosen.join(pivots, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "rep")
+        heads = pivots.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("rep"))
+        faced = materialize(mine.unionByName(heads))
+        dealt = faced.join(_sets_of(body, classes, faced, width), "rep").repartition(buckets, "block", "part").sortWithinPartitions("block", "part", "role", "rep")
+        found = materialize(dealt.select("block", "part", "rep", "body").mapInArrow(_pivot_links(num, den), "block long, a long, b long, alike double"))
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        homes = materialize(hubs.join(labels.withColumnRenamed("v", "hub"), "hub", "left").select("block", F.coalesce("component", "hub").alias("home")))
+        named = members.drop("joined").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(homes, "block", "left")
+        members = materialize(named.select("block", "rep", "n", F.coalesce(F.coalesce("component", "rep") == F.col("home"), F.lit(False)).alias("joined")))
+    return members, None if links is None else links.select("a", "b")
 
 
 class Trie:
@@ -478,13 +494,13 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.filter(level >= cut) if cut is not None else counts.limit(0)
 
 
-def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of similarity num / den or more."""
+def _grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): every row's doc_id, key, n and sig; every non-empty class's sig, component, pick (doc_id, key of one of its rows) and least doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
     body = _input(docs)
-    summary = materialize(body.mapInArrow(_summaries(width), "doc_id long, n int, sig binary, sketch binary, grams array<long>, counts array<long>"))
-    rows = summary.filter("sig is not null").select("doc_id", "n", "sig")
+    summary = materialize(body.mapInArrow(_summaries(width), "doc_id long, key binary, n int, sig binary, sketch binary, grams array<long>, counts array<long>"))
+    rows = summary.filter("sig is not null").select("doc_id", "key", "n", "sig")
     often = summary.filter("sig is null").select(F.explode(F.arrays_zip("grams", "counts")).alias("g")).groupBy(F.col("g.grams").alias("gram")).agg(F.sum("g.counts").alias("n"))
     top = most_frequent(materialize(often), HEAVY_KEPT).collect()  # bounded: only orders the grams
     top.sort(key=lambda r: (-r.n, r.gram))
@@ -496,38 +512,51 @@ def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     packed = body.mapInArrow(_prefixes(width, num, den, buckets, heavy), "bucket int, grams binary, sets binary, sizes binary")
     blocks = materialize(packed.repartition(buckets, "bucket").mapInArrow(_blocks(num, den), "block long, member long").distinct())
     first_long = F.conv(F.hex(F.substring("sig", 1, 8)), 16, -10).cast("long")
-    sketched = summary.filter("sig is not null and n > 0 and doc_id is not null")
-    classes = materialize(sketched.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn("member", first_long))
+    worded = summary.filter("sig is not null and n > 0")
+    pick = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
+    classes = worded.groupBy("sig").agg(pick.alias("pick"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("member", first_long).withColumn("rep", F.monotonically_increasing_id()))  # numbers count once they are written
     members, first_links = join_to_pivots(blocks, classes, body, width, num, den)
     sifted = _cells(members, F.lit(1), CELL_ROWS, ["rep", "joined"]).join(classes.select("rep", "n", "sketch"), "rep")
     sifted = sifted.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_sift(num, den), "block long, rep long, n long, joined boolean")
     possible = materialize(sifted.distinct())
     sets = materialize(_sets_of(body, classes, possible, width))
-    filled = _cells(possible, F.col("n"), CELL_GRAMS, ["rep"]).join(sets, "rep")
+    filled = _cells(possible, F.col("n") + 100, CELL_GRAMS, ["rep"]).join(sets, "rep")
     links = filled.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_cell_links(num, den), "a long, b long")
     merged = components(links if first_links is None else links.unionByName(first_links))
-    named = classes.join(merged.withColumnRenamed("v", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
-    return rows.join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = classes.join(merged.withColumnRenamed("v", "rep"), "rep", "left").select("sig", "pick", F.coalesce("component", "rep").alias("component"))
+    return rows, materialize(named)
+
+
+def similar_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id reachable by links of similarity num / den or more."""
+    rows, classes = _grouped(docs, width, num, den)
+    least = classes.groupBy("component").agg(F.min("pick.doc_id").alias("least"))
+    named = materialize(classes.join(least, "component").select("sig", "least"))
+    return rows.join(named, "sig", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_per_component(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns stay.
+    """One document of each group, the one with the smallest doc_id; all columns stay, whatever their names.
 
-    Rows without doc_id take a number above all others, from their text, so they
-    stay unless a copy has an id. Rows with equal doc_id and text are copies too.
-    Texts without words link with nothing, and all of them stay.
+    A group of rows without doc_id keeps the one whose text has the smallest key. Of rows repeated as a whole one
+    stays. Texts without words link with nothing, and all of them stay.
     """
-    unnamed = F.xxhash64(F.lit("unnamed"), "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    keyed = docs.withColumn("v_key", F.coalesce(F.col("doc_id").cast("long"), unnamed)).withColumn("v_version", F.xxhash64("text"))
-    found = similar_components(keyed.select(F.col("v_key").alias("doc_id"), "text"), width, num, den)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("v_key")).distinct()
-    worded = keyed.filter(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"))
-    again = materialize(worded.groupBy("v_key", "v_version").count().filter("count > 1").drop("count"))
-    alone = keyed.join(kept, "v_key", "left_semi")
-    if not again.isEmpty():
-        repeated = alone.join(again, ["v_key", "v_version"], "left_semi").dropDuplicates(["v_key", "v_version"])
-        alone = alone.join(again, ["v_key", "v_version"], "left_anti").unionByName(repeated)
-    return alone.select(*docs.columns)
+    rows, classes = _grouped(docs, width, num, den)
+    k_id, k_key, k_copy, w_id, w_key = unused(docs, "k_id", "k_key", "k_copy", "w_id", "w_key")
+    chosen = materialize(classes.groupBy("component").agg(F.min("pick").alias("pick")).select(F.col("pick.doc_id").alias(w_id), F.col("pick.key").alias(w_key)))
+    again = rows.groupBy("doc_id", "key").count().filter("count > 1").select(F.col("doc_id").alias("a_id"), F.col("key").alias("a_key"))
+    marked = chosen.join(again, (F.col(w_key) == F.col("a_key")) & F.col(w_id).eqNullSafe(F.col("a_id")), "left")
+    chosen = materialize(marked.select(w_id, w_key, F.col("a_key").isNotNull().alias(k_copy)))
+    keyed = docs.withColumns({k_id: F.col("doc_id").cast("long"), k_key: text_key()})
+    bare = keyed.filter(~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    kept = keyed.join(chosen, F.col(k_id).eqNullSafe(F.col(w_id)) & (F.col(k_key) == F.col(w_key)))
+    once = kept.filter(~F.col(k_copy)).unionByName(kept.filter(k_copy).dropDuplicates([k_id, k_key]))
+    return once.select(*map(_quoted, docs.columns)).unionByName(bare.select(*map(_quoted, docs.columns)))
+
+
+def _quoted(name: str) -> str:
+    return f"`{name}`"
 
 
 #: Overlaps of all pairs that share a shingle, and labels that settle on the smallest document.
