@@ -73,10 +73,11 @@ def sainte_lague(claims: DataFrame, group: list[str], weight: str, seats: str, t
 
 
 def take_words(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, taken; with `carry` all columns of the input, then v_taken and v_size."""
+    """doc_id, size, source_size, target, taken; with `carry` the input's columns as c0, c1, ..., then v_taken and v_size."""
     names = docs.columns if carry else ["doc_id"]
+    inner = [f"c{i}" for i in range(len(names))]  # the input's columns travel under names of our own
     source = F.col("source").cast("string")
-    sized = docs.select(*names, source.alias("v_source"), words_in().alias("v_size"), F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("v_order"))
+    sized = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], source.alias("v_source"), words_in().alias("v_size"), F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("v_order"))
     light = materialize(sized.select("v_source", "v_size", "v_order") if carry else sized)
     sized = sized if carry else light
     totals = source_targets(light.groupBy("v_source").agg(F.sum("v_size").alias("v_total"), F.count("*").alias("v_docs")))
@@ -105,15 +106,15 @@ def take_words(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataF
     taken = passes * F.col("v_size") + F.greatest(F.lit(0), F.least(F.col("v_size"), rest - start))
     rows = rows.withColumn("v_taken", taken.cast("long"))
     if carry:
-        return rows.select(*names, "v_taken", "v_size")
-    return rows.select("doc_id", F.col("v_size").alias("size"), F.col("v_total").alias("source_size"), F.col("v_target").alias("target"), F.col("v_taken").alias("taken"))
+        return rows.select(*inner, "v_taken", "v_size")
+    return rows.select(F.col("c0").alias("doc_id"), F.col("v_size").alias("size"), F.col("v_total").alias("source_size"), F.col("v_target").alias("target"), F.col("v_taken").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole copy; columns stay."""
     rows = take_words(docs, carry=True)
     copies = F.when(F.col("v_size") > 0, F.floor(F.col("v_taken") / F.col("v_size") + 0.5)).otherwise(0).cast("int")
-    return rows.withColumn("v_copies", copies).filter("v_copies > 0").withColumn("v_copy", F.explode(F.sequence(F.lit(1), F.col("v_copies")))).select(*docs.columns)
+    return rows.withColumn("v_copies", copies).filter("v_copies > 0").withColumn("v_copy", F.explode(F.sequence(F.lit(1), F.col("v_copies")))).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 #: The same by one global pass; blocks, seats and the seeded order are as above.
