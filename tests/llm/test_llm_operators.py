@@ -98,6 +98,28 @@ def test_repeats_with_an_anchor_over_many_shards(spark, monkeypatch):
     check_repeats(spark.createDataFrame(rows + [(99, rows[3][1])], "doc_id long, text string"), 40, 8)
 
 
+def test_repeats_of_rows_without_id(spark):
+    """Rows without doc_id are told apart by 128 bits: two texts with one 32-bit hash keep what is theirs."""
+    many = spark.range(400_000).select(F.concat(*[F.md5(F.concat(F.lit(f"{k} "), "id")) for k in range(8)]).alias("text"))
+    pair = many.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("t")).filter(F.size("t") > 1).limit(1).collect()
+    assert pair, "no colliding pair among the texts"
+    a, b = pair[0].t[:2]
+    rows = [(None, a), (None, b), (5, b), (-1, prose(80, 3))] + [(None, prose(60, i % 90)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_repeats(df, 200, 32)
+    out = suffix_dedup.remove_repeats(df).collect()
+    assert sorted(r.n_removed for r in out if r.n_bytes == 256) == [0, 256, 256]
+
+
+def test_repeats_of_long_texts_in_pieces(spark, monkeypatch):
+    rows = [(1, prose(300, 1)), (2, "x" * 50 + prose(300, 1)[200:900]), (3, "y" * 700), (None, prose(300, 1)[100:] + prose(100, 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(list(suffix_dedup.pieces(np.array([0, 10_000_000]), 200))) == 3
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    check_repeats(df, 200, 32)
+    check_repeats(df, 40, 8)
+
+
 # 2 html
 
 
@@ -307,6 +329,81 @@ def test_items_dense_in_numbers_or_names(spark):
     assert out == {(1, 1): "verbatim", (2, 1): "verbatim", (3, 2): "verbatim", (4, 3): "verbatim", (5, 4): "reparameterised", (8, 5): "verbatim", (9, 4): "verbatim"}
 
 
+UNITS = set(decontam.UNITS.split("|"))
+
+
+def template_words(text):
+    """(word, placeholder or word) of a text, by the rules in words: names after a lower-case word or a comma, numbers, units after numbers."""
+    import regex
+
+    text = (text or "").replace(decontam.MARK, " ")
+    marked = regex.sub(r"(?<=[\p{Ll},;:] )(?=\p{Lu}\p{Ll})", decontam.MARK, text).lower()
+    words = [w for w in regex.sub(r"[^\p{L}\p{N}" + decontam.MARK + "]+", " ", regex.sub(r"(?<=\d)[.,](?=\d)", "", marked)).split(" ") if w]
+    out = []
+    for w in words:
+        before = out[-1][1] if out else ""
+        name = decontam.MARK in w
+        raw = w.replace(decontam.MARK, "")
+        if raw or name:
+            out.append((raw, "<n>" if w.startswith(decontam.MARK) else "<d>" if w[0].isdigit() else "<u>" if before == "<d>" and w in UNITS else raw))
+    return out
+
+
+def brute_leaks(texts, bench):
+    """(doc, class, covered words) by comparing every item with every document at every offset."""
+    items = {i: template_words(t) for i, t in bench if i is not None}
+    pattern = lambda ws: (tuple(t for _, t in ws), tuple([r for r, t in ws if t[0] == "<"].index(r) for r, t in ws if t[0] == "<"))
+    home = {i: min(j for j in items if pattern(items[j]) == pattern(ws)) for i, ws in items.items()}
+    best = {}
+    for doc, text in texts:
+        words = template_words(text)
+        for i, ws in items.items():
+            n, width = len(ws), min(decontam.WINDOW, len(ws))
+            if n < decontam.LITERALS:
+                continue
+            held = set()
+            for d in range(-n, len(words)):
+                inside = lambda p, d=d: 0 <= p + d < len(words)
+                exact = [inside(p) and ws[p][0] == words[p + d][0] for p in range(n)]
+                alike = [exact[p] or (inside(p) and ws[p][1] == words[p + d][1]) for p in range(n)]
+                starts = range(n - width + 1)
+                same = lambda a, p: all(inside(q) and ws[q][a] == words[q + d][a] for q in range(p, p + width))
+                if not any(same(0, p) or (same(1, p) and sum(ws[q][1][0] != "<" for q in range(p, p + width)) >= decontam.LITERALS) for p in starts):
+                    continue
+                run = lambda bits: sorted({q for p in starts if all(bits[p : p + width]) for q in range(p, p + width)})
+                sure, cover = set(run(exact)), run(alike)
+                for first in {p - k for k, p in enumerate(cover)}:
+                    stretch = [p for k, p in enumerate(cover) if p - k == first]
+                    pairs = {(ws[p][0], words[p + d][0]) for p in stretch if ws[p][1][0] == "<"}
+                    held |= set(stretch) if len(pairs) == len({a for a, _ in pairs}) else set(stretch) & sure
+            if len(held) >= decontam.COVERAGE * n or len(held) >= decontam.LONG_RUN:
+                best[doc, home[i]] = max(best.get((doc, home[i]), 0), len(held))
+    return best
+
+
+def test_leaks_equal_a_comparison_at_every_offset(spark):
+    rng = np.random.default_rng(12)
+    forms = ["What is {a} plus {b}?", "If {n} has {a} kg of rice and gives {b} kg to {m}, how much rice does {n} have left over now?", "a cup holds {a} ml while the other one holds {a} ml as {n} said", "add {a} and {b} and {c} and {a} then tell {m} of it", "we saw {n}, {m} and {n} again there"]
+    make = lambda f: f.format(**{k: int(rng.integers(1, 9)) for k in "abc"}, **{k: str(rng.choice(["Anna", "Bob", "Carla", "Dan"])) for k in "nm"})
+    bench = [(i, make(forms[i % 5])) for i in range(40)] + [(50, prose(30, 77)), (51, "too few"), (52, None), (None, "six words that have no number")]
+    texts = [(i, " ".join([prose(int(rng.integers(0, 6)), i), make(forms[i % 5]) if i % 3 else str(bench[i][1]), prose(int(rng.integers(0, 6)), i + 99)])) for i in range(40)] + [(60, prose(30, 77)[20:140]), (61, None), (62, "")]
+    df, b = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(bench, "item_id int, text string")
+    out = {(r.doc_id, r.class_id): r for r in decontam.find_leaks(df, b).collect()}
+    wanted = brute_leaks(texts, bench)
+    sizes = {i: len(template_words(t)) for i, t in bench if i is not None}
+    assert {k: round(r.coverage * sizes[r.item_id]) for k, r in out.items()} == wanted and len(wanted) > 30
+    same = {(d, c) for (d, c) in wanted if d < 40 and d % 3 == 0}
+    assert all(out[k].kind == "verbatim" for k in same if out[k].coverage == 1 and bench[k[0]][1] in texts[k[0]][1] and out[k].item_id == k[0])
+    found = {r.item_id: (r.class_id, r.found) for r in decontam.benchmark_coverage(b).collect()}
+    assert found[51][1] == "none" and found[50] == (50, "template") and found[0][1] == "verbatim" and all(c <= i for i, (c, _) in found.items())
+
+
+def test_a_template_of_many_items_makes_no_pairs(spark):
+    bench = spark.createDataFrame([(i, f"If Anna has {i} kg of rice and gives 3 kg to Bob how much is left") for i in range(10, 210)], "item_id int, text string")
+    docs = spark.createDataFrame([(i, f"so: If Carla has {1000 + i} kg of rice and gives 7 kg to Dan how much is left, friend") for i in range(150)], "doc_id int, text string")
+    assert {(r.doc_id, r.class_id) for r in decontam.find_leaks(docs, bench).collect()} == {(i, 10) for i in range(150)} and decontam.find_leaks(docs, bench).count() == 150
+
+
 # 7 n-gram join
 
 
@@ -373,6 +470,49 @@ def test_components_of_families(spark, monkeypatch, cells):
     check_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 4, 5)
 
 
+def test_a_row_without_id_links_others(spark):
+    words = prose(100, 31).split()
+    change = lambda *places: " ".join("zz" + str(i) if i in places else w for i, w in enumerate(words))
+    rows = [(1, change(3)), (None, change()), (2, change(90)), (None, prose(50, 32)), (None, prose(50, 32)), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_components(df, 4, 92, 100)
+    out = {r.doc_id: r.component_id for r in ngram_join.similar_components(df, 4, 92, 100).collect() if r.doc_id}
+    assert out == {1: 1, 2: 1, 7: 7}
+    kept = ngram_join.keep_one_per_component(df, 4, 92, 100).collect()
+    assert len(kept) == 3 and [r.doc_id for r in kept if r.text == change(3)] == [1]
+
+
+def test_families_around_a_common_origin_need_few_pairs(spark, monkeypatch):
+    """Copies are alike to their origin and not to each other; the second pivot is the origin, and few members are left to meet each other."""
+    monkeypatch.setattr(ngram_join, "CELL_ROWS", 20)
+    words = prose(200, 41).split()
+    rng = np.random.default_rng(6)
+    rows = [(0, " ".join(words))]
+    for i in range(1, 150):
+        own = list(words)
+        for at in rng.choice(200, 3, replace=False):
+            own[at] = f"w{i}x{at}"
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows + [(500 + i, prose(40, 900 + i)) for i in range(30)], "doc_id long, text string")
+    check_components(df, 4, 85, 100)
+
+
+def test_clashing_names_pass_through_the_stages(spark):
+    names = ["k_id", "k_key", "k_copy", "w_id", "w_key", "v_key", "v_source", "v_size", "v_order", "v_total", "v_target", "v_taken", "v_copies", "v_leak", "v_version", "v_range", "v_text", "v_doc", "c0", "C1", "block", "a.b", "h", "item", "slot", "Shard"]
+    rows = [(i, prose(30, i % 6), "s", *([f"{i}"] * len(names))) for i in range(12)] + [(12, None, None, *(["12"] * len(names)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, prose(30, 2))], "item_id long, text string")
+    for stage in (ngram_join.keep_one_per_component, lambda d: decontam.drop_leaks(d, bench), mixture.mixed_documents):
+        out = stage(df)
+        assert out.columns == df.columns
+        found = out.collect()
+        assert found and all(set(r[3:]) == {str(r.doc_id)} for r in found)
+    carried = sharding.assign_shards(df, carry=True)
+    kept = [n for n in names if n.lower() not in ("slot", "shard")]
+    assert carried.columns[: 3 + len(kept)] == ["doc_id", "text", "source", *kept]
+    assert all({r[n] for n in kept} == {str(r.doc_id)} for r in carried.collect())
+
+
 # 8 mixture
 
 
@@ -491,5 +631,18 @@ def test_shard_laws(spark, docs, empty, monkeypatch, law):
     assert sharding.assign_shards(empty, law).count() == 0
 
 
+@pytest.mark.parametrize("law", ["bytes", "rows"])
+def test_one_row_repeated_very_often_is_split(spark, law):
+    """Rows repeated as a whole are drawn one by one and cut at any record."""
+    df = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).unionByName(spark.range(500).select("id", F.md5(F.col("id").cast("string")).alias("text")).withColumnRenamed("id", "doc_id"))
+    out = sharding.assign_shards(df, law)
+    found = [(r.n, r.b) for r in out.groupBy("shard").agg(F.count("*").alias("n"), F.sum("size").alias("b")).collect()]
+    sizes = [n for n, _ in found] if law == "rows" else [b for _, b in found]
+    assert len(found) == 8 and sum(n for n, _ in found) == 100_500 and max(sizes) - min(sizes) <= (1 if law == "rows" else 66)
+    keyed = spark.range(100_000).select(F.lpad(F.hex("id"), 16, "0").alias("v_key"), F.lit(14).alias("v_size"))
+    splitters = sharding.sampled_splitters(keyed, 100_000, 1_400_000)
+    assert 25 <= len(splitters) <= 100
+
+
 def test_html_entities_are_decoded_once():
     assert html_extract.extract("<article><p>&amp;lt; &lt;b&gt; &eacute;</p></article>", html_extract.learn_weights([])) == html.unescape("&amp;lt;") + " <b> é"

@@ -12,10 +12,14 @@ always stand for the same filler of the document. Of a stretch in conflict only
 runs that are equal word by word count. A document holds an item when the positions
 that its stretches cover reach COVERAGE of the item's words, or LONG_RUN words.
 
+Items with the same template and pattern of equal fillers are one class, named by the least of them, and a
+document has one row for a class: a template that many items share makes no pairs of
+all its items with all its documents.
+
 Items with fewer than WINDOW words take one window of their own length, if they
 have LITERALS words at least; shorter ones can't be found. Copies with other fillers
 are found by a window with LITERALS plain words; items without any are found as
-exact copies only. Null and empty texts
+exact copies only. `benchmark_coverage` says which is which. Null and empty texts
 hold nothing. Documents count by doc_id and text, so repeated rows are one; a null
 doc_id is an id like others, items without item_id are left out. An empty
 documents or benchmark table gives no rows. Only doc_id and text, item_id and text
@@ -27,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._shared import materialize, ship, table
+from verdigris.llm._shared import materialize, ship, table, text_key, unused
 
 WINDOW = 6
 LITERALS = 4
@@ -84,14 +88,37 @@ def _keys(df: DataFrame, tpl: str, raw: str, width: Column | int, *columns: str)
     return both.select(*columns, "place", "part", "h_raw", F.explode(keys).alias("h"))
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items with their words, windows with hash, item and position)."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item, item_raw, item_tpl, class, width): an item's class is the least item with the same template and the same slots of equal fillers, so what is found for one holds for all."""
     items = benchmark.filter("item_id is not null").select(F.col("item_id").alias("item"), raw_words(F.col("text").cast("string")).alias("raw")).distinct()
     items = items.withColumn("item_raw", _words(_unmarked(F.col("raw")))).withColumn("item_tpl", _words(template(F.col("raw")))).drop("raw")
-    items = materialize(items.filter(F.size("item_tpl") >= LITERALS).withColumn("width", F.least(F.lit(WINDOW), F.size("item_tpl"))))
-    windows = _keys(items, "item_tpl", "item_raw", F.col("width"), "item", "width")
-    windows = windows.filter((F.col("h") == F.col("h_raw")) | (_plain(F.col("part")) >= LITERALS)).select("item", F.col("place").alias("at"), "width", "h")
-    return items, materialize(windows)
+    items = items.withColumn("fillers", F.transform("item_tpl", lambda w, i: F.when(_slot(w), F.get("item_raw", i))))
+    pattern = F.transform("fillers", lambda f: F.coalesce(F.array_position("fillers", f), F.lit(0)).cast("string"))
+    items = items.withColumn("t", F.md5(F.concat_ws("\n", F.array_join("item_tpl", " "), F.array_join(pattern, " ")))).drop("fillers")
+    items = materialize(items.withColumn("width", F.least(F.lit(WINDOW), F.size("item_tpl"))))
+    classes = materialize(items.groupBy("t").agg(F.min("item").alias("class")))
+    return materialize(items.join(classes, "t").drop("t"))
+
+
+def benchmark_coverage(benchmark: DataFrame) -> DataFrame:
+    """(item_id, class_id, n_words, found): how an item can be found. `class_id` is the least item of the same template and pattern, which stands for it in the results.
+
+    found: `none` under LITERALS words, `verbatim` if no window has LITERALS plain words, else `template`.
+    """
+    items = _items(benchmark)
+    n = F.size("item_tpl")
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(n - F.col("width") + 1, F.lit(1))), lambda i: F.slice("item_tpl", i, F.greatest("width", F.lit(1))))
+    found = F.when(n < LITERALS, "none").when(F.exists(windows, lambda w: _plain(w) >= LITERALS), "template").otherwise("verbatim")
+    return items.select(F.col("item").alias("item_id"), F.col("class").alias("class_id"), n.alias("n_words"), found.alias("found"))
+
+
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items with their words, windows with hash, item and position). Windows that several items of a class share stand once, for the least of them."""
+    items = materialize(_items(benchmark).filter(F.size("item_tpl") >= LITERALS))
+    windows = _keys(items, "item_tpl", "item_raw", F.col("width"), "item", "class", "width")
+    windows = windows.filter((F.col("h") == F.col("h_raw")) | (_plain(F.col("part")) >= LITERALS))
+    windows = windows.groupBy("class", F.col("place").alias("at"), "width", "h").agg(F.min("item").alias("item"))
+    return items, materialize(windows.select("item", "at", "width", "h"))
 
 
 def _covered(equal: Column, width: Column) -> Column:
@@ -101,10 +128,10 @@ def _covered(equal: Column, width: Column) -> Column:
 
 
 def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, version, item, n_item, n, n_slots, changed) for each version of a document and item that it holds."""
+    """(doc_id, version, class, item, n_item, n, n_slots, changed) for each version of a document and class of items that it holds, with the item that fits best."""
     items, windows = benchmark_windows(benchmark)
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1 values
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("version"))
     words = own.select("doc_id", "version", raw_words(F.col("text")).alias("raw"))
     words = words.select("doc_id", "version", _words(template(F.col("raw"))).alias("tpl"), _words(_unmarked(F.col("raw"))).alias("raw"))
     bench = _bounded(windows)
@@ -135,23 +162,31 @@ def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     consistent = F.size(F.array_distinct(fillers)) == F.size(F.array_distinct(pairs))
     held = held.withColumn("covered", F.when(consistent, F.col("covered")).otherwise(F.array_intersect("covered", "exact"))).withColumn("slots", slots("covered"))
     changed = F.exists("slots", lambda p: F.get("item_raw", p) != F.get("doc_raw", p - skip))
-    judged = held.select("doc_id", "version", "item", "covered", "slots", changed.alias("changed"), F.size("item_tpl").alias("n_item"))
+    judged = held.select("doc_id", "version", "class", "item", "covered", "slots", changed.alias("changed"), F.size("item_tpl").alias("n_item"))
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    total = judged.groupBy("doc_id", "version", "item", "n_item").agg(union("covered").alias("n"), union("slots").alias("n_slots"), F.max("changed").alias("changed"))
-    return total.filter((F.col("n") >= COVERAGE * F.col("n_item")) | (F.col("n") >= LONG_RUN))
+    total = judged.groupBy("doc_id", "version", "class", "item", "n_item").agg(union("covered").alias("n"), union("slots").alias("n_slots"), F.max("changed").alias("changed"))
+    held = total.filter((F.col("n") >= COVERAGE * F.col("n_item")) | (F.col("n") >= LONG_RUN))
+    values = ["item", "n_item", "n", "n_slots", "changed"]
+    best = F.max_by(F.struct(*values), F.struct("n", ~F.col("changed"), -F.col("item")))
+    return held.groupBy("doc_id", "version", "class").agg(best.alias("b")).select("doc_id", "version", "class", *[F.col(f"b.{v}").alias(v) for v in values])
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, coverage, n_slots, kind) for each document and item that it holds."""
+    """(doc_id, class_id, item_id, coverage, n_slots, kind) for each document and class of items with one template that it holds; item_id is the one that fits best.
+
+    So a template that many items share costs its documents and not their product; `benchmark_coverage` lists the members of a class.
+    """
     leaks = held_items(docs, benchmark)
-    kind = F.when(F.max("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim"))
-    return leaks.groupBy("doc_id", F.col("item").alias("item_id")).agg(F.max(F.col("n") / F.col("n_item")).alias("coverage"), F.max("n_slots").alias("n_slots"), kind.alias("kind"))
+    kind = F.when(F.min("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim"))
+    share = F.col("n") / F.col("n_item")
+    return leaks.groupBy("doc_id", F.col("class").alias("class_id")).agg(F.max_by("item", F.struct("n", ~F.col("changed"), -F.col("item"))).alias("item_id"), F.max(share).alias("coverage"), F.max("n_slots").alias("n_slots"), kind.alias("kind"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents that hold no benchmark item; columns stay. Rows go by doc_id and text, so another text under the same or no id stays."""
-    held = materialize(held_items(docs, benchmark).select(F.col("doc_id").alias("v_leak"), F.col("version").alias("v_version")).distinct())
-    return docs.join(_bounded(held), docs["doc_id"].eqNullSafe(F.col("v_leak")) & (F.xxhash64(docs["text"].cast("string")) == F.col("v_version")), "left_anti")
+    """Documents that hold no benchmark item; columns stay, whatever their names. Rows go by doc_id and text, so another text under the same or no id stays."""
+    leak, version = unused(docs, "v_leak", "v_version")
+    held = materialize(held_items(docs, benchmark).select(F.col("doc_id").alias(leak), F.col("version").alias(version)).distinct())
+    return docs.join(_bounded(held), docs["doc_id"].eqNullSafe(F.col(leak)) & (text_key() == F.col(version)), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
