@@ -320,37 +320,39 @@ def _pivot_links(num: int, den: int):
 
 
 def join_to_pivots(blocks: DataFrame, classes: DataFrame, body: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """(block, rep, n, joined) for all members, and the links found on the way, if there are blocks over CELL_ROWS."""
-    members = blocks.join(classes.select("member", "rep", "n"), "member").select("block", "rep", "n", F.lit(False).alias("joined"))
+    """(block, rep, n, joined) for all members, and the links found on the way, if there are blocks over CELL_ROWS.
+
+    A member that is alike to a pivot leaves the rounds; `joined` then says whether all links together put it into the
+    component of its block's first pivot.
+    """
+    members = blocks.join(classes.select("member", "rep", "n"), "member").select("block", "rep", "n")
     buckets = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hubs, links, tried = None, None, None
+    hubs, links, free = None, None, members
     for _ in range(PIVOT_ROUNDS):
         parts = F.ceil(F.col("free") / CELL_ROWS).cast("int").alias("parts")
-        large = materialize(members.groupBy("block").agg(F.count_if(~F.col("joined")).alias("free"), F.min(F.struct("n", "rep"))["rep"].alias("least")).filter(F.col("free") > CELL_ROWS).select("block", parts, "least"))
-        if large.isEmpty():
-            break
-        pivots = large.withColumn("pivot", F.col("least"))
-        if links is not None:  # what was most alike to a pivot is closer to the middle of its family
-            middle = links.join(tried, F.col("a") == F.col("old"), "left_anti").groupBy("block").agg(F.max_by("a", F.struct("alike", "a")).alias("next"))
-            pivots = large.join(middle, "block").withColumn("pivot", F.col("next"))
-        pivots = materialize(pivots.select("block", "parts", "pivot"))
+        large = free.groupBy("block").agg(F.count("*").alias("free"), F.min(F.struct("n", "rep"))["rep"].alias("pivot")).filter(F.col("free") > CELL_ROWS).select("block", parts, "pivot")
+        if links is not None:  # what was most alike to the pivot before is closer to the middle of its family
+            fresh = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+            middle = fresh.groupBy("block").agg(F.max_by("a", F.struct("alike", "a")).alias("next"))
+            large = large.join(middle, "block").select("block", "parts", F.col("next").alias("pivot"))
+        pivots = materialize(large)
         if pivots.isEmpty():
             break
         hubs = pivots.select("block", F.col("pivot").alias("hub")) if hubs is None else hubs
-        seen = pivots.select(F.col("pivot").alias("old"))
-        tried = seen if tried is None else tried.unionByName(seen)
-        chosen = materialize(members.filter("not joined").join(pivots.select("block"), "block").groupBy("rep").agg(F.min("block").alias("block")))  # one pivot for each member
+        chosen = materialize(free.join(pivots.select("block"), "block").groupBy("rep").agg(F.min("block").alias("block")))  # one pivot for each member
         mine = chosen.join(pivots, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "rep")
         heads = pivots.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("rep"))
         faced = materialize(mine.unionByName(heads))
         dealt = faced.join(_sets_of(body, classes, faced, width), "rep").repartition(buckets, "block", "part").sortWithinPartitions("block", "part", "role", "rep")
         found = materialize(dealt.select("block", "part", "rep", "body").mapInArrow(_pivot_links(num, den), "block long, a long, b long, alike double"))
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        homes = materialize(hubs.join(labels.withColumnRenamed("v", "hub"), "hub", "left").select("block", F.coalesce("component", "hub").alias("home")))
-        named = members.drop("joined").join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(homes, "block", "left")
-        members = materialize(named.select("block", "rep", "n", F.coalesce(F.coalesce("component", "rep") == F.col("home"), F.lit(False)).alias("joined")))
-    return members, None if links is None else links.select("a", "b")
+        free = members.join(links.select(F.col("a").alias("rep")).distinct(), "rep", "left_anti")
+    if hubs is None:
+        return members.withColumn("joined", F.lit(False)), None
+    labels = components(links)
+    homes = materialize(hubs.join(labels.withColumnRenamed("v", "hub"), "hub", "left").select("block", F.coalesce("component", "hub").alias("home")))
+    named = members.join(labels.withColumnRenamed("v", "rep"), "rep", "left").join(homes, "block", "left")
+    return materialize(named.select("block", "rep", "n", F.coalesce(F.coalesce("component", "rep") == F.col("home"), F.lit(False)).alias("joined"))), links.select("a", "b")
 
 
 class Trie:
