@@ -1,12 +1,14 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are values after an assignment to a name, with or without digits, and
+Candidates are private key blocks, each as a whole, values after an assignment to a
+name, with or without digits, and
 unbroken runs of 16 letters, digits and few signs or more with at least a digit;
-both are taken whole, however long they are. Features: length, entropy, shares and transitions of character classes,
-coverage by a dictionary, path look, the neighbouring words before. The forest is
-trained in numpy on labelled findings, which a seeded generator draws from the
-formats of credentials on one side and of look-alikes (hashes under revision
-control, identifiers, addresses, paths, versions, words, numbers) on the other.
+all are taken whole, however long they are. Features: length, entropy, shares and transitions of character classes,
+coverage by a dictionary, path look, paths and other words before. The forest is
+trained in numpy on labelled findings: the caller's, as (value, name, text before,
+secret or not), or, as no given table labels any, those that a seeded generator draws
+from the formats of credentials on one side and of look-alikes (hashes under revision
+control, identifiers, addresses, paths, versions, words, numbers, placeholders) on the other.
 
 Every whole text is searched; findings never carry the secret itself but its
 hash. Null and empty texts have none. Repeated rows repeat their findings. An
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from verdigris.llm._shared import ship, small_batches, table
 
 CANDIDATE = re.compile(
-    r"(?P<name>[A-Za-z][A-Za-z0-9_.-]{0,40}+)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_=.$!@#%^&*~-]{8,}+)"
+    r"(?P<block>-----BEGIN (?P<kind>[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?)-----[^-]*+(?:-(?!----)[^-]*+)*+-----END (?P=kind)-----)"
+    r"|(?P<name>[A-Za-z][A-Za-z0-9_.-]{0,40}+)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_=.$!@#%^&*~-]{8,}+)"
     r"|(?<![A-Za-z0-9+/_=.@-])(?P<bare>(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+)(?![A-Za-z0-9@])"
 )
 #: Words before a value that speak for or against a secret.
@@ -43,8 +46,13 @@ DICTIONARY = (
     "value", "string", "config", "default", "project", "version", "release", "build", "server", "client", "local", "host", "public", "static", "assets", "style", "script", "module", "class", "function",
     "tion", "ing", "ment", "able", "the", "and", "for", "with", "that", "this", "from", "your", "have", "more", "when", "what", "about", "which", "their", "will", "each", "other", "were", "ness", "ally",
 )
+#: Parts of paths where secrets lie, and where examples do.
+PATHS_FOR = (".env", "config", "credential", "secret", ".pem", ".key", ".npmrc", "deploy", "settings", "vault")
+PATHS_AGAINST = ("test", "example", "sample", "fixture", "doc", "readme", "lock", "node_modules", "vendor", "mock", "template")
+PATH = re.compile(r"(?:[\w.-]+/)+[\w.-]+|\b[\w-]*\.(?:env|pem|key|py|js|ts|json|ya?ml|toml|ini|cfg|conf|lock|md|rst|txt|html?|sh)\b")
 THRESHOLD = 0.5
-FEATURES = 22
+FEATURES = 26
+BEFORE = 80
 
 
 def features(value: str, name: str, before: str) -> list[float]:
@@ -63,13 +71,15 @@ def features(value: str, name: str, before: str) -> list[float]:
             covered[at : at + len(w)] = b"\x01" * len(w)
             at = low.find(w, at + 1)
     vowels = sum(c in "aeiou" for c in low) / n
-    words = set(re.findall(r"[a-z]+", before.lower()))
+    paths = " ".join(PATH.findall(before.lower()))
+    words = set(re.findall(r"[a-z]+", PATH.sub(" ", before[-40:].lower())))
     named = name.lower()
     runs = max((len(r) for r in re.findall(r"[a-z]+|[A-Z]+|\d+", value)), default=0) / n
     return [
         min(n, 200), entropy, entropy / math.log2(max(2, n)), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n, kinds.count("s") / n, changes, float(hexadecimal),
         float(hexadecimal and n in (32, 40, 64)), sum(covered) / n, vowels, runs, value.count("/") / n, value.count(".") / n, value.count("-") / n, float(bool(re.fullmatch(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", low))),
         float(any(w in named for w in FOR)), float(any(w in re.split(r"[^a-z0-9]+", named) for w in AGAINST)), float(any(w in words for w in FOR)), float(any(w in words for w in AGAINST)), float(value.startswith(STARTS)),
+        float(bool(paths)), float(any(w in paths for w in PATHS_FOR)), float(any(w in paths for w in PATHS_AGAINST)), float(value.startswith("-----BEGIN ")),
     ]
 
 
@@ -86,24 +96,33 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nda
         return rng.choice(DICTIONARY) if rng.random() < 0.6 else draw("aeiou", 1).join(draw("bcdfghklmnprst", 1) for _ in range(rng.randint(2, 4)))
 
     good_names, bad_names = ("token", "api_key", "secret", "password", "access_token", "auth", "client_secret", "key", "TOKEN", "private_key"), ("commit", "sha1", "md5", "checksum", "id", "version", "path", "url", "file", "build", "class", "name", "color", "")
+    good_paths, bad_paths = ("config/prod.env", "deploy/settings.yaml", ".npmrc", "home/app/.env", "secrets/service.json"), ("tests/fixtures/sample.json", "docs/readme.md", "examples/demo.py", "package.lock", "vendor/lib/index.js")
+
+    def block(body: str) -> str:
+        kind = rng.choice(("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY"))
+        return f"-----BEGIN {kind}-----\n{body}\n-----END {kind}-----"
+
     rows, labels = [], []
     for i in range(n):
         secret = i % 2
+        place = rng.choice((*good_paths, *bad_paths[:1]) if secret else (*bad_paths, *good_paths[:1])) if rng.random() < 0.2 else ""
         if secret:
-            form = rng.randrange(10)
+            form = rng.randrange(11)
             value = [draw(hexa, rng.choice((32, 40, 40, 40, 64))), draw(wide, rng.randint(20, 64)), rng.choice(STARTS) + draw(wide, rng.randint(16, 40)), draw(wide + "+/", rng.randint(24, 88)) + "=" * rng.randint(0, 2),
                      draw(wide + "!@#$%", rng.randint(10, 24)), "eyJ" + draw(wide, 30) + "." + draw(wide, 40) + "." + draw(wide + "_-", 43), draw(wide + "_-", rng.randint(24, 48)),
-                     "-".join(word() for _ in range(rng.randint(3, 5))), draw(both + "!@#$%" * rng.randint(0, 1), rng.randint(12, 40)), "eyJ" + ".".join(draw(wide + "_-", rng.randint(40, 500) if form == 9 else 1) for _ in range(3))][form]
-            name = rng.choice(good_names) if form not in (2, 5, 9) or rng.random() < 0.5 else ""
-            before = " ".join([word(), word(), name or rng.choice(("", "Bearer"))])
+                     "-".join(word() for _ in range(rng.randint(3, 5))), draw(both + "!@#$%" * rng.randint(0, 1), rng.randint(12, 40)), "eyJ" + ".".join(draw(wide + "_-", rng.randint(40, 500) if form == 9 else 1) for _ in range(3)),
+                     block("\n".join(draw(wide + "+/", 64) for _ in range(rng.randint(3, 25) if form == 10 else 1)))][form]
+            name = "" if form == 10 else rng.choice(good_names) if form not in (2, 5, 9) or rng.random() < 0.5 else ""
+            before = " ".join([place, word(), word(), name or rng.choice(("", "Bearer"))])
         else:
-            form = rng.randrange(13)
+            form = rng.randrange(14)
             value = [draw(hexa, rng.choice((32, 40, 64))), "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), "/".join(word() for _ in range(rng.randint(3, 6))) + str(rng.randrange(99)), ".".join([word(), word(), "com"]) + "/" + word() + draw(digits, 3),
                      word() + "-" + word() + "-" + draw(digits, rng.randint(2, 8)), draw(digits, rng.randint(16, 24)), "".join(word() for _ in range(rng.randint(4, 7))) + draw(digits, rng.randint(1, 3)),
                      "_".join(word().upper() for _ in range(4)) + draw(digits, 2), word() + "." + draw(digits, 2) + "." + word() + draw(digits, 1) + ".example.com",
-                     "".join(word() for _ in range(rng.randint(2, 4))).capitalize() if rng.random() < 0.3 else "".join(word() for _ in range(rng.randint(2, 4))), rng.choice("._").join(word() for _ in range(rng.randint(2, 4))), "-".join(word() for _ in range(rng.randint(2, 5))), draw(wide + "+/", rng.randint(200, 900) if form == 12 else 1)][form]
-            name = rng.choice((*bad_names, word(), word().capitalize())) if form in (0, 1, 11, 12) or rng.random() < 0.7 else rng.choice(good_names)
-            before = " ".join([word(), rng.choice(("commit", "revision", "file", "see", "at", "id", word())) if form != 12 else rng.choice(("image", "src", "href")), name])
+                     "".join(word() for _ in range(rng.randint(2, 4))).capitalize() if rng.random() < 0.3 else "".join(word() for _ in range(rng.randint(2, 4))), rng.choice("._").join(word() for _ in range(rng.randint(2, 4))), "-".join(word() for _ in range(rng.randint(2, 5))), draw(wide + "+/", rng.randint(200, 900) if form == 12 else 1),
+                     block(rng.choice(("...", "your key here", "<key>", "example", "xxxxxxxxxxxxxxxx"))) if form == 13 else ""][form]
+            name = "" if form == 13 else rng.choice((*bad_names, word(), word().capitalize())) if form in (0, 1, 11, 12) or rng.random() < 0.7 else rng.choice(good_names)
+            before = " ".join([place, word(), rng.choice(("commit", "revision", "file", "see", "at", "id", word())) if form != 12 else rng.choice(("image", "src", "href")), name])
         rows.append(features(value, name, before))
         labels.append(secret)
     return np.array(rows), np.array(labels)
@@ -165,22 +184,23 @@ class Forest:
 
 
 def candidates(text: str) -> list[tuple[int, str, str, str]]:
-    """(start, value, name, up to 40 characters before) of each candidate."""
+    """(start, value, name, up to BEFORE characters before) of each candidate."""
     out = []
     for m in CANDIDATE.finditer(text):
-        value = m["value"] if m["value"] is not None else m["bare"]
-        start = m.start("value") if m["value"] is not None else m.start("bare")
-        trimmed = value.rstrip(".!%#$&*^~@")
+        part = next(p for p in ("block", "value", "bare") if m[p] is not None)
+        start = m.start(part)
+        trimmed = m[part] if part == "block" else m[part].rstrip(".!%#$&*^~@")
         if len(trimmed) >= 8:
-            out.append((start, trimmed, m["name"] or "", text[max(0, start - 40) : start]))
+            out.append((start, trimmed, m["name"] or "", text[max(0, start - BEFORE) : start]))
     return out
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, everything: bool = False) -> DataFrame:
-    """doc_id, start, length, name, value_sha256, score of each finding that the forest keeps; all candidates on request."""
+def scan(docs: DataFrame, threshold: float = THRESHOLD, everything: bool = False, findings: list[tuple[str, str, str, int]] | None = None) -> DataFrame:
+    """doc_id, start, length, name, value_sha256, score of each finding that the forest keeps; all candidates on request. `findings` are labelled ones to train on instead of the drawn ones."""
     spark = docs.sparkSession
     small_batches(spark)
-    forest = spark.sparkContext.broadcast(Forest().fit(*labelled_findings()))
+    rows = labelled_findings() if findings is None else (np.array([features(v, n, b) for v, n, b, _ in findings]), np.array([y for *_, y in findings]))
+    forest = spark.sparkContext.broadcast(Forest().fit(*rows))
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
