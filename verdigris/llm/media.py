@@ -2,11 +2,13 @@
 
 `decode` reads Netpbm (P1 to P6, comments, any maxval up to 65535) and BMP (8, 24
 and 32 bits, either row order) with numpy only. `area_resize` averages exactly by
-an integral image. `npy_tiles` cuts an array into tiles in NPY format. A document's
-bytes are stored as the samples of a binary pixmap and read back from it.
+an integral image, a band of rows at a time. `npy_tiles` cuts an array into tiles in NPY format. A document's
+bytes are stored as the samples of a binary pixmap and read back from it; the image
+read back is resized to a thumbnail, which is written as an NPY tile, and hashed.
 
 Null and empty texts store one row of spaces. Equal texts give equal values. Long
-texts give tall images; a task holds one at a time. Unreadable media decode to
+texts give tall images; besides its Arrow batch, which is bounded in bytes but for
+one long text, a task works on one image at a time. Unreadable media decode to
 None, and their columns are null. Only the named columns are read.
 """
 
@@ -107,16 +109,30 @@ def decode(data: bytes | None) -> np.ndarray | None:
         return None
 
 
+BAND = 4_096
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean grey over each target pixel's exact area, by bilinear reads of the integral image."""
-    grey = image.astype(np.float64).mean(2)
-    rows, columns = grey.shape
-    table_ = np.zeros((rows + 1, columns + 1))
-    table_[1:, 1:] = grey.cumsum(0).cumsum(1)
+    """Mean grey over each target pixel's exact area, by bilinear reads of the integral image.
+
+    The integral image grows by bands of rows, and only the two rows on either side of each target edge are kept, so
+    a tall image needs no copy of itself.
+    """
+    rows, columns = image.shape[:2]
     y, x = np.arange(height + 1) * rows / height, np.arange(width + 1) * columns / width
     y0, x0 = np.minimum(y.astype(int), rows - 1), np.minimum(x.astype(int), columns - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    at = table_[y0][:, x0] * (1 - fy) * (1 - fx) + table_[y0 + 1][:, x0] * fy * (1 - fx) + table_[y0][:, x0 + 1] * (1 - fy) * fx + table_[y0 + 1][:, x0 + 1] * fy * fx
+    upper, lower, above = np.zeros((height + 1, columns + 1)), np.zeros((height + 1, columns + 1)), np.zeros(columns)
+    for start in range(0, rows, BAND):
+        band = image[start : start + BAND].astype(np.float64).mean(2).cumsum(0) + above
+        whole = np.zeros((len(band) + 1, columns + 1))  # integral rows start to start + len(band)
+        whole[0, 1:] = above.cumsum()
+        whole[1:, 1:] = band.cumsum(1)
+        for kept, at in ((upper, y0), (lower, y0 + 1)):
+            here = (at >= start) & (at <= start + len(band))
+            kept[here] = whole[at[here] - start]
+        above = band[-1]
+    at = upper[:, x0] * (1 - fy) * (1 - fx) + lower[:, x0] * fy * (1 - fx) + upper[:, x0 + 1] * (1 - fy) * fx + lower[:, x0 + 1] * fy * fx
     return (at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]) * (height * width) / (rows * columns)
 
 
@@ -126,13 +142,25 @@ def difference_hash(image: np.ndarray) -> str:
     return np.packbits(small[:, :-1] < small[:, 1:]).tobytes().hex()
 
 
+def npy(array: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.ascontiguousarray(array))
+    return out.getvalue()
+
+
+THUMBNAIL = 32
+
+
+def thumbnail(image: np.ndarray, side: int = THUMBNAIL) -> bytes:
+    """The image in side x side grey bytes, as an NPY tile."""
+    return npy(np.round(area_resize(image, side, side)).clip(0, 255).astype(np.uint8))
+
+
 def npy_tiles(image: np.ndarray, side: int = 64) -> Iterator[tuple[int, int, bytes]]:
     """(row, column, NPY file) of each tile; tiles at the edge are smaller."""
     for r in range(0, image.shape[0], side):
         for c in range(0, image.shape[1], side):
-            out = io.BytesIO()
-            np.save(out, np.ascontiguousarray(image[r : r + side, c : c + side]))
-            yield r // side, c // side, out.getvalue()
+            yield r // side, c // side, npy(image[r : r + side, c : c + side])
 
 
 def text_image(body: bytes) -> bytes:
@@ -148,19 +176,19 @@ def text_media(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = bytes_of(batch.column("body"))
-            bodies = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(len, bodies), pa.int64()), pa.array(map(text_image, bodies), pa.binary())], ["doc_id", "n_bytes", "media"])
+            images = (text_image(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:]))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(images, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     return docs.select("doc_id", body.alias("body")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_bytes long, media binary")
 
 
 def read_media(frame: DataFrame, keep: list[str], media: str = "media") -> DataFrame:
-    """The kept columns, and from each stored image: payload figures, the media's hash and a difference hash."""
+    """The kept columns, and from each stored image: payload figures, the media's hash, a difference hash, and the thumbnail's NPY tile with its hash."""
     small_batches(frame.sparkSession)
     kinds = dict(frame.dtypes)
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_sha256", "tile"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +197,15 @@ def read_media(frame: DataFrame, keep: list[str], media: str = "media") -> DataF
                 stored = item.as_py()
                 image = decode(stored)
                 if image is None:
-                    rows.append((None,) * 6)
+                    rows.append((None,) * 8)
                     continue
-                payload = image.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image)))
-            columns = list(zip(*rows)) if rows else [()] * 6
+                payload = np.ascontiguousarray(image).reshape(-1)
+                tile = thumbnail(image)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image), hashlib.sha256(tile).hexdigest(), tile))
+            columns = list(zip(*rows)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [pa.array(c, t) for c, t in zip(columns, types)], keep + names)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_sha256 string, tile binary"
     return frame.select(*keep, F.col(media).alias("media")).mapInArrow(run, schema)
 
 
@@ -196,7 +225,7 @@ def media_tiles(frame: DataFrame, key: str, media: str = "media", side: int = 64
 
 
 def op5_media(spark, sf_dir: str) -> DataFrame:
-    return read_media(text_media(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"])
+    return read_media(text_media(table(spark, sf_dir, "documents")), ["doc_id", "n_bytes"]).drop("tile")
 
 
 ship(__name__)
