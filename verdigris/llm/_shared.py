@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
+from verdigris.operators.identity import shared_path
 
 
 def ship(name: str) -> None:
@@ -18,20 +16,10 @@ def ship(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="verdigris-"))
-
-
 def materialize(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage, survives lost executors, and columns stay compressed."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/verdigris-{uuid.uuid4().hex}"
+    path = shared_path(spark)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
