@@ -163,6 +163,18 @@ def deficiency_reasons(reasons: dict[str, Column]) -> tuple[Column, Column]:
     return F.when(F.size(found) > 0, "data_deficient").otherwise("sufficient"), found
 
 
+def coverage_deficiency(baseline: str = "baseline_items", eligible: str = "eligible_items", duplicates: str = "unresolved_groups", preserved: str = "preserved_items", unknown: str = "unknown_uncertainty_items", issues: str = "issue_items",
+                        latest: str = "baseline_latest", positive: str = "positive_items", quality: str = "quality_snapshot_id") -> dict[str, Column]:
+    """The eight reasons why a cell's comparison says little, from its counts, its latest date and the id of its quality snapshot."""
+    b, e = F.col(baseline), F.col(eligible)
+    every = lambda c: (b > 0) & (F.col(c) == b)
+    return {
+        "no_baseline_rows_in_cell": b == 0, "no_range_inference_eligible_baseline": (b > 0) & (e == 0), "unresolved_provider_duplicates": F.col(duplicates) > 0, "preserved_specimen_or_fossil_only": every(preserved),
+        "coordinate_uncertainty_unavailable_for_all_baseline_rows": every(unknown), "all_baseline_rows_have_geospatial_issues": every(issues), "credible_baseline_date_unavailable": (e > 0) & F.col(latest).isNull(),
+        "reviewed_quality_snapshot_unavailable": (F.col(positive) > 0) & F.col(quality).isNull(),
+    }
+
+
 def licence_status(url: str, licence: str) -> Column:
     """allowed: https media with a licence that lets derivatives be made."""
     low = F.lower(F.coalesce(F.col(licence), F.lit("")))

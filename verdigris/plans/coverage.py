@@ -157,11 +157,21 @@ def scope_filter(spark, d):
     return R.baseline(spark, d).filter(C.scope_filter("continent", "EUROPE")).groupBy("country").agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT cell_id, CASE WHEN baseline_items = 0 OR pending_items > 0 OR uncertain_items > 5 THEN 'data_deficient' ELSE 'sufficient' END AS state,
- concat_ws(',', CASE WHEN baseline_items = 0 THEN 'no_baseline' END, CASE WHEN pending_items > 0 THEN 'pending_reviews' END, CASE WHEN uncertain_items > 5 THEN 'uncertain_reviews' END) AS reasons FROM ({CELLS})""")
+REASONS = {"no_baseline_rows_in_cell": "b = 0", "no_range_inference_eligible_baseline": "b > 0 AND e = 0", "unresolved_provider_duplicates": "dup > 0", "preserved_specimen_or_fossil_only": "b > 0 AND old = b", "coordinate_uncertainty_unavailable_for_all_baseline_rows": "b > 0 AND unk = b",
+           "all_baseline_rows_have_geospatial_issues": "b > 0 AND iss = b", "credible_baseline_date_unavailable": "e > 0 AND latest IS NULL", "reviewed_quality_snapshot_unavailable": "pos > 0 AND snapshot IS NULL"}
+
+
+@query(f"""SELECT cell_id, CASE WHEN reasons = '' THEN 'sufficient' ELSE 'data_deficient' END AS state, reasons FROM (SELECT cell_id, concat_ws(',', {", ".join(f"CASE WHEN {REASONS[k]} THEN '{k}' END" for k in sorted(REASONS))}) AS reasons FROM (
+ SELECT c.cell_id, baseline_items AS b, eligible_items AS e, coalesce(dup, 0) AS dup, coalesce(old, 0) AS old, coalesce(unk, 0) AS unk, coalesce(iss, 0) AS iss, latest, supported_items AS pos, CASE WHEN c.country <> 'CHINA' THEN 'q1' END AS snapshot FROM ({CELLS}) c LEFT JOIN
+ (SELECT cell_id, count(DISTINCT CASE WHEN owner_id % 50 = 0 THEN item_id END) AS dup, count(DISTINCT CASE WHEN priority = '5-LOW' THEN item_id END) AS old, count(DISTINCT CASE WHEN owner_id % 3 = 0 THEN item_id END) AS unk, count(DISTINCT CASE WHEN price > 200000 THEN item_id END) AS iss,
+  max(CASE WHEN priority <> '3-MEDIUM' THEN event_date END) AS latest FROM ({R.BASELINE}) GROUP BY 1) x ON x.cell_id = c.cell_id))""")
 def deficiency_reasons(spark, d):
-    state, reasons = C.deficiency_reasons({"no_baseline": F.col("baseline_items") == 0, "pending_reviews": F.col("pending_items") > 0, "uncertain_reviews": F.col("uncertain_items") > 5})
-    return _cells(spark, d).select("cell_id", state.alias("state"), F.array_join(reasons, ",").alias("reasons"))
+    b = R.baseline(spark, d)
+    p = {"unresolved_groups": F.col("owner_id") % 50 == 0, "preserved_items": F.col("priority") == "5-LOW", "unknown_uncertainty_items": F.col("owner_id") % 3 == 0, "issue_items": F.col("price") > 200000}
+    facts = V.filtered_distinct_counts(b.withColumn("dated", F.when(F.col("priority") != "3-MEDIUM", F.col("event_date"))), ["cell_id"], "item_id", p, "dated")
+    cells = _cells(spark, d).drop("baseline_latest").join(facts, "cell_id", "left").fillna(0, list(p)).withColumn("snapshot", F.when(F.col("country") != "CHINA", "q1"))
+    state, reasons = C.deficiency_reasons(C.coverage_deficiency(latest="latest_date", positive="supported_items", quality="snapshot"))
+    return cells.select("cell_id", state.alias("state"), F.array_join(reasons, ",").alias("reasons"))
 
 
 @query("""SELECT c_custkey, coalesce(n, 0) AS n_orders, coalesce(total, 0) AS total FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
