@@ -13,12 +13,15 @@ from verdigris.plans.registry import query
 COUNTS = ["baseline_items", "eligible_items", "candidate_items", "supported_items", "rejected_items", "pending_items", "uncertain_items", "ready_items"]
 
 
+KEYS = ["nation", "segment", "month"]
+
+
 def _cells(spark, d):
-    b = V.filtered_distinct_counts(R.baseline(spark, d), ["continent", "country", "cell_id"], "item_id", {"baseline_items": F.lit(True), "eligible_items": F.col("eligible")}, "event_date").withColumnRenamed("latest_date", "baseline_latest")
-    c = R.candidates(spark, d)
+    """Both sides by narrow keys, each aggregated before they meet; names are attached to cells, not to rows."""
+    b = V.filtered_distinct_counts(R.baseline_rows(spark, d), KEYS, "item_id", {"baseline_items": F.lit(True), "eligible_items": F.col("eligible")}, "event_date").withColumnRenamed("latest_date", "baseline_latest")
     states = {f"{s}_items": F.col("state") == s for s in ("supported", "rejected", "pending", "uncertain")}
-    c = V.filtered_distinct_counts(c, ["continent", "country", "cell_id"], "item_id", {"candidate_items": F.lit(True), **states, "ready_items": (F.col("state") == "supported") & F.col("ready")}, "event_date").withColumnRenamed("latest_date", "candidate_latest")
-    return V.full_outer_coverage(b, c, ["continent", "country", "cell_id"], COUNTS)
+    c = V.filtered_distinct_counts(R.candidate_rows(spark, d), KEYS, "item_id", {"candidate_items": F.lit(True), **states, "ready_items": (F.col("state") == "supported") & F.col("ready")}, "event_date").withColumnRenamed("latest_date", "candidate_latest")
+    return R.with_cells(V.full_outer_coverage(b, c, KEYS, COUNTS), spark, d).select("continent", "country", "cell_id", *COUNTS, "baseline_latest", "candidate_latest")
 
 
 CELLS = f"""SELECT coalesce(b.continent, c.continent) AS continent, coalesce(b.country, c.country) AS country, coalesce(b.cell_id, c.cell_id) AS cell_id,
@@ -42,13 +45,14 @@ def full_outer_coverage(spark, d):
  count(DISTINCT CASE WHEN priority = '1-URGENT' THEN item_id END) AS urgent_items, max(event_date) AS latest_date FROM ({R.BASELINE}) GROUP BY cell_id""")
 def filtered_distinct_counts(spark, d):
     p = {"items": F.lit(True), "eligible_items": F.col("eligible"), "large_items": F.col("price") > 100000, "urgent_items": F.col("priority") == "1-URGENT"}
-    return V.filtered_distinct_counts(R.baseline(spark, d), ["cell_id"], "item_id", p, "event_date")
+    return R.with_cells(V.filtered_distinct_counts(R.baseline_rows(spark, d), KEYS, "item_id", p, "event_date"), spark, d).select("cell_id", *p, "latest_date")
 
 
 @query(f"""SELECT cell_id, count(DISTINCT CASE WHEN state = 'supported' THEN item_id END) AS supported_items, count(DISTINCT CASE WHEN state = 'rejected' THEN item_id END) AS rejected_items,
  count(DISTINCT CASE WHEN state = 'pending' THEN item_id END) AS pending_items, count(DISTINCT CASE WHEN state = 'uncertain' THEN item_id END) AS uncertain_items FROM ({R.CANDIDATES}) GROUP BY cell_id""")
 def review_state_counts(spark, d):
-    return V.review_state_counts(R.candidates(spark, d), ["cell_id"], "item_id", "state", ("supported", "rejected", "pending", "uncertain"))
+    states = ("supported", "rejected", "pending", "uncertain")
+    return R.with_cells(V.review_state_counts(R.candidate_rows(spark, d), KEYS, "item_id", "state", states), spark, d).select("cell_id", *[f"{s}_items" for s in states])
 
 
 @query(f"""SELECT coalesce(a.cell_id, s.cell_id) AS cell_id, a.cell_id IS NOT NULL AS in_recomputed, s.cell_id IS NOT NULL AS in_stored,
@@ -56,10 +60,10 @@ def review_state_counts(spark, d):
  (SELECT cell_id, count(DISTINCT item_id) AS n, max(event_date) AS latest_date FROM ({R.BASELINE}) GROUP BY 1) a
  FULL OUTER JOIN (SELECT cell_id, count(DISTINCT item_id) AS n, max(event_date) AS latest_date FROM ({R.BASELINE}) WHERE priority <> '5-LOW' GROUP BY 1) s ON a.cell_id = s.cell_id""")
 def reconcile_full_outer(spark, d):
-    b = R.baseline(spark, d)
-    side = lambda x: V.filtered_distinct_counts(x, ["cell_id"], "item_id", {"n": F.lit(True)}, "event_date")
-    out = V.reconcile_full_outer(side(b), side(b.filter("priority <> '5-LOW'")), ["cell_id"], ["n", "latest_date"])
-    return out.select("cell_id", "in_recomputed", "in_stored", F.array_join("differing", ",").alias("differing"))
+    b = R.baseline_rows(spark, d)
+    side = lambda x: V.filtered_distinct_counts(x, KEYS, "item_id", {"n": F.lit(True)}, "event_date")
+    out = V.reconcile_full_outer(side(b), side(b.filter("priority <> '5-LOW'")), KEYS, ["n", "latest_date"])
+    return R.with_cells(out, spark, d).select("cell_id", "in_recomputed", "in_stored", F.array_join("differing", ",").alias("differing"))
 
 
 @query(f"""SELECT cell_id, CAST(n - coalesce(o, 0) + coalesce(w, 0) AS BIGINT) AS n FROM (SELECT cell_id, count(*) AS n FROM ({R.CANDIDATES}) GROUP BY 1) LEFT JOIN

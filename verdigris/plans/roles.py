@@ -18,13 +18,23 @@ def nations(spark, sf_dir) -> DataFrame:
     return n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", F.col("n_name").alias("country"), F.col("r_name").alias("continent"))
 
 
+def baseline_rows(spark, sf_dir) -> DataFrame:
+    """Orders as observations, keyed by nation, segment and month: narrow keys that get their names after aggregation."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, o.o_custkey == c.c_custkey)
+    return rows.select(F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"), F.trunc("o_orderdate", "MM").alias("month"), F.col("o_orderkey").alias("item_id"), (F.col("o_orderstatus") == "F").alias("eligible"),
+                       F.to_date("o_orderdate").alias("event_date"), F.col("o_custkey").alias("owner_id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("priority"))
+
+
+def with_cells(rows: DataFrame, spark, sf_dir) -> DataFrame:
+    """Adds continent, country and cell_id = nation, segment and month to rows or aggregates by these three."""
+    named = rows.join(F.broadcast(nations(spark, sf_dir)), F.col("nation") == F.col("n_nationkey")).drop("n_nationkey")  # nations are a fixed list
+    return named.withColumn("cell_id", F.concat_ws("|", "country", "segment", F.date_format("month", "yyyy-MM"))).drop("nation", "month")
+
+
 def baseline(spark, sf_dir) -> DataFrame:
     """Orders as observations: cell = (nation, segment, month), eligible = status F."""
-    o, c, n = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), nations(spark, sf_dir)
-    rows = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
-    return rows.select("continent", "country", F.col("c_mktsegment").alias("segment"), F.concat_ws("|", "country", "c_mktsegment", F.date_format("o_orderdate", "yyyy-MM")).alias("cell_id"), F.col("o_orderkey").alias("item_id"),
-                       (F.col("o_orderstatus") == "F").alias("eligible"), F.to_date("o_orderdate").alias("event_date"), F.col("o_custkey").alias("owner_id"), F.col("o_totalprice").alias("price"),
-                       F.col("o_orderpriority").alias("priority"))
+    return with_cells(baseline_rows(spark, sf_dir), spark, sf_dir)
 
 
 BASELINE = """SELECT r_name AS continent, n_name AS country, c_mktsegment AS segment, concat_ws('|', n_name, c_mktsegment, strftime(o_orderdate, '%Y-%m')) AS cell_id, o_orderkey AS item_id,
@@ -32,14 +42,19 @@ BASELINE = """SELECT r_name AS continent, n_name AS country, c_mktsegment AS seg
  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
-def candidates(spark, sf_dir) -> DataFrame:
-    """Line items as candidates: cell = (supplier nation, segment from the part key, month), review state from the flags."""
-    li, s, n = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier"), nations(spark, sf_dir)
+def candidate_rows(spark, sf_dir) -> DataFrame:
+    """Line items as candidates, keyed by the supplier's nation, a segment from the part key and month; review state from the flags."""
+    li, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     segment = F.element_at(F.array(*map(F.lit, SEGMENTS)), (F.col("l_partkey") % 5).cast("int") + 1)
     state = F.when(F.col("l_returnflag") == "A", "supported").when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_linestatus") == "O", "pending").otherwise("uncertain")
-    rows = li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey).withColumn("segment", segment)
-    return rows.select("continent", "country", "segment", F.concat_ws("|", "country", "segment", F.date_format("l_shipdate", "yyyy-MM")).alias("cell_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"),
-                       state.alias("state"), F.to_date("l_shipdate").alias("event_date"), F.col("l_suppkey").alias("owner_id"), (F.col("l_discount") <= 0.04).alias("ready"))
+    rows = li.join(s, li.l_suppkey == s.s_suppkey)
+    return rows.select(F.col("s_nationkey").alias("nation"), segment.alias("segment"), F.trunc("l_shipdate", "MM").alias("month"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item_id"), state.alias("state"),
+                       F.to_date("l_shipdate").alias("event_date"), F.col("l_suppkey").alias("owner_id"), (F.col("l_discount") <= 0.04).alias("ready"))
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    """Line items as candidates: cell = (supplier nation, segment from the part key, month)."""
+    return with_cells(candidate_rows(spark, sf_dir), spark, sf_dir)
 
 
 CANDIDATES = """SELECT r_name AS continent, n_name AS country, seg AS segment, concat_ws('|', n_name, seg, strftime(l_shipdate, '%Y-%m')) AS cell_id, l_orderkey * 10 + l_linenumber AS item_id,

@@ -31,7 +31,7 @@ def scan_rows_document(spark: SparkSession, path: str, row: T.StructType, versio
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, n_bytes, sha256) of every file under a path. A task holds one file at a time."""
+    """(name, n_bytes, sha256) of every file under a path. A task holds one file at a time; a file of 2 GB or more is beyond one value, and none that Spark writes is."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
