@@ -264,14 +264,14 @@ def _sift(num: int, den: int):
 
 
 def _cells(members: DataFrame, weight, most: int, keep: list[str]) -> DataFrame:
-    """(block, i, j, *keep): blocks over `most` are dealt into parts, and a member goes to each cell of its part with another.
+    """(block, i, j, *keep): blocks over `most` are dealt into parts of half of it, and a member goes to each cell of its part with another, so no cell holds much more than `most`.
 
     Joined members get parts of their own after the others', and no cells among these. A block of joined members has none.
     """
     free = F.when(~F.col("joined"), weight).otherwise(0)
     sized = members.groupBy("block").agg(F.sum(free).alias("free"), F.sum(weight).alias("total"), F.count("*").alias("members")).filter("members > 1 and free > 0")
     one = F.col("total") <= most
-    sized = sized.select("block", F.when(one, 1).otherwise(F.ceil(F.col("free") / most)).cast("int").alias("parts"), F.when(one, 0).otherwise(F.ceil((F.col("total") - F.col("free")) / most)).cast("int").alias("more"))
+    sized = sized.select("block", F.when(one, 1).otherwise(F.ceil(2 * F.col("free") / most)).cast("int").alias("parts"), F.when(one, 0).otherwise(F.ceil(2 * (F.col("total") - F.col("free")) / most)).cast("int").alias("more"))
     sized = materialize(sized)  # written, so that the join can split hot blocks
     apart = F.col("joined") & (F.col("more") > 0)
     hashed = F.xxhash64("rep")
@@ -524,7 +524,7 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame
     sifted = sifted.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_sift(num, den), "block long, rep long, n long, joined boolean")
     possible = materialize(sifted.distinct())
     sets = materialize(_sets_of(body, classes, possible, width))
-    filled = _cells(possible, F.col("n") + 100, CELL_GRAMS, ["rep"]).join(sets, "rep")
+    filled = _cells(possible, F.greatest("n", F.lit(CELL_GRAMS // CELL_ROWS)), CELL_GRAMS, ["rep"]).join(sets, "rep")
     links = filled.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_cell_links(num, den), "a long, b long")
     merged = components(links if first_links is None else links.unionByName(first_links))
     named = classes.join(merged.withColumnRenamed("v", "rep"), "rep", "left").select("sig", "pick", F.coalesce("component", "rep").alias("component"))
