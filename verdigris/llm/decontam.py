@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm._shared import materialize, ship, table, text_key, unused
+from verdigris.llm._shared import materialize, ship, table, unused
 
 WINDOW = 6
 LITERALS = 4
@@ -131,7 +131,7 @@ def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, version, class, item, n_item, n, n_slots, changed) for each version of a document and class of items that it holds, with the item that fits best."""
     items, windows = benchmark_windows(benchmark)
     widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1 values
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_key().alias("version"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     words = own.select("doc_id", "version", raw_words(F.col("text")).alias("raw"))
     words = words.select("doc_id", "version", _words(template(F.col("raw"))).alias("tpl"), _words(_unmarked(F.col("raw"))).alias("raw"))
     bench = _bounded(windows)
@@ -186,7 +186,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item; columns stay, whatever their names. Rows go by doc_id and text, so another text under the same or no id stays."""
     leak, version = unused(docs, "v_leak", "v_version")
     held = materialize(held_items(docs, benchmark).select(F.col("doc_id").alias(leak), F.col("version").alias(version)).distinct())
-    return docs.join(_bounded(held), docs["doc_id"].eqNullSafe(F.col(leak)) & (text_key() == F.col(version)), "left_anti")
+    return docs.join(_bounded(held), docs["doc_id"].eqNullSafe(F.col(leak)) & (F.xxhash64(docs["text"].cast("string")) == F.col(version)), "left_anti")
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:
