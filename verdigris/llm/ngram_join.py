@@ -48,8 +48,8 @@ from verdigris.llm._bytes import bytes_of, shingle_sets
 from verdigris.llm._shared import materialize, ship, small_batches, table, text_key, unused
 
 HEAVY_KEPT = 100_000
-CELL_GRAMS = 250_000
-CELL_ROWS = 250
+CELL_GRAMS = 200_000
+CELL_ROWS = 200
 PIVOT_ROUNDS = 3
 SKETCH = 256
 FULL = 65_535
