@@ -36,7 +36,7 @@ doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -320,18 +320,18 @@ def _pivot_links(num: int, den: int):
     return run
 
 
-def join_to_pivots(blocks: DataFrame, classes: DataFrame, body: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame | None]:
-    """(block, rep, n, joined) for all members, and the links found on the way, if there are blocks over CELL_ROWS.
+def join_to_pivots(blocks: DataFrame, classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], num: int, den: int, over: int = CELL_ROWS) -> tuple[DataFrame, DataFrame | None]:
+    """(block, rep, n, joined) for all members, and the links found on the way, if there are blocks with more than `over` members.
 
-    A member that is alike to a pivot leaves the rounds; `joined` then says whether all links together put it into the
+    `sets_of` gives the (rep, body) of the reps in a table. A member that is alike to a pivot leaves the rounds; `joined` then says whether all links together put it into the
     component of its block's first pivot.
     """
     members = blocks.join(classes.select("member", "rep", "n"), "member").select("block", "rep", "n")
-    buckets = int(body.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hubs, links, free = None, None, members
     for _ in range(PIVOT_ROUNDS):
         parts = F.ceil(F.col("free") / CELL_ROWS).cast("int").alias("parts")
-        large = free.groupBy("block").agg(F.count("*").alias("free"), F.min(F.struct("n", "rep"))["rep"].alias("pivot")).filter(F.col("free") > CELL_ROWS).select("block", parts, "pivot")
+        large = free.groupBy("block").agg(F.count("*").alias("free"), F.min(F.struct("n", "rep"))["rep"].alias("pivot")).filter(F.col("free") > over).select("block", parts, "pivot")
         if links is not None:  # what was most alike to the pivot before is closer to the middle of its family
             fresh = links.join(links.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
             middle = fresh.groupBy("block").agg(F.max_by("a", F.struct("alike", "a")).alias("next"))
@@ -344,7 +344,7 @@ def join_to_pivots(blocks: DataFrame, classes: DataFrame, body: DataFrame, width
         mine = chosen.join(pivots, "block").select("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), "rep")
         heads = pivots.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("pivot").alias("rep"))
         faced = materialize(mine.unionByName(heads))
-        dealt = faced.join(_sets_of(body, classes, faced, width), "rep").repartition(buckets, "block", "part").sortWithinPartitions("block", "part", "role", "rep")
+        dealt = faced.join(sets_of(faced), "rep").repartition(buckets, "block", "part").sortWithinPartitions("block", "part", "role", "rep")
         found = materialize(dealt.select("block", "part", "rep", "body").mapInArrow(_pivot_links(num, den), "block long, a long, b long, alike double"))
         links = found if links is None else links.unionByName(found)
         free = members.join(links.select(F.col("a").alias("rep")).distinct(), "rep", "left_anti")
@@ -519,7 +519,7 @@ def _grouped(docs: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame
     pick = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key"))
     classes = worded.groupBy("sig").agg(pick.alias("pick"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.withColumn("member", first_long).withColumn("rep", F.monotonically_increasing_id()))  # numbers count once they are written
-    members, first_links = join_to_pivots(blocks, classes, body, width, num, den)
+    members, first_links = join_to_pivots(blocks, classes, lambda wanted: _sets_of(body, classes, wanted, width), num, den)
     sifted = _cells(members, F.lit(1), CELL_ROWS, ["rep", "joined"]).join(classes.select("rep", "n", "sketch"), "rep")
     sifted = sifted.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep").mapInArrow(_sift(num, den), "block long, rep long, n long, joined boolean")
     possible = materialize(sifted.distinct())

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from verdigris.llm import html_extract, license_scan, mixture, ngram_join, periodic_runs, sharding, suffix_dedup
+from verdigris.llm import html_extract, license_scan, minhash_join, mixture, ngram_join, periodic_runs, sharding, suffix_dedup
 from verdigris.llm.decontam import op6_decontaminate
 from verdigris.llm.html_extract import op2_html_extract
 from verdigris.llm.license_scan import op4_license_scan
 from verdigris.llm.media import op5_media
+from verdigris.llm.minhash_join import op13_minhash_join
 from verdigris.llm.mixture import op8_mixture
 from verdigris.llm.ngram_join import op7_ngram_join
 from verdigris.llm.periodic_runs import op12_periodic_runs
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_minhash_join": op13_minhash_join,
 }
 #: Where SQL can say it; tests hold the others against brute force.
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op8_mixture": mixture.ORACLE_SQL,
     "op10_sharding": sharding.ORACLE_SQL,
     "op12_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op13_minhash_join": minhash_join.ORACLE_SQL,
 }
