@@ -62,13 +62,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words between white space, A-Z lower-cased, and each document's range of words."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words between white space (or the bytes marked in `between`), A-Z lower-cased, and each document's range of words."""
     own = LOWER[data[offsets[0] : offsets[-1]]]
     at = offsets - offsets[0]
     if not len(own):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    white = WHITE[own]
+    white = between[own]
     before, after = np.empty_like(white), np.empty_like(white)
     before[0], before[1:] = True, white[:-1]
     after[-1], after[:-1] = True, white[1:]

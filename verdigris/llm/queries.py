@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from verdigris.llm import html_extract, license_scan, minhash_join, mixture, ngram_join, periodic_runs, sharding, suffix_dedup
+from verdigris.llm import html_extract, lexical_search, license_scan, minhash_join, mixture, ngram_join, periodic_runs, sharding, suffix_dedup
 from verdigris.llm.decontam import op6_decontaminate
 from verdigris.llm.html_extract import op2_html_extract
+from verdigris.llm.lexical_search import op11_lexical_search
 from verdigris.llm.license_scan import op4_license_scan
 from verdigris.llm.media import op5_media
 from verdigris.llm.minhash_join import op13_minhash_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_mixture": op8_mixture,
     "op9_secret_scan": op9_secret_scan,
     "op10_sharding": op10_sharding,
+    "op11_lexical_search": op11_lexical_search,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_minhash_join": op13_minhash_join,
 }
@@ -38,6 +40,7 @@ ORACLES: dict[str, str] = {
     "op7_ngram_join": ngram_join.ORACLE_SQL,
     "op8_mixture": mixture.ORACLE_SQL,
     "op10_sharding": sharding.ORACLE_SQL,
+    "op11_lexical_search": lexical_search.ORACLE_SQL,
     "op12_periodic_runs": periodic_runs.ORACLE_SQL,
     "op13_minhash_join": minhash_join.ORACLE_SQL,
 }
