@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
-from itertools import product
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.identity import written
@@ -30,45 +29,68 @@ def _on_sphere(lat: Column, lon: Column) -> list[Column]:
     return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
 
 
-def _cube(lat: str, lon: str, edge: Column | float) -> list[Column]:
-    return [F.floor((v + 1) / edge).cast("int") for v in _on_sphere(F.col(lat), F.col(lon))]
+def _curve(*axes: Column) -> Column:
+    """The place on a space-filling curve: 21 bits of each axis, interleaved."""
+    masks = [(32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)]
 
+    def spread(v: Column) -> Column:
+        bits = F.least(F.floor((v + 1) * (1 << 20)), F.lit((1 << 21) - 1)).cast("long")
+        return reduce(lambda x, m: x.bitwiseOR(F.shiftleft(x, m[0])).bitwiseAND(F.lit(m[1])), masks, bits)
 
-def _first_edge(places: DataFrame, most: int) -> float:
-    """The largest edge of a ladder of quarters of which no cube holds more than `most` places, from one aggregation over all steps."""
-    edges = [2.0 / 4**k for k in range(12)]
-    steps = places.withColumn("_s", F.explode(F.array(*map(F.lit, edges))))
-    full = steps.groupBy("_s", *[c.alias(n) for c, n in zip(_cube("e_lat", "e_lon", F.col("_s")), "ijk")]).count().groupBy("_s").agg(F.max("count").alias("n"))
-    return max((r["_s"] for r in full.filter(F.col("n") <= most).collect()), default=edges[-1])  # at most one row a step
+    return reduce(lambda acc, iv: acc.bitwiseOR(F.shiftleft(spread(iv[1]), iv[0])), enumerate(axes), F.lit(0).cast("long"))
 
 
-def nearest_neighbour_join(candidates: DataFrame, eligible: DataFrame, most_in_cube: int = 256) -> DataFrame:
+def _packed(places: DataFrame, leaf: int) -> tuple[DataFrame, int]:
+    """(leaves, their number): places (e_id, e_lat, e_lon) in the order of the curve, cut into leaves of `leaf` consecutive ones with their box, a place of each, and all members."""
+    points = places.withColumns(dict(zip(("px", "py", "pz"), _on_sphere(F.col("e_lat"), F.col("e_lon"))))).withColumn("_code", _curve(F.col("px"), F.col("py"), F.col("pz")))
+    order = ["_code", "e_lat", "e_lon"]
+    rows = written(points.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id()))
+    rows = rows.withColumns({"_part": F.shiftright("_seq", 33), "_at": F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("_part").count()  # a row for each partition of the sort
+    offsets = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_from"))
+    member = F.struct("e_lat", "e_lon", "e_id", "px", "py", "pz")
+    box = [f(c).alias(f"{c[1]}{i}") for c in ("px", "py", "pz") for i, f in ((1, F.min), (2, F.max))]
+    numbered = rows.join(F.broadcast(offsets), "_part").withColumn("node", F.floor((F.col("_from") + F.col("_at")) / leaf).cast("long"))
+    leaves = written(numbered.groupBy("node").agg(*box, F.min(F.struct("px", "py", "pz")).alias("one"), F.collect_list(member).alias("members")))  # at most `leaf` members
+    return leaves, leaves.count()
+
+
+def nearest_neighbour_join(candidates: DataFrame, eligible: DataFrame, leaf: int = 32, fan: int = 32) -> DataFrame:
     """Per candidate (id, lat, lon) the nearest eligible (e_id, e_lat, e_lon), ties by id, with a status.
 
-    Points on the unit sphere lie in cubes of an edge s. A candidate meets the eligible places of its own and the 26
-    neighbouring cubes by an equi-join; a nearest chord of at most s is final. The first edge follows the densest spot, so
-    that no cube is hot there; equal places are folded before. Candidates without a neighbour go on to four times the
-    edge, until a cube holds the sphere, so only remote candidates meet wide cubes.
+    A tree over the places: they lie on the unit sphere in the order of a space-filling curve, `leaf` consecutive ones make
+    a leaf with its box, and `fan` consecutive nodes make a node above, so leaves are bounded and the depth is the logarithm
+    of the number of places, however dense a spot is. All candidates descend together, a level a join. A node is left out
+    if its box lies farther away than a place that another node is known to hold; the places of the remaining leaves are
+    compared one by one. Equal positions of candidates, and of places, are folded before.
     """
+    slack = 1e-9  # on the unit sphere: well over the rounding of distances, so ties are decided by id
+    left = candidates.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("lat", "lon").distinct()
+    left = left.withColumns(dict(zip(("qx", "qy", "qz"), _on_sphere(F.col("lat"), F.col("lon")))))
+    places = eligible.filter(F.col("e_lat").isNotNull() & F.col("e_lon").isNotNull()).groupBy("e_lat", "e_lon").agg(F.min("e_id").alias("e_id"))
+    leaves, count = _packed(places, leaf)
+    depth = next(k for k in range(64) if fan ** (k + 1) >= count)
+    boxes = leaves.drop("members")
+    away = lambda x, y, z: F.sqrt(F.pow(F.col("qx") - x, 2) + F.pow(F.col("qy") - y, 2) + F.pow(F.col("qz") - z, 2))
+    outside = [F.greatest(F.col(f"{c}1") - F.col(f"q{c}"), F.col(f"q{c}") - F.col(f"{c}2"), F.lit(0.0)) for c in "xyz"]
+    low = F.sqrt(sum((v * v for v in outside), F.lit(0.0)))
+    front = left.withColumns({"at": F.lit(0).cast("long"), "most": F.lit(4.0)})
+    for k in range(depth, -1, -1):
+        sides = [f(f"{c}{i}").alias(f"{c}{i}") for c in "xyz" for i, f in ((1, F.min), (2, F.max))]
+        level = boxes if k == 0 else boxes.groupBy(F.floor(F.col("node") / fan**k).cast("long").alias("node")).agg(*sides, F.min("one").alias("one"))
+        level = level.withColumn("at", F.floor(F.col("node") / fan).cast("long") if k < depth else F.lit(0).cast("long"))
+        level = F.broadcast(level) if -(-count // fan**k) <= 20_000 else level
+        near = front.join(level, "at").withColumn("low", low).filter(F.col("low") <= F.col("most") + slack)
+        own = near.groupBy("lat", "lon", "qx", "qy", "qz").agg(F.min(F.least("most", away(F.col("one.px"), F.col("one.py"), F.col("one.pz")))).alias("most"), F.collect_list(F.struct("node", "low")).alias("nodes"))
+        front = own.withColumn("at", F.explode(F.transform(F.filter("nodes", lambda x: x["low"] <= F.col("most") + slack), lambda x: x["node"])))
+        front = front.select("lat", "lon", "qx", "qy", "qz", "at", "most")
+    near = front.join(leaves.select(F.col("node").alias("at"), "members"), "at").select("lat", "lon", "qx", "qy", "qz", "most", F.inline("members"))
+    near = near.filter(away(F.col("px"), F.col("py"), F.col("pz")) <= F.col("most") + slack)
     km = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("e_lat"), F.col("e_lon")), 9)
-    left = candidates.filter(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("id", "lat", "lon")
-    places = written(eligible.filter(F.col("e_lat").isNotNull() & F.col("e_lon").isNotNull()).groupBy("e_lat", "e_lon").agg(F.min("e_id").alias("e_id")))
-    edge, done = _first_edge(places, most_in_cube), None
-    while True:
-        last = edge >= 2
-        around = F.array(*[F.struct(*[(v + step).alias(n) for v, step, n in zip(_cube("lat", "lon", edge), steps, "ijk")]) for steps in product((-1, 0, 1), repeat=3)])
-        cells = places.withColumn("_cube", F.struct(*[v.alias(n) for v, n in zip(_cube("e_lat", "e_lon", edge), "ijk")]))
-        near = left.withColumn("_cube", F.explode(around)).join(cells, "_cube")
-        best = near.groupBy("id").agg(F.min(F.struct(km.alias("km"), F.col("e_id"))).alias("_b"))
-        tried = written(left.join(best, "id", "left").select("id", "lat", "lon", F.col("_b.e_id").alias("nearest_id"), F.col("_b.km").alias("distance_km")))
-        final = F.coalesce(F.col("distance_km") <= 2 * RADIUS_KM * math.asin(min(1.0, edge / 2)), F.lit(False)) | F.lit(last)
-        good = tried.filter(final & F.col("nearest_id").isNotNull()).select("id", "nearest_id", "distance_km")
-        done = good if done is None else done.unionByName(good)
-        left, edge = tried.filter(~final).select("id", "lat", "lon"), edge * 4
-        if last or left.isEmpty():
-            break
+    found = near.groupBy("lat", "lon").agg(F.min(F.struct(km.alias("km"), F.col("e_id"))).alias("_b"))
+    done = found.select("lat", "lon", F.col("_b.e_id").alias("nearest_id"), F.col("_b.km").alias("distance_km"))
     status = F.when(F.col("lat").isNull() | F.col("lon").isNull(), "not_applicable").when(F.col("nearest_id").isNull(), "unavailable").otherwise("available")
-    return candidates.join(done, "id", "left").withColumn("status", status)
+    return candidates.join(done, ["lat", "lon"], "left").select(*candidates.columns, "nearest_id", "distance_km", status.alias("status"))
 
 
 def nearby_top_k(df: DataFrame, lat: float, lon: float, k: int, pinned: str | None = None) -> DataFrame:
