@@ -100,10 +100,8 @@ def test_components_equal_all_pairs(spark, width, num, den):
 
 def test_large_family_is_split_over_cells(spark, monkeypatch):
     """A block of many cells whose members are no copies of one origin: two halves that only a few rows link."""
-    import verdigris.llm.ngram_join as ngram_join
-
-    monkeypatch.setattr(minhash_join, "CELL_ROWS", 10)
-    monkeypatch.setattr(ngram_join, "CELL_ROWS", 10)
+    monkeypatch.setattr(minhash_join, "SIGNATURE_CELL", 10)
+    monkeypatch.setattr(minhash_join, "SET_CELL", 4_000)
     rng, words, rows = np.random.default_rng(4), prose(150, 77).split(), []
     for k in range(70):
         own = list(words)

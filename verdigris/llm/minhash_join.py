@@ -11,12 +11,14 @@
    allowed errors are enumerated: a wrong symbol may hold any of 65,536 values, so a key
    leaves its place out and stands for all of them. Each signature has a key for every
    chunk and place left out, and every pair within the threshold shares a key.
-4. The classes of a key go into the block of their least class. A block's classes are
-   judged on their full sets against one pivot first, then against the class that was most
-   alike to it; those that links join to the first pivot need no judging among each other.
-5. The rest of a block is dealt into cells that cover every pair of its parts. There the
-   signatures are compared, and pairs within the threshold are confirmed on their full
-   sets. Nothing is emitted for a pair but a spanning forest of the links found.
+4. The classes of a key go into the block of their least class. Members within the threshold
+   of it are candidates. The others of a block are dealt into cells that cover every pair of
+   its parts, and there the signatures are compared. Only classes with a partner within the
+   threshold go on, and their full sets are built once.
+5. A block's candidates are judged on their full sets against one pivot first, then against
+   the class that was most alike to it; those that links join to the first pivot need no
+   judging among each other. The rest is dealt into cells again, where pairs within the
+   threshold are confirmed on their full sets. A cell returns a spanning forest of its links.
 6. Min-label rounds with pointer jumping give the components.
 
 No key, block or cell is capped. A key with very many classes is split by the join over
@@ -40,11 +42,15 @@ from pyspark.sql import functions as F
 
 from verdigris.llm._bytes import bytes_of, mix, shingle_sets
 from verdigris.llm._shared import materialize, ship, small_batches, table
-from verdigris.llm.ngram_join import CELL_GRAMS, CELL_ROWS, _cells, _input, _sets_of, components, join_to_pivots
+from verdigris.llm.ngram_join import _cells, _input, _sets_of, components, join_to_pivots
 
 SYMBOLS = 60
 ERRORS = 1
 MISS = 2e-7
+#: Members of a cell of signatures; grams of a cell of full sets, and the least that a set counts there.
+SIGNATURE_CELL = 1_000
+SET_CELL = 400_000
+LEAST_WEIGHT = 400
 _RNG = np.random.default_rng(20250117)
 FACTORS = _RNG.integers(1, 1 << 31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _RNG.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
@@ -151,6 +157,19 @@ def _groups(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[
         yield key[0], rows
 
 
+def _to_head(distance: int, num: int, den: int):
+    """Members with their block's signature to (block, rep, n, joined): whether the member is within the distance of the block's head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, head = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for c in ("marks", "head_marks"))
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "head_n"))
+            fits = ((own != head).sum(axis=1) <= distance) & (den * np.minimum(n, m) >= num * np.maximum(n, m))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("rep"), pa.array(n), pa.array(fits)], ["block", "rep", "n", "joined"])
+
+    return run
+
+
 def _near(distance: int, num: int, den: int):
     """Cells of signatures to the members that have a partner within the distance."""
 
@@ -169,26 +188,22 @@ def _near(distance: int, num: int, den: int):
 
 
 def confirmed(sets: list[np.ndarray], joined: np.ndarray, distance: int, num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets: pairs within the distance, nearest first, counted on the full sets."""
+    """A spanning forest of the links among the sets: pairs within the distance, counted on the full sets."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    pairs = [(int(d), i, int(j)) for i, others, away in near_pairs(signatures(sets), sizes, joined, distance, num, den) for j, d in zip(others, away)]
-    top = list(range(len(sets)))
-
-    def root(x: int) -> int:
-        while top[x] != x:
-            top[x] = top[top[x]]
-            x = top[x]
-        return x
-
-    forest = []
-    for _, i, j in sorted(pairs):
-        a, b = root(i), root(j)
-        if a != b:
-            small, large = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            if (num + den) * int((large[at] == small).sum()) >= num * int(sizes[i] + sizes[j]):
-                top[max(a, b)] = min(a, b)
-                forest.append((i, j))
+    grams, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    own = [ids[e - n : e] for e, n in zip(ends, sizes)]
+    mine, label, forest = np.zeros(len(grams), np.int64), np.arange(len(sets)), []
+    for i, others, _ in near_pairs(signatures(sets), sizes, joined, distance, num, den):
+        others = others[label[others] != label[i]]
+        if len(others):
+            mine[own[i]] = 1
+            shared = np.add.reduceat(mine[np.concatenate([own[j] for j in others])], np.cumsum(sizes[others]) - sizes[others])
+            mine[own[i]] = 0
+            for j in others[(num + den) * shared >= num * (sizes[others] + sizes[i])].tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    forest.append((i, j))
     return forest
 
 
@@ -221,14 +236,22 @@ def minhash_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     classes = rows.filter("n > 0").groupBy("sig").agg(pick, F.first("n").alias("n"), F.first("marks").alias("marks"))
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()).withColumn("member", F.col("rep")))  # numbers count once they are written
     blocks = materialize(index_blocks(classes, chunks_for(distance)))
-    sets = materialize(_sets_of(body, classes, blocks.select(F.col("member").alias("rep")), width))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marks = classes.select("rep", "n", "marks")
+    heads = materialize(blocks.select("block").distinct().join(marks.withColumnsRenamed({"rep": "block", "n": "head_n", "marks": "head_marks"}), "block"))
+    faced = blocks.filter("member <> block").withColumnRenamed("member", "rep").join(marks, "rep").join(heads, "block")
+    near_head = materialize(faced.mapInArrow(_to_head(distance, num, den), "block long, rep long, n long, joined boolean"))
+    dealt = _cells(near_head, F.lit(1), SIGNATURE_CELL, ["rep", "joined"]).join(marks, "rep")
+    dealt = dealt.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep")
+    others = dealt.mapInArrow(_near(distance, num, den), "block long, rep long, n long, joined boolean").select("block", "rep")
+    met = near_head.filter("joined").select("block", "rep")
+    own = met.select("block", F.col("block").alias("rep"))
+    possible = materialize(met.unionByName(own).unionByName(others).distinct())
+    sets = materialize(_sets_of(body, classes, possible, width))
+    blocks = possible.withColumnRenamed("rep", "member")
     members, pivot_links = join_to_pivots(blocks, classes, lambda wanted: sets.join(wanted.select("rep").distinct(), "rep", "left_semi"), num, den, over=1)
     members = materialize(members)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marked = _cells(members, F.lit(1), CELL_ROWS, ["rep", "joined"]).join(classes.select("rep", "n", "marks"), "rep")
-    marked = marked.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep")
-    possible = materialize(marked.mapInArrow(_near(distance, num, den), "block long, rep long, n long, joined boolean").distinct())
-    filled = _cells(possible, F.greatest("n", F.lit(CELL_GRAMS // CELL_ROWS)), CELL_GRAMS, ["rep", "joined"]).join(sets, "rep")
+    filled = _cells(members, F.greatest("n", F.lit(LEAST_WEIGHT)), SET_CELL, ["rep", "joined"]).join(sets, "rep")
     filled = filled.repartition(buckets, "block", "i", "j").sortWithinPartitions("block", "i", "j", "rep")
     links = filled.mapInArrow(_confirm(distance, num, den), "a long, b long")
     merged = components(links if pivot_links is None else links.unionByName(pivot_links))

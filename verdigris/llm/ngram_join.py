@@ -54,6 +54,7 @@ PIVOT_ROUNDS = 3
 SKETCH = 256
 FULL = 65_535
 LOG_STEPS = 4_000
+MOST_PICKED = 400_000
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -293,7 +294,9 @@ def _full_sets(width: int):
 def _sets_of(body: DataFrame, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(rep, body): the whole sets of the wanted reps, each from its class's picked row. Repeated rows without an id are folded before they move."""
     picked = classes.join(wanted.select("rep").distinct(), "rep", "left_semi").select("rep", F.col("pick.doc_id").alias("p_id"), F.col("pick.key").alias("p_key"))
-    picked = materialize(picked)  # its size is known then, so that a few rows are broadcast and the texts stay where they are
+    picked = materialize(picked)
+    if picked.count() <= MOST_PICKED:  # a checked size: the texts stay where they are
+        picked = F.broadcast(picked)
     rows = body.join(picked, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("key") == F.col("p_key"))).select("rep", "body")
     return rows.mapInArrow(_full_sets(width), "rep long, body binary").dropDuplicates(["rep"])
 
