@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -167,9 +168,49 @@ def test_threshold_policy_states(spark):
     assert (fit.state, fit.p_threshold, fit.margin_threshold, fit.precision, fit.eligible_samples, fit.positives) == ("fitted", 0.8, 0.4, 1.0, 3, 3)
     gated = P.fit_threshold_policy(df, "p", "m", "t", "w", 1.0, F.col("p") > 0.85).first()
     assert (gated.p_threshold, gated.recall, gated.eligible_samples) == (0.9, pytest.approx(1 / 3), 1)
-    assert P.fit_threshold_policy(df.withColumn("t", F.lit(False)), "p", "m", "t", "w", 1.0).first().state == "infeasible"
-    with pytest.raises(ValueError):
-        P.fit_threshold_policy(df, "p", "m", "t", "w", 1.0, most_cells=2)
+    assert P.fit_threshold_policy(df.withColumn("p", F.when(~F.col("t"), 0.95)), "p", "m", "t", "w", 1.0).first().state == "infeasible"
+    with pytest.raises(ValueError, match="both classes"):
+        P.fit_threshold_policy(df.withColumn("t", F.lit(False)), "p", "m", "t", "w", 1.0)
+    with pytest.raises(ValueError, match="two independent groups"):
+        P.fit_threshold_policy(df.withColumn("g", F.lit("one")), "p", "m", "t", "w", 1.0, group="g")
+
+
+def _dense_best(rows, objective):
+    """The rule on all pairs of values: (p, m), or None."""
+    weight, positive = sum(r[3] for r in rows), sum(r[3] for r in rows if r[2])
+    best = None
+    for p in {r[0] for r in rows}:
+        for m in {r[1] for r in rows}:
+            held = [r for r in rows if r[0] >= p and r[1] >= m]
+            if held:
+                w, wy = sum(r[3] for r in held), sum(r[3] for r in held if r[2])
+                if wy / w + 1e-15 >= objective:
+                    best = max(filter(None, [best, (wy / positive, wy / w, w / weight, sum(r[2] for r in held) / len(held), p, m)]))
+    return best and best[4:]
+
+
+@pytest.mark.parametrize("seed,strip,grid", [(1, 2000, 10**6), (2, 7, 10**6), (3, 20, 10**6), (4, 2000, 30), (5, 30, 40), (6, 10, 10**6)])
+def test_threshold_policy_equals_the_dense_rule(spark, monkeypatch, seed, strip, grid):
+    from verdigris.operators import thresholds
+
+    monkeypatch.setattr(thresholds, "MOST_GRID", grid)
+    monkeypatch.setattr(thresholds, "PAIRS_A_ROUND", 5)
+    rng = np.random.default_rng(seed)
+    p, m = rng.integers(0, 40, 150) / 40, rng.integers(-20, 20, 150) / 20
+    truth = rng.random(150) < (p + m + 0.4 * rng.random(150)) / 1.5
+    rows = [(float(a), float(b), bool(t), float(w)) for a, b, t, w in zip(p, m, truth, rng.integers(1, 4, 150))]
+    df = spark.createDataFrame(rows, "p double, m double, t boolean, w double")
+    for objective in (0.0, 0.6, 0.8, 0.95, 1.0):
+        fit = P.fit_threshold_policy(df, "p", "m", "t", "w", objective, strip=strip).first()
+        assert (fit.state == "fitted" and (fit.p_threshold, fit.margin_threshold) or None) == _dense_best(rows, objective)
+
+
+def test_threshold_policy_on_values_that_are_all_distinct(spark):
+    """300,000 distinct values of both: their grid would have 9 * 10**10 pairs."""
+    df = spark.range(300_000).select(F.rand(5).alias("p"), (F.rand(6) - 0.5).alias("m"), F.lit(1.0).alias("w")).withColumn("t", F.rand(7) < F.col("p") * 0.7 + F.col("m") * 0.5 + 0.2)
+    fit = P.fit_threshold_policy(df, "p", "m", "t", "w", 0.8).first()
+    held = df.filter((F.col("p") >= fit.p_threshold) & (F.col("m") >= fit.margin_threshold)).agg(F.count_if("t") / F.count("*"), F.count_if("t")).first()
+    assert fit.grid_cells > 10**10 and held[0] >= 0.8 and held[1] / fit.positives == pytest.approx(fit.recall)
 
 
 def test_decision_gates_stand_in_order(spark):

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.operators.thresholds import fit_threshold_policy  # noqa: F401
 
 #: What a detector's prompt and an older label stand for. Each kind has its route, the route for scoring and the action; two kinds need a score.
 PROMPTS = {
@@ -149,40 +150,6 @@ def nonmatch_maxima(df: DataFrame, query: str, kinds: list[str]) -> DataFrame:
     return out.withColumns({f"margin_over_{k}": F.col(f"{kinds[0]}_calibrated") - F.col(f"{k}_calibrated") for k in kinds[1:]})
 
 
-def fit_threshold_policy(df: DataFrame, p: str, margin: str, truth: str, weight: str, objective: float, eligible: Column | None = None, most_cells: int = 1_000_000) -> DataFrame:
-    """One row: the (probability, margin) thresholds whose weighted precision reaches the objective and that are best by recall, precision, coverage, unweighted precision, p and margin; or none, and the state `infeasible`.
-
-    Only samples that pass all gates (`eligible`) and have both values can be confirmed; recall and coverage are against
-    all samples. Samples collapse to distinct (p, margin) cells. Suffix sums over both axes come from two window passes
-    over the dense grid of distinct values, whose size is checked first.
-    """
-    gate = F.coalesce(eligible, F.lit(False)) if eligible is not None else F.lit(True)
-    marked = df.withColumn("_ok", gate & F.col(p).isNotNull() & F.col(margin).isNotNull())
-    known = marked.filter("_ok")
-    w = F.col(weight)
-    cells = known.groupBy(F.col(p).alias("p"), F.col(margin).alias("m")).agg(F.sum(w).alias("w"), F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("wy"), F.count("*").alias("n"), F.count_if(truth).alias("y"))
-    n_p, n_m = known.agg(F.count_distinct(p), F.count_distinct(margin)).first()
-    if n_p * n_m > most_cells:
-        raise ValueError(f"threshold grid of {n_p} x {n_m} cells is over {most_cells}")
-    ps, ms = cells.select("p").distinct(), cells.select("m").distinct()
-    grid = ps.withColumn("m", F.explode(F.lit(None).cast("array<double>"))) if n_p == 0 else ps.join(ms.agg(F.collect_list("m").alias("ms"))).select("p", F.explode("ms").alias("m"))
-    grid = grid.join(cells, ["p", "m"], "left").fillna(0)
-    names = ["w", "wy", "n", "y"]
-    up_m = Window.partitionBy("p").orderBy(F.desc("m")).rowsBetween(Window.unboundedPreceding, 0)
-    up_p = Window.partitionBy("m").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = grid.withColumns({c: F.sum(c).over(up_m) for c in names}).withColumns({c: F.sum(c).over(up_p) for c in names})
-    total = marked.agg(F.sum(w).alias("_w"), F.sum(F.when(F.col(truth), w).otherwise(0.0)).alias("_wy"), F.count("*").alias("_n"), F.count_if(truth).alias("_y"), F.count_if("_ok").alias("_e"))
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
-    rated = sums.filter("n > 0").join(F.broadcast(total)).select("p", "m", ratio("wy", "w").alias("precision"), ratio("wy", "_wy").alias("recall"), ratio("w", "_w").alias("coverage"), ratio("y", "n").alias("unweighted_precision"), ratio("y", "_y").alias("unweighted_recall"), ratio("n", "_n").alias("unweighted_coverage"))
-    order = ["recall", "precision", "coverage", "unweighted_precision", "p", "m"]
-    best = rated.filter(F.col("precision") + 1e-15 >= objective).agg(F.max(F.struct(*order, "unweighted_recall", "unweighted_coverage")).alias("b"))
-    achieved = [F.col(f"b.{c}").alias(c) for c in ("precision", "recall", "coverage", "unweighted_precision", "unweighted_recall", "unweighted_coverage")]
-    counts = [F.col("_n").alias("samples"), F.col("_e").alias("eligible_samples"), F.col("_y").alias("positives"), (F.col("_n") - F.col("_y")).alias("negatives"), F.lit(n_p * n_m).cast("long").alias("grid_cells")]
-    both = best.join(F.broadcast(total))  # one row each
-    return both.select(F.when(F.col("b").isNull(), "infeasible").otherwise("fitted").alias("state"), F.when(F.col("b").isNull(), "no_threshold_pair_meets_objective").otherwise("objective_met").alias("state_reason"),
-                       F.col("b.p").alias("p_threshold"), F.col("b.m").alias("margin_threshold"), *achieved, *counts)
-
-
 def apply_decision_policy(df: DataFrame, policy: DataFrame, competing: tuple[str, ...] = ("regional_competitor", "other_competitor", "domain_negative")) -> DataFrame:
     """Outcome, whether it abstains, and the reason. The first gate that holds decides; the policy is one row.
 

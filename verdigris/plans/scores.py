@@ -120,7 +120,7 @@ FITTED = f"""WITH k AS MATERIALIZED (SELECT p::DOUBLE AS p, margin::DOUBLE AS m,
 
 
 def _policy(spark, d):
-    return S.fit_threshold_policy(R.decisions(spark, d), "p", "margin", "truth", "weight", OBJECTIVE, F.expr(GATES))
+    return S.fit_threshold_policy(R.decisions(spark, d), "p", "margin", "truth", "weight", OBJECTIVE, F.expr(GATES), group="sample_id")
 
 
 @query(f"""SELECT state, p_threshold, margin_threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, round(coverage, 6) AS coverage, round(up, 6) AS unweighted_precision, round(ur, 6) AS unweighted_recall, round(uc, 6) AS unweighted_coverage,
