@@ -335,3 +335,37 @@ def test_images_stay_small_and_many_files_are_verified(spark, tmp_path, monkeypa
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(list((tmp_path / "copy").glob("*.parquet"))) == 4
+
+
+def test_exact_quantiles_of_large_groups(spark):
+    """Groups over the bound, with ties at the ranks, all values equal, nulls and infinite values, against numpy."""
+    rng = np.random.default_rng(3)
+    groups = {"spread": rng.normal(0, 1e6, 5000), "ties": rng.integers(0, 3, 5000).astype(float), "one": np.full(4000, 7.5), "halves": np.repeat([1.0, 9.0], 2000), "steep": 10.0 ** rng.uniform(-200, 200, 3001), "small": rng.random(10), "single": np.array([4.0])}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("none", None), (None, 3.0), (None, 5.0), ("small", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for q in (0.5, 0.0, 0.9, 1.0):
+        found = {r.g: r.quantile for r in R.exact_quantile(df, "g", "v", q, most=100).collect()}
+        for g, vs in groups.items():
+            assert found.pop(g) == pytest.approx(np.quantile(vs, q), rel=1e-12)
+        assert found == {None: pytest.approx(3.0 + 2 * q)}
+    summary = {r.g: (r.n, r.least, r.median, r.most) for r in R.numeric_summary(df, "g", "v").collect()}
+    assert summary["halves"] == (4000, 1.0, 5.0, 9.0) and summary["none"] == (0, None, None, None)
+
+
+def test_set_digests_of_large_sets(spark):
+    """A set over many lists has one id under any partitioning and with repeats, another one for another set, and no list over the bound."""
+    df = spark.range(5000).select(F.lit("k").alias("k"), F.concat(F.lit("m"), "id").alias("m"))
+    one = lambda x: I.duplicate_groups(x, "k", "m")[0].first()
+    first = one(df)
+    assert (first.members, len(first.group_id)) == (5000, 64)
+    assert one(df.union(df).repartition(5, "m")) == first
+    assert one(df.filter("m <> 'm17'")).group_id != first.group_id
+    groups, membership = I.duplicate_groups(df.unionByName(spark.createDataFrame([("s", "a"), ("s", "b"), ("t", "a"), (None, "x"), (None, "y")], "k string, m string")), "k", "m")
+    assert {r.k: r.members for r in groups.collect()} == {"k": 5000, "s": 2} and membership.count() == 5002
+    keys = spark.range(1000).select(F.lit(1).alias("a"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(2, 10), (2, 9), (3, 5), (4, None)], "a int, v long"))
+    found = {r.a: r.set_key for r in I.identity_set_keys(keys.union(keys), ["a"], "v").collect()}
+    import hashlib
+
+    assert found[2] == hashlib.sha256(b'["9","10"]').hexdigest() and found[3] == "5" and found[4] is None and len(found[1]) == 64
+    small = spark.range(500).select(F.col("id").alias("v"))
+    assert C.dataset_fingerprint(small, most=0.001).first() == C.dataset_fingerprint(small.repartition(9), most=0.001).first()

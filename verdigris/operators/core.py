@@ -87,14 +87,20 @@ def canonical_row_hash(df: DataFrame, columns: list[str] | None = None) -> Colum
     return F.sha2(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}), 256)
 
 
-def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def dataset_fingerprint(df: DataFrame, columns: list[str] | None = None, most: int = 4_096) -> DataFrame:
     """One row (n_rows, fingerprint) that does not depend on the order of rows, from all bits of every row's hash.
 
-    The sorted hashes of each of 65,536 buckets are hashed, then those of 256, then all, so no list is long.
+    A tree of hashes: the sorted row hashes of a bucket of common first digits are hashed, then those of 256 buckets, and
+    so on to the root. There are 65,536 buckets up to `most` rows a bucket on average, and 256 times as many for every 256 times
+    as many rows, so no list grows with the rows.
     """
-    level = df.select(canonical_row_hash(df, columns).alias("h"), F.lit(1).cast("long").alias("n"))
-    for digits in (4, 2, 0):
-        level = level.groupBy(F.substring("h", 1, digits).alias("b")).agg(F.array_join(F.sort_array(F.collect_list("h")), ",").alias("all"), F.sum("n").alias("n")).select(F.concat("b", F.sha2("all", 256)).alias("h"), "n")
+    rows = df.select(canonical_row_hash(df, columns).alias("h"), F.lit(1).cast("long").alias("n"))
+    count, digits = df.count(), 4
+    while count > most * 16**digits:
+        digits += 2
+    level = rows
+    for d in range(digits, -1, -2):
+        level = level.groupBy(F.substring("h", 1, d).alias("b")).agg(F.array_join(F.sort_array(F.collect_list("h")), ",").alias("all"), F.sum("n").alias("n")).select(F.concat("b", F.sha2("all", 256)).alias("h"), "n")
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
 
 
@@ -243,12 +249,6 @@ def projection_completeness(df: DataFrame, keys: list[str], column: str, expecte
     return found.filter(F.col("found") != F.array(*[F.lit(x) for x in sorted(expected)]))
 
 
-def identity_set_key(ids: str) -> Column:
-    """Aggregate: the only id, null, or the hash of the sorted set."""
-    found = F.sort_array(F.collect_set(ids))
-    return F.when(F.size(found) == 1, found[0].cast("string")).when(F.size(found) > 1, F.sha2(F.to_json(F.transform(found, lambda x: x.cast("string"))), 256))
-
-
 def ordered_output(df: DataFrame, ranks: dict[str, list[str]], keys: list[str]) -> DataFrame:
     """A total order in which enum columns follow a given order of values; unknown values come last."""
     rank = [reduce(lambda acc, iv, c=c: F.when(F.col(c) == iv[1], iv[0]).otherwise(acc), list(enumerate(values)), F.lit(len(values))) for c, values in ranks.items()]

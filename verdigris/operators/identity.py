@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -71,10 +72,51 @@ def classify_origin(df: DataFrame, key: str, origins: dict[str, str], delivery:
     return df.withColumn("origin", F.coalesce(mapped, F.col(delivery))).withColumn("relationship", F.when(mapped.isNotNull() & (mapped != F.col(delivery)), "redelivered").otherwise("direct"))
 
 
-def duplicate_groups(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Groups of two or more distinct members, with the hash of the sorted members as id."""
-    members = F.sort_array(F.collect_set(F.col(member).cast("string")))
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(members.alias("members")).filter(F.size("members") > 1).withColumn("group_id", F.sha2(F.array_join("members", "\x1f"), 256))
+LIST = 256
+
+
+def set_digests(members: DataFrame, keys: list[str], member: str, order: str, few: Callable[[Column], Column], most: int = LIST) -> DataFrame:
+    """(keys, members, digest) of each key's set of strings; rows of `members` are distinct, and members aren't null.
+
+    Up to `most` members are listed by `order` and `few` gives their digest. A larger set is folded as a tree: its members fall
+    into buckets by the first hexadecimal digits of their hash, so many digits that a bucket holds about `most` members; a
+    bucket's sorted hashes are hashed, then the sorted digests of 256 buckets with common digits, up to the root. The
+    depth follows from the number of members alone, so the digest is that of the set under any partitioning, and no
+    list grows with the set.
+    """
+    sizes = members.groupBy(*keys).agg(F.count("*").alias("members"))
+    low, k = [F.col(f"m.{c}") for c in keys], [F.col(f"s.{c}") for c in keys]
+    same = reduce(lambda a, b: a & b, [x.eqNullSafe(y) for x, y in zip(low, k)])
+    sized = members.alias("m").join(sizes.filter(F.col("members") > most).alias("s"), same)
+    listed = members.alias("m").join(sizes.filter(F.col("members") <= most).alias("s"), same)
+    small = listed.groupBy(*[x.alias(c) for x, c in zip(k, keys)]).agg(few(F.transform(F.sort_array(F.collect_list(F.struct(F.col(f"m.{order}").alias("o"), F.col(f"m.{member}").alias("t")))), lambda x: x["t"])).alias("digest"), F.first("members").alias("members")).select(*keys, "members", "digest")
+    digits = sum((F.when(F.col("members") > most * 256**d, 2).otherwise(0) for d in range(7)), F.lit(0))
+    level = written(sized.select(*[x.alias(c) for x, c in zip(k, keys)], "members", digits.alias("_digits"), F.sha2(F.col(f"m.{member}"), 256).alias("_hash")))
+    deepest = level.agg(F.max("_digits")).first()[0] or 0
+    for depth in range(deepest, -1, -2):
+        now = F.col("_digits") >= depth
+        bucket = F.substring("_hash", 1, depth).alias("_bucket")
+        folded = level.filter(now).groupBy(*keys, "members", "_digits", bucket).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_hash")), ","), 256).alias("_fold"))
+        level = level.filter(~now).unionByName(folded.select(*keys, "members", "_digits", F.concat("_bucket", "_fold").alias("_hash")))
+    return small.unionByName(level.select(*keys, "members", F.col("_hash").alias("digest")))
+
+
+def duplicate_groups(df: DataFrame, key: str, member: str) -> tuple[DataFrame, DataFrame]:
+    """(groups, membership): keys with two or more distinct members, their number and a group_id from the set of members; and the same with a row for each member."""
+    rows = df.filter(F.col(key).isNotNull() & F.col(member).isNotNull()).select(F.col(key), F.col(member).cast("string").alias("member")).distinct()
+    ids = set_digests(rows, [key], "member", "member", lambda m: F.sha2(F.array_join(m, "\x1f"), 256))
+    groups = ids.filter("members > 1").withColumnRenamed("digest", "group_id")
+    return groups, rows.join(groups, key)
+
+
+def identity_set_keys(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
+    """(keys, set_key): the only id of each key, null without one, or the hash of the sorted set; a large set's hash is folded as a tree."""
+    rows = df.filter(F.col(ids).isNotNull()).select(*keys, F.col(ids).alias("_id")).distinct()
+    few = lambda m: F.when(F.size(m) == 1, m[0]).otherwise(F.sha2(F.to_json(m), 256))
+    found = set_digests(rows.withColumn("_t", F.col("_id").cast("string")), keys, "_t", "_id", few)
+    every = df.select(*keys).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"e.{c}").eqNullSafe(F.col(f"f.{c}")) for c in keys])
+    return every.alias("e").join(found.alias("f"), same, "left").select(*[F.col(f"e.{c}").alias(c) for c in keys], F.col("f.digest").alias("set_key"))
 
 
 def pairwise_contradictions(df: DataFrame, link: str, member: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:

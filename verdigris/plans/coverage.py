@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from verdigris.operators import core as C
 from verdigris.operators import coverage as V
+from verdigris.operators import identity as I
 from verdigris.plans import roles as R
 from verdigris.plans.registry import query
 
@@ -368,7 +369,7 @@ def projection_completeness(spark, d):
 
 @query("""SELECT l_orderkey, CASE WHEN len(s) = 1 THEN s[1] ELSE sha256('["' || array_to_string(s, '","') || '"]') END AS set_key FROM (SELECT l_orderkey, list_transform(list_sort(list(DISTINCT l_suppkey)), lambda x: CAST(x AS VARCHAR)) AS s FROM lineitem GROUP BY 1)""")
 def identity_set_key(spark, d):
-    return R.table(spark, d, "lineitem").groupBy("l_orderkey").agg(C.identity_set_key("l_suppkey").alias("set_key"))
+    return I.identity_set_keys(R.table(spark, d, "lineitem"), ["l_orderkey"], "l_suppkey")
 
 
 @query("SELECT c_nationkey AS cell, CAST(sum(n) AS BIGINT) AS items FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY 1, 2) GROUP BY 1")

@@ -197,9 +197,9 @@ def classify_origin(spark, d):
     return I.classify_origin(_records(spark, d), "lang", {"en": "alpha", "de": "beta"}, "host").select("page_id", "origin", "relationship")
 
 
-@query("""SELECT h, array_to_string(members, ',') AS members, sha256(array_to_string(members, chr(31))) AS group_id FROM (SELECT sha256(text) AS h, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS members FROM documents GROUP BY 1) WHERE len(members) > 1""")
+@query("""SELECT h, member, len(members) AS members, sha256(array_to_string(members, chr(31))) AS group_id FROM (SELECT *, unnest(members) AS member FROM (SELECT sha256(text) AS h, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS members FROM documents GROUP BY 1) WHERE len(members) > 1)""")
 def duplicate_groups(spark, d):
-    return I.duplicate_groups(R.table(spark, d, "documents").withColumn("h", F.sha2("text", 256)), "h", "doc_id").withColumn("members", F.array_join("members", ","))
+    return I.duplicate_groups(R.table(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id"), "h", "doc_id")[1]
 
 
 CLASSES = f"SELECT canonical_id, host, lang, source, min(page_id) AS member, count(*) AS n FROM ({IDENTITY}) GROUP BY 1, 2, 3, 4"
