@@ -369,3 +369,23 @@ def test_set_digests_of_large_sets(spark):
     assert found[2] == hashlib.sha256(b'["9","10"]').hexdigest() and found[3] == "5" and found[4] is None and len(found[1]) == 64
     small = spark.range(500).select(F.col("id").alias("v"))
     assert C.dataset_fingerprint(small, most=0.001).first() == C.dataset_fingerprint(small.repartition(9), most=0.001).first()
+
+
+def test_sessions_are_the_same_in_chunks_of_any_size(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for session in range(6):
+        number, when = 0, 1000
+        for _ in range(int(rng.integers(1, 60))):
+            number += 1 + (rng.random() < 0.05)
+            when += int(rng.integers(-1, 40))
+            kind = str(rng.choice(["activity", "action", "completion"], p=[0.5, 0.47, 0.03]))
+            rows.append((session if session else None, int(number), when, kind, str(rng.choice(["active", "paused"])) if kind == "activity" else None, f"t{rng.integers(5)}"))
+    df = spark.createDataFrame(rows, "session int, n long, ms long, kind string, state string, target string").withColumn("at", F.timestamp_millis("ms"))
+    results = []
+    for chunk in (100_000, 7, 1):
+        intervals = R.session_intervals(df, "session", "n", "at", chunk)
+        assert intervals.columns == [*df.columns, "until", "until_order"]
+        summary = R.session_activity_summary(df, "session", "n", "at", "target", chunk)
+        results.append([sorted(map(str, x.collect())) for x in (intervals, R.session_violations(df, "session", "n", "at", chunk), summary)])
+    assert results[0] == results[1] == results[2] and all(map(len, results[0]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from verdigris.operators.identity import written
 
@@ -153,24 +154,49 @@ def numeric_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     return ends.join(median, F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}")), "left").select(F.col(f"a.{group}").alias(group), "n", "least", F.col("quantile").alias("median"), "most")
 
 
-def _activity(df: DataFrame, session: str, order: str, at: str) -> DataFrame:
-    """Marks with their session's next mark. A session is one window: it is one person's work, and short."""
-    w = Window.partitionBy(session).orderBy(order)
-    marks = df.filter("kind = 'activity'")
-    return marks.withColumns({"_next": F.lead("state").over(w), "until": F.lead(at).over(w), "until_order": F.lead(order).over(w), "_before": F.lag("state").over(w)})
+CHUNK = 100_000
 
 
-def session_intervals(df: DataFrame, session: str, order: str, at: str) -> DataFrame:
-    """Active time: each `active` mark to the session's next pause, whatever actions lie between. Events have kind (activity, action, completion) and state (active, paused)."""
-    return _activity(df, session, order, at).filter("state = 'active' AND _next = 'paused'").drop("_next", "_before")
+def _scanned(df: DataFrame, session: str, order: str, at: str, chunk: int) -> tuple[DataFrame, WindowSpec]:
+    """(rows with their chunk and what surrounds it, the window of a chunk): a session is cut by its numbers into chunks of up to `chunk`.
+
+    Each chunk gives its first and last mark, its size and its last time; one row a chunk carries these across, so that no
+    window holds more than a chunk of events.
+    """
+    rows = df.withColumn("_chunk", F.coalesce(F.floor(F.col(order) / chunk).cast("long"), F.lit(-1).cast("long")))
+    mark = F.when(F.col("kind") == "activity", F.struct("state", F.col(at).alias("at"), F.col(order).alias("number")))
+    place = F.when(F.col("kind") == "activity", F.struct(order))
+    ends = rows.groupBy(session, "_chunk").agg(F.min_by(mark, place).alias("_head"), F.max_by(mark, place).alias("_tail"), F.count("*").alias("_size"), F.max_by(F.struct(F.col(at).alias("at")), F.struct(order)).alias("_at"))
+    w = Window.partitionBy(session).orderBy("_chunk")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(session).alias("_session"), F.col("_chunk").alias("_number"), F.first("_head", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_then"), F.last("_tail", ignorenulls=True).over(before).alias("_since"),
+                          F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_rows"), F.lag("_at").over(w).alias("_time"), F.lead("_chunk").over(w).isNull().alias("_ends"))
+    met = rows.join(carried, F.col(session).eqNullSafe(F.col("_session")) & (F.col("_chunk") == F.col("_number")))
+    return met, Window.partitionBy(session, "_chunk").orderBy(order)
+
+
+CARRIED = ("_chunk", "_session", "_number", "_then", "_since", "_rows", "_time", "_ends")
+
+
+def session_intervals(df: DataFrame, session: str, order: str, at: str, chunk: int = CHUNK) -> DataFrame:
+    """Active time: each `active` mark to the session's next pause, whatever actions lie between. Events have kind (activity, action, completion) and state (active, paused).
+
+    A session of any length is scanned in chunks of its numbers.
+    """
+    met, w = _scanned(df, session, order, at, chunk)
+    following = F.coalesce(F.lead(F.struct("state", F.col(at).alias("at"), F.col(order).alias("number"))).over(w), F.col("_then"))
+    marks = met.filter("kind = 'activity'").withColumn("_next", following).filter("state = 'active' AND _next.state = 'paused'")
+    return marks.withColumns({"until": F.col("_next.at"), "until_order": F.col("_next.number")}).drop("_next", *CARRIED)
 
 
-def session_violations(df: DataFrame, session: str, order: str, at: str) -> DataFrame:
+def session_violations(df: DataFrame, session: str, order: str, at: str, chunk: int = CHUNK) -> DataFrame:
     """(session, rule) of sessions whose events break a rule: numbers with gaps, times that go back, overlapping or open active time, a pause without active time, an action outside of it, not one final completion."""
-    w = Window.partitionBy(session).orderBy(order)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    met, w = _scanned(df, session, order, at, chunk)
+    upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     mark = F.when(F.col("kind") == "activity", F.col("state"))
-    seen = df.withColumns({"_n": F.row_number().over(w), "_early": F.lag(at).over(w), "_mode": F.last(mark, ignorenulls=True).over(upto), "_was": F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "_last": F.lead(order).over(w).isNull()})
+    early = F.coalesce(F.lag(F.struct(F.col(at).alias("at"))).over(w), F.col("_time"))["at"]
+    seen = met.withColumns({"_n": F.row_number().over(w) + F.col("_rows"), "_early": early, "_mode": F.coalesce(F.last(mark, ignorenulls=True).over(upto), F.col("_since.state")), "_was": F.coalesce(F.last(mark, ignorenulls=True).over(before), F.col("_since.state")),
+                            "_last": F.lead(F.struct(order)).over(w).isNull() & F.col("_ends")})
     active = lambda c: F.coalesce(F.col(c) == "active", F.lit(False))
     kind, state = F.col("kind"), F.col("state")
     rules = {"sequence_gap": F.col(order) != F.col("_n"), "not_chronological": F.col(at) < F.col("_early"), "overlapping_activity": (kind == "activity") & (state == "active") & active("_was"),
@@ -180,9 +206,9 @@ def session_violations(df: DataFrame, session: str, order: str, at: str) -> Data
     return seen.select(session, broken.alias("rule")).distinct()
 
 
-def session_activity_summary(df: DataFrame, session: str, order: str, at: str, target: str) -> DataFrame:
+def session_activity_summary(df: DataFrame, session: str, order: str, at: str, target: str, chunk: int = CHUNK) -> DataFrame:
     """Active milliseconds, actions and the distinct targets of actions per session."""
-    spans = session_intervals(df, session, order, at).groupBy(session).agg(F.sum(F.unix_millis("until") - F.unix_millis(at)).alias("active_ms"))
+    spans = session_intervals(df, session, order, at, chunk).groupBy(session).agg(F.sum(F.unix_millis("until") - F.unix_millis(at)).alias("active_ms"))
     action = F.col("kind") == "action"
     acts = df.groupBy(session).agg(F.count_if(action).alias("actions"), F.count_distinct(F.when(action, F.col(target))).alias("targets"))
     return acts.join(spans, session, "left").fillna(0, ["active_ms"])
