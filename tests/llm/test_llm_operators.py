@@ -483,7 +483,7 @@ def test_leaks_equal_a_comparison_at_every_offset(spark):
     same = {(d, c) for (d, c) in wanted if d < 40 and d % 3 == 0}
     assert all(out[k].kind == "verbatim" for k in same if out[k].coverage == 1 and bench[k[0]][1] in texts[k[0]][1] and out[k].item_id == k[0])
     found = {r.item_id: (r.class_id, r.found) for r in decontam.benchmark_coverage(b).collect()}
-    assert found[51][1] == "none" and found[50] == (50, "template") and found[0][1] == "verbatim" and all(c <= i for i, (c, _) in found.items())
+    assert found[51][1] == "verbatim" and found[52][1] == "none" and found[50] == (50, "template") and found[0][1] == "verbatim" and all(c <= i for i, (c, _) in found.items())
 
 
 def test_a_template_of_many_items_makes_no_pairs(spark):
@@ -762,3 +762,50 @@ def test_one_row_repeated_very_often_is_split(spark, law):
 
 def test_html_entities_are_decoded_once():
     assert html_extract.extract("<article><p>&amp;lt; &lt;b&gt; &eacute;</p></article>", html_extract.learn_weights([])) == html.unescape("&amp;lt;") + " <b> é"
+
+
+# long texts and hot ids
+
+
+def test_a_long_text_crosses_each_join_once(spark):
+    """Two texts of 2 MB of random phrases, each followed by a number: nearly every window is a segment of its own."""
+    rng = np.random.default_rng(21)
+    phrases = [" ".join(rng.choice(VOCABULARY, 11)) for _ in range(300)]
+    text = " ".join(f"{phrases[k]} {i}" for i, k in enumerate(rng.integers(0, 300, 34_000)))
+    tail = " ".join(f"{phrases[k]} {i}" for i, k in enumerate(rng.integers(0, 300, 3_000)))
+    copied = text[500_000:500_400]
+    df = spark.createDataFrame([(1, text), (2, tail + copied), (3, copied)], "doc_id long, text string")
+    out = {r.doc_id: r for r in suffix_dedup.remove_repeats(df).collect()}
+    assert len(text) > 2_000_000 and out[1].n_bytes == len(text.encode())
+    assert out[3].n_removed == len(copied) and out[1].n_removed >= len(copied) and out[2].n_removed >= len(copied)
+    assert out[1].n_removed < 0.2 * len(text)
+
+
+def test_a_repeated_opening_is_compared_once(spark):
+    """900 kB of one question's opening, which thousands of diagonals of two items hit."""
+    opening = "so what is the capital city of our land then? "
+    bench = [(1, opening + "name it and say since when it has been so and who chose it for us back then"), (2, "so what is the capital city of our land now? " + "we ask you this as nobody here can recall it any more after all these years")]
+    texts = [(1, opening * 20_000), (2, opening * 1_500 + bench[0][1]), (3, "nothing of it")]
+    out = {(r.doc_id, r.class_id) for r in decontam.find_leaks(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(bench, "item_id int, text string")).collect()}
+    assert out == {(2, 1)}
+
+
+def test_short_items_are_reported_and_drop_nothing(spark):
+    bench = spark.createDataFrame([(1, "Who won?"), (2, "Yes"), (3, "12 apples"), (4, "")], "item_id int, text string")
+    docs = spark.createDataFrame([(1, "so who won, then"), (2, "yes and no"), (3, "we ate 12 apples"), (4, "we ate 13 apples yesterday"), (5, "whose wont")], "doc_id int, text string")
+    assert {(r.doc_id, r.item_id, r.coverage, r.kind) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 1, 1.0, "verbatim"), (2, 2, 1.0, "verbatim"), (3, 3, 1.0, "verbatim")}
+    assert decontam.drop_leaks(docs, bench).count() == 5
+
+
+def test_rows_of_one_id_are_dealt_over_the_shards(spark, monkeypatch):
+    monkeypatch.setattr(mixture, "DOCS_PER_SHARD", 100)
+    rows = [(None, prose(5, i), "a") for i in range(300)] + [(None, "the same text", "a")] * 300 + [(7, prose(6, 1), "b")] * 300 + [(100 + i, prose(4, i), "b") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = df.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("v_id"), mixture.text_key().alias("v_text"), F.col("source").alias("v_source"))
+    shards = mixture._ordered(sized, "mix").withColumn("shard", F.conv(F.substring("v_order", 1, 8), 16, 10).cast("long") % 6)
+    most = {r.v_id: r.n for r in shards.groupBy("v_id", "shard").count().groupBy("v_id").agg(F.max("count").alias("n")).collect()}
+    assert most[""] < 160 and most["7"] < 90
+    out = sorted(map(str, mixture.take_words(df).collect()))
+    assert len(out) == len(rows) and sorted(map(str, mixture.take_words(df.repartition(7)).collect())) == out
+    plain = mixture._ordered(sized.filter("v_id not in ('', '7')"), "mix").select("v_id", "v_order").first()
+    assert plain.v_order == hashlib.md5(f"mix|{plain.v_id}".encode()).hexdigest()

@@ -201,14 +201,18 @@ def _ranges(mark: np.ndarray) -> np.ndarray:
 
 
 def _cut_segments(length: int):
-    """Documents with their wanted segments to (shard, parts, anchor, segment, n, text)."""
+    """Documents with all their wanted segments to (anchor, segment, n, text). A text comes once, whatever is cut from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bodies = batch.column("body")
-            wanted = {c: batch.column(c).to_pylist() for c in ("anchor", "segment", "n", "first", "last")}
-            texts = [bodies[i].as_buffer()[a : b + length].to_pybytes() for i, (a, b) in enumerate(zip(wanted["first"], wanted["last"]))]
-            yield pa.RecordBatch.from_arrays([pa.array(wanted["anchor"], pa.int64()), pa.array(wanted["segment"], pa.int64()), pa.array(wanted["n"], pa.int64()), pa.array(texts, pa.binary())], ["anchor", "segment", "n", "text"])
+            bodies, places = batch.column("body"), batch.column("places")
+            for row in range(len(batch)):
+                body, own = bodies[row].as_buffer(), places[row].values
+                wanted = [own.field(c) for c in ("anchor", "segment", "n", "first", "last")]
+                for lo in range(0, len(own), 20_000):
+                    anchor, segment, n, first, last = (c.slice(lo, 20_000) for c in wanted)
+                    texts = [body[a : b + length].to_pybytes() for a, b in zip(first.to_pylist(), last.to_pylist())]
+                    yield pa.RecordBatch.from_arrays([anchor, segment, n, pa.array(texts, pa.binary())], ["anchor", "segment", "n", "text"])
 
     return run
 
@@ -341,7 +345,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     sizes = kinds.filter("kinds > 1").select("anchor", parts.alias("parts"), "bytes")
     total = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     shards = -(-total // SHARD_BYTES) or 1
-    texts = own.join(mixed.drop("bytes"), "key").select("body", "anchor", "segment", "n", "first", "last").mapInArrow(_cut_segments(length), "anchor long, segment long, n long, text binary")
+    places = mixed.groupBy("key").agg(F.collect_list(F.struct("anchor", "segment", "n", "first", "last")).alias("places"))  # no more than a text has windows
+    texts = own.join(places, "key").select("body", "places").mapInArrow(_cut_segments(length), "anchor long, segment long, n long, text binary")
     alone = F.pmod(F.xxhash64("anchor"), F.lit(shards))
     dealt = F.xxhash64("anchor", F.pmod(F.xxhash64("segment"), F.col("parts")))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
