@@ -16,10 +16,10 @@ Items with the same template and pattern of equal fillers are one class, named b
 document has one row for a class: a template that many items share makes no pairs of
 all its items with all its documents.
 
-Items with fewer than WINDOW words take one window of their own length, if they
-have LITERALS words at least; shorter ones can't be found. Copies with other fillers
-are found by a window with LITERALS plain words; items without any are found as
-exact copies only. `benchmark_coverage` says which is which. Null and empty texts
+Items with fewer than WINDOW words take one window of their own length. Copies with
+other fillers are found by a window with LITERALS plain words; items without any are
+found as exact copies only, and so are items under LITERALS words: these can stand in
+a text by chance, so they are reported and don't make `drop_leaks` drop it. `benchmark_coverage` says which is which. Null and empty texts
 hold nothing. Documents count by doc_id and text, so repeated rows are one; a null
 doc_id is an id like others, items without item_id are left out. An empty
 documents or benchmark table gives no rows. Only doc_id and text, item_id and text
@@ -103,18 +103,18 @@ def _items(benchmark: DataFrame) -> DataFrame:
 def benchmark_coverage(benchmark: DataFrame) -> DataFrame:
     """(item_id, class_id, n_words, found): how an item can be found. `class_id` is the least item of the same template and pattern, which stands for it in the results.
 
-    found: `none` under LITERALS words, `verbatim` if no window has LITERALS plain words, else `template`.
+    found: `none` without words, `verbatim` if no window has LITERALS plain words, else `template`.
     """
     items = _items(benchmark)
     n = F.size("item_tpl")
     windows = F.transform(F.sequence(F.lit(1), F.greatest(n - F.col("width") + 1, F.lit(1))), lambda i: F.slice("item_tpl", i, F.greatest("width", F.lit(1))))
-    found = F.when(n < LITERALS, "none").when(F.exists(windows, lambda w: _plain(w) >= LITERALS), "template").otherwise("verbatim")
+    found = F.when(n == 0, "none").when(F.exists(windows, lambda w: _plain(w) >= LITERALS), "template").otherwise("verbatim")
     return items.select(F.col("item").alias("item_id"), F.col("class").alias("class_id"), n.alias("n_words"), found.alias("found"))
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items with their words, windows with hash, item and position). Windows that several items of a class share stand once, for the least of them."""
-    items = materialize(_items(benchmark).filter(F.size("item_tpl") >= LITERALS))
+def benchmark_windows(benchmark: DataFrame, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(items of `least` words or more with their words, windows with hash, item and position). Windows that several items of a class share stand once, for the least of them."""
+    items = materialize(_items(benchmark).filter(F.size("item_tpl") >= least))
     windows = _keys(items, "item_tpl", "item_raw", F.col("width"), "item", "class", "width")
     windows = windows.filter((F.col("h") == F.col("h_raw")) | (_plain(F.col("part")) >= LITERALS))
     windows = windows.groupBy("class", F.col("place").alias("at"), "width", "h").agg(F.min("item").alias("item"))
@@ -127,10 +127,10 @@ def _covered(equal: Column, width: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + width - 1))))
 
 
-def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, version, class, item, n_item, n, n_slots, changed) for each version of a document and class of items that it holds, with the item that fits best."""
-    items, windows = benchmark_windows(benchmark)
-    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW - LITERALS + 1 values
+def held_items(docs: DataFrame, benchmark: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, version, class, item, n_item, n, n_slots, changed) for each version of a document and class of items (of `least` words or more) that it holds, with the item that fits best."""
+    items, windows = benchmark_windows(benchmark, least)
+    widths = sorted(r.width for r in windows.select("width").distinct().collect())  # at most WINDOW values
     own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("version"))
     words = own.select("doc_id", "version", raw_words(F.col("text")).alias("raw"))
     words = words.select("doc_id", "version", _words(template(F.col("raw"))).alias("tpl"), _words(_unmarked(F.col("raw"))).alias("raw"))
@@ -141,11 +141,16 @@ def held_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = at.join(bench.filter(F.col("width") == width), "h").select("doc_id", "version", "item", (F.col("place") - F.col("at")).alias("diagonal"))
         hits = found if hits is None else hits.unionByName(found)
     runs = materialize(hits.distinct())
-    runs = runs.withColumnRenamed("doc_id", "r_doc").withColumnRenamed("version", "r_version")
-    held = own.join(_bounded(runs), F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("version") == F.col("r_version"))).join(_bounded(items), "item")
-    part = [F.greatest(F.col("diagonal"), F.lit(0)) + 1, F.size("item_raw")]
-    held = held.withColumn("raw", raw_words(F.col("text"))).drop("text")
-    held = held.withColumn("doc_raw", F.slice(_words(_unmarked(F.col("raw"))), *part)).withColumn("doc_tpl", F.slice(_words(template(F.col("raw"))), *part)).drop("raw")
+    few = runs.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    sized = runs.join(_bounded(items.select("item", F.size("item_raw").alias("n"))), "item")
+    wanted = sized.groupBy(F.col("doc_id").alias("r_doc"), F.col("version").alias("r_version")).agg(F.collect_list(F.struct("item", "diagonal", "n")).alias("runs"))  # no more than a text has windows, for each item
+    held = own.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("r_doc")) & (F.col("version") == F.col("r_version")))
+    held = held.select("doc_id", "version", "runs", raw_words(F.col("text")).alias("raw"))
+    held = held.select("doc_id", "version", "runs", _words(_unmarked(F.col("raw"))).alias("raw"), _words(template(F.col("raw"))).alias("tpl"))
+    stretch = lambda r: (F.greatest(r["diagonal"], F.lit(0)) + 1, r["n"])
+    cut = F.transform("runs", lambda r: F.struct(r["item"].alias("item"), F.least(r["diagonal"], F.lit(0)).alias("diagonal"), F.slice("raw", *stretch(r)).alias("doc_raw"), F.slice("tpl", *stretch(r)).alias("doc_tpl")))
+    # a text is read into words once; only the words that face an item leave it, and equal ones on several diagonals are compared once
+    held = held.select("doc_id", "version", F.inline(cut)).dropDuplicates().join(_bounded(items), "item")
     skip = F.greatest(-F.col("diagonal"), F.lit(0))
     everywhere = F.sequence(F.lit(0), F.size("item_tpl") - 1)
     same = lambda a, b, p: F.coalesce((p >= skip) & (F.get(a, p) == F.get(b, p - skip)), F.lit(False))
@@ -185,7 +190,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Documents that hold no benchmark item; columns stay, whatever their names. Rows go by doc_id and text, so another text under the same or no id stays."""
     leak, version = unused(docs, "v_leak", "v_version")
-    held = materialize(held_items(docs, benchmark).select(F.col("doc_id").alias(leak), F.col("version").alias(version)).distinct())
+    held = materialize(held_items(docs, benchmark, LITERALS).select(F.col("doc_id").alias(leak), F.col("version").alias(version)).distinct())
     return docs.join(_bounded(held), docs["doc_id"].eqNullSafe(F.col(leak)) & (F.xxhash64(docs["text"].cast("string")) == F.col(version)), "left_anti")
 
 
