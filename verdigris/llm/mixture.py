@@ -10,17 +10,20 @@ passes over them and then the first blocks of one more, so no document is taken
 more than twice.
 
 A source with many documents has many shards, so no window holds more than about
-DOCS_PER_SHARD rows of a source, however hot. Documents without words have size 0
+DOCS_PER_SHARD rows of a source, however hot. A row's shard comes from its doc_id; rows
+of one doc_id, or without any, are dealt by their text and a number of their own. Documents without words have size 0
 and nothing is taken from them; a null source is a source of its own. Repeated
 rows are separate documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm._shared import materialize, ship, table
+from verdigris.llm._shared import materialize, ship, table, text_key
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
@@ -72,12 +75,39 @@ def sainte_lague(claims: DataFrame, group: list[str], weight: str, seats: str, t
     return won.groupBy(*kept).agg((F.first("v_low") + F.sum("v_won")).alias("v_seats"))
 
 
+def _ordered(rows: DataFrame, seed: str) -> DataFrame:
+    """Adds v_order, the seeded place of each row: by its doc_id, and for a doc_id of several rows, or none, by the text and a number among equal rows too.
+
+    So rows of one id are dealt over all shards. Equal rows can't be told apart, so any numbers 0, 1, ... of theirs give
+    the same result. The numbers come from counts by partition, so no window holds all rows of an id.
+    """
+    again = rows.groupBy("v_id").agg(F.count("*").alias("n")).filter("n > 1 or v_id = ''").select(F.col("v_id").alias("a_id"))
+    again = materialize(again)
+    plain = F.md5(F.concat(F.lit(seed + "|"), F.col("v_id")))
+    if again.isEmpty():
+        return rows.withColumn("v_order", plain)
+    small = again.limit(MOST_SMALL + 1).count() <= MOST_SMALL
+    marked = rows.join(F.broadcast(again) if small else again, F.col("v_id") == F.col("a_id"), "left")
+    apart = materialize(marked.filter("a_id is not null").drop("a_id").withColumn("v_row", F.monotonically_increasing_id()))
+    apart = apart.withColumn("v_part", F.shiftright("v_row", 33))
+    group = ["v_id", "v_text", "v_source"]
+    counts = apart.groupBy(*group, "v_part").count()
+    before = F.sum("count").over(Window.partitionBy(*group).orderBy("v_part")) - F.col("count")
+    offsets = materialize(counts.select(*[F.col(c).alias(f"o{c}") for c in (*group, "v_part")], before.alias("v_before")))
+    same = [F.col(c).eqNullSafe(F.col(f"o{c}")) for c in (*group, "v_part")]
+    number = F.row_number().over(Window.partitionBy(*group, "v_part").orderBy("v_row")) - 1 + F.col("v_before")
+    key = F.concat_ws("|", F.lit(seed), F.col("v_id"), F.hex("v_text"), number.cast("string"))
+    numbered = apart.join(offsets, reduce(lambda a, b: a & b, same)).withColumn("v_order", F.md5(key))
+    return marked.filter("a_id is null").drop("a_id").withColumn("v_order", plain).unionByName(numbered.select(*rows.columns, "v_order"))
+
+
 def take_words(docs: DataFrame, seed: str = "mix", carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken; with `carry` the input's columns as c0, c1, ..., then v_taken and v_size."""
     names = docs.columns if carry else ["doc_id"]
     inner = [f"c{i}" for i in range(len(names))]  # the input's columns travel under names of our own
-    source = F.col("source").cast("string")
-    sized = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], source.alias("v_source"), words_in().alias("v_size"), F.md5(F.concat(F.lit(seed + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("v_order"))
+    source, doc = F.col("source").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    sized = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(names, inner)], source.alias("v_source"), words_in().alias("v_size"), doc.alias("v_id"), text_key().alias("v_text"))
+    sized = _ordered(sized, seed).drop("v_id", "v_text")
     light = materialize(sized.select("v_source", "v_size", "v_order") if carry else sized)
     sized = sized if carry else light
     totals = source_targets(light.groupBy("v_source").agg(F.sum("v_size").alias("v_total"), F.count("*").alias("v_docs")))
