@@ -389,3 +389,26 @@ def test_sessions_are_the_same_in_chunks_of_any_size(spark):
         summary = R.session_activity_summary(df, "session", "n", "at", "target", chunk)
         results.append([sorted(map(str, x.collect())) for x in (intervals, R.session_violations(df, "session", "n", "at", chunk), summary)])
     assert results[0] == results[1] == results[2] and all(map(len, results[0]))
+
+
+def test_missing_corrections_are_what_the_item_expects(spark):
+    rows = [(1, 1, "a", "yes", None), (2, 1, "b", "yes", "larva"), (3, 2, "a", "yes", None), (4, 2, "b", "yes", "adult"), (5, 3, "a", "yes", None), (6, 3, "b", "yes", "unknown"), (7, 4, "a", "yes", None), (8, 4, "b", "cant_tell", "adult"), (9, 4, "c", "yes", "adult")]
+    e = spark.createDataFrame(rows, "event_id long, item_id int, reviewer_id string, outcome string, life_stage string").withColumns({"reviewed_at": F.timestamp_seconds("event_id"), "review_round": F.lit(1), "supersedes_event_id": F.lit(None).cast("long"), "event_type": F.lit("review"), "captive_concern": F.col("event_id") == 4})
+    items = spark.createDataFrame([(1, "larva"), (2, "larva"), (3, None), (4, "adult")], "item_id int, expected_life_stage string")
+    out = {r.item_id: r for r in L.project_consensus(e, items=items).collect()}
+    assert {i: r.status for i, r in out.items()} == {1: "complete_agreement", 2: "unresolved_disagreement", 3: "complete_agreement", 4: "complete_agreement"}
+    assert out[2].conflicting_fields == ["life_stage"] and out[1].resolved_signature.life_stage == "larva" and out[3].resolved_signature.life_stage == "unknown"
+    assert {i: r.captive_concern for i, r in out.items()} == {1: False, 2: True, 3: False, 4: False}
+    blocked = L.final_test_eligibility(L.project_consensus(e, items=items), F.lit(True), F.lit(0.5))
+    assert {r.item_id: r.final_test_eligibility_blockers for r in blocked.collect()}[2] == ["captive_or_cultivated_concern", "review_not_completed"]
+    assert {r.item_id: r.status for r in L.project_consensus(e).collect()}[1] == "unresolved_disagreement"
+
+
+def test_provider_ids_that_must_be_whole_numbers(spark):
+    df = spark.createDataFrame([(1, "007"), (2, " 7 "), (3, None), (4, ""), (5, "12")], "n int, pid string").withColumns({c: F.lit(None).cast("string") for c in ("ns", "occ", "url", "by")}).withColumns({"source": F.lit("s"), "delivery": F.lit("d")})
+    run = lambda x: {r.n: (r.identity_method, r.canonical_id) for r in I.resolve_identity(x, [("pid", F.lit("p"), "positive_integer")], ("ns", "occ"), "url", ["by"], "n").collect()}
+    out = run(df)
+    assert out[1] == out[2] and out[1][0] == out[5][0] == "provider_identity" and out[1] != out[5] and out[3][0] == out[4][0] == "singleton"
+    for wrong in ("0", "-3", "x7"):
+        with pytest.raises(Exception, match="no positive integer"):
+            run(df.withColumn("pid", F.lit(wrong)))

@@ -39,10 +39,17 @@ def normalize_url(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != "") & ~credentials, built)
 
 
-def resolve_identity(df: DataFrame, providers: list[tuple[str, Column]], occurrence: tuple[str, str], url: str, composite: list[str], singleton: str, source: str = "source", delivery: str = "delivery") -> DataFrame:
+def positive_integer(column: str) -> Column:
+    """A whole number over 0 as text without leading zeros, null if blank; anything else fails the query."""
+    text = F.trim(F.col(column).cast("string"))
+    whole = F.regexp_replace(text, r"^0+(?=\d)", "")
+    return F.when(text.isNull() | (text == ""), F.lit(None)).when(text.rlike(r"^\d*[1-9]\d*$"), whole).otherwise(F.raise_error(F.concat(F.lit(f"{column} is no positive integer: "), text)).cast("string"))
+
+
+def resolve_identity(df: DataFrame, providers: list[tuple], occurrence: tuple[str, str], url: str, composite: list[str], singleton: str, source: str = "source", delivery: str = "delivery") -> DataFrame:
     """The strongest usable basis: method, priority, namespace and hashed canonical id.
 
-    `providers` are (column, namespace) in order of trust; then come the occurrence id in its scope, the stable address and
+    `providers` are (column, namespace) in order of trust, or (column, namespace, "positive_integer") where the id must be one; then come the occurrence id in its scope, the stable address and
     the strict composite, both in the source's namespace, and the row itself. A namespace is part of every key, so equal
     numbers of two providers stay apart.
     """
@@ -57,7 +64,7 @@ def resolve_identity(df: DataFrame, providers: list[tuple[str, Column]], occurre
     address = normalize_url(F.col(url))
     text = lambda c: F.trim(F.col(c).cast("string"))
     found = F.coalesce(
-        *[option("provider_identity", 1, present(c), ns, text(c)) for c, ns in providers],
+        *[option("provider_identity", 1, present(c), ns, positive_integer(c) if kind else text(c)) for c, ns, *kind in providers],
         option("scoped_occurrence_id", 3, present(*occurrence), text(occurrence[0]), text(occurrence[1])),
         option("stable_source_reference", 4, address.isNotNull(), F.col(source), address),
         option("strict_composite", 5, present(*composite), F.col(source), *[F.lower(text(c)) for c in composite]),

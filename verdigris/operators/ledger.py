@@ -50,6 +50,8 @@ def ledger_validation(events: DataFrame) -> DataFrame:
 
 #: The fields of a decisive event that reviewers must agree on.
 SIGNATURE = ("outcome", "non_target_category", "alternative_taxon", "life_stage", "visual_domain", "view")
+#: What a field is if neither the event nor the item says it.
+UNSTATED = {"life_stage": "unknown", "visual_domain": "ambiguous", "view": "unknown"}
 OUTCOMES = ("yes", "no", "cant_tell", "cant_view", "skipped")
 RESOLVED = ("complete_agreement", "adjudicated")
 
@@ -64,15 +66,29 @@ def _answered(top: str, at: Column, by: Column) -> Column:
     return F.exists(top, lambda t: (t["at"] > at) & (t["by"] != by))
 
 
-def project_consensus(events: DataFrame, required: int = 2, second_review: str = "on_conflict", adjudication_campaign: bool = False, adjudicate_conflicts: bool = True) -> DataFrame:
+def stated(events: DataFrame, items: DataFrame | None) -> DataFrame:
+    """Decisive events with every field of the signature stated: what the event corrects, else what its item (item_id, expected_life_stage, expected_visual_domain, expected_view) expects, else that nothing is known."""
+    fields = [f for f in UNSTATED if f in events.columns]
+    expected = [f for f in fields if items is not None and f"expected_{f}" in items.columns]
+    if expected:
+        known = items.select(F.col("item_id").alias("_item"), *[F.col(f"expected_{f}").alias(f"_{f}") for f in expected])
+        events = events.join(known, F.col("item_id") == F.col("_item"), "left")
+    value = {f: F.coalesce(f, *([F.col(f"_{f}")] if f in expected else []), F.lit(UNSTATED[f])) for f in fields}
+    filled = events.withColumns({f: F.when(F.col("outcome").isin(*DECISIVE), v).otherwise(F.col(f)) for f, v in value.items()}) if fields else events
+    return filled.drop("_item", *[f"_{f}" for f in expected])
+
+
+def project_consensus(events: DataFrame, required: int = 2, second_review: str = "on_conflict", adjudication_campaign: bool = False, adjudicate_conflicts: bool = True, items: DataFrame | None = None) -> DataFrame:
     """Per item its status, by fixed precedence, from each reviewer's last live event.
 
     Adjudications that agree in their whole signature win, others reopen the item. Then: source reviews whose signatures
     differ, or that point at a conflict, are an unresolved disagreement; without any decisive review, a "can't tell" makes
     the item uncertain, a "can't view" a media failure, else it is deferred; an uncertainty of the whole history that no
     later decisive review of another reviewer answers, or too few decisive reviews, leave it pending; else it is agreed.
-    `required` is two at least under the policy "always". Fields of the signature that the events lack are left out.
+    `required` is two at least under the policy "always". Fields of the signature that the events lack are left out; a field
+    that an event doesn't correct is what its item in `items` expects, so that saying it outright is no conflict.
     """
+    events = stated(events, items)
     required = max(2, required) if second_review == "always" else required
     fields = [f for f in SIGNATURE if f in events.columns]
     optional = lambda name, kind: F.col(f"_e.{name}") if name in events.columns else F.lit(None).cast(kind)
@@ -83,7 +99,8 @@ def project_consensus(events: DataFrame, required: int = 2, second_review: str =
     doubt = F.when((F.col("event_type") == "review") & (F.col("outcome") == "cant_tell"), F.col("reviewed_at"))
     one = named.groupBy("item_id", "reviewer_id").agg(F.max_by(F.when(live, F.struct(*values)), F.when(live, F.struct("reviewed_at", "review_round", "event_id"))).alias("_e"), F.max(doubt).alias("doubt_at"))
     one = one.select("item_id", "reviewer_id", "doubt_at", *[F.col(f"_e.{c}").alias(c) for c in ("event_id", "event_type", "reviewed_at", *fields)],
-                     optional("conflicts_with_decision_id", "string").isNotNull().alias("points"), F.coalesce(optional("duplicate_concern", "boolean"), F.lit(False)).alias("concern"))
+                     optional("conflicts_with_decision_id", "string").isNotNull().alias("points"), F.coalesce(optional("duplicate_concern", "boolean"), F.lit(False)).alias("concern"),
+                     F.coalesce(optional("captive_concern", "boolean"), F.lit(False)).alias("captive"))
     c = F.col
     known, source = c("event_id").isNotNull(), c("event_type") == "review"
     decisive = c("outcome").isin(*DECISIVE)
@@ -95,7 +112,7 @@ def project_consensus(events: DataFrame, required: int = 2, second_review: str =
         F.count_if(known).alias("reviewers"), F.count_if(decisive).alias("decisive"), F.count_if(sides["src"]).alias("src_n"), F.count_if(source).alias("sources"), F.count_if(~source).alias("adjudications"),
         *[F.count_if(c("outcome") == o).alias(f"n_{o}") for o in OUTCOMES], F.count_if(source & (c("outcome") == "cant_tell")).alias("src_doubts"), F.count_if(source & (c("outcome") == "cant_view")).alias("src_unviewable"),
         *differs.values(), F.max(F.when(source, c("points"))).alias("src_points"), F.max(F.when(~source, c("points"))).alias("adj_points"), *signature.values(), ids(source).alias("src_ids"), ids(~source).alias("adj_ids"),
-        _two_latest(sides["src"]).alias("top"), F.collect_list(F.when(c("doubt_at").isNotNull(), F.struct("doubt_at", "reviewer_id"))).alias("doubts"), F.max(F.when(decisive, c("concern"))).alias("duplicate_concern"),
+        _two_latest(sides["src"]).alias("top"), F.collect_list(F.when(c("doubt_at").isNotNull(), F.struct("doubt_at", "reviewer_id"))).alias("doubts"), F.max(F.when(decisive, c("concern"))).alias("duplicate_concern"), F.max(F.when(decisive, c("captive"))).alias("captive_concern"),
         F.max(F.when(source, c("reviewed_at"))).alias("src_at"), F.max(F.when(~source, c("reviewed_at"))).alias("adj_at"), F.max(F.when(sides["src"], c("reviewed_at"))).alias("decided_at"),
     )
     names = [*fields, "explicit_conflict_pointer"]
@@ -114,7 +131,7 @@ def project_consensus(events: DataFrame, required: int = 2, second_review: str =
         "item_id", "status", sig["outcome"].alias("consensus_outcome"), "decisive", "reviewers", sig.alias("resolved_signature"),
         F.when(open_conflict, F.when(judged, c("adj_conflicts")).otherwise(c("src_conflicts"))).otherwise(F.array().cast("array<string>")).alias("conflicting_fields"),
         F.when(open_conflict, F.when(judged, c("adj_ids")).otherwise(c("src_ids"))).otherwise(F.slice("src_ids", 1, 0)).alias("conflict_event_ids"),
-        second.alias("second_review_required"), (open_conflict & F.lit(adjudicate_conflicts)).alias("adjudication_required"), "unresolved_uncertainty", F.coalesce("duplicate_concern", F.lit(False)).alias("duplicate_concern"),
+        second.alias("second_review_required"), (open_conflict & F.lit(adjudicate_conflicts)).alias("adjudication_required"), "unresolved_uncertainty", F.coalesce("duplicate_concern", F.lit(False)).alias("duplicate_concern"), F.coalesce("captive_concern", F.lit(False)).alias("captive_concern"),
         F.when(judged, c("adj_at")).when(resolved, c("decided_at")).otherwise(c("src_at")).alias("resolved_at"), *[f"n_{o}" for o in OUTCOMES],
     )
 
@@ -125,14 +142,14 @@ def support_eligibility(reviewed: DataFrame, applies: Column, provenance: Column
     domain = F.col("resolved_signature.visual_domain")
     return _eligibility(reviewed, "support_eligibility", applies, "prepared", {
         "review_not_completed": ~yes, "not_verified": yes & (F.col("consensus_outcome") != "yes"), "visual_domain_not_support_eligible": yes & ~domain.isin(*domains),
-        "source_provenance_missing": ~provenance, "licence_not_allowed": ~licence, "attribution_missing": F.trim(F.coalesce(attribution, F.lit(""))) == "", "duplicate_concern": F.col("duplicate_concern"),
+        "source_provenance_missing": ~provenance, "licence_not_allowed": ~licence, "attribution_missing": F.trim(F.coalesce(attribution, F.lit(""))) == "", "duplicate_concern": F.col("duplicate_concern"), "captive_or_cultivated_concern": F.col("captive_concern"),
     })
 
 
 def final_test_eligibility(reviewed: DataFrame, applies: Column, probability: Column, audit: bool = True, blind: bool = True) -> DataFrame:
     """Adds final_test_eligibility and its blockers to items with their consensus."""
     return _eligibility(reviewed, "final_test_eligibility", applies, "eligible", {
-        "review_not_completed": ~F.col("status").isin(*RESOLVED), "not_probability_audit": F.lit(not audit), "inclusion_probability_missing": probability.isNull(), "review_not_blind": F.lit(not blind), "duplicate_concern": F.col("duplicate_concern"),
+        "review_not_completed": ~F.col("status").isin(*RESOLVED), "not_probability_audit": F.lit(not audit), "inclusion_probability_missing": probability.isNull(), "review_not_blind": F.lit(not blind), "duplicate_concern": F.col("duplicate_concern"), "captive_or_cultivated_concern": F.col("captive_concern"),
     })
 
 

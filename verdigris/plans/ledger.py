@@ -42,7 +42,7 @@ CONSENSUS = f"""WITH led AS MATERIALIZED ({R.LEDGER}), live AS (SELECT * FROM le
   count(CASE WHEN src AND outcome = 'cant_tell' THEN 1 END) AS ct, count(CASE WHEN src AND outcome = 'cant_view' THEN 1 END) AS cv, {", ".join(f"count(CASE WHEN outcome = '{o}' THEN 1 END) AS n_{o}" for o in L.OUTCOMES)},
   {", ".join(f"count(DISTINCT CASE WHEN src AND dec THEN coalesce({f}, '') END) > 1 AS s_{f}, count(DISTINCT CASE WHEN NOT src THEN coalesce({f}, '') END) > 1 AS a_{f}" for f in FIELDS)},
   bool_or(src AND conflicts_with_decision_id IS NOT NULL) AS s_explicit_conflict_pointer, bool_or(NOT src AND conflicts_with_decision_id IS NOT NULL) AS a_explicit_conflict_pointer, max(CASE WHEN src AND dec THEN outcome END) AS s_out, max(CASE WHEN NOT src THEN outcome END) AS a_out,
-  list_sort(list(event_id) FILTER (src AND (dec OR conflicts_with_decision_id IS NOT NULL))) AS s_ids, list_sort(list(event_id) FILTER (NOT src)) AS a_ids, coalesce(bool_or(dec AND duplicate_concern), false) AS duplicate_concern FROM latest GROUP BY 1),
+  list_sort(list(event_id) FILTER (src AND (dec OR conflicts_with_decision_id IS NOT NULL))) AS s_ids, list_sort(list(event_id) FILTER (NOT src)) AS a_ids, coalesce(bool_or(dec AND duplicate_concern), false) AS duplicate_concern, coalesce(bool_or(dec AND event_id % 43 = 0), false) AS captive_concern FROM latest GROUP BY 1),
  named AS (SELECT *, item_id IN (SELECT item_id FROM doubts) AS unresolved_uncertainty, {", ".join("concat_ws(',', " + ", ".join(f"CASE WHEN {side}_{f} THEN '{f}' END" for f in sorted((*FIELDS, "explicit_conflict_pointer"))) + f") AS {side}_fields" for side in "sa")} FROM per),
  judged AS (SELECT *, CASE WHEN na > 0 AND a_fields <> '' THEN 'unresolved_disagreement' WHEN na > 0 THEN 'adjudicated' WHEN ns = 0 THEN 'pending' WHEN s_fields <> '' THEN 'unresolved_disagreement' WHEN sd = 0 AND ct > 0 THEN 'uncertain_only' WHEN sd = 0 AND cv > 0 THEN 'media_failure'
   WHEN sd = 0 THEN 'deferred' WHEN unresolved_uncertainty OR sd < 2 THEN 'pending' ELSE 'complete_agreement' END AS status FROM named)
@@ -57,10 +57,21 @@ def project_consensus(spark, d):
     return out.select("item_id", "status", "consensus_outcome", "decisive", "reviewers", "conflicting_fields", "conflict_event_ids", "second_review_required", "adjudication_required", "unresolved_uncertainty")
 
 
-ELIGIBLE = """SELECT item_id, CASE WHEN NOT support THEN '' ELSE concat_ws(',', CASE WHEN terms = '' THEN 'attribution_missing' END, CASE WHEN duplicate_concern THEN 'duplicate_concern' END, CASE WHEN NOT licence THEN 'licence_not_allowed' END, CASE WHEN done AND consensus_outcome <> 'yes' THEN 'not_verified' END,
+@query(f"SELECT item_id, status, consensus_outcome, CASE WHEN status <> 'unresolved_disagreement' THEN '' WHEN na > 0 THEN a_fields ELSE s_fields END AS conflicting_fields FROM ({CONSENSUS})")
+def consensus_expected_values(spark, d):
+    """Reviewers leave out what they find as expected, now and then; the items say what was expected, and nothing changes."""
+    n, ledger = F.col("event_id"), R.ledger(spark, d)
+    usual = {"life_stage": ("adult", 2), "visual_domain": ("live_field", 3), "view": ("dorsal", 5)}
+    silent = ledger.withColumns({f: F.when((F.col(f) != v) | (n % k > 0), F.col(f)) for f, (v, k) in usual.items()})
+    items = ledger.select("item_id").distinct().withColumns({f"expected_{f}": F.lit(v) for f, (v, _) in usual.items()})
+    out = L.project_consensus(silent, items=items)
+    return out.select("item_id", "status", "consensus_outcome", F.array_join("conflicting_fields", ",").alias("conflicting_fields"))
+
+
+ELIGIBLE = """SELECT item_id, CASE WHEN NOT support THEN '' ELSE concat_ws(',', CASE WHEN terms = '' THEN 'attribution_missing' END, CASE WHEN captive_concern THEN 'captive_or_cultivated_concern' END, CASE WHEN duplicate_concern THEN 'duplicate_concern' END, CASE WHEN NOT licence THEN 'licence_not_allowed' END, CASE WHEN done AND consensus_outcome <> 'yes' THEN 'not_verified' END,
  CASE WHEN NOT done THEN 'review_not_completed' END, CASE WHEN NOT known THEN 'source_provenance_missing' END, CASE WHEN done AND dom <> 'live_field' THEN 'visual_domain_not_support_eligible' END) END AS support_blockers,
- CASE WHEN support THEN '' ELSE concat_ws(',', CASE WHEN duplicate_concern THEN 'duplicate_concern' END, CASE WHEN p IS NULL THEN 'inclusion_probability_missing' END, CASE WHEN NOT done THEN 'review_not_completed' END) END AS final_blockers, support
- FROM (SELECT item_id, c_custkey % 2 = 0 AS support, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS terms, c_mktsegment <> 'BUILDING' AS licence, c_nationkey <> 3 AS known, CASE WHEN c_custkey % 5 <> 0 THEN 0.5 END AS p, status IN ('complete_agreement', 'adjudicated') AS done, consensus_outcome, duplicate_concern, dom
+ CASE WHEN support THEN '' ELSE concat_ws(',', CASE WHEN captive_concern THEN 'captive_or_cultivated_concern' END, CASE WHEN duplicate_concern THEN 'duplicate_concern' END, CASE WHEN p IS NULL THEN 'inclusion_probability_missing' END, CASE WHEN NOT done THEN 'review_not_completed' END) END AS final_blockers, support
+ FROM (SELECT item_id, c_custkey % 2 = 0 AS support, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS terms, c_mktsegment <> 'BUILDING' AS licence, c_nationkey <> 3 AS known, CASE WHEN c_custkey % 5 <> 0 THEN 0.5 END AS p, status IN ('complete_agreement', 'adjudicated') AS done, consensus_outcome, duplicate_concern, captive_concern, dom
  FROM ({c}) JOIN customer ON item_id = c_custkey LEFT JOIN (SELECT item_id, min(CASE WHEN (event_type <> 'review') = (na > 0) THEN visual_domain END) AS dom FROM ({t}) JOIN (SELECT item_id, na FROM ({c})) USING (item_id) WHERE outcome IN ('yes','no') GROUP BY 1) USING (item_id))"""
 
 
@@ -68,7 +79,7 @@ ELIGIBLE = """SELECT item_id, CASE WHEN NOT support THEN '' ELSE concat_ws(',',
 def consensus_eligibility(spark, d):
     """Blockers of use as reference support and in the final test, for items that are customers."""
     items = R.table(spark, d, "customer").withColumn("item_id", F.col("c_custkey"))
-    rows = L.project_consensus(R.ledger(spark, d)).join(items, "item_id")
+    rows = L.project_consensus(R.ledger(spark, d).withColumn("captive_concern", F.col("event_id") % 43 == 0)).join(items, "item_id")
     even = F.col("c_custkey") % 2 == 0
     out = L.support_eligibility(rows, even, F.col("c_nationkey") != 3, F.col("c_mktsegment") != "BUILDING", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")))
     out = L.final_test_eligibility(out, ~even, F.when(F.col("c_custkey") % 5 != 0, 0.5))
