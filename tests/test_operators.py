@@ -412,3 +412,22 @@ def test_provider_ids_that_must_be_whole_numbers(spark):
     for wrong in ("0", "-3", "x7"):
         with pytest.raises(Exception, match="no positive integer"):
             run(df.withColumn("pid", F.lit(wrong)))
+
+
+def test_bootstrap_splits_its_draws_down_a_tree(spark, monkeypatch):
+    """Multinomial counts: totals are exact, each group is drawn once on average with a binomial's variance, and partitioning changes nothing."""
+    monkeypatch.setattr(S, "LEAF_GROUPS", 4)
+    monkeypatch.setattr(S, "FAN", 3)
+    sums = spark.range(130).select(F.col("id").alias("group_id"), F.when(F.col("id") < 90, "a").when(F.col("id") < 120, "b").alias("s"), F.lit(1.0).alias("w"), (F.col("id") == 17).cast("double").alias("wy"))
+    out = sorted(map(tuple, S.split_draws(sums, 2000, "x").collect()))
+    assert out == sorted(map(tuple, S.split_draws(sums.repartition(9, "wy"), 2000, "x").collect())) and out != sorted(map(tuple, S.split_draws(sums, 2000, "y").collect()))
+    assert [r[0] for r in out] == list(range(2000)) and all(r[1] == 130.0 for r in out)
+    drawn = np.array([r[2] for r in out])
+    assert abs(drawn.mean() - 1) < 0.1 and abs(drawn.var() - 89 / 90) < 0.15
+    rows = spark.range(400).select("id", (F.col("id") % 2).alias("s"), F.lit(1.0).alias("w"), (F.col("id") % 4 == 0).alias("y"), F.col("id").cast("string").alias("k"))
+    run = lambda **x: S.precision_bootstrap(rows, "s", "id", ["k"], "w", F.col("y"), **{"replicates": 1000, **x}).first()
+    split, hashed = run(), run(draws="hash")
+    assert abs(split.low - hashed.low) < 0.012 and abs(split.high - hashed.high) < 0.012 and split.precision == 0.25
+    one = run(design="simple_random")
+    assert one.high - one.low > (split.high - split.low) * 1.1  # half of the variance lies between the strata
+    assert run(design="census", seed=" ", level=1.0, replicates=50).blockers == ["bootstrap_replicates_invalid", "bootstrap_seed_missing", "confidence_level_invalid", "sampling_design_not_bootstrap_eligible"]

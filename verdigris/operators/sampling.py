@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,29 +128,102 @@ def precision_hajek(df: DataFrame, stratum: str, probability: str, positive: Col
     return total.select("n", F.when(ok, F.round(n, 6)).alias("effective_n"), F.when(ok, F.round(p, 6)).alias("precision"), F.when(ok, F.round(low, 6)).alias("low"), F.when(ok, F.round(high, 6)).alias("high"), "missing_strata", "blockers")
 
 
-def precision_bootstrap(df: DataFrame, stratum: str, item: str, keys: list[str], weight: str, positive: Column, replicates: int = 200, seed: str = "1", level: float = 0.95) -> DataFrame:
+DESIGNS = ("simple_random", "stratified_random", "clustered_random")
+FAN, LEAF_GROUPS = 16, 512
+
+
+def _generator(*parts) -> np.random.Generator:
+    return np.random.default_rng(int.from_bytes(hashlib.sha256("|".join(map(str, parts)).encode()).digest()[:16], "big"))
+
+
+def _dealt(seed: str, depth: int):
+    """Nodes with their draws and children to the children with theirs: a multinomial by the children's sizes, for each replicate."""
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for s, node, draws, children in zip(f.s, f.node, f.draws, f.children):
+                kids = sorted((c["node"], c["size"]) for c in children)
+                sizes = np.array([n for _, n in kids], float)
+                counts = _generator(seed, depth, s, node).multinomial(np.asarray(draws, np.int64), sizes / sizes.sum())
+                rows += [(s, kid, counts[:, i]) for i, (kid, _) in enumerate(kids)]
+            yield pd.DataFrame(rows, columns=["s", "node", "draws"])
+
+    return deal
+
+
+def _summed(seed: str):
+    """The groups of a leaf and the leaf's draws to the sums of each replicate."""
+
+    def add(groups: pd.DataFrame, draws: pd.DataFrame) -> pd.DataFrame:
+        own = groups.sort_values("group_id")
+        counts = np.asarray(draws.draws.iloc[0], np.int64)
+        held = _generator(seed, "leaf", own.s.iloc[0], own.node.iloc[0]).multinomial(counts, np.full(len(own), 1 / len(own)))
+        return pd.DataFrame({"replicate": np.arange(len(counts)), "w": held @ own.w.to_numpy(float), "wy": held @ own.wy.to_numpy(float)})
+
+    return add
+
+
+def split_draws(sums: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """(replicate, w, wy): sums over as many draws with replacement of each stratum's groups (group_id, s, w, wy) as it has.
+
+    The draws of a stratum go down a tree over its groups: each node deals its draws, an array with a number for each
+    replicate, to at most FAN children by their sizes, and a leaf of about LEAF_GROUPS groups to its groups. So the counts
+    are exactly multinomial, there is no row for a replicate's group, and no stratum is held in one task. A node's
+    generator is seeded by the seed and the node alone, so any partitioning gives the same draws.
+    """
+    keyed = sums.select("group_id", F.coalesce(F.concat(F.lit("="), F.col("s").cast("string")), F.lit("")).alias("s"), F.col("w").cast("double").alias("w"), F.col("wy").cast("double").alias("wy"))
+    sizes = written(keyed.groupBy("s").agg(F.count("*").alias("n")))
+    most, depth = sizes.agg(F.max("n")).first()[0] or 0, 0
+    while LEAF_GROUPS * FAN**depth < most:
+        depth += 1
+    placed = written(keyed.withColumn("node", F.pmod(F.xxhash64("group_id"), F.lit(FAN**depth))))
+    leaves = written(placed.groupBy("s", "node").agg(F.count("*").alias("size")))
+    draws = sizes.select("s", F.lit(0).cast("long").alias("node"), F.array_repeat("n", replicates).alias("draws"))
+    for d in range(depth):
+        level = leaves.groupBy("s", F.floor(F.col("node") / FAN ** (depth - d - 1)).cast("long").alias("node")).agg(F.sum("size").alias("size"))
+        kids = level.groupBy("s", F.floor(F.col("node") / FAN).cast("long").alias("node")).agg(F.collect_list(F.struct("node", "size")).alias("children"))  # FAN at most
+        draws = draws.join(kids, ["s", "node"]).mapInPandas(_dealt(seed, d), "s string, node long, draws array<long>")
+    parts = placed.groupBy("s", "node").cogroup(draws.groupBy("s", "node")).applyInPandas(_summed(seed), "replicate int, w double, wy double")
+    return parts.groupBy("replicate").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+
+
+def _hashed_draws(sums: DataFrame, replicates: int, seed: str) -> DataFrame:
+    """The same with a row for each replicate and group: a draw's index is a hash of seed, stratum, draw and replicate."""
+    within = Window.partitionBy("s")
+    numbered = sums.withColumn("i", F.row_number().over(within.orderBy("group_id")) - 1).withColumn("n", F.count("*").over(within))
+    draws = numbered.select("s", "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    code = F.md5(F.concat_ws("|", F.lit(seed), F.col("s").cast("string"), F.col("draw").cast("string"), F.col("replicate").cast("string")))
+    draws = draws.select("s", "replicate", (F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int").alias("i"))
+    return draws.join(numbered.select("s", "i", "w", "wy"), ["s", "i"]).groupBy("replicate").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+
+
+def precision_bootstrap(df: DataFrame, stratum: str, item: str, keys: list[str], weight: str, positive: Column, replicates: int = 200, seed: str | None = "1", level: float = 0.95, design: str = "stratified_random", draws: str = "split") -> DataFrame:
     """Percentile interval from resampling groups within strata. Groups are the items that shared keys link, over any number of steps.
 
-    Blocked if a group lies in several strata, and under two groups or 100 replicates. Each group is reduced to its sums first. A draw's index is
-    a hash of seed, stratum, draw and replicate, so any partitioning gives the same draws; that table has a row per
-    replicate and group, and groups are as many as people have judged.
+    A simple random design is one stratum. Blocked for other designs than DESIGNS, without a seed, if the confidence level
+    isn't between 0 and 1, a group lies in several strata, and under two groups or 100 replicates. Each group is reduced to
+    its sums first. `draws` is "split" (see split_draws) or "hash", whose draws SQL can repeat but which has a row for each
+    replicate and group.
     """
     judged = df.filter(positive.isNotNull())
     groups = link_groups(judged, item, keys)
     rows = judged.join(groups, item)
     sums = rows.groupBy("group_id").agg(F.min(stratum).alias("s"), (F.min(stratum) != F.max(stratum)).alias("crosses"), F.sum(weight).alias("w"), F.sum(F.when(positive, F.col(weight)).otherwise(0.0)).alias("wy"))
     sums = written(sums)
-    within = Window.partitionBy("s")
-    numbered = sums.withColumn("i", F.row_number().over(within.orderBy("group_id")) - 1).withColumn("n", F.count("*").over(within))
-    draws = numbered.select("s", "n", F.col("i").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    code = F.md5(F.concat_ws("|", F.lit(seed), F.col("s").cast("string"), F.col("draw").cast("string"), F.col("replicate").cast("string")))
-    draws = draws.select("s", "replicate", (F.conv(F.substring(code, 1, 8), 16, 10).cast("long") % F.col("n")).cast("int").alias("i"))
-    per = draws.join(numbered.select("s", "i", "w", "wy"), ["s", "i"]).groupBy("replicate").agg((F.sum("wy") / F.sum("w")).alias("p"))
-    tail = (1 - level) / 2
-    bounds = per.agg(F.percentile("p", tail).alias("low"), F.percentile("p", 1 - tail).alias("high"))
+    fixed = {"bootstrap_replicates_invalid": not isinstance(replicates, int) or replicates < 100, "bootstrap_seed_missing": not (seed or "").strip(), "confidence_level_invalid": not 0 < level < 1, "sampling_design_not_bootstrap_eligible": design not in DESIGNS}
+    pool = sums.withColumn("s", F.lit("__all__")) if design == "simple_random" else sums
+    resample = {"split": split_draws, "hash": _hashed_draws}[draws]
+    unknown = F.lit(None).cast("double")
+    if any(fixed.values()):
+        bounds = df.sparkSession.range(1).select(unknown.alias("low"), unknown.alias("high"))
+    else:
+        tail = (1 - level) / 2
+        per = resample(pool, replicates, seed.strip()).select((F.col("wy") / F.col("w")).alias("p"))  # a row for each replicate
+        bounds = per.agg(F.percentile("p", tail).alias("low"), F.percentile("p", 1 - tail).alias("high"))
     point = sums.agg(F.count("*").alias("groups"), F.max("crosses").alias("crosses"), (F.sum("wy") / F.sum("w")).alias("p"))
     both = point.join(F.broadcast(bounds))  # one row each
-    both = both.withColumn("blockers", _listed({"bootstrap_group_crosses_strata": F.col("crosses"), "bootstrap_groups_insufficient": F.col("groups") < 2, "bootstrap_replicates_invalid": F.lit(replicates < 100), "decisive_sample_empty": F.col("groups") == 0}))
+    both = both.withColumn("blockers", _listed({"bootstrap_group_crosses_strata": F.col("crosses"), "bootstrap_groups_insufficient": F.col("groups") < 2, "decisive_sample_empty": F.col("groups") == 0, **{k: F.lit(v) for k, v in fixed.items()}}))
     ok = F.size("blockers") == 0
     return both.select("groups", F.lit(replicates).alias("replicates"), *[F.when(ok, F.round(c, 6)).alias(n) for c, n in (("p", "precision"), ("low", "low"), ("high", "high"))], "blockers")
 

@@ -280,7 +280,16 @@ def precision_bootstrap(spark, d):
     n = F.col("sample_id")
     parity = (n % 2).cast("string")
     rows = R.decisions(spark, d).withColumns({"s": n % 2, "owner": F.concat_ws(":", parity, F.floor(n / 4).cast("string")), "place": F.concat_ws(":", parity, F.floor(n / 20).cast("string"))})
-    return S.precision_bootstrap(rows, "s", "sample_id", ["owner", "place"], "weight", F.col("truth"), replicates=100).withColumn("blockers", F.array_join("blockers", ","))
+    return S.precision_bootstrap(rows, "s", "sample_id", ["owner", "place"], "weight", F.col("truth"), replicates=100, draws="hash").withColumn("blockers", F.array_join("blockers", ","))
+
+
+@query()
+def precision_bootstrap_split(spark, d):
+    """The same with 400 replicates whose draws are split down a tree of groups; numpy's generators decide them, so tests and not SQL hold the interval."""
+    n = F.col("sample_id")
+    parity = (n % 2).cast("string")
+    rows = R.decisions(spark, d).withColumns({"s": n % 2, "owner": F.concat_ws(":", parity, F.floor(n / 4).cast("string"))})
+    return S.precision_bootstrap(rows, "s", "sample_id", ["owner"], "weight", F.col("truth"), replicates=400).withColumn("blockers", F.array_join("blockers", ","))
 
 
 @query(f"""SELECT dimension, value, count(*) AS n, count(CASE WHEN quality = 1 THEN 1 END) AS supported, count(CASE WHEN quality = 0 THEN 1 END) AS rejected, round(coalesce(sum(CASE WHEN quality = 1 THEN w END), 0) / sum(CASE WHEN quality IS NOT NULL THEN w END), 6) AS weighted_precision FROM
