@@ -88,7 +88,7 @@ EVENT = "event_id int, item_id int, reviewer_id string, outcome string, reviewed
 def _events(spark, rows):
     from datetime import datetime
 
-    return spark.createDataFrame([(i, item, who, o, datetime(2024, 1, 1, 0, i), rnd, sup, kind) for i, item, who, o, rnd, sup, kind in rows], EVENT)
+    return spark.createDataFrame([(i, item, who, o, datetime(2024, 1, 1, i // 60, i % 60), rnd, sup, kind) for i, item, who, o, rnd, sup, kind in rows], EVENT)
 
 
 def test_consensus_precedence(spark):
@@ -306,11 +306,34 @@ def test_no_overwrite_and_changed_files(spark, tmp_path):
     assert X.verify_files(spark, path, manifest.withColumn("sha256", F.lit("x"))).count() == 2 * manifest.count()
 
 
-def test_stream_drops_repeats_and_counts_late_rows(spark, tmp_path):
-    e = _events(spark, [(i, i % 3, "a", "yes", 1, None, "review") for i in range(20)])
-    e.union(e).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream.start_ingest(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
-    assert tuple(stream.audit(e, spark.read.parquet(str(tmp_path / "out"))).first()) == (20, 20, 0, 0)
+def test_stream_keeps_late_events_and_drops_late_repeats(spark, tmp_path):
+    e = _events(spark, [(i, i % 3, "a", "yes", 1, None, "review") for i in range(20)]).withColumn("reviewed_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id") * 40_000))
+    late = e.filter("event_id < 6")
+    for k, part in enumerate((e.filter("event_id >= 4"), late.union(late), e)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.start_ingest(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        stored = spark.read.parquet(str(tmp_path / "out"))
+        assert tuple(stream.audit(e, stored).first()) == (20, 16 if k == 0 else 20, 4 if k == 0 else 0, 0)
+    assert {r.batch: r["count"] for r in stored.groupBy("batch").count().collect()} == {0: 16, 1: 4}
+
+
+def test_stream_consensus_reads_what_its_items_have(spark, tmp_path):
+    """Ten batches: each reads the events of its own items, and the end equals the consensus of all events."""
+    rng, rows, total = np.random.default_rng(6), [], {}
+    for n in range(120):
+        rows.append((n, int(rng.integers(0, 12)) if n % 12 < 8 else n % 12 + 100 * (n // 12), f"r{rng.integers(4)}", str(rng.choice(["yes", "no", "cant_tell"])), 1, None, "review"))
+    e = _events(spark, rows)
+    for k in range(10):
+        part = e.filter(F.floor(F.col("event_id") / 12) == k)
+        part.union(part.limit(2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.start_consensus(spark, spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        touched = {r[1] for r in rows[12 * k : 12 * k + 12]}
+        for r in rows[12 * k : 12 * k + 12]:
+            total[r[1]] = total.get(r[1], 0) + 1
+        read = stream.versions(spark, str(tmp_path / "out")).filter(F.col("batch") == k).agg(F.sum("events_read"), F.count("*")).first()
+        assert tuple(read) == (sum(total[i] for i in touched), len(touched))
+    columns = ["item_id", "status", "consensus_outcome", "decisive", "resolved_at"]
+    assert sorted(map(str, stream.current_consensus(spark, str(tmp_path / "out")).select(columns).collect())) == sorted(map(str, L.project_consensus(e).select(columns).collect()))
 
 
 def test_repartitioning_changes_nothing(spark):

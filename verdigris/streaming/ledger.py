@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 from verdigris.operators.ledger import project_consensus
 
 
 def ingest(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Unique events by id. Repeats within the watermark are dropped; rows later than it are dropped too, for the audit to count."""
+    """Unique events by id as a stream of its own. Repeats within the watermark are dropped; rows later than it are dropped too, for the audit to count. `start_ingest` keeps them."""
     return events.withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp")).withWatermark("reviewed_at", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def start_ingest(events: DataFrame, path: str, checkpoint: str, late: str = "1 hour") -> StreamingQuery:
-    """Appends unique events to a Parquet table until what is there now has been read."""
-    return ingest(events, late).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _unseen(rows: DataFrame, path: str, number: int) -> DataFrame:
+    """Rows of a batch whose events aren't stored by an earlier one. Only the stored days of the batch's own events are read, and of these the ids."""
+    spark = rows.sparkSession
+    if not _exists(spark, path):
+        return rows
+    days = [r.day for r in rows.select("day").distinct().collect()]  # the days of one batch
+    stored = spark.read.parquet(path).filter(F.col("batch") < number)
+    known = stored.filter(F.coalesce(F.col("day").isin([d for d in days if d is not None]), F.lit(False)) | (F.col("day").isNull() if None in days else F.lit(False)))
+    seen = known.select("event_id").join(rows.select("event_id"), "event_id", "left_semi").distinct()
+    return rows.join(seen, "event_id", "left_anti")
+
+
+def start_ingest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Appends unique events to a Parquet table (batch, day of reviewed_at) until what is there now has been read.
+
+    However late an event comes, it is kept, and however late a repeat comes, it is dropped: a repeat has the id and time of
+    its event, so a batch looks for its ids among the stored events of its own days. There is no state to keep or to
+    expire. A batch that runs again overwrites its own files.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("reviewed_at", F.col("reviewed_at").cast("timestamp")).withColumn("day", F.to_date("reviewed_at")).dropDuplicates(["event_id"]).persist()
+        try:
+            _unseen(rows, path, number).write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={number:09d}")
+        finally:
+            rows.unpersist()
+
+    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def audit(sent: DataFrame, stored: DataFrame) -> DataFrame:
@@ -32,30 +66,60 @@ def refresh_consensus(ledger: DataFrame, touched: DataFrame) -> DataFrame:
     return project_consensus(ledger.join(touched.select("item_id").distinct(), "item_id", "left_semi"))
 
 
-BUCKETS = 64
+JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "true"}
+
+
+def _remembered(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """All events of an item: those of its state and the new ones, once by id."""
+    known = dict(line.split("\t", 1) for line in state.get[0].split("\n")) if state.exists else {}
+    for batch in batches:
+        for event_id, event in zip(batch.event_id, batch.event):
+            known.setdefault(event_id, event)
+    state.update(("\n".join(f"{i}\t{e}" for i, e in known.items()),))
+    yield pd.DataFrame({"item_id": key[0], "event": list(known.values())})
+
+
+def histories(events: DataFrame) -> DataFrame:
+    """(item_id, event): for each item of a batch all its events so far, as JSON. The state of an item is its events; a batch reads and writes the states of its own items only."""
+    kind = events.schema["item_id"].dataType.simpleString()
+    rows = events.select("item_id", F.col("event_id").cast("string").alias("event_id"), F.to_json(F.struct(*events.columns), JSON).alias("event"))
+    return rows.groupBy("item_id").applyInPandasWithState(_remembered, f"item_id {kind}, event string", "events string", "append", "NoTimeout")
 
 
 def start_consensus(spark: SparkSession, events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Per micro-batch: append to the ledger, recompute touched items, write them as the batch's version.
+    """Per micro-batch: remember the events of its items, and write their consensus as the batch's version.
 
-    The ledger is partitioned by a hash of the item, so a batch reads the partitions of its items only, and keeps just
-    their events before it removes repeats. A batch that runs again overwrites its own files, so retries don't repeat
-    events. `current_consensus` reads the last version of each item.
+    The state is kept by item in Spark's state store (RocksDB on the executors' disks, saved to the checkpoint), so a batch
+    costs what its own items have, however long the ledger is. Repeats of an event change nothing. A batch that runs
+    again starts from the state before it and overwrites its own files. `current_consensus` reads the last version of
+    each item; `events_read` says how many events of the item a version read.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = events.schema
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.withColumn("bucket", F.pmod(F.xxhash64("item_id"), F.lit(BUCKETS)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/ledger/batch={number:09d}")
-        ledger = spark.read.parquet(f"{folder}/ledger").filter(F.col("batch") <= number)
-        own = ledger.filter(F.col("batch") == number)
-        touched = [r.bucket for r in own.select("bucket").distinct().collect()]  # at most BUCKETS values
-        items = own.select("item_id").distinct()
-        events = ledger.filter(F.col("bucket").isin(touched)).drop("batch", "bucket").join(items, "item_id", "left_semi").dropDuplicates(["event_id"])
-        project_consensus(events).write.mode("overwrite").parquet(f"{folder}/consensus/batch={number:09d}")
+        told = batch.select(F.from_json("event", schema, JSON).alias("e")).select("e.*").persist()
+        try:
+            read = told.groupBy(F.col("item_id").alias("_item")).agg(F.count("*").alias("events_read"))
+            found = project_consensus(told)
+            found.join(read, F.col("item_id") == F.col("_item")).drop("_item").write.mode("overwrite").parquet(f"{folder}/consensus/batch={number:09d}")
+        finally:
+            told.unpersist()
 
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return histories(events).writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def versions(spark: SparkSession, folder: str) -> DataFrame:
+    """All versions of all items, with their batch."""
+    return spark.read.parquet(f"{folder}/consensus")
 
 
 def current_consensus(spark: SparkSession, folder: str) -> DataFrame:
-    versions = spark.read.parquet(f"{folder}/consensus")
-    values = [c for c in versions.columns if c not in ("item_id", "batch")]
-    return versions.groupBy("item_id").agg(F.max_by(F.struct(*values), F.col("batch")).alias("_c")).select("item_id", "_c.*")
+    found = versions(spark, folder)
+    values = [c for c in found.columns if c not in ("item_id", "batch")]
+    return found.groupBy("item_id").agg(F.max_by(F.struct(*values), F.col("batch")).alias("_c")).select("item_id", "_c.*")
+
+
+def compact_consensus(spark: SparkSession, folder: str, to: str) -> None:
+    """The last version of each item as a table of its own."""
+    current_consensus(spark, folder).write.parquet(to)
