@@ -82,6 +82,59 @@ def test_link_groups_crosses_many_hops(spark):
     assert {out[i] for i in range(40)} == {0} and out[100] == 100
 
 
+def test_link_groups_equal_a_search_and_shrink(spark, monkeypatch):
+    """Random links, long chains and stars against a search; each round writes less than the one before."""
+    sizes = []
+    keep = I.written
+    monkeypatch.setattr(I, "written", lambda df: (lambda out: (sizes.append((set(out.columns), out.count())), out)[1])(keep(df)))
+    rng = np.random.default_rng(5)
+    rows = [(int(i), f"a{rng.integers(150)}", f"b{rng.integers(150)}" if rng.random() < 0.3 else None) for i in rng.permutation(200)]
+    chain = [int(x) for x in rng.permutation(120)]
+    rows += [(1000 + x, f"c{k // 2}", f"d{(k + 1) // 2}") for k, x in enumerate(chain)] + [(5000 + i, "hub", None) for i in range(50)] + [(9000, None, None)]
+    out = {r.i: r.group_id for r in I.link_groups(spark.createDataFrame(rows, "i int, a string, b string"), "i", ["a", "b"]).collect()}
+    top = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    first = {}
+    for i, *keys in rows:
+        for k in filter(None, keys):
+            a, b = root(first.setdefault(k, i)), root(i)
+            top[max(a, b)] = min(a, b)
+    assert out == {i: root(i) for i in top}
+    links = [n for columns, n in sizes if columns == {"a", "b"}]
+    assert len(links) > 2 and all(x >= y for x, y in zip(links, links[1:])) and links[-1] == 0
+
+
+def test_contradictions_are_counted_without_pairs(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, f"k{i % 3}" if i % 10 else None, *[None if rng.random() < 0.2 else str(rng.integers(3)) for _ in range(2)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id int, k string, f string, g string")
+    summary, values = I.contradictions(df, "k", "id", ["f", "g"])
+    pairs = {(r.k, r.field): (r["values"], r.rows, r.pairs) for r in summary.collect()}
+    wanted, listed = {}, set()
+    for x in rows:
+        for y in rows:
+            if x[1] and x[1] == y[1] and x[0] < y[0]:
+                wrong = [n for n, a, b in (("f", x[2], y[2]), ("g", x[3], y[3])) if a is not None and b is not None and a != b]
+                for n in wrong:
+                    wanted[x[1], n] = wanted.get((x[1], n), 0) + 1
+                if wrong:
+                    listed.add((x[0], y[0], ",".join(wrong)))
+    assert {k: v[2] for k, v in pairs.items()} == wanted and values.count() == sum(v[0] for v in pairs.values())
+    classes, members = I.value_classes(df, "k", "id", ["f", "g"])
+    home = {}
+    for r in members.collect():
+        home.setdefault((r.k, r.member), []).append(r.id)
+    expanded = {(min(a, b), max(a, b), ",".join(r.contradictions)) for r in I.expand_contradictions(classes, "k", ["f", "g"]).collect() for a in home[r.k, r.left_member] for b in home[r.k, r.right_member]}
+    assert expanded == listed
+    some = I.expand_contradictions(classes, "k", ["f", "g"], spark.createDataFrame([("k1",)], "k string"))
+    assert {r.k for r in some.collect()} == {"k1"}
+
+
 EVENT = "event_id int, item_id int, reviewer_id string, outcome string, reviewed_at timestamp, review_round int, supersedes_event_id int, event_type string"
 
 
@@ -253,7 +306,8 @@ def test_equal_numbers_of_two_providers_stay_apart(spark):
     assert rows[1].canonical_id == rows[3].canonical_id != rows[2].canonical_id and rows[4].canonical_id != rows[5].canonical_id
     assert [rows[i].identity_priority for i in (1, 4, 6)] == [1, 4, 7]
     same = spark.createDataFrame([(1, "k", "x"), (2, "k", "x"), (3, "k", "y")], "id int, k string, f string")
-    pairs, members = I.pairwise_contradictions(same, "k", "id", ["f"])
+    classes, members = I.value_classes(same, "k", "id", ["f"])
+    pairs = I.expand_contradictions(classes, "k", ["f"])
     assert [tuple(r)[1:5] for r in pairs.collect()] == [(1, 3, 2, 1)] and {(r.id, r.member) for r in members.collect()} == {(1, 1), (2, 1), (3, 3)}
 
 

@@ -126,20 +126,39 @@ def identity_set_keys(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
     return every.alias("e").join(found.alias("f"), same, "left").select(*[F.col(f"e.{c}").alias(c) for c in keys], F.col("f.digest").alias("set_key"))
 
 
-def pairwise_contradictions(df: DataFrame, link: str, member: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pairs, members): per linked pair of value classes with any, the fields that both know and that differ; and each row's class, named by its least member.
+def value_classes(df: DataFrame, link: str, member: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): rows of a link that are equal in all fields are one class, with its least member and its number of rows; and each row's class."""
+    linked = df.filter(F.col(link).isNotNull())
+    values = linked.groupBy(link, *fields).agg(F.min(member).alias("member"), F.count("*").alias("n"))
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (link, *fields)])
+    members = linked.alias("r").join(values.alias("v"), same).select(F.col(f"r.{link}").alias(link), F.col(f"r.{member}").alias(member), F.col("v.member").alias("member"))
+    return values, members
 
-    Rows of a link that are equal in all fields are one class, so a hot link costs its distinct values and not its rows.
+
+def contradictions(df: DataFrame, link: str, member: str, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(summary, values): per link and field with contradictions the number of values, of rows that know the field, and of contradictory pairs of rows; and the values with their rows.
+
+    Two rows contradict in a field if both know it and it differs, so the pairs follow from the sizes of the values,
+    (n^2 - sum of squares) / 2: a link with a third of all rows costs its rows and no pair is made.
     """
     linked = df.filter(F.col(link).isNotNull())
-    values = linked.groupBy(link, *fields).agg(F.min(member).alias("member"), F.count("*").alias("n"))
-    a, b = values.alias("a"), values.alias("b")
+    held = linked.select(link, F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))).filter("value is not null")
+    sizes = held.groupBy(link, "field", "value").agg(F.count("*").alias("rows"))
+    n = F.col("rows").cast("decimal(38,0)")
+    total = sizes.groupBy(link, "field").agg(F.count("*").alias("values"), F.sum("rows").alias("rows"), F.sum(n * n).alias("_squares"))
+    pairs = ((F.col("rows").cast("decimal(19,0)") * F.col("rows").cast("decimal(19,0)") - F.col("_squares")) / 2).cast("long")
+    summary = total.filter(F.col("values") > 1).select(link, "field", "values", "rows", pairs.alias("pairs"))
+    return summary, sizes.join(summary.select(link, "field"), [link, "field"], "left_semi")
+
+
+def expand_contradictions(classes: DataFrame, link: str, fields: list[str], links: DataFrame | None = None) -> DataFrame:
+    """Pairs on request: per two classes of a link the fields that both know and that differ, for the links of a table, or for all."""
+    asked = classes if links is None else classes.join(links.select(link).distinct(), link, "left_semi")
+    a, b = asked.alias("a"), asked.alias("b")
     pairs = a.join(b, (F.col(f"a.{link}") == F.col(f"b.{link}")) & (F.col("a.member") < F.col("b.member")))
     differ = F.array_compact(F.array(*[F.when(F.col(f"a.{f}") != F.col(f"b.{f}"), F.lit(f)) for f in fields]))
     found = pairs.select(F.col(f"a.{link}").alias(link), F.col("a.member").alias("left_member"), F.col("b.member").alias("right_member"), F.col("a.n").alias("left_rows"), F.col("b.n").alias("right_rows"), differ.alias("contradictions"))
-    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"v.{c}")) for c in (link, *fields)])
-    members = linked.alias("r").join(values.alias("v"), same).select(F.col(f"r.{link}").alias(link), F.col(f"r.{member}").alias(member), F.col("v.member").alias("member"))
-    return found.filter(F.size("contradictions") > 0), members
+    return found.filter(F.size("contradictions") > 0)
 
 
 def provider_union(df: DataFrame, identity: str, provider: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -151,20 +170,36 @@ def provider_union(df: DataFrame, identity: str, provider: str, order: list[str]
 
 
 def link_groups(df: DataFrame, item: str, keys: list[str]) -> DataFrame:
-    """(item, group): the least item id reachable over shared keys. Labels pass through keys and back, with pointer jumping, until none changes."""
-    edges = reduce(lambda a, b: a.unionByName(b), [df.filter(F.col(k).isNotNull()).select(F.col(item).alias("i"), F.concat(F.lit(k + "="), F.col(k).cast("string")).alias("k")) for k in keys]).distinct()
-    edges = written(edges)
-    labels = written(df.select(F.col(item).alias("i")).distinct().withColumn("g", F.col("i")))
-    while True:
-        through = edges.join(labels, "i").groupBy("k").agg(F.min("g").alias("g"))
-        heard = edges.join(through, "k").groupBy("i").agg(F.min("g").alias("h"))
-        step = written(labels.join(heard, "i", "left").select("i", F.least("g", F.coalesce("h", "g")).alias("g")))
-        jump = step.join(step.select(F.col("i").alias("g"), F.col("g").alias("h")), "g", "left").select("i", F.least("g", F.coalesce("h", "g")).alias("g"))
-        fresh = written(jump)
-        changed = not fresh.join(labels.withColumnRenamed("g", "old"), "i").filter("g <> old").isEmpty()
-        labels = fresh
-        if not changed:
-            return labels.select(F.col("i").alias(item), F.col("g").alias("group_id"))
+    """(item, group_id): the least item id reachable over shared keys.
+
+    Items of a key are linked to its least item, so there are no more links than items and keys. Then links contract: a
+    link that is its larger end's only one is written off as a pointer and leaves; the rest becomes stars, each node's
+    larger neighbours linked to its least one, and then its smaller neighbours too. So each round writes less than the
+    one before, and finished groups are never read again. Pointers are followed in the end, the last round's first.
+    """
+    edges = reduce(lambda a, b: a.unionByName(b), [df.filter(F.col(k).isNotNull()).select(F.col(item).alias("i"), F.lit(n).alias("f"), F.col(k).cast("string").alias("k")) for n, k in enumerate(keys)])
+    heads = written(edges.groupBy("f", "k").agg(F.min("i").alias("r"), F.max("i").alias("last")).filter("r <> last").drop("last"))
+    links = written(edges.join(heads, ["f", "k"]).filter("i <> r").select(F.col("i").alias("a"), F.col("r").alias("b")).distinct())
+    pointers = []
+    while not links.isEmpty():
+        degree = links.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").count().filter("count = 1").select(F.col("v").alias("a"))
+        marked = written(links.join(degree.withColumn("alone", F.lit(True)), "a", "left"))
+        pointers.append(marked.filter("alone").select("a", "b"))
+        rest = marked.filter("alone is null").select("a", "b")
+        least = rest.groupBy(F.col("b").alias("v")).agg(F.min("b").alias("m")).unionByName(rest.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))).groupBy("v").agg(F.min("m").alias("m"))
+        # a node's larger neighbours go to the least of it and its neighbours
+        large = rest.join(least.withColumnRenamed("v", "b"), "b").select("a", F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        # a node and its smaller neighbours go to the least of them
+        small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        links = written(small)
+    labels = None
+    for step in reversed(pointers):
+        ends = step.withColumnRenamed("b", "to") if labels is None else step.join(labels.select(F.col("a").alias("b"), "to"), "b", "left").select("a", F.coalesce("to", "b").alias("to"))
+        labels = written(ends if labels is None else labels.unionByName(ends))
+    every = df.select(F.col(item).alias("a")).distinct()
+    found = every.withColumn("to", F.col("a")) if labels is None else every.join(labels, "a", "left").select("a", F.coalesce("to", "a").alias("to"))
+    return found.select(F.col("a").alias(item), F.col("to").alias("group_id"))
 
 
 def split_leakage(df: DataFrame, group: str, owner: str, split: str) -> DataFrame:
@@ -174,12 +209,15 @@ def split_leakage(df: DataFrame, group: str, owner: str, split: str) -> DataFram
 
 
 def lineage_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(root, node): all nodes upstream of each root over (node, parent) edges, by frontier joins until nothing is new."""
-    seen = written(start.select(F.col("node").alias("root"), "node").distinct())
-    frontier = seen
+    """(root, node): all nodes upstream of each root over (node, parent) edges, by frontier joins until nothing is new.
+
+    A round writes only what it finds; what was seen is the union of the rounds' tables.
+    """
+    rounds = [written(start.select(F.col("node").alias("root"), "node").distinct())]
     while True:
-        found = frontier.join(edges, "node").select("root", F.col("parent").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        frontier = written(found)
-        if frontier.isEmpty():
+        seen = reduce(lambda a, b: a.unionByName(b), rounds)
+        found = rounds[-1].join(edges, "node").select("root", F.col("parent").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
+        fresh = written(found)
+        if fresh.isEmpty():
             return seen
-        seen = written(seen.unionByName(frontier))
+        rounds.append(fresh)

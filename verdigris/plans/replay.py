@@ -208,13 +208,24 @@ CLASSES = f"SELECT canonical_id, host, lang, source, min(page_id) AS member, cou
 @query(f"""SELECT * FROM (SELECT a.canonical_id, a.member AS left_member, b.member AS right_member, a.n AS left_rows, b.n AS right_rows, concat_ws(',', CASE WHEN a.host <> b.host THEN 'host' END, CASE WHEN a.lang <> b.lang THEN 'lang' END, CASE WHEN a.source <> b.source THEN 'source' END) AS contradictions
  FROM ({CLASSES}) a JOIN ({CLASSES}) b ON a.canonical_id = b.canonical_id AND a.member < b.member) WHERE contradictions <> ''""")
 def pairwise_contradictions(spark, d):
-    return I.pairwise_contradictions(_identity(spark, d), "canonical_id", "page_id", ["host", "lang", "source"])[0].withColumn("contradictions", F.array_join("contradictions", ","))
+    fields = ["host", "lang", "source"]
+    classes, _ = I.value_classes(_identity(spark, d), "canonical_id", "page_id", fields)
+    return I.expand_contradictions(classes, "canonical_id", fields).withColumn("contradictions", F.array_join("contradictions", ","))
+
+
+KNOWN = " UNION ALL ".join(f"SELECT canonical_id, '{f}' AS field, {f} AS value FROM ({IDENTITY}) WHERE {f} IS NOT NULL" for f in ("host", "lang", "source"))
+
+
+@query(f"""WITH s AS (SELECT canonical_id, field, value, count(*) AS n FROM ({KNOWN}) GROUP BY 1, 2, 3)
+ SELECT canonical_id, field, CAST(any_value(v) AS BIGINT) AS values, CAST(any_value(t) AS BIGINT) AS rows, CAST(sum(a.n * b.n) AS BIGINT) AS pairs FROM s a JOIN s b USING (canonical_id, field) JOIN (SELECT canonical_id, field, count(*) AS v, sum(n) AS t FROM s GROUP BY 1, 2) USING (canonical_id, field) WHERE a.value < b.value GROUP BY 1, 2""")
+def contradiction_summary(spark, d):
+    return I.contradictions(_identity(spark, d), "canonical_id", "page_id", ["host", "lang", "source"])[0]
 
 
 @query(f"SELECT page_id, min(page_id) OVER (PARTITION BY canonical_id, host, lang, source) AS member FROM ({IDENTITY})")
 def contradiction_members(spark, d):
     """Which value class each linked record belongs to: with the pairs of classes this gives all pairs of records."""
-    return I.pairwise_contradictions(_identity(spark, d), "canonical_id", "page_id", ["host", "lang", "source"])[1].select("page_id", "member")
+    return I.value_classes(_identity(spark, d), "canonical_id", "page_id", ["host", "lang", "source"])[1].select("page_id", "member")
 
 
 @query(f"""SELECT page_id, CASE WHEN rn = 1 THEN 'canonical' WHEN source = cp THEN 'exact_duplicate_removed' ELSE 'cross_provider_duplicate_removed' END AS relationship FROM (SELECT *, row_number() OVER w AS rn, first_value(source) OVER w AS cp FROM ({IDENTITY}) WINDOW w AS (PARTITION BY canonical_id ORDER BY identity_priority, page_id))""")
