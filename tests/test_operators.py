@@ -330,7 +330,7 @@ def test_point_in_polygon_edges_and_holes(spark):
     rows = [("f", [[(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0)], [(4.0, 4.0), (6.0, 4.0), (6.0, 6.0), (4.0, 6.0), (4.0, 4.0)]]), ("g", [[(8.0, 8.0), (12.0, 8.0), (12.0, 12.0), (8.0, 12.0), (8.0, 8.0)]])]
     features = spark.createDataFrame(rows, "feature_id string, rings array<array<struct<x:double,y:double>>>")
     points = spark.createDataFrame([(1, 1.0, 1.0), (2, 5.0, 5.0), (3, 4.0, 5.0), (4, 0.0, 5.0), (5, 9.0, 9.0), (6, 11.0, 11.0), (7, -1.0, 0.0)], "point_id int, lon double, lat double")
-    out = {r.point_id: r.feature_id for r in G.point_in_polygon_join(points, G.boundary_edges(features), 3.0).collect()}
+    out = {r.point_id: r.feature_id for r in G.point_in_polygon_join(points, G.boundary_edges(features), 3).collect()}
     assert out == {1: "f", 2: None, 3: None, 4: "f", 5: None, 6: "g", 7: None}
 
 
@@ -508,3 +508,39 @@ def test_bootstrap_splits_its_draws_down_a_tree(spark, monkeypatch):
     one = run(design="simple_random")
     assert one.high - one.low > (split.high - split.low) * 1.1  # half of the variance lies between the strata
     assert run(design="census", seed=" ", level=1.0, replicates=50).blockers == ["bootstrap_replicates_invalid", "bootstrap_seed_missing", "confidence_level_invalid", "sampling_design_not_bootstrap_eligible"]
+
+
+@pytest.mark.parametrize("cells", [1, 5, 16])
+def test_points_in_star_shapes_with_holes(spark, cells):
+    """Ragged rings of all sizes, with holes, against the plain rule; points in inner cells meet no edge."""
+    rng = np.random.default_rng(cells)
+
+    def ring(cx, cy, r, n):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, n))
+        out = [(float(cx + r * (0.5 + 0.5 * rng.random()) * np.cos(t)), float(cy + r * (0.5 + 0.5 * rng.random()) * np.sin(t))) for t in turn]
+        return [*out, out[0]]
+
+    features = []
+    for k in range(14):
+        cx, cy, r = rng.uniform(-50, 50), rng.uniform(-50, 50), 10 ** rng.uniform(-2, 1.5)
+        features.append((k, [ring(cx, cy, r, 40)] + ([ring(cx, cy, r * 0.3, 12)] if k % 2 else [])))
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-70, 70, (300, 2)))]
+    for k, rings in features:
+        c = np.mean(rings[0], axis=0)
+        size = np.ptp(rings[0], axis=0).max()
+        points += [(1000 * (k + 1) + i, float(x), float(y)) for i, (x, y) in enumerate(c + rng.uniform(-0.7, 0.7, (60, 2)) * size)]
+        points.append((1000 * (k + 1) + 500, *rings[0][3]))
+
+    def odd(points, x, y):
+        return sum(((b > y) != (d > y)) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in zip(points, points[1:])) % 2 == 1
+
+    wanted = {}
+    for i, x, y in points:
+        held = [k for k, rings in features if ((x, y) in rings[0] or odd(rings[0], x, y)) and not any(odd(h, x, y) for h in rings[1:])]
+        wanted[i] = held[0] if len(held) == 1 else None
+    edges = G.boundary_edges(spark.createDataFrame([(k, [[{"x": a, "y": b} for a, b in r] for r in rings]) for k, rings in features], "feature_id int, rings array<array<struct<x:double,y:double>>>"))
+    out = {r.point_id: r.feature_id for r in G.point_in_polygon_join(spark.createDataFrame(points, "point_id int, lon double, lat double"), edges, cells).collect()}
+    assert out == wanted and len(set(wanted.values())) > 8
+    cover, _ = G.cell_cover(edges, cells)
+    assert cover.groupBy("feature_id").count().agg(F.max("count")).first()[0] <= (2 * cells + 2) ** 2
+    assert cells < 16 or cover.filter("inner").count() > 50

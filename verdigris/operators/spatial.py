@@ -107,28 +107,59 @@ def boundary_edges(features: DataFrame) -> DataFrame:
     return rings.select("feature_id", "ring", F.explode(pairs).alias("e")).select("feature_id", "ring", "e.*")
 
 
-def point_in_polygon_join(points: DataFrame, edges: DataFrame, degrees: float = 10.0, tolerance: float = 1e-12) -> DataFrame:
-    """(point_id, feature_id): the one feature that holds the point, null for none or several.
+def cell_cover(edges: DataFrame, cells: int = 16, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame]:
+    """(cover, bands): per feature its inner cells, which no edge touches, and its border cells; and its edges by rows of its cells.
 
-    Boxes of features cover grid cells, so points and features meet by an equi-join on the cell. Edges lie in bands of
-    latitude, and a point meets those of its own band only: no others can cross its ray or touch it. Points on the outer
-    ring are inside, points on a hole's ring outside.
+    Each feature has a grid of its own, of the power of two in degrees (`e` is the exponent) at which its box has about
+    `cells` cells a side, so the cover is bounded by the feature's shape and not by its size. A row's edges are cut to the
+    row, and the cells that the rest reaches are border cells. A cell between them is inner if its centre lies inside the outer
+    ring and in no hole. Cells outside of the feature aren't in the cover.
     """
     box = edges.filter("ring = 0").groupBy("feature_id").agg(F.min("x1").alias("bx1"), F.max("x1").alias("bx2"), F.min("y1").alias("by1"), F.max("y1").alias("by2"))
-    cover = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / degrees), F.floor(F.col(b) / degrees)))
-    cells = box.withColumn("gx", cover("bx1", "bx2")).withColumn("gy", cover("by1", "by2"))
-    located = points.select("point_id", "lon", "lat", F.floor(F.col("lon") / degrees).alias("gx"), F.floor(F.col("lat") / degrees).alias("gy"))
-    near = located.join(cells, ["gx", "gy"]).filter("lon BETWEEN bx1 AND bx2 AND lat BETWEEN by1 AND by2").select("point_id", "lon", "lat", "feature_id", "gy")
-    band = lambda v: F.floor(v / degrees)
-    edges = edges.withColumn("gy", F.explode(F.sequence(band(F.least("y1", "y2") - tolerance), band(F.greatest("y1", "y2") + tolerance))))
+    extent = F.greatest(F.col("bx2") - F.col("bx1"), F.col("by2") - F.col("by1"), F.lit(1e-6))
+    box = written(box.withColumn("e", F.ceil(F.log2(extent / cells)).cast("int")).withColumn("size", F.pow(F.lit(2.0), F.col("e"))))
+    at = lambda v: F.floor(v / F.col("size")).cast("long")
+    low, high = F.least("y1", "y2") - tolerance, F.greatest("y1", "y2") + tolerance
+    bands = edges.join(box, "feature_id").withColumn("gy", F.explode(F.sequence(at(low), at(high))))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    steep = F.abs(y2 - y1) > tolerance
+    along = lambda y: F.when(steep, x1 + (x2 - x1) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (y - y1) / F.when(steep, y2 - y1))))
+    ends = [F.coalesce(along(F.col("gy") * F.col("size") - tolerance), x1), F.coalesce(along((F.col("gy") + 1) * F.col("size") + tolerance), x2)]
+    reach = 1e-9 * F.greatest(F.lit(1.0), F.abs(x1), F.abs(x2)) + tolerance
+    touched = bands.withColumn("gx", F.explode(F.sequence(at(F.least(*ends) - reach), at(F.greatest(*ends) + reach))))
+    border = written(touched.select("feature_id", "e", "gx", "gy").distinct())
+    grid = box.withColumn("gy", F.explode(F.sequence(at(F.col("by1")), at(F.col("by2"))))).withColumn("gx", F.explode(F.sequence(at(F.col("bx1")), at(F.col("bx2")))))
+    plain = grid.select("feature_id", "e", "size", "gx", "gy").join(border, ["feature_id", "e", "gx", "gy"], "left_anti")
+    middle = (F.col("gy") + 0.5) * F.col("size")
+    lines = bands.filter((y1 > middle) != (y2 > middle)).select("feature_id", "gy", "ring", (x1 + (x2 - x1) * (middle - y1) / (y2 - y1)).alias("cut"))
+    rings = plain.join(lines, ["feature_id", "gy"]).groupBy("feature_id", "e", "gx", "gy", "ring").agg((F.count_if(F.col("cut") > (F.col("gx") + 0.5) * F.col("size")) % 2 == 1).alias("odd"))
+    inner = rings.groupBy("feature_id", "e", "gx", "gy").agg(F.max(F.col("odd") & (F.col("ring") == 0)).alias("outer"), F.max(F.col("odd") & (F.col("ring") > 0)).alias("hole")).filter("outer AND NOT hole")
+    cover = inner.select("feature_id", "e", "gx", "gy", F.lit(True).alias("inner")).unionByName(border.withColumn("inner", F.lit(False)))
+    return written(cover), bands.select("feature_id", "ring", "x1", "y1", "x2", "y2", "gy", "bx1", "bx2", "by1", "by2")
+
+
+def point_in_polygon_join(points: DataFrame, edges: DataFrame, cells: int = 16, tolerance: float = 1e-12) -> DataFrame:
+    """(point_id, feature_id): the one feature that holds the point, null for none or several.
+
+    Points meet the cover of `cell_cover` by an equi-join on the cell, once for each size of cells in use. A point in an inner
+    cell is held without looking at an edge; one in a border cell meets the edges of its row. Points on the outer ring are
+    inside, points on a hole's ring outside.
+    """
+    cover, bands = cell_cover(edges, cells, tolerance)
+    sizes = [r.e for r in cover.select("e").distinct().collect()]  # exponents of two: a few dozen values
+    own = lambda c, e: F.floor(F.col(c) / 2.0**e).cast("long")
+    places = F.array(*[F.struct(F.lit(e).alias("e"), own("lon", e).alias("gx"), own("lat", e).alias("gy")) for e in sizes]) if sizes else F.array().cast("array<struct<e:int,gx:bigint,gy:bigint>>")
+    near = points.select("point_id", "lon", "lat", F.inline(places)).join(cover, ["e", "gx", "gy"])
     x, y, x1, y1, x2, y2 = (F.col(c) for c in ("lon", "lat", "x1", "y1", "x2", "y2"))
     crosses = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / F.when(y2 == y1, F.lit(1.0)).otherwise(y2 - y1) + x1)
     area = F.abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1))
     scale = F.greatest(F.lit(1.0), F.abs(x2 - x1) + F.abs(y2 - y1))
     on_edge = (area <= tolerance * scale) & (x >= F.least(x1, x2) - tolerance) & (x <= F.greatest(x1, x2) + tolerance) & (y >= F.least(y1, y2) - tolerance) & (y <= F.greatest(y1, y2) + tolerance)
-    rings = near.join(edges, ["feature_id", "gy"]).groupBy("point_id", "feature_id", "ring").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.max(on_edge).alias("edge"))
+    faced = near.filter(~F.col("inner")).select("point_id", "lon", "lat", "feature_id", "gy").join(bands, ["feature_id", "gy"]).filter("lon BETWEEN bx1 AND bx2 AND lat BETWEEN by1 AND by2")
+    rings = faced.groupBy("point_id", "feature_id", "ring").agg((F.count_if(crosses) % 2 == 1).alias("odd"), F.max(on_edge).alias("edge"))
     held = rings.groupBy("point_id", "feature_id").agg(F.max(F.when(F.col("ring") == 0, F.col("odd") | F.col("edge"))).alias("outer"), F.coalesce(F.max(F.when(F.col("ring") > 0, F.col("odd") | F.col("edge"))), F.lit(False)).alias("hole"))
-    one = held.filter("outer AND NOT hole").groupBy("point_id").agg(F.when(F.count_distinct("feature_id") == 1, F.max("feature_id")).alias("feature_id"))
+    inside = held.filter("outer AND NOT hole").select("point_id", "feature_id").unionByName(near.filter("inner").select("point_id", "feature_id"))
+    one = inside.groupBy("point_id").agg(F.when(F.min("feature_id") == F.max("feature_id"), F.max("feature_id")).alias("feature_id"))
     return points.select("point_id").join(one, "point_id", "left")
 
 

@@ -191,7 +191,7 @@ def _features(spark, d):
 
 @query(f"""SELECT point_id, CASE WHEN n = 1 THEN f END AS feature_id FROM (SELECT point_id, count(id) AS n, max(id) AS f FROM ({R.POINTS}) LEFT JOIN ({BOX}) ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2 AND NOT (id = 12 AND lon BETWEEN x1 + 2 AND x1 + 3 AND lat BETWEEN y1 + 1 AND y1 + 2) GROUP BY 1)""")
 def point_in_polygon_join(spark, d):
-    return G.point_in_polygon_join(R.points(spark, d), G.boundary_edges(_features(spark, d)), 4.0)
+    return G.point_in_polygon_join(R.points(spark, d), G.boundary_edges(_features(spark, d)))
 
 
 @query(f"""SELECT id AS feature_id, 0 AS ring, count(*) AS n_edges, min(x1) AS west, max(x2) AS east FROM (SELECT *, unnest([1, 2, 3, 4]) FROM ({BOX})) GROUP BY 1 UNION ALL SELECT 12, 1, 4, x1 + 2, x1 + 3 FROM ({BOX}) WHERE id = 12""")
