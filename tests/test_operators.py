@@ -15,6 +15,7 @@ from verdigris.operators import replay as R
 from verdigris.operators import sampling as S
 from verdigris.operators import scores as P
 from verdigris.operators import spatial as G
+from verdigris.plans.routing import ROUTES, TEXTS, THRESHOLDS
 from verdigris.sources import tables as X
 from verdigris.streaming import ledger as stream
 
@@ -283,9 +284,17 @@ def test_routes_by_prompt_then_label(spark):
             (5, "detected", "insect", None, 0.9, "ambiguous_visual_domain", "review"), (6, "detected", "insect", None, None, "ambiguous_visual_domain", "exclude"), (7, "detected", "robot", "pupa", 0.9, "ambiguous_visual_domain", "exclude"), (8, "No Detection", "larva", None, 0.9, "no_relevant_organism", "exclude"),
             (9, None, "larva", None, 0.9, "ambiguous_visual_domain", "exclude"), (10, "detected", "larva", None, 1.2, "ambiguous_visual_domain", "exclude"), (11, "detected", None, None, 0.9, "ambiguous_visual_domain", "exclude")]
     df = spark.createDataFrame(rows, "id int, detection_status string, prompt string, label string, score double, want string, wanted string")
-    assert [(r.detection_route, r.action) for r in P.route_rows(df).orderBy("id").collect()] == [(r[5], r[6]) for r in rows]
-    off = {r.id: r.action for r in P.route_rows(df, adult_threshold=None, insect_threshold=None).collect()}
-    assert off[3] == off[5] == "exclude"
+    assert [(r.detection_route, r.action) for r in P.route_rows(df, ROUTES, TEXTS, THRESHOLDS).orderBy("id").collect()] == [(r[5], r[6]) for r in rows]
+    off = {r.id: (r.action, r.reason) for r in P.route_rows(df, ROUTES, TEXTS, dict.fromkeys(THRESHOLDS)).collect()}
+    assert off[3][0] == off[5][0] == "exclude"
+    own = P.route_rows(df, [P.Route(("larva",), (), "young", "young", "score", "it is young")], TEXTS, {}).filter("id = 1").first()
+    assert own.reason in ("it is young", TEXTS.prompt, TEXTS.label)
+    cases = [("lepidoptera", None, 0.2, "possible_adult_route_below_threshold"), ("lepidoptera", None, 0.5, "possible_adult_prompt_above_threshold"), ("insect", None, 0.2, "ambiguous_insect_review_below_threshold"), (None, "insect_like", 0.2, "legacy_detector_label_fallback:insect_like:below_threshold"),
+             (None, "insect like", 0.5, "legacy_detector_label_fallback:insect_like"), (None, None, 0.5, "unknown_detector_label_fallback"), ("ufo", "pupa", 0.5, "unknown_detector_prompt"), ("pupa", None, None, "pupa_prompt_no_bioclip_route")]
+    named = spark.createDataFrame([(i, "detected", *c[:3]) for i, c in enumerate(cases)], "id int, detection_status string, prompt string, label string, score double")
+    assert [r.reason for r in P.route_rows(named, ROUTES, TEXTS, THRESHOLDS).orderBy("id").collect()] == [c[3] for c in cases]
+    never = {r.id: r.reason for r in P.route_rows(named, ROUTES, TEXTS, {}).collect()}
+    assert (never[0], never[2], never[4]) == ("possible_adult_route_disabled", "ambiguous_insect_review_disabled", "legacy_detector_label_fallback:insect_like:review_disabled")
 
 
 def test_session_time_runs_to_the_pause(spark):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,59 +12,65 @@ from pyspark.sql import functions as F
 
 from verdigris.operators.thresholds import fit_threshold_policy  # noqa: F401
 
-#: What a detector's prompt and an older label stand for. Each kind has its route, the route for scoring and the action; two kinds need a score.
-PROMPTS = {
-    "definite_adult": ("adult butterfly", "butterfly", "live adult butterfly"),
-    "possible_adult": ("butterfly wing", "lepidoptera", "possible adult butterfly"),
-    "larval": ("butterfly caterpillar", "caterpillar", "larva"),
-    "pupa": ("butterfly chrysalis", "chrysalis", "pupa"),
-    "pinned_specimen": ("butterfly specimen", "pinned butterfly", "pinned butterfly specimen"),
-    "other_insect": ("moth", "other insect"),
-    "ambiguous_insect": ("insect", "insect-like organism"),
-    "artifact": ("artwork", "butterfly artwork", "butterfly logo", "butterfly tattoo", "drawing", "logo", "museum label", "painting", "pattern", "sign", "tattoo", "text", "textile"),
-    "no_organism": ("flower", "hand", "leaf", "no relevant organism", "person"),
-}
-LABELS = {
-    "definite_adult": ("adult_butterfly", "butterfly_like"), "possible_adult": ("possible_adult_butterfly",), "larval": ("caterpillar",), "pupa": ("pupa",), "pinned_specimen": ("pinned_specimen",), "other_insect": ("moth_like",),
-    "ambiguous_insect": ("insect_like",), "artifact": ("artifact", "hard_negative"), "no_organism": ("no_organism", "no_relevant_organism"),
-}
-KINDS = {
-    "definite_adult": ("adult_butterfly_field", "adult_field", "score", "definite_adult_prompt"), "possible_adult": ("adult_butterfly_field", "adult_field", "score", "possible_adult_prompt"), "larval": ("caterpillar_field", "larval", "score", "larval_prompt"),
-    "pupa": ("pupa_or_chrysalis", None, "exclude", "pupa_prompt_not_scored"), "pinned_specimen": ("pinned_specimen", "pinned_specimen", "score", "pinned_specimen_prompt"), "other_insect": ("possible_moth_or_other_insect", None, "exclude", "other_insect_prompt"),
-    "ambiguous_insect": ("ambiguous_visual_domain", "adult_field", "review", "ambiguous_insect_review"), "artifact": ("artwork_logo_tattoo_or_other_artifact", None, "exclude", "artifact_prompt"), "no_organism": ("no_relevant_organism", None, "exclude", "no_relevant_organism_prompt"),
-}
-AMBIGUOUS = "ambiguous_visual_domain"
-
-
-def _pick(key: Column, values: dict[str, object]) -> Column:
+
+
+class Route(NamedTuple):
+    """What a kind of detection leads to. A gated kind names its threshold, and its reasons without one, below it, and (after a label) with it switched off."""
+
+    prompts: tuple[str, ...]
+    labels: tuple[str, ...]
+    route: str
+    scoring: str | None
+    action: str
+    reason: str
+    gate: str | None = None
+    disabled: str = ""
+    below: str = ""
+    label_disabled: str = ""
+
+
+class RouteTexts(NamedTuple):
+    """Routes and reasons of rows that no rule takes, and what a label's reason begins with and ends with below a threshold."""
+
+    nothing_route: str
+    unknown_route: str
+    no_detection: str
+    status: str
+    score: str
+    prompt: str
+    label: str
+    label_prefix: str
+    label_below: str
+
+
+def _pick(key: Column, values: dict) -> Column:
     """The value of a key by a constant map; null for other keys."""
     return F.try_element_at(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast("string"))]), key)
 
 
-def route_rows(df: DataFrame, status: str = "detection_status", prompt: str = "prompt", label: str = "label", score: str = "score", adult_threshold: float | None = 0.35, insect_threshold: float | None = 0.35) -> DataFrame:
+def route_rows(df: DataFrame, routes: list[Route], texts: RouteTexts, thresholds: dict[str, float | None], status: str = "detection_status", prompt: str = "prompt", label: str = "label", score: str = "score") -> DataFrame:
     """Adds detection_route, scoring_route, action (score, review, exclude), priority and reason.
 
-    Only detected rows are routed, first by their prompt and, without one, by their older label. A possible adult is
-    scored and an ambiguous insect reviewed from their thresholds on (None: never); everything unknown, below a
-    threshold or without a usable score is excluded. Rules are constant maps inside the plan, so nothing is joined.
+    Only detected rows are routed, first by their prompt and, without one, by their older label. A gated kind takes its
+    action from its threshold on (None: never); everything unknown, below a threshold or without a usable score is
+    excluded. Rules are constant maps inside the plan, so nothing is joined.
     """
-    text = lambda c, sep: F.array_join(F.filter(F.split(F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"\s+"), lambda w: w != ""), sep)
-    state, s = text(status, "_"), F.col(score).cast("double")
+    words = lambda c, sep: F.array_join(F.filter(F.split(F.lower(F.trim(F.coalesce(F.col(c).cast("string"), F.lit("")))), r"\s+"), lambda w: w != ""), sep)
+    state, s, by_prompt, older = words(status, "_"), F.col(score).cast("double"), F.col(prompt).isNotNull(), words(label, "_")
     usable = F.when((s >= 0) & (s <= 1), s)
-    by_prompt = F.col(prompt).isNotNull()
-    kind = F.when(by_prompt, _pick(text(prompt, " "), {x: k for k, xs in PROMPTS.items() for x in xs})).otherwise(_pick(text(label, "_"), {x: k for k, xs in LABELS.items() for x in xs}))
-    old = F.concat(F.lit("legacy_label:"), F.when(text(label, "_") == "", "missing").otherwise(text(label, "_")))
-    base = F.when(by_prompt, _pick(kind, {k: v[3] for k, v in KINDS.items()})).otherwise(old)
-    limit = F.when(kind == "possible_adult", F.lit(adult_threshold).cast("double")).when(kind == "ambiguous_insect", F.lit(insect_threshold).cast("double"))
-    gated = kind.isin("possible_adult", "ambiguous_insect")
+    kind = F.when(by_prompt, _pick(words(prompt, " "), {x: i for i, r in enumerate(routes) for x in r.prompts})).otherwise(_pick(older, {x: i for i, r in enumerate(routes) for x in r.labels})).cast("int")
+    of = lambda field: _pick(kind, {i: getattr(r, field) for i, r in enumerate(routes)})
+    fallback = F.concat(F.lit(texts.label_prefix), F.when(older == "", "missing").otherwise(older))
+    limit, gated = _pick(of("gate"), thresholds).cast("double"), of("gate").isNotNull()
+    unknown = F.lit(texts.unknown_route)
     cases = [
-        (state == "no_detection", "no_relevant_organism", F.lit("detector_reported_no_detection")), (state != "detected", AMBIGUOUS, F.lit("detection_status_not_routable")), (F.col(score).isNotNull() & usable.isNull(), AMBIGUOUS, F.lit("invalid_detector_score")),
-        (kind.isNull(), AMBIGUOUS, F.when(by_prompt, "unknown_prompt").otherwise("unknown_legacy_label")), (gated & limit.isNull(), AMBIGUOUS, F.concat(base, F.lit(":disabled"))), (gated & usable.isNull(), AMBIGUOUS, F.lit("invalid_detector_score")),
-        (gated & (usable < limit), AMBIGUOUS, F.concat(base, F.lit(":below_threshold"))),
+        (state == "no_detection", F.lit(texts.nothing_route), F.lit(texts.no_detection)), (state != "detected", unknown, F.lit(texts.status)), (F.col(score).isNotNull() & usable.isNull(), unknown, F.lit(texts.score)),
+        (kind.isNull(), unknown, F.when(by_prompt, texts.prompt).otherwise(texts.label)), (gated & limit.isNull(), unknown, F.when(by_prompt, of("disabled")).otherwise(F.concat(fallback, of("label_disabled")))),
+        (gated & usable.isNull(), unknown, F.lit(texts.score)), (gated & (usable < limit), unknown, F.when(by_prompt, of("below")).otherwise(F.concat(fallback, F.lit(texts.label_below)))),
     ]
-    out = reduce(lambda acc, x: F.when(F.coalesce(x[0], F.lit(False)), F.struct(F.lit(x[1]).alias("route"), F.lit(None).cast("string").alias("scoring"), F.lit("exclude").alias("action"), x[2].alias("reason"))).otherwise(acc), reversed(cases),
-                 F.struct(*[_pick(kind, {k: v[i] for k, v in KINDS.items()}).alias(n) for i, n in enumerate(("route", "scoring", "action"))], F.when(gated & by_prompt, F.concat(base, F.lit(":above_threshold"))).otherwise(base).alias("reason")))
-    routed = df.withColumn("_r", out)
+    taken = F.struct(of("route").alias("route"), of("scoring").alias("scoring"), of("action").alias("action"), F.when(by_prompt, of("reason")).otherwise(fallback).alias("reason"))
+    left = lambda route, reason: F.struct(route.alias("route"), F.lit(None).cast("string").alias("scoring"), F.lit("exclude").alias("action"), reason.alias("reason"))
+    routed = df.withColumn("_r", reduce(lambda acc, x: F.when(F.coalesce(x[0], F.lit(False)), left(x[1], x[2])).otherwise(acc), reversed(cases), taken))
     priority = _pick(F.col("_r.action"), {"score": "standard", "review": "low", "exclude": "none"})
     return routed.withColumns({"detection_route": F.col("_r.route"), "scoring_route": F.col("_r.scoring"), "action": F.col("_r.action"), "priority": priority, "reason": F.col("_r.reason")}).drop("_r")
 

@@ -8,6 +8,7 @@ from verdigris.operators import scores as S
 from verdigris.operators import spatial as G
 from verdigris.plans import roles as R
 from verdigris.plans.registry import query
+from verdigris.plans.routing import ROUTES, TEXTS, THRESHOLDS
 
 SHOWN = ["Adult  Butterfly", "lepidoptera", "larva", "pupa", "pinned butterfly", "moth", "insect", "tattoo", "person", "spaceship"]
 OLDER = ["adult_butterfly", "possible adult butterfly", "caterpillar", "pupa", "pinned_specimen", "moth_like", "insect_like", "hard_negative", "no_organism", "robot", ""]
@@ -26,18 +27,18 @@ def _text_list(values):
 
 DETECTIONS = f"""SELECT event_id, CASE WHEN event_id % 19 = 0 THEN 'no_detection' WHEN event_id % 23 = 0 THEN 'failed' ELSE 'detected' END AS st, CASE WHEN event_id % 3 <> 0 THEN regexp_replace(lower({_text_list(SHOWN)}[CAST(event_id % {len(SHOWN)} AS INT) + 1]), ' +', ' ') END AS prompt,
  replace({_text_list(OLDER)}[CAST(event_id % {len(OLDER)} AS INT) + 1], ' ', '_') AS label, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 1.5 ELSE value / 500 END AS score FROM events"""
-KIND_ROWS = ", ".join(f"('{x}', '{kind}', {by})" for by, table in (("true", S.PROMPTS), ("false", S.LABELS)) for kind, xs in table.items() for x in xs)
-KIND_FACTS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (k, *v)) + ")" for k, v in S.KINDS.items())
+KIND_ROWS = ", ".join(f"('{x}', {i}, {by})" for i, r in enumerate(ROUTES) for by, xs in (("true", r.prompts), ("false", r.labels)) for x in xs)
+KIND_FACTS = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in (i, r.route, r.scoring, r.action, r.reason, r.gate, r.below)) + ")" for i, r in enumerate(ROUTES))
 ROUTED = f"""SELECT event_id, CASE WHEN bad IN ('low', 'score', 'unknown', 'status') THEN 'ambiguous_visual_domain' WHEN bad = 'none' THEN 'no_relevant_organism' ELSE route END AS detection_route, CASE WHEN bad IS NULL THEN scoring END AS scoring_route, CASE WHEN bad IS NULL THEN act ELSE 'exclude' END AS action,
  CASE WHEN bad IS NOT NULL OR act = 'exclude' THEN 'none' WHEN act = 'review' THEN 'low' ELSE 'standard' END AS priority, CASE bad WHEN 'none' THEN 'detector_reported_no_detection' WHEN 'status' THEN 'detection_status_not_routable' WHEN 'score' THEN 'invalid_detector_score'
- WHEN 'unknown' THEN CASE WHEN prompt IS NULL THEN 'unknown_legacy_label' ELSE 'unknown_prompt' END WHEN 'low' THEN base || ':below_threshold' ELSE CASE WHEN gated AND prompt IS NOT NULL THEN base || ':above_threshold' ELSE base END END AS reason
- FROM (SELECT *, CASE WHEN st = 'no_detection' THEN 'none' WHEN st <> 'detected' THEN 'status' WHEN score > 1 THEN 'score' WHEN kind IS NULL THEN 'unknown' WHEN gated AND score IS NULL THEN 'score' WHEN gated AND score < 0.35 THEN 'low' END AS bad, CASE WHEN prompt IS NULL THEN 'legacy_label:' || CASE label WHEN '' THEN 'missing' ELSE label END ELSE why END AS base
-  FROM (SELECT d.*, k.kind, coalesce(k.kind IN ('possible_adult', 'ambiguous_insect'), false) AS gated, f.route, f.scoring, f.act, f.why FROM ({DETECTIONS}) d LEFT JOIN (VALUES {KIND_ROWS}) k(x, kind, by_prompt) ON k.x = coalesce(prompt, label) AND k.by_prompt = (prompt IS NOT NULL) LEFT JOIN (VALUES {KIND_FACTS}) f(kind, route, scoring, act, why) ON f.kind = k.kind))"""
+ WHEN 'unknown' THEN CASE WHEN prompt IS NULL THEN 'unknown_detector_label_fallback' ELSE 'unknown_detector_prompt' END WHEN 'low' THEN CASE WHEN prompt IS NULL THEN older || ':below_threshold' ELSE below END ELSE CASE WHEN prompt IS NULL THEN older ELSE why END END AS reason
+ FROM (SELECT *, CASE WHEN st = 'no_detection' THEN 'none' WHEN st <> 'detected' THEN 'status' WHEN score > 1 THEN 'score' WHEN kind IS NULL THEN 'unknown' WHEN gate IS NOT NULL AND score IS NULL THEN 'score' WHEN gate IS NOT NULL AND score < 0.35 THEN 'low' END AS bad, 'legacy_detector_label_fallback:' || CASE label WHEN '' THEN 'missing' ELSE label END AS older
+  FROM (SELECT d.*, k.kind, f.route, f.scoring, f.act, f.why, f.gate, f.below FROM ({DETECTIONS}) d LEFT JOIN (VALUES {KIND_ROWS}) k(x, kind, by_prompt) ON k.x = coalesce(prompt, label) AND k.by_prompt = (prompt IS NOT NULL) LEFT JOIN (VALUES {KIND_FACTS}) f(kind, route, scoring, act, why, gate, below) ON f.kind = k.kind))"""
 
 
 @query(ROUTED)
 def route_rows(spark, d):
-    return S.route_rows(_detections(spark, d)).select("event_id", "detection_route", "scoring_route", "action", "priority", "reason")
+    return S.route_rows(_detections(spark, d), ROUTES, TEXTS, THRESHOLDS).select("event_id", "detection_route", "scoring_route", "action", "priority", "reason")
 
 
 @query("""SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND status = 'ok' THEN 'score' ELSE 'exclude' END AS gate, CASE WHEN status IS NULL THEN 'no_detection' WHEN status <> 'ok' THEN 'bad_status' WHEN event_type NOT IN ('view', 'click') THEN 'route_not_scored' ELSE 'eligible' END AS gate_reason
