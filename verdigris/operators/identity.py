@@ -162,11 +162,15 @@ def expand_contradictions(classes: DataFrame, link: str, fields: list[str], link
 
 
 def provider_union(df: DataFrame, identity: str, provider: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(canonical rows, audit): one row per identity, first in a total order; the audit marks each row kept or removed."""
-    w = Window.partitionBy(identity).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(w)).withColumn("canonical_provider", F.first(provider).over(w))
-    audit = ranked.withColumn("relationship", F.when(F.col("_rn") == 1, "canonical").when(F.col(provider) == F.col("canonical_provider"), "exact_duplicate_removed").otherwise("cross_provider_duplicate_removed"))
-    return ranked.filter("_rn = 1").drop("_rn", "canonical_provider"), audit.drop("_rn")
+    """(canonical rows, audit): one row per identity, first in a total order; the audit marks each row kept or removed.
+
+    The first of each identity comes from an aggregate and is joined back, so an identity with very many rows is split.
+    """
+    first = df.groupBy(F.col(identity).alias("_identity")).agg(F.min(F.struct(*order)).alias("_first"), F.min_by(provider, F.struct(*order)).alias("canonical_provider"))
+    marked = df.join(written(first), F.col(identity).eqNullSafe(F.col("_identity"))).withColumn("_kept", F.struct(*order).eqNullSafe(F.col("_first")))
+    relationship = F.when(F.col("_kept"), "canonical").when(F.col(provider) == F.col("canonical_provider"), "exact_duplicate_removed").otherwise("cross_provider_duplicate_removed")
+    audit = marked.withColumn("relationship", relationship).drop("_identity", "_first", "_kept")
+    return marked.filter("_kept").select(*df.columns), audit
 
 
 def link_groups(df: DataFrame, item: str, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from verdigris.operators.core import keep_first
 from verdigris.operators.identity import written
 
 def dedupe_any_value(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -25,8 +26,8 @@ def compute_once_fan_back(df: DataFrame, content: str, inputs: list[str], work)
 
 
 def anti_join_duplicates(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """Rows that are first in their key, by removing the ranked rest."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    """Rows that are first in their key; the repeats of a key are left out before the shuffle, task by task."""
+    return keep_first(df, keys, order)
 
 
 def work_avoided(df: DataFrame, keys: list[str]) -> DataFrame:
