@@ -809,3 +809,34 @@ def test_rows_of_one_id_are_dealt_over_the_shards(spark, monkeypatch):
     assert len(out) == len(rows) and sorted(map(str, mixture.take_words(df.repartition(7)).collect())) == out
     plain = mixture._ordered(sized.filter("v_id not in ('', '7')"), "mix").select("v_id", "v_order").first()
     assert plain.v_order == hashlib.md5(f"mix|{plain.v_id}".encode()).hexdigest()
+
+
+# near licences
+
+
+def test_near_licences_keep_their_own_label(spark):
+    """Each template alone, and within prose, gives its label and no sibling's; so do notices that differ from the templates."""
+    texts, wanted = [], {}
+    for label, phrases in license_scan.TEMPLATES.items():
+        for phrase in phrases:
+            for text in (phrase, prose(20, len(texts)) + " " + phrase.title() + ". " + prose(20, len(texts) + 1)):
+                wanted[len(texts)] = {label} | {b for p, b in license_scan.BASE.items() if p in phrase}
+                texts.append((len(texts), text))
+    notices = {
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.": {"gpl-3"},
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.": {"lgpl"},
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.": {"agpl-3"},
+        "Licensed under the GNU General Public License version 3": {"gpl-3"},
+        "Licensed under the GNU General Public License version 2": {"gpl-2"},
+        "Licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": {"cc-by-sa"},
+        "Licensed under a Creative Commons Attribution 4.0 International License": {"cc-by"},
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": {"gpl"},
+    }
+    for text, labels in notices.items():
+        wanted[len(texts)] = labels
+        texts.append((len(texts), text))
+    out = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(spark.createDataFrame(texts, "doc_id int, text string")).collect()}
+    own = {i: labels if any(p in t.lower() for p in license_scan.BASE) else labels for (i, t), labels in zip(texts, wanted.values())}
+    wrong = {i: (out[i], own[i], texts[i][1][:80]) for i in out if out[i] != own[i]}
+    assert not wrong
+    assert license_scan.general_labels() == {"gpl": ["gpl-2", "gpl-3"]}
