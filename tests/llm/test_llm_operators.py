@@ -840,3 +840,54 @@ def test_near_licences_keep_their_own_label(spark):
     wrong = {i: (out[i], own[i], texts[i][1][:80]) for i in out if out[i] != own[i]}
     assert not wrong
     assert license_scan.general_labels() == {"gpl": ["gpl-2", "gpl-3"]}
+
+
+# values in quotes, and candidates by brute force
+
+
+def brute_values(text):
+    """Quoted values after a name and a sign, found character by character."""
+    out = []
+    for i, c in enumerate(text):
+        if c in "\"'":
+            end = i + 1
+            while end < len(text) and text[end] not in "\"'\\" and not text[end].isspace():
+                end += 1
+            if end < len(text) and text[end] == c and end - i > 8:
+                at = i
+                while at and text[at - 1] == " ":
+                    at -= 1
+                signs = at
+                while at and text[at - 1] in "=:>":
+                    at -= 1
+                names = at
+                while names and text[names - 1] == " ":
+                    names -= 1
+                if at < signs and i - signs <= 3 and at - names <= 3 and names and (text[names - 1].isalnum() or text[names - 1] in "_.-\"'"):
+                    out.append((i + 1, text[i + 1 : end]))
+    return out
+
+
+def test_quoted_values_are_read_to_their_quote(spark):
+    rng = np.random.default_rng(17)
+    wide = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    odd = wide + list("(){}[]<>;:,?|!@#$%")
+    forms = {"hex": ("token", list("0123456789abcdef"), 40), "brackets": ("password", odd, 20), "wide": ("api_key", wide, 32), "slashes": ("client_secret", wide + ["/", "+"], 44), "long": ("auth_token", wide + ["-", "_"], 90)}
+    texts, planted = [], {}
+    for k in range(200):
+        kind = list(forms)[k % len(forms)]
+        name, letters, n = forms[kind]
+        value = "".join(rng.choice(letters, n))
+        before = f"{prose(12, k)} {name} = \"" if k % 2 else f"{prose(12, k)} '{name}': '"
+        texts.append((k, before + value + before[-1] + " " + prose(12, k + 500)))
+        planted[k] = (kind, len(before), value)
+    for k, text in texts:
+        assert brute_values(text) == [planted[k][1:]]
+        assert [(s, v) for s, v, *_ in secret_scan.candidates(text)] == [planted[k][1:]]
+    found = {(r.doc_id, r.start, r.length) for r in secret_scan.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    share = {kind: np.mean([(k, at, len(v)) in found for k, (own, at, v) in planted.items() if own == kind]) for kind in forms}
+    assert min(share.values()) >= 0.9, share
+    assert not found - {(k, at, len(v)) for k, (_, at, v) in planted.items()}
+    plain = [(k, f'{prose(9, k)} <a href="https://site.example/{prose(1, k)}/{prose(1, k + 1)}.html"> class="{prose(1, k)}-{prose(1, k + 2)}" value = "${{{prose(1, k)}.{prose(1, k + 3)}}}"') for k in range(100)]
+    assert secret_scan.scan(spark.createDataFrame(plain, "doc_id long, text string")).count() <= 5
+    assert [v for _, v, *_ in secret_scan.candidates('password = "pa(ss)w0rd{12}" token = "abcdEFGH1234(xyz)9876" key = "unfinished1')] == ["pa(ss)w0rd{12}", "abcdEFGH1234(xyz)9876", "unfinished1"]

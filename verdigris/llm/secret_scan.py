@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are private key blocks, each as a whole, values after an assignment to a
-name, with or without digits, and
+name, with or without digits and up to their quote if they are in quotes (of any
+characters but white space then), and
 unbroken runs of 16 letters, digits and few signs or more with at least a digit;
 all are taken whole, however long they are. Features: length, entropy, shares and transitions of character classes,
 coverage by a dictionary, path look, paths and other words before. The forest is
@@ -32,7 +33,7 @@ from verdigris.llm._shared import ship, small_batches, table
 
 CANDIDATE = re.compile(
     r"(?P<block>-----BEGIN (?P<kind>[A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?)-----[^-]*+(?:-(?!----)[^-]*+)*+-----END (?P=kind)-----)"
-    r"|(?P<name>[A-Za-z][A-Za-z0-9_.-]{0,40}+)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}[\"']?(?P<value>[A-Za-z0-9+/_=.$!@#%^&*~-]{8,}+)"
+    r"|(?P<name>[A-Za-z][A-Za-z0-9_.-]{0,40}+)[\"']?\s{0,3}(?:=|:|:=|=>)\s{0,3}(?:(?P<quote>[\"'])(?P<quoted>[^\s\"'\\]{8,}+)(?P=quote)|[\"']?(?P<value>[A-Za-z0-9+/_=.$!@#%^&*~-]{8,}+))"
     r"|(?<![A-Za-z0-9+/_=.@-])(?P<bare>(?=[A-Za-z+/_=.-]*+[0-9])[A-Za-z0-9+/_=.-]{16,}+)(?![A-Za-z0-9@])"
 )
 #: Words before a value that speak for or against a secret.
@@ -107,20 +108,21 @@ def labelled_findings(n: int = 4000, seed: int = 11) -> tuple[np.ndarray, np.nda
         secret = i % 2
         place = rng.choice((*good_paths, *bad_paths[:1]) if secret else (*bad_paths, *good_paths[:1])) if rng.random() < 0.2 else ""
         if secret:
-            form = rng.randrange(11)
+            form = rng.randrange(12)
             value = [draw(hexa, rng.choice((32, 40, 40, 40, 64))), draw(wide, rng.randint(20, 64)), rng.choice(STARTS) + draw(wide, rng.randint(16, 40)), draw(wide + "+/", rng.randint(24, 88)) + "=" * rng.randint(0, 2),
                      draw(wide + "!@#$%", rng.randint(10, 24)), "eyJ" + draw(wide, 30) + "." + draw(wide, 40) + "." + draw(wide + "_-", 43), draw(wide + "_-", rng.randint(24, 48)),
                      "-".join(word() for _ in range(rng.randint(3, 5))), draw(both + "!@#$%" * rng.randint(0, 1), rng.randint(12, 40)), "eyJ" + ".".join(draw(wide + "_-", rng.randint(40, 500) if form == 9 else 1) for _ in range(3)),
-                     block("\n".join(draw(wide + "+/", 64) for _ in range(rng.randint(3, 25) if form == 10 else 1)))][form]
+                     block("\n".join(draw(wide + "+/", 64) for _ in range(rng.randint(3, 25) if form == 10 else 1))), draw(wide + "(){}[]<>;:,?|!@#$%", rng.randint(10, 28))][form]
             name = "" if form == 10 else rng.choice(good_names) if form not in (2, 5, 9) or rng.random() < 0.5 else ""
             before = " ".join([place, word(), word(), name or rng.choice(("", "Bearer"))])
         else:
-            form = rng.randrange(14)
+            form = rng.randrange(16)
             value = [draw(hexa, rng.choice((32, 40, 64))), "-".join(draw(hexa, k) for k in (8, 4, 4, 4, 12)), "/".join(word() for _ in range(rng.randint(3, 6))) + str(rng.randrange(99)), ".".join([word(), word(), "com"]) + "/" + word() + draw(digits, 3),
                      word() + "-" + word() + "-" + draw(digits, rng.randint(2, 8)), draw(digits, rng.randint(16, 24)), "".join(word() for _ in range(rng.randint(4, 7))) + draw(digits, rng.randint(1, 3)),
                      "_".join(word().upper() for _ in range(4)) + draw(digits, 2), word() + "." + draw(digits, 2) + "." + word() + draw(digits, 1) + ".example.com",
                      "".join(word() for _ in range(rng.randint(2, 4))).capitalize() if rng.random() < 0.3 else "".join(word() for _ in range(rng.randint(2, 4))), rng.choice("._").join(word() for _ in range(rng.randint(2, 4))), "-".join(word() for _ in range(rng.randint(2, 5))), draw(wide + "+/", rng.randint(200, 900) if form == 12 else 1),
-                     block(rng.choice(("...", "your key here", "<key>", "example", "xxxxxxxxxxxxxxxx"))) if form == 13 else ""][form]
+                     block(rng.choice(("...", "your key here", "<key>", "example", "xxxxxxxxxxxxxxxx"))) if form == 13 else "", "https://" + ".".join([word(), word(), "org"]) + "/" + "/".join(word() for _ in range(rng.randint(1, 4))) + rng.choice(("", "?id=" + draw(digits, 4), ".html")),
+                     rng.choice(("${%s}", "{{%s}}", "<%s>", "$(%s)", "%s(%s)")).replace("%s", word() + rng.choice("._") + word())][form]
             name = "" if form == 13 else rng.choice((*bad_names, word(), word().capitalize())) if form in (0, 1, 11, 12) or rng.random() < 0.7 else rng.choice(good_names)
             before = " ".join([place, word(), rng.choice(("commit", "revision", "file", "see", "at", "id", word())) if form != 12 else rng.choice(("image", "src", "href")), name])
         rows.append(features(value, name, before))
@@ -187,9 +189,9 @@ def candidates(text: str) -> list[tuple[int, str, str, str]]:
     """(start, value, name, up to BEFORE characters before) of each candidate."""
     out = []
     for m in CANDIDATE.finditer(text):
-        part = next(p for p in ("block", "value", "bare") if m[p] is not None)
+        part = next(p for p in ("block", "quoted", "value", "bare") if m[p] is not None)
         start = m.start(part)
-        trimmed = m[part] if part == "block" else m[part].rstrip(".!%#$&*^~@")
+        trimmed = m[part] if part in ("block", "quoted") else m[part].rstrip(".!%#$&*^~@")
         if len(trimmed) >= 8:
             out.append((start, trimmed, m["name"] or "", text[max(0, start - BEFORE) : start]))
     return out
