@@ -457,6 +457,23 @@ def test_set_digests_of_large_sets(spark):
     assert C.dataset_fingerprint(small, most=0.001).first() == C.dataset_fingerprint(small.repartition(9), most=0.001).first()
 
 
+def test_duplicate_groups_of_large_sets_equal_their_sql(spark, tmp_path):
+    """Sets at the bound, over it and of two tree levels, with repeated rows and rows without text or id."""
+    import duckdb
+    import pandas as pd
+
+    from verdigris.plans import catalogue
+
+    sizes = {"a": 2, "b": 256, "c": 257, "d": 65537, "e": 1}
+    rows = [(i, t) for t, n in sizes.items() for i in range(n)]
+    pd.DataFrame(rows + rows[:300] + [(7, None), (8, None), (None, "e"), (None, "c")], columns=["doc_id", "text"]).astype({"doc_id": "Int64"}).to_parquet(f"{tmp_path}/documents.parquet")
+    found = catalogue.QUERIES["duplicate_groups"](spark, str(tmp_path)).select("h", "member", "members", "group_id").toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    assert sorted(found.itertuples(index=False, name=None)) == sorted(con.execute(catalogue.ORACLES["duplicate_groups"]).fetchall())
+    assert sorted(found.groupby("h").members.first()) == [2, 256, 257, 65537]
+
+
 def test_sessions_are_the_same_in_chunks_of_any_size(spark):
     rng = np.random.default_rng(9)
     rows = []

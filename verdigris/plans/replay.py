@@ -197,8 +197,16 @@ def classify_origin(spark, d):
     return I.classify_origin(_records(spark, d), "lang", {"en": "alpha", "de": "beta"}, "host").select("page_id", "origin", "relationship")
 
 
-@query("""SELECT h, member, len(members) AS members, sha256(array_to_string(members, chr(31))) AS group_id FROM (SELECT *, unnest(members) AS member FROM (SELECT sha256(text) AS h, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS members FROM documents GROUP BY 1) WHERE len(members) > 1)""")
+DEEPER = " + ".join(f"CASE WHEN members > {I.LIST * 256**d} THEN 2 ELSE 0 END" for d in range(7))
+DUPLICATES = f"""WITH RECURSIVE held AS (SELECT DISTINCT sha256(text) AS h, CAST(doc_id AS VARCHAR) AS member FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), sizes AS (SELECT h, count(*) AS members FROM held GROUP BY 1 HAVING count(*) > 1),
+ fold(h, depth, hash) AS (SELECT h, {DEEPER}, sha256(member) FROM held JOIN sizes USING (h) WHERE members > {I.LIST} UNION ALL SELECT h, depth - 2, left(hash, depth) || sha256(string_agg(hash, ',' ORDER BY hash)) FROM fold WHERE depth >= 0 GROUP BY h, depth, left(hash, depth)),
+ ids AS (SELECT h, sha256(string_agg(member, chr(31) ORDER BY member)) AS group_id FROM held JOIN sizes USING (h) WHERE members <= {I.LIST} GROUP BY 1 UNION ALL SELECT h, hash FROM fold WHERE depth = -2)
+ SELECT h, member, members, group_id FROM held JOIN sizes USING (h) JOIN ids USING (h)"""
+
+
+@query(DUPLICATES)
 def duplicate_groups(spark, d):
+    """Copies of a text with the id of their set: the hash of the listed ids, or of the tree that `set_digests` folds a set of over 256 ids into."""
     return I.duplicate_groups(R.table(spark, d, "documents").select(F.sha2("text", 256).alias("h"), "doc_id"), "h", "doc_id")[1]
 
 
