@@ -399,6 +399,20 @@ def test_stream_consensus_reads_what_its_items_have(spark, tmp_path):
     assert sorted(map(str, stream.current_consensus(spark, str(tmp_path / "out")).select(columns).collect())) == sorted(map(str, L.project_consensus(e).select(columns).collect()))
 
 
+def test_stream_consensus_keeps_its_state_without_python(spark, tmp_path):
+    """Both states are Spark's own; a repeat that says something else changes nothing, and without new events there is no new version."""
+    first = _events(spark, [(1, 1, "a", "yes", 1, None, "review"), (2, 1, "b", "yes", 1, None, "review"), (1, 2, "a", "no", 1, None, "review")])
+    later = _events(spark, [(1, 1, "a", "no", 1, None, "review"), (2, 1, "b", "yes", 1, None, "review"), (4, 2, "b", "no", 1, None, "review"), (1, 2, "a", "yes", 1, None, "review")])
+    sent = lambda: spark.readStream.schema(first.schema).parquet(str(tmp_path / "in"))
+    for part in (first, later):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.start_consensus(spark, sent(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = stream.versions(spark, str(tmp_path / "out")).select("batch", "item_id", "events_read", "consensus_outcome").collect()
+    assert sorted(map(tuple, found), key=str) == [(0, 1, 2, "yes"), (0, 2, 1, None), (1, 2, 2, "no")]
+    assert {r.item_id: r.consensus_outcome for r in stream.current_consensus(spark, str(tmp_path / "out")).collect()} == {1: "yes", 2: "no"}
+    assert "Pandas" not in stream.histories(sent())._jdf.queryExecution().logical().toString()
+
+
 def test_repartitioning_changes_nothing(spark):
     df = spark.range(300).select((F.col("id") % 20).cast("int").alias("item_id"), F.concat(F.lit("r"), F.col("id") % 3).alias("reviewer_id"), F.col("id").alias("event_id"), F.when(F.col("id") % 4 > 0, "yes").otherwise("no").alias("outcome"),
                                  F.timestamp_seconds(F.col("id")).alias("reviewed_at"), F.lit(1).alias("review_round"), F.lit(None).cast("long").alias("supersedes_event_id"), F.lit("review").alias("event_type"))
