@@ -488,6 +488,35 @@ def test_duplicate_groups_of_large_sets_equal_their_sql(spark, tmp_path):
     assert sorted(found.groupby("h").members.first()) == [2, 256, 257, 65537]
 
 
+def test_fused_scores_are_one_aggregation_in_tasks_of_bounded_size(spark):
+    """Against the rule in plain Python, with several inputs of a kind, missing scores and kinds without weight; nothing is sorted for a window, and tasks grow in number with the rows."""
+    rng, weights = np.random.default_rng(12), {"A": 2.0, "R": 1.0, "N": 0.5, "Z": 0.0}
+    rows = [(int(rng.integers(0, 30)) or None, int(rng.integers(0, 3)), str(rng.choice(["A", "R", "N", "Z", "other"])), float(rng.random()) if rng.random() < 0.9 else None) for _ in range(600)] + [(100, 0, None, 0.5), (101, 0, "Z", 0.5), (102, 0, "A", None)]
+    groups = {}
+    for item, target, kind, score in rows:
+        if weights.get(kind, 0) > 0:
+            groups.setdefault((item, target), []).append((kind, score))
+    df = spark.createDataFrame(rows, "item int, target int, kind string, score double")
+    for parts in (None, 1, 5):
+        fused = P.fuse_scores(df, ["item"], "target", "kind", "score", weights, parts)
+        found = {(r.item, r.target): r for r in fused.collect()}
+        assert found.keys() == groups.keys()
+        for g, inputs in groups.items():
+            n = {k: sum(x == k for x, _ in inputs) for k, _ in inputs}
+            known = [s for _, s in inputs if s is not None]
+            assert found[g].missing == len(inputs) - len(known)
+            if found[g].missing:
+                assert found[g].fused_score is None
+            else:
+                assert found[g].fused_score == pytest.approx(sum(weights[k] / n[k] * s for k, s in inputs) / sum(weights[k] for k in n), rel=1e-12)
+            assert found[g].spread == (max(known) - min(known) if known else None)
+        plan = fused.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and plan.count("Exchange ") == 1
+        assert parts != 5 or ", 5), REPARTITION_BY_NUM" in plan
+    assert P.fuse_scores(df, ["item"], "target", "kind", "score", {}).isEmpty()
+    assert [P.fusion_parts(n) for n in (0, 1, P.FUSED_ROWS, P.FUSED_ROWS + 1, 864 * P.FUSED_ROWS)] == [1, 1, 1, 2, 864]
+
+
 def test_sessions_are_the_same_in_chunks_of_any_size(spark):
     rng = np.random.default_rng(9)
     rows = []

@@ -7,7 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.thresholds import fit_threshold_policy  # noqa: F401
@@ -126,14 +126,29 @@ def build_scoring_units(df: DataFrame, keys: list[str], route: str, member: str)
     return out.withColumn("unit_id", F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], route, F.array_join("members", ",")), 256))
 
 
-def fuse_scores(df: DataFrame, keys: list[str], target: str, kind: str, score: str, weights: dict[str, float]) -> DataFrame:
-    """Linear pool per key and target: kind weight over the active total over the count of the kind; null if a weighted input is null; the spread of inputs flags disagreement."""
-    weight = reduce(lambda acc, kv: F.when(F.col(kind) == kv[0], F.lit(kv[1])).otherwise(acc), weights.items(), F.lit(0.0))
-    own = Window.partitionBy(*keys, target)
-    used = df.withColumn("_w", weight).filter("_w > 0").withColumn("_n", F.count("*").over(Window.partitionBy(*keys, target, kind)))
-    used = used.withColumn("_share", F.col("_w") / F.col("_n")).withColumn("_share", F.col("_share") / F.sum("_share").over(own))
-    fused = used.groupBy(*keys, target).agg(F.sum(F.col("_share") * F.col(score)).alias("_s"), F.count_if(F.col(score).isNull()).alias("missing"), (F.max(score) - F.min(score)).alias("spread"))
-    return fused.withColumn("fused_score", F.when(F.col("missing") == 0, F.col("_s"))).withColumn("strong_disagreement", F.col("spread") > 0.5).drop("_s")
+def fuse_scores(df: DataFrame, keys: list[str], target: str, kind: str, score: str, weights: dict[str, float], parts: int | None = None) -> DataFrame:
+    """Linear pool per key and target: kind weight over the active total over the count of the kind; null if a weighted input is null; the spread of inputs flags disagreement.
+
+    One aggregation with a count and a sum per kind, so no row is sorted or kept. `parts` deals the rows into so many tasks by key and
+    target first, for large tables of mostly different ones, where summing before the shuffle only fills memory; see `fusion_parts`.
+    """
+    active = {k: float(w) for k, w in weights.items() if w > 0}
+    used = df.filter(F.col(kind).isin(*active)).select(*keys, target, F.col(kind).alias("_kind"), F.col(score).alias("_score"))
+    used = used.repartition(parts, *keys, target) if parts else used
+    is_kind = {f"_{i}": F.col("_kind") == k for i, k in enumerate(active)}
+    per = [x for n, on in is_kind.items() for x in (F.count_if(on).alias(f"{n}n"), F.sum(F.when(on, F.col("_score").cast("double"))).alias(f"{n}s"))]
+    fused = used.groupBy(*keys, target).agg(F.count_if(F.col("_score").isNull()).alias("missing"), (F.max("_score") - F.min("_score")).alias("spread"), *per)
+    total = lambda of: reduce(lambda a, b: a + b, [F.when(F.col(f"{n}n") > 0, of(n, w)).otherwise(0.0) for n, w in zip(is_kind, active.values())], F.lit(0.0))
+    pooled = total(lambda n, w: w * F.col(f"{n}s") / F.col(f"{n}n")) / total(lambda n, w: F.lit(w))
+    return fused.select(*keys, target, "missing", "spread", F.when(F.col("missing") == 0, pooled).alias("fused_score"), (F.col("spread") > 0.5).alias("strong_disagreement"))
+
+
+FUSED_ROWS = 250_000
+
+
+def fusion_parts(rows: int) -> int:
+    """Tasks for `fuse_scores`, so that one holds about 250,000 rows however large the table is."""
+    return max(1, -(-rows // FUSED_ROWS))
 
 
 def best_competitor(df: DataFrame, keys: list[str], candidate: str, score: str, target: str) -> DataFrame:

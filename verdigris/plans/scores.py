@@ -90,8 +90,9 @@ def build_scoring_units(spark, d):
 @query("""SELECT l_orderkey, l_suppkey, CASE WHEN miss = 0 THEN round(s, 6) END AS fused_score, round(spread, 6) AS spread, spread > 0.5 AS strong_disagreement FROM (SELECT l_orderkey, l_suppkey, sum(w / n / tot * score) AS s, count(CASE WHEN score IS NULL THEN 1 END) AS miss, max(score) - min(score) AS spread FROM (
  SELECT *, sum(w / n) OVER (PARTITION BY l_orderkey, l_suppkey) AS tot FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_suppkey, l_returnflag) AS n FROM (SELECT l_orderkey, l_suppkey, l_returnflag, CASE l_returnflag WHEN 'A' THEN 2.0::DOUBLE WHEN 'R' THEN 1.0 ELSE 0.5 END AS w, CASE WHEN l_quantity < 49 THEN l_quantity / 50 END AS score FROM lineitem))) GROUP BY 1, 2)""")
 def fuse_scores(spark, d):
-    li = R.table(spark, d, "lineitem").withColumn("score", F.when(F.col("l_quantity") < 49, F.col("l_quantity") / 50))
-    out = S.fuse_scores(li, ["l_orderkey"], "l_suppkey", "l_returnflag", "score", {"A": 2.0, "R": 1.0, "N": 0.5})
+    li = R.table(spark, d, "lineitem")
+    scored = li.withColumn("score", F.when(F.col("l_quantity") < 49, F.col("l_quantity") / 50))
+    out = S.fuse_scores(scored, ["l_orderkey"], "l_suppkey", "l_returnflag", "score", {"A": 2.0, "R": 1.0, "N": 0.5}, S.fusion_parts(li.count()))
     return out.select("l_orderkey", "l_suppkey", F.round("fused_score", 6).alias("fused_score"), F.round("spread", 6).alias("spread"), "strong_disagreement")
 
 
